@@ -18,14 +18,14 @@ from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .ordered import in_order_with_next
-from .textblock import BLOCK_BYTES, distinct_per_doc, lower_ascii, ngram_hashes, text_arrays, word_hashes
+from .textblock import BLOCK_BYTES, distinct_per_doc, lower_ascii, mix, ngram_hashes, text_arrays, word_hashes
 
 PERMS = 128
 SHINGLE = 5
@@ -134,8 +134,6 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:
     """One 64-bit key for each run of ``rows`` positions (n x PERMS // rows)."""
-    from .textblock import mix
-
     n, bands = len(signature), signature.shape[1] // rows
     parts = signature[:, : bands * rows].reshape(n, bands, rows).astype(np.uint64)
     key = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), (n, bands)).copy()
@@ -151,10 +149,7 @@ def sketch(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Components of documents whose sets are at least ``threshold`` alike."""
+    """Per document row: doc_id, n_shingles, component_id; links have sets at least ``threshold`` alike."""
     from . import neardup
 
-    return neardup.components(docs, sketch, likeness, threshold)
-
-
-Sketch = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
+    return neardup.components(docs, sketch, lambda x, y, _n, _m: likeness(x, y), threshold)
