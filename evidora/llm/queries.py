@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, minhash, quality, setsketch, toxicity
+from . import bpe, chat, minhash, mixing, quality, setsketch, token_store, toxicity
+from .shared import shared_dir
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +25,14 @@ def op1_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_conversations(chat.with_probe(_table(spark, sf_dir, "conversations"))))
 
 
+def op2_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    token_store.write(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    return token_store.digests(spark, path)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.predictions(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -31,6 +41,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken(_table(spark, sf_dir, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(_table(spark, sf_dir, "documents"))
 
@@ -46,8 +60,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_chat": op1_chat,
+        "op2_token_store": op2_token_store,
         "op3_toxicity": op3_toxicity,
         "op4_quality": op4_quality,
+        "op6_mixing": op6_mixing,
         "op7_fingerprints": op7_fingerprints,
         "op9_neardup": op9_neardup,
         "op10_bpe": op10_bpe,

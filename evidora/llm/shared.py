@@ -59,19 +59,18 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     return F.coalesce(F.size(F.filter(held, lambda b: b < key)), F.lit(0))
 
 
-def running_before(df: DataFrame, value: str, key: str, out: str, group: list[str] | None = None) -> DataFrame:
-    """Add ``out``: the sum of ``value`` over the rows before, by ``key``, in each group.
+def running_before(df: DataFrame, value: str, key: str, out: str, group: list[str], order: str) -> DataFrame:
+    """Add ``out``: the sum of ``value`` over the rows before in each group, by ``order``, which begins with ``key``.
 
     The key's range is cut into buckets; sums of whole buckets come from one
     row a bucket and group, so no task holds a whole group.
     """
-    spark, group = df.sparkSession, group or []
-    n = min(partitions(spark), 1000)
+    n = min(partitions(df.sparkSession), 1000)
     df = df.withColumn("_bucket", range_bucket(F.col(key), range_bounds(df, key, n)))
     sums = df.groupBy(*group, "_bucket").agg(F.sum(value).alias("_sum"))
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select(*group, "_bucket", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy(*group, "_bucket").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy(*group, "_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn("_inside", F.coalesce(F.sum(value).over(inside), F.lit(0)))
     match = F.col("a._bucket") == F.col("b._bucket")
     for g in group:
