@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, minhash, mixing, quality, setsketch, token_store, toxicity
+from . import bpe, chat, minhash, mixing, quality, setsketch, suffix, token_store, toxicity
 from .shared import shared_dir
 
 
@@ -41,6 +41,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.verdicts(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.digests(_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_store": op2_token_store,
         "op3_toxicity": op3_toxicity,
         "op4_quality": op4_quality,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_mixing": op6_mixing,
         "op7_fingerprints": op7_fingerprints,
         "op9_neardup": op9_neardup,
