@@ -1,18 +1,53 @@
-"""Training-data pipeline over the table of documents (see the end of the file)."""
+"""Training-data pipeline over the table of documents.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame.  All but the
+last return the columns of ``documents``:
+
+1. toxicity: rows that the subword model predicts toxic go;
+2. line dedup: lines of recurring templates go, other lines stay;
+3. near-dedup: one document of each component stays;
+4. mixing: sources reach their target weights; each pass over a source gives
+   one row for each run of words that it takes from a document;
+5. byte-level BPE: one row for each of those with its token count and digests.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from evidora.llm import bpe
+from evidora.llm import bpe, mixing, setsketch, templates, toxicity
 from evidora.llm.queries import ranks_path
 
 
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.reject(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def drop_recurring_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return templates.drop(docs)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return setsketch.keep_one(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mix(docs)
+
+
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.digests(docs, ranks_path())
 
 
-STAGES = [("bpe", encode)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("line_dedup", drop_recurring_lines),
+    ("near_dedup", keep_one_of_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
+
+#: The stages hold trained models and sketches, which SQL cannot express.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, minhash, mixing, quality, setsketch, suffix, token_store, toxicity
+from . import bpe, chat, minhash, mixing, quality, setsketch, suffix, templates, token_store, toxicity
 from .shared import shared_dir
 
 
@@ -53,6 +53,10 @@ def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.digests(_table(spark, sf_dir, "documents"))
+
+
 def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setsketch.near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_suffix_dedup": op5_suffix_dedup,
         "op6_mixing": op6_mixing,
         "op7_fingerprints": op7_fingerprints,
+        "op8_line_dedup": op8_line_dedup,
         "op9_neardup": op9_neardup,
         "op10_bpe": op10_bpe,
     }
