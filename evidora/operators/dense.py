@@ -25,7 +25,7 @@ def hash_embed(chunks: DataFrame, text: Column, dim: int = DIM) -> DataFrame:
     held = counts.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "n"))).alias("m"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
     vector = F.transform(F.sequence(F.lit(0).cast("long"), F.lit(dim - 1).cast("long")), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)) / F.col("norm"))
     empty = F.array_repeat(F.lit(0.0), dim)
-    return chunks.select("id").join(held, "id", "left").select("id", F.coalesce(vector, empty).alias("embedding"))
+    return chunks.select("id").join(held, "id", "left").select("id", F.when(F.col("norm").isNotNull(), vector).otherwise(empty).alias("embedding"))
 
 
 def check_vectors(vectors: DataFrame, dim: int | None = None, column: str = "embedding") -> DataFrame:

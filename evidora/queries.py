@@ -24,3 +24,14 @@ def query(name: str, oracle: str | None = None):
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def load() -> None:
+    """Import all modules that register queries."""
+    from importlib import import_module
+
+    for name in ("retrieval",):
+        import_module(f"evidora.plans.{name}")
+
+
+
