@@ -30,7 +30,7 @@ def load() -> None:
     """Import all modules that register queries."""
     from importlib import import_module
 
-    for name in ("retrieval",):
+    for name in ("retrieval", "graph"):
         import_module(f"evidora.plans.{name}")
 
 
