@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textblock import blocks, gather_ranges, lower_ascii, mix, runs, text_arrays
+from .textblock import blocks, gather_ranges, lower_ascii, prefix_hash, runs, span_hash
 
 MAX_TRAIN = 2000
 MAX_TRAIN_CHARS = 20_000
@@ -121,23 +121,29 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 2
     if not len(labels) or labels.min() == labels.max():
         share = float(labels.mean()) if len(labels) else 0.0
         return Model(np.zeros(1 << BITS, np.float32), float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    data, offsets = text_arrays(pa.array(texts, pa.string()))
-    padded, starts, ends, first = _padded(data, offsets)
-    # Distinct words, known by their first 5-gram hashes and length, and the buckets of each.
-    key = np.zeros(len(starts), np.uint64)
-    lengths = ends - starts
-    at = gather_ranges(starts, lengths)
-    with np.errstate(over="ignore"):
-        part = mix(padded[at].astype(np.uint64) + (np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.uint64) * np.uint64(257))
-        if len(starts):
-            key = np.add.reduceat(part, np.cumsum(lengths) - lengths)
-    _, one, word = np.unique(key, return_index=True, return_inverse=True)
-    gram_bucket, gram_word = [], []
-    for n, h, _ in _grams(padded):
-        count = np.maximum(ends[one] - starts[one] + 3 - n, 0)
-        gram_bucket.append(h[gather_ranges(starts[one] - 1, count)])
-        gram_word.append(np.repeat(np.arange(len(one)), count))
-    bucket, of = np.concatenate(gram_bucket).astype(np.int64), np.concatenate(gram_word)
+    # Words of a block of texts at a time; the n-grams of each word that is new to its block.
+    keys, counts, held_keys, gram_bucket, gram_count = [], [], [], [], []
+    for _, _, data, offsets in blocks(pa.array(texts, pa.string())):
+        padded, starts, ends, word_first = _padded(data, offsets)
+        key = span_hash(prefix_hash(padded), starts, ends)
+        own, one = np.unique(key, return_index=True)
+        per_size = [(h, np.maximum(ends[one] - starts[one] + 3 - n, 0)) for n, h, _ in _grams(padded)]
+        found = np.concatenate([h[gather_ranges(starts[one] - 1, c)] for h, c in per_size])
+        of = np.concatenate([np.repeat(np.arange(len(one)), c) for _, c in per_size])
+        gram_bucket.append(found[np.argsort(of, kind="stable")])
+        gram_count.append(sum(c for _, c in per_size))
+        keys.append(key)
+        counts.append(np.diff(word_first))
+        held_keys.append(own)
+    first = np.concatenate(([0], np.cumsum(np.concatenate(counts))))
+    distinct, at = np.unique(np.concatenate(held_keys), return_index=True)
+    word = np.searchsorted(distinct, np.concatenate(keys))
+    per = np.concatenate(gram_count)
+    begin_of = np.cumsum(per) - per
+    one = at
+    bucket = np.concatenate(gram_bucket)[gather_ranges(begin_of[one], per[one])].astype(np.int64)
+    of = np.repeat(np.arange(len(one)), per[one])
+    del keys, counts, held_keys, gram_bucket, gram_count
     # Buckets that few texts hold say little; they stay at zero.
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
     pairs = np.divmod(np.unique(doc * len(one) + word), len(one))
@@ -152,7 +158,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 2
     seg_len = np.bincount(seg_of_word, minlength=len(begin))
     some = np.diff(seg_first) > 0
     rng = np.random.default_rng(seed)
-    emb = rng.normal(0, 0.01, (len(used), DIM))
+    emb = rng.normal(0, 0.01, (len(used), DIM)).astype(np.float32)
     soft = rng.normal(0, 0.3, (DIM, 2))
     # The first dimension begins as the smoothed log odds of the texts that hold the bucket, the rest at random.
     order, per = np.argsort(of, kind="stable"), np.bincount(of, minlength=len(one))
@@ -185,7 +191,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 2
         by_word = np.bincount(word, by_seg[seg_of_word], len(one)) / per_word
         by_bucket = np.bincount(bucket, by_word[of], len(used))
         g_soft = (by_bucket @ emb)[:, None] * np.array([-1.0, 1.0])
-        g_emb = by_bucket[:, None] * direction
+        g_emb = by_bucket.astype(np.float32)[:, None] * direction.astype(np.float32)
         g_bias = error.sum() * np.array([-1.0, 1.0])
         for value, speed, g, scale in ((emb, speed_e, g_emb, 4.0), (soft, speed_s, g_soft, 0.1), (bias, speed_b, g_bias, 0.2)):
             speed *= 0.9
@@ -211,9 +217,23 @@ def held_out(key: str):
     return F.crc32(F.col(key).cast("string")) % 5 == 0
 
 
+def _train_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One model from all rows of the (only) partition."""
+    texts: list[str] = []
+    labels: list[int] = []
+    for batch in batches:
+        texts += batch.column(0).to_pylist()
+        labels += batch.column(1).to_pylist()
+    model = train(texts, np.array(labels))
+    yield pa.RecordBatch.from_arrays([pa.array([model.bucket.tobytes()], pa.binary()), pa.array([model.bias])], ["bucket", "bias"])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    sample = training_rows(docs, labels).toPandas()
-    return train(sample["text"].tolist(), sample["toxic"].to_numpy())
+    """Train in one task on the bounded sample; the driver gets the model alone."""
+    rows = training_rows(docs, labels).coalesce(1).mapInArrow(_train_partition, "bucket binary, bias double").collect()
+    if not rows:
+        return train([], np.zeros(0))
+    return Model(np.frombuffer(rows[0].bucket, np.float32), rows[0].bias)
 
 
 def _score_partition(shared, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
