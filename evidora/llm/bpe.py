@@ -38,8 +38,8 @@ from pyspark.sql import types as T
 from . import pretoken
 from .textblock import blocks, gather_ranges
 
-MAX_STATES = 250_000
-MAX_PIECES = 400_000
+MAX_STATES = 150_000
+MAX_PIECES = 250_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
