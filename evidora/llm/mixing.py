@@ -154,9 +154,10 @@ def _pieces(rows: DataFrame) -> DataFrame:
 def taken(docs: DataFrame) -> DataFrame:
     """Per document row: doc_id, size, source_size, target, taken."""
     table, rows = placed(docs, [])
+    # Slots come from the small table of targets but grow with the words: never a broadcast.
     times = slots(table).groupBy("sid", "block").agg(F.count("*").alias("times"))
     keys = ["sid", "start", "doc_id", "size", "source_size", "target"]
-    used = _pieces(rows).select(*keys, "block", (F.col("to_word") - F.col("from_word")).alias("words")).join(times, ["sid", "block"], "left")
+    used = _pieces(rows).select(*keys, "block", (F.col("to_word") - F.col("from_word")).alias("words")).join(times.hint("merge"), ["sid", "block"], "left")
     mixed = used.groupBy(*keys).agg(F.sum(F.col("words") * F.coalesce("times", F.lit(0))).cast("long").alias("taken"))
     empty = rows.where("size = 0").select(*keys, F.lit(0).cast("long").alias("taken"))
     return mixed.unionByName(empty).select("doc_id", "size", "source_size", "target", "taken")
@@ -204,14 +205,14 @@ def mix(docs: DataFrame) -> DataFrame:
     columns = docs.columns
     table, rows = placed(docs, [])
     spans = _pieces(rows).select("sid", "block", "doc_id", "_tie", "size", "start", "from_word", "to_word")
-    used = spans.join(slots(table).select("sid", "block", "turn"), ["sid", "block"])
+    used = spans.join(slots(table).select("sid", "block", "turn").hint("merge"), ["sid", "block"])
     runs = used.groupBy("sid", "start", "doc_id", "_tie", "turn").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_runs"))
     # Equal rows have equal ids and texts: number them on both sides, so that each run meets one row.
     runs = runs.withColumn("_n", F.dense_rank().over(Window.partitionBy("doc_id", "_tie", "sid").orderBy("start")))
     texts = docs.join(table.select("sid", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
     texts = texts.withColumn("_tie", F.xxhash64("text")).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_tie", "sid").orderBy("doc_id")))
     runs = runs.select(F.col("sid").alias("_s"), F.col("doc_id").alias("_d"), F.col("_tie").alias("_t"), F.col("_n").alias("_m"), "_runs")
-    met = texts.join(runs, (F.col("sid") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")) & (F.col("_n") == F.col("_m")))
+    met = texts.join(runs.hint("merge"), (F.col("sid") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")) & (F.col("_n") == F.col("_m")))
     ready = met.select(*columns, "_runs")
     chars_at = columns.index("n_chars") if "n_chars" in columns else None
     return ready.mapInArrow(_cut_partition(columns.index("text"), len(columns), chars_at), docs.schema)
