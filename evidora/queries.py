@@ -30,7 +30,7 @@ def load() -> None:
     """Import all modules that register queries."""
     from importlib import import_module
 
-    for name in ("retrieval", "graph", "cases", "formulations", "corpus"):
+    for name in ("retrieval", "graph", "cases", "formulations", "corpus", "requests"):
         import_module(f"evidora.plans.{name}")
 
 
