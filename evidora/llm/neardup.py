@@ -10,9 +10,10 @@ that estimates similarity from two sketches.
    others over all its groups: a star, not all pairs.
 3. What the estimate does not rule out (``SLACK`` below the threshold, over
    five standard errors) is checked on the full sets of shingle hashes.
-4. After the stars' components are known, only those pairs of a band group
-   are checked that still lie in different components.  So every candidate
-   pair is either confirmed, refuted or already connected: nothing is capped.
+4. Band groups that still hold several components are put together to clusters.
+   A cluster is dealt into blocks, and each pair of blocks is a task that looks
+   for links between different components.  So every candidate pair is either
+   confirmed, refuted or already connected: nothing is capped.
 
 Each step is a join or an aggregation by band key or class, so hot groups are
 split by Spark (partial aggregation, skew joins).
@@ -23,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,8 @@ from .shared import cut
 from .textblock import binary_column, blocks, lower_ascii, distinct_per_doc, mix, ngram_hashes, word_hashes
 
 SHINGLE = 5
-SLACK = 0.2
+SLACK = 0.17
+BLOCK_ROWS = 256
 
 Sketch = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 Estimate = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -73,7 +76,7 @@ def _sketch_partition(sketch: Sketch) -> Callable[[Iterator[pa.RecordBatch]], It
                         batch.column(0).slice(a, b - a),
                         pa.array(np.diff(first), pa.int64()),
                         _fixed_binary(set_keys(values, first)),
-                        _fixed_binary(registers),
+                        pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * registers.shape[1], pa.int32()), pa.array(registers.view(np.int16).ravel())),
                         pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * per, pa.int32()), pa.array(bands.ravel().view(np.int64))),
                     ],
                     ["doc_id", "n_shingles", "node", "sketch", "bands"],
@@ -89,12 +92,12 @@ def _sets_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([_fixed_binary(set_keys(values, first)), binary_column(values.view(np.uint8), first * 8)], ["node", "items"])
 
 
-def _estimate_partition(estimate: Estimate, least: float, dtype: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _estimate_partition(estimate: Estimate, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = (np.stack([np.frombuffer(v, dtype) for v in batch.column(i).to_pylist()]) for i in (2, 4))
+            x, y = (batch.column(i).flatten().to_numpy().view(np.uint16).reshape(batch.num_rows, -1) for i in (2, 4))
             n, m = (batch.column(i).to_numpy().astype(float) for i in (3, 5))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(estimate(x, y, n, m) >= least))
 
@@ -119,13 +122,77 @@ def _verify_partition(threshold: float) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: float = 0.75, dtype: str = "<u2") -> DataFrame:
+def _block_links(threshold: float, estimate: Estimate) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Links across components between two blocks (or inside one) of a cluster."""
+    percent = round(threshold * 100)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"a": [], "b": []}, dtype=object)
+        if frame["component"].nunique() < 2:
+            return none
+        lo, hi = (frame[frame["left"]], frame[~frame["left"]]) if not frame["left"].all() else (frame, frame)
+        x, y = (np.stack(f["sketch"].to_list()).astype(np.int16).view(np.uint16) for f in (lo, hi))
+        n, m = (f["n_shingles"].to_numpy(float) for f in (lo, hi))
+        code = {c: i for i, c in enumerate(frame["component"].unique())}
+        p, q = (f["component"].map(code).to_numpy() for f in (lo, hi))
+        may = (p[:, None] != q[None, :]) & (np.minimum(n[:, None], m[None, :]) * 100 >= percent * np.maximum(n[:, None], m[None, :]))
+        rows, columns = np.nonzero(may)
+        keep = np.zeros(len(rows), bool)
+        for at in range(0, len(rows), 8192):
+            i, j = rows[at : at + 8192], columns[at : at + 8192]
+            keep[at : at + 8192] = estimate(x[i], y[j], n[i], m[j]) >= threshold - SLACK
+        rows, columns = rows[keep], columns[keep]
+        if not len(rows):
+            return none
+        left, right = (f["items"].map(lambda v: np.frombuffer(v, np.uint64)).to_list() for f in (lo, hi))
+        parent = list(range(len(code)))
+
+        def find(c: int) -> int:
+            while parent[c] != c:
+                parent[c] = parent[parent[c]]
+                c = parent[c]
+            return c
+
+        out = []
+        for i in np.unique(rows):
+            mine = columns[rows == i]
+            flat = np.concatenate([right[j] for j in mine])
+            at = np.minimum(np.searchsorted(left[i], flat), len(left[i]) - 1)
+            size = np.array([len(right[j]) for j in mine])
+            both = np.add.reduceat((left[i][at] == flat).astype(np.int64), np.cumsum(size) - size)
+            for j in mine[100 * both >= percent * (len(left[i]) + size - both)]:
+                u, v = find(int(p[i])), find(int(q[j]))
+                if u != v:
+                    parent[u] = v
+                    out.append((lo["node"].iat[i], hi["node"].iat[j]))
+        return pd.DataFrame(out, columns=["a", "b"]) if out else none
+
+    return run
+
+
+def _links_between(nodes: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, estimate: Estimate) -> DataFrame:
+    """Links that join components inside clusters of (node, component, cluster).
+
+    A cluster is dealt into blocks of about ``BLOCK_ROWS`` sets, and every pair
+    of blocks is one small task: it compares sketches, then full sets, and
+    gives out no more links than it takes to join the components it holds.
+    """
+    sizes = nodes.groupBy("cluster").agg((F.floor(F.count("*") / BLOCK_ROWS) + 1).alias("blocks"))
+    dealt = nodes.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    full = dealt.join(classes.select("node", "n_shingles", "sketch"), "node").join(sets, "node")
+    pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda t: F.struct(F.least(t, F.col("block")).alias("lo"), F.greatest(t, F.col("block")).alias("hi"))))
+    rows = full.select("cluster", "node", "component", "n_shingles", "sketch", "items", "block", pair.alias("pair"))
+    rows = rows.select("cluster", "pair.lo", "pair.hi", "node", "component", "n_shingles", "sketch", "items", (F.col("block") == F.col("pair.lo")).alias("left"))
+    return cut(rows.groupBy("cluster", "lo", "hi").applyInPandas(_block_links(threshold, estimate), "a binary, b binary"))
+
+
+def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: float = 0.75) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable).
 
     Null and word-less texts have the empty set and are linked with nothing.
     """
     rows = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, node binary, sketch binary, bands array<long>"
+    schema = "doc_id long, n_shingles long, node binary, sketch array<short>, bands array<long>"
     table = cut(rows.mapInArrow(_sketch_partition(sketch), schema))
     owners = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
     classes = cut(
@@ -142,18 +209,21 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
     hubs = members.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
     stars = members.join(hubs, "key").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        """(node, items): the full sets of some classes, from the text of one owner each."""
+        owners = classes.join(wanted, "node", "left_semi").select("owner").distinct()
+        texts = rows.join(owners, F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi").select("text")
+        sets = texts.mapInArrow(_sets_partition, "node binary, items binary")
+        return cut(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs of classes whose sets are alike."""
         known = classes.select("node", "sketch", "n_shingles")
         left = known.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n_shingles").alias("n_a"))
         right = known.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("n_b"))
         likely = pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "n_a", "sketch_b", "n_b")
-        likely = cut(likely.mapInArrow(_estimate_partition(estimate, threshold - SLACK, dtype), "a binary, b binary"))
-        wanted = likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct()
-        owners = classes.join(wanted, "node", "left_semi").select("owner").distinct()
-        texts = rows.join(owners, F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets_partition, "node binary, items binary")
-        sets = cut(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+        likely = cut(likely.mapInArrow(_estimate_partition(estimate, threshold - SLACK), "a binary, b binary"))
+        sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct())
         x = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
         full = likely.join(x, "a").join(y, "b").select("a", "b", "items_a", "items_b")
@@ -163,11 +233,11 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
     links = confirm(stars)
     labels = connected(links)
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
-    placed = cut(placed.join(open_keys, "key", "left_semi"))
-    other = placed.select("key", F.col("node").alias("b"), F.col("component").alias("component_b"))
-    rest = placed.withColumnRenamed("node", "a").join(other, "key").where("component != component_b AND a < b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = confirm(cut(rest))
+    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("first")).where("lo != hi").select("key", "first")
+    placed = cut(placed.join(open_keys, "key").select("node", "component", "first"))
+    clusters = connected(placed.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "cluster")
+    open_nodes = cut(placed.select("node", "component").distinct().join(clusters, "node"))
+    more = _links_between(open_nodes, classes, sets_of(open_nodes.select("node")), threshold, estimate)
     if more.limit(1).count():
         labels = connected(links.union(more))
     named = classes.join(labels, "node", "left").select("node", "owner", F.coalesce("component", "node").alias("component"))

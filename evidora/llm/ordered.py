@@ -19,8 +19,9 @@ def in_order_with_next(df: DataFrame, key: str = "doc_id", ties: tuple[str, ...]
     spark = df.sparkSession
     n = partitions(spark)
     bounds = range_bounds(df, key, n)
+    place = F.coalesce(F.col(key), F.lit(-(1 << 63)))  # null ids come first
     bucket = range_bucket(F.col(key), bounds)
-    heads = sorted(df.groupBy(bucket.alias("b")).agg(F.min(key).alias("head")).collect())
+    heads = sorted(df.groupBy(bucket.alias("b")).agg(F.min(place).alias("head")).collect())
     follow = [(b, head, heads[i - 1][0]) for i, (b, head) in enumerate(heads)]
     table = F.broadcast(spark.createDataFrame(follow, "_bucket int, _head long, _previous int"))
     own = F.struct(F.col("_bucket").alias("to"), F.lit(0).alias("next_range"))
@@ -28,7 +29,7 @@ def in_order_with_next(df: DataFrame, key: str = "doc_id", ties: tuple[str, ...]
     dealt = (
         df.withColumn("_bucket", bucket)
         .join(table, "_bucket")
-        .withColumn("_deal", F.explode(F.when(F.col(key).eqNullSafe(F.col("_head")), F.array(own, lent)).otherwise(F.array(own))))
+        .withColumn("_deal", F.explode(F.when(place == F.col("_head"), F.array(own, lent)).otherwise(F.array(own))))
         .select(*df.columns, F.col("_deal.next_range").alias("_next_range"), F.col("_deal.to").alias("_to"))
     )
     return dealt.repartitionById(max(1, len(bounds) + 1), "_to").sortWithinPartitions("_next_range", key, *ties).drop("_to")

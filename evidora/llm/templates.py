@@ -2,7 +2,8 @@
 
 A line with at least ``MIN_TOKENS`` tokens goes down a tree of fixed depth: by its
 number of tokens, then by its first ``LEADING`` tokens.  Tokens that hold a
-digit are variable fields at once.  At the leaf the line stands for several
+digit are variable fields at once; a line that has more fields than other tokens
+(a table of numbers) has no template.  At the leaf the line stands for several
 templates: itself, and (from ``WILD_TOKENS`` tokens on) itself with every
 ``GAPS``-th token behind the leading ones made a variable field, once for each
 of the ``GAPS`` phases.  So lines that differ in one field, wherever it is,
@@ -65,9 +66,12 @@ def line_templates(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarra
         return {"doc": empty, "line": empty, "key": empty, "signature": empty}
     h = span_hash(prefix_hash(data), token, token_end)
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
-    masked = np.where(digits[token_end] > digits[token], _FIELD, h)
+    field = digits[token_end] > digits[token]
+    masked = np.where(field, _FIELD, h)
     place = np.arange(len(token)) - np.repeat(line_first[:-1], count)
     part = mix(masked ^ mix(place.astype(np.uint64) + np.uint64(1)))
+    fields = np.concatenate(([0], np.cumsum(field)))
+    mostly_constant = (2 * (fields[line_first[1:]] - fields[line_first[:-1]]) <= count)[has]
     begin = line_first[:-1][has]
     with np.errstate(over="ignore"):
         total = np.add.reduceat(part, begin)
@@ -83,7 +87,7 @@ def line_templates(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarra
     signature = np.where(lowest == best, next_best, best)
     out_line, out_key = [], []
     for kind, (value, least) in enumerate([(total, MIN_TOKENS), *((w, WILD_TOKENS) for w in wild)]):
-        ok = np.flatnonzero(count[has] >= least)
+        ok = np.flatnonzero((count[has] >= least) & mostly_constant)
         with np.errstate(over="ignore"):
             out_key.append(mix(value[ok] + count[has][ok].astype(np.uint64) * np.uint64(31) + np.uint64(kind << 40)))
         out_line.append(ok)
