@@ -40,7 +40,7 @@ def repeat_key(c: Column) -> Column:
 
 def clean_lines(c: Column) -> Column:
     """Lines with single spaces and no outer space; runs of blank lines as one; no outer blank lines."""
-    lines = F.transform(F.split(c, "\n"), lambda x: strip(F.regexp_replace(x, "[ \t ]+", " ")))
+    lines = F.transform(F.split(c, "\n"), lambda x: strip(F.regexp_replace(x, r"[ \t\u00A0]+", " ")))
     return strip(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 

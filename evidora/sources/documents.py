@@ -171,7 +171,7 @@ def excerpt_by_anchor(docs: DataFrame, specs: DataFrame) -> DataFrame:
     c = rows.join(b, key).where(F.col("pos") > F.col("p_start")).groupBy(*key).agg(F.min(F.when(hit("end"), F.col("pos"))).alias("p_end"))
     found = specs.join(a, key, "left").join(b.drop("p_after"), key, "left").join(c, key, "left")
     missing = F.col("p_start").isNull() | (F.col("end").isNotNull() & F.col("p_end").isNull())
-    found = found.where(F.when(missing, F.raise_error(F.concat(F.lit("anchor not found: "), F.col("spec_id").cast("string"))).cast("boolean")).otherwise(F.lit(True)))
+    found = found.withColumn("p_start", F.when(missing, F.raise_error(F.concat(F.lit("anchor not found: "), F.col("spec_id").cast("string"))).cast("int")).otherwise(F.col("p_start")))
     cut = lines.join(found.select(*key, "p_start", "p_end"), "doc_id").where((F.col("pos") >= F.col("p_start")) & (F.col("p_end").isNull() | (F.col("pos") < F.col("p_end"))))
     return cut.groupBy(*key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), "\n").alias("text"))
 
