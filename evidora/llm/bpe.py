@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import marshal
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -38,8 +39,8 @@ from pyspark.sql import types as T
 from . import pretoken
 from .textblock import blocks, gather_ranges
 
-MAX_STATES = 150_000
-MAX_PIECES = 250_000
+MAX_STATES = 120_000
+MAX_PIECES = 200_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -83,19 +84,19 @@ class Transducer:
 
     def clear(self) -> None:
         """Forget all states but the start."""
-        # A state: hypotheses (written-but-pending tokens, last token before the trie node, node), and what to write if the piece ends here.
-        self.states: dict[tuple, int] = {}
-        self.content: list[tuple] = []
-        self.next: list[dict[int, tuple[int, tuple[int, ...]]]] = []
+        # A state is its hypotheses (tokens that wait to be written, the last token before the trie node, the node) and what to write
+        # if the piece ends here.  It is kept as bytes, and arcs by 256 * state + byte, as there are many.
+        self.states: dict[bytes, int] = {}
+        self.content: list[bytes] = []
         self.flush: list[tuple[int, ...]] = []
+        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
         self.start = self._state((((), -1, 0),), ())
 
     def _state(self, hypotheses: tuple, flush: tuple[int, ...]) -> int:
-        key = (hypotheses, flush)
+        key = marshal.dumps((hypotheses, flush), 2)
         if (found := self.states.get(key)) is None:
             found = self.states[key] = len(self.content)
-            self.content.append(hypotheses)
-            self.next.append({})
+            self.content.append(key)
             self.flush.append(flush)
         return found
 
@@ -107,7 +108,7 @@ class Transducer:
             return known
         if (known := self.neighbours.get((left, right))) is None:
             known = self.neighbours[left, right] = self.fits(-1, right) and self._stay_apart(left, right)
-            if len(self.neighbours) > 2_000_000:
+            if len(self.neighbours) > 400_000:
                 self.neighbours.clear()
         return known
 
@@ -144,7 +145,7 @@ class Transducer:
 
     def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
         moved, closed = [], None
-        for pending, last, node in self.content[state]:
+        for pending, last, node in marshal.loads(self.content[state])[0]:
             nxt = self.step.get((node, byte))
             if nxt is None:
                 continue
@@ -165,11 +166,12 @@ class Transducer:
         return self._state(tuple((p[shared:], last, node) for p, last, node in moved), closed[shared:]), out
 
     def encode(self, piece: bytes) -> list[int]:
-        state, out, table = self.start, [], self.next
+        state, out, arcs = self.start, [], self.arcs
         for byte in piece:
-            arc = table[state].get(byte)
+            key = state << 8 | byte
+            arc = arcs.get(key)
             if arc is None:
-                arc = table[state][byte] = self._advance(state, byte)
+                arc = arcs[key] = self._advance(state, byte)
             state = arc[0]
             if arc[1]:
                 out.extend(arc[1])
