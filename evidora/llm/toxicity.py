@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 
 from .textblock import blocks, gather_ranges, lower_ascii, prefix_hash, runs, span_hash
 
-MAX_TRAIN = 2000
-MAX_TRAIN_CHARS = 20_000
+MAX_TRAIN = 1500
+MAX_TRAIN_CHARS = 10_000
 SEGMENT = 3
 BITS = 18
 PRIOR = 2.0
@@ -141,8 +141,8 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 2
     per = np.concatenate(gram_count)
     begin_of = np.cumsum(per) - per
     one = at
-    bucket = np.concatenate(gram_bucket)[gather_ranges(begin_of[one], per[one])].astype(np.int64)
-    of = np.repeat(np.arange(len(one)), per[one])
+    bucket = np.concatenate(gram_bucket)[gather_ranges(begin_of[one], per[one])].astype(np.int32)
+    of = np.repeat(np.arange(len(one), dtype=np.int32), per[one])
     del keys, counts, held_keys, gram_bucket, gram_count
     # Buckets that few texts hold say little; they stay at zero.
     doc = np.repeat(np.arange(len(texts)), np.diff(first))
@@ -152,6 +152,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 2
     held = seen[bucket]
     bucket, of = bucket[held], of[held]
     used, bucket = np.unique(bucket, return_inverse=True)
+    bucket = bucket.astype(np.int32)
     per_word = np.maximum(np.bincount(of, minlength=len(one)), 1)
     begin, seg_first = _segments(first)
     seg_of_word = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, first[-1])))
@@ -168,6 +169,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 2
         w = pairs[1][pair_begin[d] : pair_begin[d + 1]]
         held_by[int(labels[d]), np.unique(by_word[gather_ranges(gram_begin[w], per[w])])] += 1
     neg, pos = held_by
+    del order, by_word
     emb[:, 0] = PRIOR * np.log((pos + SMOOTH * labels.mean()) / (labels.sum() + SMOOTH) * (len(labels) - labels.sum() + SMOOTH) / (neg + SMOOTH * (1 - labels.mean())))
     soft[0] = -0.5, 0.5
     bias, speed_e, speed_s, speed_b = np.zeros(2), np.zeros_like(emb), np.zeros_like(soft), np.zeros(2)
