@@ -35,7 +35,7 @@ from .textblock import binary_column, blocks, lower_ascii, distinct_per_doc, mix
 
 SHINGLE = 5
 SLACK = 0.17
-BLOCK_ROWS = 256
+BLOCK_ROWS = 1024
 
 Sketch = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 Estimate = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -131,6 +131,8 @@ def _block_links(threshold: float, estimate: Estimate) -> Callable[[pd.DataFrame
         if frame["component"].nunique() < 2:
             return none
         lo, hi = (frame[frame["left"]], frame[~frame["left"]]) if not frame["left"].all() else (frame, frame)
+        if not len(lo):
+            return none
         x, y = (np.stack(f["sketch"].to_list()).astype(np.int16).view(np.uint16) for f in (lo, hi))
         n, m = (f["n_shingles"].to_numpy(float) for f in (lo, hi))
         code = {c: i for i, c in enumerate(frame["component"].unique())}
@@ -140,7 +142,8 @@ def _block_links(threshold: float, estimate: Estimate) -> Callable[[pd.DataFrame
         keep = np.zeros(len(rows), bool)
         for at in range(0, len(rows), 8192):
             i, j = rows[at : at + 8192], columns[at : at + 8192]
-            keep[at : at + 8192] = estimate(x[i], y[j], n[i], m[j]) >= threshold - SLACK
+            some = np.flatnonzero((x[i] == y[j]).mean(axis=1) >= threshold - SLACK - 0.05)  # a cheap look first
+            keep[at + some] = estimate(x[i[some]], y[j[some]], n[i[some]], m[j[some]]) >= threshold - SLACK
         rows, columns = rows[keep], columns[keep]
         if not len(rows):
             return none
