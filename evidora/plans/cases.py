@@ -14,11 +14,11 @@ from .adapters import sql_list, table
 
 _SECTIONS = ["3", "3(d)", "3 (E)", "Section 3(p)", "4", "3(k)", " guideline "]
 _CLAUSES = ["3(d)", "section 3 (E)", "3(P)", "3(g)", " 3(k)", "3(q)"]
-_W = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
 
 
 def _lines(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(_W))
+    order = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey")
+    li = table(spark, sf_dir, "lineitem").withColumn("pos", F.row_number().over(order))
     return li.select(
         F.col("l_orderkey").alias("case_id"), "pos", F.concat(F.lit("s"), F.col("l_suppkey").cast("string")).alias("id"), F.col("l_suppkey").alias("n"),
         F.element_at(F.array(*map(F.lit, _SECTIONS)), (F.col("l_partkey") % len(_SECTIONS) + 1).cast("int")).alias("section"),
