@@ -26,12 +26,13 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components as connected
 from .shared import cut
-from .textblock import binary_column, blocks, lower_ascii, distinct_per_doc, mix, ngram_hashes, word_hashes
+from .textblock import NULL_ID, binary_column, blocks, distinct_per_doc, lower_ascii, mix, ngram_hashes, packed_partition, word_hashes
 
 SHINGLE = 5
 SLACK = 0.17
@@ -86,9 +87,11 @@ def _sketch_partition(sketch: Sketch) -> Callable[[Iterator[pa.RecordBatch]], It
 
 
 def _sets_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    unpack = zstandard.ZstdDecompressor()
     for batch in batches:
-        for _, _, data, offsets in blocks(batch.column(0)):
-            values, first = shingles(data, offsets)
+        for row in batch.column(0):
+            data = np.frombuffer(unpack.decompress(row.as_py()), np.uint8)
+            values, first = shingles(data, np.array([0, len(data)]))
             yield pa.RecordBatch.from_arrays([_fixed_binary(set_keys(values, first)), binary_column(values.view(np.uint8), first * 8)], ["node", "items"])
 
 
@@ -212,12 +215,12 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
     hubs = members.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
     stars = members.join(hubs, "key").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
 
-    def sets_of(wanted: DataFrame) -> DataFrame:
-        """(node, items): the full sets of some classes, from the text of one owner each."""
-        owners = classes.join(wanted, "node", "left_semi").select("owner").distinct()
-        texts = rows.join(owners, F.col("doc_id").eqNullSafe(F.col("owner")), "left_semi").select("text")
-        sets = texts.mapInArrow(_sets_partition, "node binary, items binary")
-        return cut(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
+    # The full sets of all candidates, from the text of one owner each; texts are moved once, compressed.
+    wanted = members.select("node").distinct()
+    owners = classes.join(wanted, "node", "left_semi").select(F.coalesce("owner", F.lit(NULL_ID)).alias("doc")).distinct()
+    texts = rows.mapInArrow(packed_partition, "doc long, packed binary").join(owners, "doc", "left_semi").select("packed")
+    sets = texts.mapInArrow(_sets_partition, "node binary, items binary")
+    sets = cut(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         """The pairs of classes whose sets are alike."""
@@ -226,7 +229,6 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
         right = known.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("n_b"))
         likely = pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "n_a", "sketch_b", "n_b")
         likely = cut(likely.mapInArrow(_estimate_partition(estimate, threshold - SLACK), "a binary, b binary"))
-        sets = sets_of(likely.select(F.col("a").alias("node")).union(likely.select(F.col("b").alias("node"))).distinct())
         x = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
         full = likely.join(x, "a").join(y, "b").select("a", "b", "items_a", "items_b")
@@ -240,7 +242,7 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
     placed = cut(placed.join(open_keys, "key").select("node", "component", "first"))
     clusters = connected(placed.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "cluster")
     open_nodes = cut(placed.select("node", "component").distinct().join(clusters, "node"))
-    more = _links_between(open_nodes, classes, sets_of(open_nodes.select("node")), threshold, estimate)
+    more = _links_between(open_nodes, classes, sets, threshold, estimate)
     if more.limit(1).count():
         labels = connected(links.union(more))
     named = classes.join(labels, "node", "left").select("node", "owner", F.coalesce("component", "node").alias("component"))

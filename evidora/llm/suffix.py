@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut, partitions
-from .textblock import blocks, gather_ranges, mix, prefix_hash, span_hash
+from .textblock import NULL_ID, blocks, gather_ranges, mix, packed_partition, prefix_hash, span_hash
 
 LENGTH = 100
 SEED = 32
@@ -51,7 +51,6 @@ SHALLOW = 72
 HOT = 4096
 CHUNK_BYTES = 8 << 20
 _PLACE_BITS = 31
-_NULL_ID = -(1 << 63)
 
 
 def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,7 +132,7 @@ def _spans_partition(n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for batch in batches:
-            ids = batch.column(0).fill_null(_NULL_ID).to_numpy()
+            ids = batch.column(0).fill_null(NULL_ID).to_numpy()
             for a, _, data, offsets in blocks(batch.column(1)):
                 seed, content, doc, start, count = spans(data, offsets)
                 table = np.empty(len(seed), _SPAN)
@@ -401,13 +400,6 @@ def _sort_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         a = b
 
 
-def _packed_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    press = zstandard.ZstdCompressor(level=1)
-    for batch in batches:
-        texts = [press.compress(x.as_buffer() if x.is_valid else b"") for x in batch.column(1).cast(pa.binary())]
-        yield pa.RecordBatch.from_arrays([batch.column(0).fill_null(_NULL_ID), pa.array(texts, pa.binary())], ["doc", "packed"])
-
-
 def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, start, count): ``count`` windows from ``start`` on begin repeated strings; null ids are the smallest long."""
     n = partitions(docs.sparkSession)
@@ -415,7 +407,7 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     found = rows.mapInArrow(_spans_partition(n), "bucket int, spans binary, doc long, start int, count int")
     settled = cut(found.repartitionById(n, "bucket").mapInArrow(_settle_partition(hot), _SETTLED))
     ranges = settled.where("seed IS NULL").select("doc", "start", "count")
-    packed = rows.mapInArrow(_packed_partition, "doc long, packed binary")
+    packed = rows.mapInArrow(packed_partition, "doc long, packed binary")
 
     def fetched(is_hot: bool, schema: str) -> DataFrame:
         wanted = settled.where(f"seed IS NOT NULL AND hot = {is_hot}").groupBy("doc").agg(F.collect_list(F.struct("start", "count", "seed")).alias("wanted"))
@@ -448,7 +440,7 @@ def _removed_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
                 gone = np.cumsum(cover)[:n] > 0
                 removed, kept = int(gone.sum()), data[~gone]
                 n_spans = int((gone & ~np.concatenate(([False], gone[:-1]))).sum())
-            rows.append((None if doc == _NULL_ID else doc, n, removed, n_spans, hashlib.sha256(kept.tobytes()).hexdigest()))
+            rows.append((None if doc == NULL_ID else doc, n, removed, n_spans, hashlib.sha256(kept.tobytes()).hexdigest()))
         if rows:
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), types)], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
@@ -456,7 +448,7 @@ def _removed_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    packed = docs.select("doc_id", "text").mapInArrow(_packed_partition, "doc long, packed binary")
+    packed = docs.select("doc_id", "text").mapInArrow(packed_partition, "doc long, packed binary")
     ranges = repeated_ranges(docs, hot).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
     met = packed.join(ranges, "doc", "left").select("doc", "packed", "ranges")
     return met.mapInArrow(_removed_partition, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

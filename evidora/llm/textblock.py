@@ -22,8 +22,10 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 BLOCK_BYTES = 1 << 20
+NULL_ID = -(1 << 63)  # stands for a null id where a column has to be without nulls
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _DELIM = np.zeros(256, bool)
@@ -188,3 +190,11 @@ def gather_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 def binary_column(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
     """A binary column from bytes and offsets (n + 1)."""
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.binary())
+
+
+def packed_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text) with the text compressed, for joins that have to move it."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        texts = [press.compress(x.as_buffer() if x.is_valid else b"") for x in batch.column(1).cast(pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column(0).fill_null(NULL_ID), pa.array(texts, pa.binary())], ["doc", "packed"])
