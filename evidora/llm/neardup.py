@@ -209,7 +209,7 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
     )
     banded = classes.select("node", F.explode("bands").alias("key"))
     shared = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    members = cut(banded.join(shared, "key").select("key", "node", "n"))
+    members = banded.join(shared, "key").select("key", "node", "n")
     meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
     members = cut(members.join(meets, "node").select("key", "node", "meets"))
     hubs = members.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
@@ -228,13 +228,12 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
         left = known.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n_shingles").alias("n_a"))
         right = known.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("n_b"))
         likely = pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "n_a", "sketch_b", "n_b")
-        likely = cut(likely.mapInArrow(_estimate_partition(estimate, threshold - SLACK), "a binary, b binary"))
+        likely = likely.mapInArrow(_estimate_partition(estimate, threshold - SLACK), "a binary, b binary")
         x = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
         full = likely.join(x, "a").join(y, "b").select("a", "b", "items_a", "items_b")
         return cut(full.mapInArrow(_verify_partition(threshold), "a binary, b binary"))
 
-    stars = cut(stars)
     links = confirm(stars)
     labels = connected(links)
     placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
