@@ -9,20 +9,27 @@ templates: itself, and (from ``WILD_TOKENS`` tokens on) itself with every
 of the ``GAPS`` phases.  So lines that differ in one field, wherever it is,
 share a template, whatever order they come in.
 
-A template recurs if at least ``MIN_DOCS`` documents hold it that differ in the
-rest of their text.  What tells them apart is the smallest hash of the
-documents' five-word shingles outside the line; at least half as many different
-ones as documents are asked for.  So boilerplate counts, and the lines of
-copies and near copies do not: those are left for near-duplicate detection.
-All lines of recurring templates are dropped, in every document.
+A template recurs if ``MIN_DOCS`` documents hold it that are unlike each other in
+the rest of their text; how many more hold it, copies or not, does not matter.
+Copies are one by a hash of the other lines.  Near copies are one by ``MINIMA``
+minima of hashes of the five-word shingles outside the line: two rests are alike
+if at least half of the minima agree.  Classes are taken greedily: the smallest
+sketch of a template, the smallest one unlike that, and so on.  So boilerplate
+counts, and the lines of copies and near copies do not: those are left for
+near-duplicate detection.  Templates that do not recur are looked at once more
+without the minima that come from lines of recurring ones, so boilerplate does
+not make its documents alike.  All lines of recurring templates are dropped, in
+every document.
 
-Counting is a Spark aggregation of (template, signature) pairs, which combines
-before it shuffles; lines and recurring templates meet in a join.
+Counting is a Spark aggregation of (template, hash of the rest) pairs, which
+combines before it shuffles.  Only templates with ``MIN_DOCS`` different rests go
+on; sketches (one a document, from which the minima outside of any line are
+read) and lines meet in joins, and each further class is one aggregation more.
 
 Defined cases: null texts stay null and have no lines; lines with fewer tokens
 are never dropped; a text that loses all lines becomes empty; a line that
 stands several times in a text counts once for it; rows that repeat id and
-text count as copies; extra columns are kept by ``drop``.
+text count as copies; a document that is nothing but the line is a class; extra columns are kept by ``drop``.
 """
 
 from __future__ import annotations
@@ -37,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
-from .textblock import blocks, distinct_per_doc, lower_ascii, mix, ngram_hashes, prefix_hash, runs, span_hash, words
+from .textblock import binary_column, blocks, lower_ascii, mix, ngram_hashes, prefix_hash, runs, span_hash, words
 
 MIN_TOKENS = 4
 LEADING = 2
@@ -45,13 +52,43 @@ WILD_TOKENS = 8
 GAPS = 3
 MIN_DOCS = 3
 _FIELD = np.uint64(0xF1E1D5)
-_ALONE = np.uint64(0x7FFFFFFFFFFFFFFF)
+MINIMA = 32
+LEAST_MINIMA = 8  # with fewer to compare, two rests count as alike
+_NONE, _ALONE = 0, 1  # values of a minimum that is left out, and of a rest without words
+_MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
+_LINE = (1 << 31) - 1
 _DIGIT = np.array([0x30 <= b <= 0x39 for b in range(256)])
+_rng = np.random.default_rng(88)
+_MULTIPLY = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_ADD = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 
 
-def line_templates(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """Document, line number, template key and signature, one row a line and template."""
-    n = len(offsets) - 1
+def _minima(gram: np.ndarray, begin: np.ndarray, first: np.ndarray, alone: np.ndarray, number: np.ndarray) -> np.ndarray:
+    """Per document the two smallest values of each hash over different lines and the lines they come from, as bytes.
+
+    Lines have grams from ``begin`` on and documents lines from ``first`` on;
+    lines that are not ``alone`` repeat another one and are left out.
+    """
+    low = np.empty((len(begin), MINIMA), np.uint64)
+    with np.errstate(over="ignore"):
+        for p in range(MINIMA):
+            low[:, p] = np.minimum.reduceat(gram * _MULTIPLY[p] + _ADD[p], begin)
+    low[~alone] = _MAX
+    of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(begin))))
+    at = np.arange(len(begin))[:, None]
+    values, holders = [], []
+    for _ in range(2):
+        best = np.minimum.reduceat(low, first, axis=0)
+        holder = np.minimum.reduceat(np.where(low == best[of], at, len(begin)), first, axis=0)
+        none = best == _MAX
+        values.append(np.where(none, _NONE, np.maximum(mix(best) >> np.uint64(48), np.uint64(2))).astype(np.uint16))
+        holders.append(np.where(none, -1, number[holder]).astype(np.int32))
+        low[holder, np.arange(MINIMA)] = _MAX
+    return np.hstack([np.ascontiguousarray(x).view(np.uint8) for x in (*values, *holders)])
+
+
+def line_templates(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Document, line number, number of the first equal line, template key and hash of the rest, one row a line and template; and document and minima."""
     data = lower_ascii(data)
     token, token_end, _ = words(data, offsets)
     line, _ = runs(data != 0x0A, offsets)
@@ -63,28 +100,34 @@ def line_templates(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarra
     has = np.flatnonzero(count > 0)
     if not len(has):
         empty = np.zeros(0, np.int64)
-        return {"doc": empty, "line": empty, "key": empty, "signature": empty}
+        return {"doc": empty, "line": empty, "same": empty, "key": empty, "rest": empty}, {"doc": empty, "minima": np.zeros((0, 12 * MINIMA), np.uint8)}
     h = span_hash(prefix_hash(data), token, token_end)
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
     field = digits[token_end] > digits[token]
     masked = np.where(field, _FIELD, h)
     place = np.arange(len(token)) - np.repeat(line_first[:-1], count)
-    part = mix(masked ^ mix(place.astype(np.uint64) + np.uint64(1)))
+    spot = mix(place.astype(np.uint64) + np.uint64(1))
+    part = mix(masked ^ spot)
     fields = np.concatenate(([0], np.cumsum(field)))
     mostly_constant = (2 * (fields[line_first[1:]] - fields[line_first[:-1]]) <= count)[has]
     begin = line_first[:-1][has]
     with np.errstate(over="ignore"):
         total = np.add.reduceat(part, begin)
         wild = [total - np.add.reduceat(np.where((place >= LEADING) & (place % GAPS == g), part, np.uint64(0)), begin) for g in range(GAPS)]
-    # The smallest shingle hash of each line, and of each document outside a line.
+        whole = mix(np.add.reduceat(mix(h ^ spot), begin) + count[has].astype(np.uint64))
+    line_doc, number = doc[has], number[has]
+    # The first equal line of each line's document.
+    order = np.lexsort((whole, line_doc))
+    new = np.append(True, (whole[order][1:] != whole[order][:-1]) | (line_doc[order][1:] != line_doc[order][:-1]))
+    same = np.empty(len(order), np.int64)
+    same[order] = order[new][np.cumsum(new) - 1]
+    alone = same == np.arange(len(same))
+    docs, first = np.unique(line_doc, return_index=True)
+    with np.errstate(over="ignore"):
+        text = np.add.reduceat(np.where(alone, whole, np.uint64(0)), first)
+        rest = mix(np.repeat(text, np.diff(np.append(first, len(whole)))) - whole)
     gram, gram_first = ngram_hashes(h, line_first, 5, short=True)
-    lowest = np.minimum.reduceat(gram, gram_first[:-1][has])
-    line_doc = doc[has]
-    values, value_first = distinct_per_doc(lowest, np.searchsorted(line_doc, np.arange(n + 1)))
-    padded = np.append(values, [_ALONE, _ALONE])
-    best = padded[np.minimum(value_first[:-1], len(values))][line_doc]
-    next_best = np.where(np.diff(value_first) > 1, padded[np.minimum(value_first[:-1] + 1, len(values))], _ALONE)[line_doc]
-    signature = np.where(lowest == best, next_best, best)
+    minima = _minima(gram, gram_first[:-1][has], first, alone, number)
     out_line, out_key = [], []
     for kind, (value, least) in enumerate([(total, MIN_TOKENS), *((w, WILD_TOKENS) for w in wild)]):
         ok = np.flatnonzero((count[has] >= least) & mostly_constant)
@@ -92,19 +135,72 @@ def line_templates(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarra
             out_key.append(mix(value[ok] + count[has][ok].astype(np.uint64) * np.uint64(31) + np.uint64(kind << 40)))
         out_line.append(ok)
     at = np.concatenate(out_line)
-    return {"doc": line_doc[at], "line": number[has][at], "key": np.concatenate(out_key).view(np.int64), "signature": signature[at].view(np.int64)}
+    lines = {"doc": line_doc[at], "line": number[at], "same": number[same[at]], "key": np.concatenate(out_key).view(np.int64), "rest": rest[at].view(np.int64)}
+    return lines, {"doc": docs, "minima": minima}
+
+
+def _binaries(values: np.ndarray) -> pa.Array:
+    """One binary value for each row of bytes."""
+    return binary_column(np.ascontiguousarray(values).ravel(), np.arange(len(values) + 1, dtype=np.int64) * values.shape[1])
 
 
 def _templates_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of lines, and one row with the minima for each document that has templates."""
+    names = ["doc_id", "tie", "place", "key", "rest", "minima"]
     for batch in batches:
         for a, _, data, offsets in blocks(batch.column(2)):
-            t = line_templates(data, offsets)
+            t, m = line_templates(data, offsets)
             once = ~pd.Series(t["key"].view(np.uint64) ^ mix(t["doc"].astype(np.uint64))).duplicated().to_numpy()
+            # Line, first equal line, and whether the row counts, in 31, 31 and one bits.
+            place = t["line"].astype(np.int64) | (t["same"].astype(np.int64) << 31) | (once.astype(np.int64) << 62)
             rows = pa.array(a + t["doc"])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(t["line"].astype(np.int32)), pa.array(t["key"]), pa.array(t["signature"]), pa.array(once)],
-                ["doc_id", "tie", "line", "key", "signature", "counts"],
-            )
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), pa.array(t["key"]), pa.array(t["rest"]), pa.nulls(len(rows), pa.binary())], names)
+            held = np.isin(m["doc"], t["doc"])
+            rows = pa.array(a + m["doc"][held])
+            none = pa.nulls(len(rows), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), none, none, none, _binaries(m["minima"][held])], names)
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
+
+
+def _rests_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, same, minima, gone) to (key, sketch): the minima outside of the line ``same`` and of the lines in ``gone``."""
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        raw, k = _matrix(batch.column(2), 12 * MINIMA), 2 * MINIMA
+        values = [np.ascontiguousarray(raw[:, i * k : (i + 1) * k]).view(np.uint16) for i in (0, 1)]
+        lines = [np.ascontiguousarray(raw[:, 2 * k * i : 2 * k * (i + 1)]).view(np.int32).astype(np.int64) for i in (1, 2)]
+        gone = batch.column(3)
+        row = np.arange(n, dtype=np.int64) << 32
+        sizes = np.array([len(x) for x in gone.fill_null([]).to_pylist()]) if gone.null_count < n else np.zeros(n, np.int64)
+        out = np.concatenate((row + batch.column(1).to_numpy(), np.repeat(row, sizes) + gone.flatten().to_numpy().astype(np.int64)))
+        best, second = ((x >= 0) & ~np.isin(row[:, None] + x, out) for x in lines)
+        sketch = np.where(best, values[0], np.where(second, values[1], _NONE)).astype(np.uint16)
+        sketch[(lines[1] < 0).all(axis=1)] = _ALONE
+        yield pa.RecordBatch.from_arrays([batch.column(0), _binaries(sketch.view(np.uint8))], ["key", "sketch"])
+
+
+def _unlike_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of (key, sketch, other) whose sketches are not alike."""
+    for batch in batches:
+        x, y = (_matrix(batch.column(i), 2 * MINIMA).view(np.uint16) for i in (1, 2))
+        held = (x != _NONE) & (y != _NONE)
+        n, equal = held.sum(axis=1), (held & (x == y)).sum(axis=1)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["key", "sketch"]).filter(pa.array((n >= LEAST_MINIMA) & (2 * equal < n)))
+
+
+def _with_classes(rests: DataFrame, least: int) -> DataFrame:
+    """(key) of those with ``least`` sketches that are unlike each other, taken greedily."""
+    rests = cut(rests)
+    for _ in range(least - 1):
+        # Cut, so that the join deals out both sides and can split a hot key.
+        taken = cut(rests.groupBy("key").agg(F.min("sketch").alias("other")))
+        rests = cut(rests.join(taken, "key").select("key", "sketch", "other").mapInArrow(_unlike_partition, "key long, sketch binary"))
+    return cut(rests.select("key").distinct())
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -114,10 +210,24 @@ def _keyed(docs: DataFrame) -> DataFrame:
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, tie, lines): the numbers of the lines to drop of each document that has any."""
     rows = _keyed(docs.select("doc_id", "text")).select("doc_id", "_tie", "text")
-    lines = cut(rows.mapInArrow(_templates_partition, "doc_id long, tie long, line int, key long, signature long, counts boolean"))
-    seen = lines.where("counts").groupBy("key", "signature").agg(F.count("*").alias("docs"))
-    recurring = seen.groupBy("key").agg(F.sum("docs").alias("docs"), F.count("*").alias("signatures")).where((F.col("signatures") >= min_docs) & (2 * F.col("signatures") >= F.col("docs"))).select("key")
-    return lines.join(recurring, "key", "left_semi").groupBy("doc_id", "tie").agg(F.collect_set("line").alias("lines"))
+    found = cut(rows.mapInArrow(_templates_partition, "doc_id long, tie long, place long, key long, rest long, minima binary"))
+    lines = found.where("minima IS NULL").select("doc_id", "tie", "place", "key", "rest")
+    minima = found.where("minima IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "minima")
+    rests = lines.where(F.shiftright("place", 62) == 1).select("key", "rest").distinct()
+    several = rests.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("key")
+    same = F.shiftright("place", 31).bitwiseAND(_LINE).cast("int").alias("same")
+    lines = cut(lines.join(several, "key", "left_semi").select("doc_id", "tie", "place", "key", "rest"))
+    counted = cut(lines.where(F.shiftright("place", 62) == 1).dropDuplicates(["key", "rest"]).select("doc_id", "tie", "key", same))
+    document = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t"))
+    none = F.lit(None).cast("array<int>").alias("gone")
+    schema = "key long, sketch binary"
+    recurring = _with_classes(counted.join(minima, document).select("key", "same", "minima", none).mapInArrow(_rests_partition, schema), min_docs)
+    # Once more for the others, without the minima that lines of recurring templates gave.
+    dropped = lines.join(recurring, "key", "left_semi").groupBy(F.col("doc_id").alias("_e"), F.col("tie").alias("_u")).agg(F.collect_set(same).alias("gone"))
+    others = counted.join(recurring, "key", "left_anti").join(dropped, F.col("doc_id").eqNullSafe(F.col("_e")) & (F.col("tie") == F.col("_u")), "left")
+    more = _with_classes(others.join(minima, document).select("key", "same", "minima", "gone").mapInArrow(_rests_partition, schema), min_docs)
+    line = F.col("place").bitwiseAND(_LINE).cast("int")
+    return lines.join(cut(recurring.union(more)), "key", "left_semi").groupBy("doc_id", "tie").agg(F.collect_set(line).alias("lines"))
 
 
 def without_lines(text: str | None, lines: list[int] | None) -> str | None:

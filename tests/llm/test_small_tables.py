@@ -378,6 +378,24 @@ def test_line_dedup(spark, docs, empty):
     assert templates.digests(empty).count() == 0
 
 
+def test_line_dedup_counts_documents_that_differ(spark):
+    notice, first, second = words(12, 31), words(40, 32), words(40, 33)
+    others = [(i, words(60, 200 + i) + "\n" + notice) for i in range(10)]
+    copies = [(100 + i, words(60, 300) + "\n" + notice) for i in range(60)]
+    both = [(200 + i, first + "\n" + words(50, 400 + i) + "\n" + second) for i in range(4)]
+    near = []
+    for i in range(40):
+        w = BASE.split()
+        for at in (7 * i, 7 * i + 3):
+            w[at % 150] = f"e{i}x"
+        near.append((300 + i, " ".join(w[:150]) + "\n" + " ".join(w[150:])))
+    alone = [(400 + i, words(30, 500)) for i in range(5)]
+    got = {r.doc_id: r.text for r in templates.drop(spark.createDataFrame(rows(others + copies + both + near + alone), SCHEMA).repartition(3)).collect()}
+    assert all(got[d] == t.split("\n")[0] for d, t in others + copies)
+    assert all(got[d] == t.split("\n")[1] for d, t in both)
+    assert all(got[d] == t for d, t in near + alone)
+
+
 def test_pipeline(spark, docs, tmp_path):
     import corpus_pipeline
 
