@@ -152,4 +152,4 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """Per document row: doc_id, n_shingles, component_id; links have sets at least ``threshold`` alike."""
     from . import neardup
 
-    return neardup.components(docs, sketch, lambda x, y, _n, _m: likeness(x, y), threshold)
+    return neardup.components(docs, sketch, lambda x, y, _n, _m: likeness(x, y), threshold).select("doc_id", "n_shingles", "component_id")

@@ -75,12 +75,13 @@ def _sketch_partition(sketch: Sketch) -> Callable[[Iterator[pa.RecordBatch]], It
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(a, b - a),
+                        batch.column(2).slice(a, b - a),
                         pa.array(np.diff(first), pa.int64()),
                         _fixed_binary(set_keys(values, first)),
                         pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * registers.shape[1], pa.int32()), pa.array(registers.view(np.int16).ravel())),
                         pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1) * per, pa.int32()), pa.array(bands.ravel().view(np.int64))),
                     ],
-                    ["doc_id", "n_shingles", "node", "sketch", "bands"],
+                    ["doc_id", "tie", "n_shingles", "node", "sketch", "bands"],
                 )
 
     return run
@@ -193,13 +194,13 @@ def _links_between(nodes: DataFrame, classes: DataFrame, sets: DataFrame, thresh
 
 
 def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: float = 0.75) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id (smallest doc_id reachable).
+    """Per document row: doc_id, tie (hash of its text), n_shingles, component, component_id (smallest doc_id reachable).
 
-    Null and word-less texts have the empty set and are linked with nothing.
+    Null and word-less texts have the empty set and are linked with nothing; their ``component`` is null.
     """
     rows = docs.select("doc_id", "text")
-    schema = "doc_id long, n_shingles long, node binary, sketch array<short>, bands array<long>"
-    table = cut(rows.mapInArrow(_sketch_partition(sketch), schema))
+    schema = "doc_id long, tie long, n_shingles long, node binary, sketch array<short>, bands array<long>"
+    table = cut(rows.withColumn("tie", F.xxhash64("text")).mapInArrow(_sketch_partition(sketch), schema))
     owners = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
     classes = cut(
         table.where("n_shingles > 0")
@@ -246,7 +247,7 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
         labels = connected(links.union(more))
     named = classes.join(labels, "node", "left").select("node", "owner", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("owner").alias("component_id"))
-    named = named.join(smallest, "component").select("node", "component_id")
-    return table.select("doc_id", "n_shingles", "node").join(named, "node", "left").select(
-        "doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
+    named = named.join(smallest, "component").select("node", "component", "component_id")
+    return table.select("doc_id", "tie", "n_shingles", "node").join(named, "node", "left").select(
+        "doc_id", "tie", "n_shingles", "component", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
     )

@@ -19,7 +19,8 @@ bands is 5e-6, and less above it.
 
 Defined cases: null, empty and word-less texts have the empty set (registers
 0, no links); fewer than five words give one shingle; repeated rows share a
-component; the smallest doc_id of a component is kept.
+component; the smallest doc_id of a component is kept, and a null one only if
+the component has no other.
 """
 
 from __future__ import annotations
@@ -97,16 +98,27 @@ def sketch(values: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return found, band_keys(found, ROWS)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
-    """Per document row: doc_id, n_shingles, component_id, kept."""
+def _verdicts(docs: DataFrame, threshold: float) -> DataFrame:
     found = neardup.components(docs, sketch, joint_estimate, threshold)
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def near_duplicates(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
+    """Per document row: doc_id, n_shingles, component_id, kept."""
+    return _verdicts(docs, threshold).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def keep_one(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with all columns.
 
-    Rows that repeat the kept doc_id with the same text are kept once.
+    A null doc_id comes after all others.  Of several texts under the kept doc_id
+    in one component, the one with the smallest hash is kept.  Texts without words
+    are components of their own; rows that repeat id and text are kept once.
     """
-    kept = near_duplicates(docs, threshold).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    kept = _verdicts(docs, threshold).where("kept")
+    held = kept.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("tie", "doc_id")).alias("row")).select("row.doc_id", "row.tie")
+    kept = held.union(kept.where("component IS NULL").select("doc_id", "tie").distinct())
+    kept = kept.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"))
+    # The verdict is by row: an id can come with several texts, and null ids never meet in a plain join.
+    keyed = docs.withColumn("_tie", F.xxhash64("text"))
+    return keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")), "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])

@@ -349,6 +349,15 @@ def test_keep_one(docs):
     assert ids.count(0) == 1 and 1 not in ids and 2 not in ids and 7 not in ids and 8 in ids
 
 
+def test_keep_one_goes_by_row(spark):
+    other = words(80, 61)
+    texts = [(1, BASE), (5, words(80, 60)), (5, BASE), (None, other), (None, other.replace(other.split()[79], "z")), (None, ""), (None, BASE)]
+    kept = sorted((-1 if r.doc_id is None else r.doc_id, r.text) for r in setsketch.keep_one(spark.createDataFrame(rows(texts), SCHEMA).repartition(3)).collect())
+    nulls = [t for d, t in kept if d == -1]
+    assert [x for x in kept if x[0] != -1] == [(1, BASE), (5, words(80, 60))]
+    assert nulls[0] == "" and len(nulls) == 2 and nulls[1][:60] == other[:60]
+
+
 def test_setsketch_registers_merge_and_estimate():
     rng = np.random.default_rng(6)
     shared, a, b = (rng.integers(0, 1 << 63, n, dtype=np.uint64) for n in (600, 200, 100))
