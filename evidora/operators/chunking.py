@@ -13,6 +13,7 @@ from .statutes import chunk_one
 
 GUIDELINE_CHARS = 1500
 HEADING_CHARS = 120
+PARAGRAPH_TYPES = ["guideline", "comparative_ip", "regulation", "case_law", "prior_art"]
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
 CHUNK = ["id", "title", "text", "section", "source_type", "source_url", "effective_date", "jurisdiction", "legal_scope", "is_fixture"]
@@ -113,6 +114,12 @@ def chunk_statutes(docs: DataFrame) -> DataFrame:
     return docs.select(*fields).mapInPandas(run, schema)
 
 
+def branch(source_type: Column) -> Column:
+    """statute, guideline (all paragraph types) or patent; raises while it runs on any other type."""
+    unknown = F.raise_error(F.concat(F.lit("unsupported source_type "), F.coalesce(source_type, F.lit("null")))).cast("string")
+    return F.when(source_type.isin("statute", "patent"), source_type).when(source_type.isin(PARAGRAPH_TYPES), "guideline").otherwise(unknown)
+
+
 def chunk_corpus(statutes: DataFrame, guidelines: DataFrame, patents: DataFrame) -> DataFrame:
     """All chunks, by id; an id that occurs twice is an error."""
     union = chunk_statutes(statutes).unionByName(chunk_guidelines(guidelines)).unionByName(chunk_patents(patents))

@@ -178,10 +178,8 @@ def split_clauses(spark, sf_dir):
 
 @query("chunk_corpus")
 def chunk_corpus(spark, sf_dir):
-    def kind(df, m):
-        return df.where(F.xxhash64("id") % 3 == m) if "id" in df.columns else df
-
-    parts = [kind(_statutes(spark, sf_dir), 0), kind(_guidelines(spark, sf_dir), 1).where(F.xxhash64("id") % 3 != 0), _patents(spark, sf_dir)]
+    makers = {"statute": _statutes, "guideline": _guidelines, "patent": _patents}
+    parts = [make(spark, sf_dir).where(chunking.branch(F.col("source_type")) == kind) for kind, make in makers.items()]
     return chunking.chunk_corpus(*parts).select("id", "section", F.length("text").alias("n_chars"))
 
 

@@ -1,6 +1,8 @@
 """Exact values on small tables."""
 
+import os
 import random
+import re
 import uuid
 
 import pytest
@@ -316,3 +318,41 @@ def test_branches(spark):
     forms = spark.createDataFrame([(1, ["neem"], "churna"), (2, [], None)], "formulation_id int, terms array<string>, dosage_form string")
     got = requests.branch_queries(forms).collect()
     assert len(got) == 4 and {r.formulation_id for r in got} == {1}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_chunk_corpus_takes_every_document_once(spark):
+    from evidora.operators.statutes import chunk_one
+    from evidora.plans import adapters, retrieval
+
+    sf = "/root/testdata/sf0.001"
+
+    def groups(text):
+        out, heading, current, size = [], None, [], 0
+        for p in (x.strip() for x in re.split(r"\n\s*\n", text)):
+            if p and "\n" not in p and len(p) <= 120 and not re.search(r"[.;:,]\s*$", p):
+                out, heading, current, size = out + ([(heading, current)] if current else []), p, [], 0
+            elif p:
+                if current and size + len(p) > 1500:
+                    out, current, size = [*out, (heading, current)], [], 0
+                current, size = [*current, p], size + len(p)
+        return [(h, "\n\n".join(c)) for h, c in (out + ([(heading, current)] if current else []))]
+
+    want = []
+    for d in adapters.chunks(spark, sf).collect():
+        lines = d.text.split("\n")
+        if d.source_type == "statute":
+            marked = [f"{i // 3 + 1}. {x}" if i % 3 == 0 else f"({'a' if i % 3 == 1 else 'd'}) {x}" for i, x in enumerate(lines)]
+            want += [(c["id"], c["section"], len(c["text"])) for c in chunk_one(d.id, d.title, "\n".join(marked), "1", None)]
+        elif d.source_type == "patent":
+            stem = f"patent_us_{d.doc_id}_a1"
+            want.append((f"{stem}_abstract", "abstract", len("\n".join(lines[1:]).strip())))
+            if d.doc_id % 3 == 0 and len(lines) > 1 and lines[1].strip():
+                want.append((f"{stem}_claim_1", "claim 1", len(lines[1].strip())))
+        else:
+            want += [(f"{d.id}_p{i:03d}", h, len(t)) for i, (h, t) in enumerate(groups(d.text.replace("\n", "\n\n")))]
+    got = [tuple(r) for r in retrieval.chunk_corpus(spark, sf).select("id", "section", "n_chars").collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    bad = spark.createDataFrame([("poem",)], "t string")
+    with pytest.raises(Exception, match="unsupported source_type poem"):
+        bad.select(chunking.branch(F.col("t"))).collect()
