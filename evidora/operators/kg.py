@@ -6,6 +6,9 @@ edges: source, target, type, props map<string,string>, origin
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,8 +20,8 @@ TYPES = ["CONTAINS", "MAY_REFER_TO", "INGREDIENT_OF", "IN_CATEGORY", "MENTIONED_
 PRIORITY = ["Herb", "Formulation", "Ingredient", "Compound", "Name"]
 ORIGINS = ["curated", "corpus", "pipeline"]
 TRUSTED = ["curated", "corpus"]
-MAX_PATTERN_TERMS = 5000
 MIN_TERM = 3
+_WORD = r"(?U)^[\w-]"
 
 _MAP = "map<string,string>"
 
@@ -91,41 +94,58 @@ def alias_map(nodes: DataFrame, labels: tuple[str, ...] = ("Herb", "Formulation"
     return names(nodes, list(labels)).select(normalize(F.col("term")).alias("term"), "key").distinct()
 
 
-def _pattern(terms: list[str]) -> str:
-    quoted = ["\\Q" + t.replace("\\E", "\\E\\\\E\\Q") + "\\E" for t in sorted(terms, key=lambda t: (-len(t), t))]
-    return r"(?iU)(?<![\w-])(?:" + "|".join(quoted) + r")(?![\w-])"
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w-]+|[^\w-]"), 0)
 
 
-def entity_mentions(docs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """(id, key, n) of docs (id, text): longest-first matches that do not overlap; every key of a matched alias counts.
+def _leftmost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, pos, len, id, term) in order of row, pos and falling len: those that do not begin inside one kept before."""
+    last, until = None, 0
+    for batch in batches:
+        keep = []
+        for row, pos, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            free = row != last or pos >= until
+            if free:
+                last, until = row, pos + size
+            keep.append(free)
+        yield batch.select(["id", "term"]).filter(pa.array(keep, pa.bool_()))
 
-    The alternation pattern is built for at most ``MAX_PATTERN_TERMS`` terms;
-    larger dictionaries go through ``mentions_by_words``.
-    """
-    terms = [r.term for r in aliases.select("term").where(F.length("term") >= MIN_TERM).distinct().limit(MAX_PATTERN_TERMS + 1).collect()]
-    if len(terms) > MAX_PATTERN_TERMS:
-        return mentions_by_words(docs, aliases)
-    if not terms:
-        return docs.join(aliases, F.lit(False)).select("id", "key", F.lit(0).cast("long").alias("n"))
-    found = docs.select("id", F.explode(F.regexp_extract_all("text", F.lit(_pattern(terms)), 0)).alias("m"))
-    return found.select("id", normalize(F.col("m")).alias("term")).join(aliases, "term").groupBy("id", "key").agg(F.count("*").alias("n"))
 
+def entity_mentions(docs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(id, key, n) of docs (id, text): leftmost-longest matches that do not overlap; every key of a matched alias counts.
 
-def mentions_by_words(docs: DataFrame, aliases: DataFrame, max_words: int = 6) -> DataFrame:
-    """The same for dictionaries of any size whose terms are words with single spaces.
-
-    Word n-grams of the texts meet the terms in a join; per text a fold over the
-    sorted spans keeps the leftmost-longest ones.
+    Texts and terms are cut alike, into words and single other characters, so a
+    match is a run of whole tokens; one that begins or ends with another character
+    than a word's has no word right before or behind it.  Runs of all lengths that terms
+    have meet the terms in a join, whatever the size of the dictionary.  The
+    driver gets the different lengths.
     """
     known = aliases.where(F.length("term") >= MIN_TERM)
-    words = docs.select("id", F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)[\w-]+|[^\w-]+"), 0).alias("w"))
-    at = words.select("id", F.posexplode("w").alias("pos", "first"), "w").where(F.col("first").rlike(r"(?U)^[\w-]"))
-    spans = at.select("id", "pos", F.explode(F.sequence(F.lit(1), F.lit(max_words))).alias("k"), "w")
-    spans = spans.select("id", "pos", (2 * F.col("k") - 1).alias("len"), F.array_join(F.slice("w", F.col("pos") + 1, 2 * F.col("k") - 1), "").alias("term"))
-    hits = spans.join(known.select("term").distinct(), "term", "left_semi").groupBy("id").agg(F.array_sort(F.collect_set(F.struct("pos", (-F.col("len")).alias("neg"), "term"))).alias("s"))
-    empty = F.struct(F.lit(-1).alias("until"), F.array().cast("array<string>").alias("terms"))
-    kept = F.aggregate("s", empty, lambda acc, x: F.when(x["pos"] >= acc["until"], F.struct((x["pos"] - x["neg"]).alias("until"), F.concat(acc["terms"], F.array(x["term"])).alias("terms"))).otherwise(acc), lambda acc: acc["terms"])
-    return hits.select("id", F.explode(kept).alias("term")).join(known, "term").groupBy("id", "key").agg(F.count("*").alias("n"))
+    terms = known.select("term").distinct()
+    lengths = sorted(r[0] for r in terms.select(F.size(_tokens(F.col("term")))).distinct().collect())
+    if not lengths:
+        return docs.join(aliases, F.lit(False)).select("id", "key", F.lit(0).cast("long").alias("n"))
+    words = docs.select("id", F.monotonically_increasing_id().alias("row"), _tokens(F.col("text")).alias("w"))
+    # Each position with the token before it and as many from it on as the longest term has, and one.
+    near = F.transform("w", lambda x, i: F.struct(i.alias("pos"), F.get("w", i - 1).alias("before"), F.slice("w", i + 1, lengths[-1] + 1).alias("next")))
+    at = words.select("id", "row", F.explode(near).alias("at")).select("id", "row", "at.*").where(~F.get("next", F.lit(0)).rlike(r"(?U)^\s"))
+    runs = F.array(*[F.when(F.size("next") >= k, F.struct(F.lit(k).alias("len"), F.array_join(F.slice("next", 1, k), "").alias("term"), F.get("next", F.lit(k - 1)).alias("end"), F.get("next", F.lit(k)).alias("after"))) for k in lengths])
+    spans = at.select("id", "row", "pos", "before", F.get("next", F.lit(0)).alias("begin"), F.explode(runs).alias("run")).where("run IS NOT NULL")
+    hits = spans.select("id", "row", "pos", "before", "begin", "run.*").join(terms, "term", "left_semi")
+
+    def parted(inner: str, outer: str) -> Column:
+        return F.col(outer).isNull() | F.col(inner).rlike(_WORD) | ~F.col(outer).rlike(_WORD)
+
+    hits = hits.where(parted("begin", "before") & parted("end", "after"))
+    if lengths != [1]:  # single tokens cannot overlap
+        schema = hits.select("id", "term").schema
+        hits = hits.select("row", "pos", "len", "id", "term").repartition("row").sortWithinPartitions("row", "pos", F.desc("len")).mapInArrow(_leftmost, schema)
+    return hits.groupBy("id", "term").agg(F.count("*").alias("n")).join(known, "term").groupBy("id", "key").agg(F.sum("n").alias("n"))
+
+
+def mentions_by_words(docs: DataFrame, aliases: DataFrame) -> DataFrame:
+    """The same as ``entity_mentions``, which has one way for all dictionaries."""
+    return entity_mentions(docs, aliases)
 
 
 def doc_mentions(docs: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -216,6 +216,25 @@ def test_graph(spark):
     assert rows == {(0, "Tulsi"): "Herb:ocimum sanctum", (0, "Holy basil"): "Herb:ocimum sanctum", (0, "Guduchi"): "Herb:tinospora cordifolia", (0, "mix"): "Formulation:mix a", (1, "Guduchi"): "Herb:tinospora cordifolia", (1, "Salt"): "Ingredient:salt"}
 
 
+def test_mentions_equal_the_pattern_for_any_dictionary(spark):
+    terms = ["holy basil", "holy", "basil leaf", "st. john's wort", "a/b, c", "(l.)", "oil of the dried leaf and root of tulsi", "tulsi", "x-ray", "ghṛta", "wort (dry)"]
+    texts = [
+        "Holy basil leaf, St. John's Wort (dry) and a/b, c; ba/b, c; Ocimum (L.) x(l.) (l.)y.", "OIL of the dried leaf and root of tulsi. tulsi-like x-ray xx-ray",
+        "holy Basil leaf holy basil\nleaf", "GHṚTA ghṛtam tulsi", "", None, "tulsi tulsi,tulsi (l.)(l.)",
+    ]
+    pattern = re.compile(r"(?<![\w-])(?:" + "|".join(re.escape(t) for t in sorted(terms, key=lambda t: (-len(t), t))) + r")(?![\w-])", re.IGNORECASE)
+    want = {}
+    for i, t in [*enumerate(texts), (0, texts[0])]:  # a repeated row counts again
+        for m in pattern.finditer(t or ""):
+            want[(i, f"K:{m[0].lower()}")] = want.get((i, f"K:{m[0].lower()}"), 0) + 1
+    docs = spark.createDataFrame([*enumerate(texts), (0, texts[0])], "id int, text string").repartition(3)
+    few = spark.createDataFrame([(t, f"K:{t}") for t in terms], "term string, key string")
+    many = few.union(spark.range(5001).select(F.concat(F.lit("term"), "id"), F.lit("other")))
+    for aliases in (few, many):
+        assert {(r.id, r.key): r.n for r in kg.entity_mentions(docs, aliases).collect()} == want
+    assert kg.entity_mentions(docs, few.limit(0)).count() == 0
+
+
 def test_evidence(spark):
     assert [one(spark, x, evidence.clause_ref) for x in ("Section 3(K)", "3 (k)", " other ")] == ["3(k)", "3(k)", "other"]
     assert one(spark, "0.1 per cent, 0.2 percent or 0.5%", evidence.percentages_in_text) == [0.1, 0.2, 0.5]
