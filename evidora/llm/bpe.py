@@ -3,18 +3,19 @@
 **Encoder.**  Byte-pair merging of a piece has exactly one result, and a
 sequence of tokens is that result if and only if every two neighbours are (two
 tokens are neighbours if merging their joined bytes gives just those two).
-So a transducer can read a piece byte by byte: a hypothesis is the tokens not
-yet written and a node of the vocabulary's trie for the token being read.
-Reading a byte moves every hypothesis down the trie; where a token may end
-and fits its left neighbour, one more hypothesis begins there.  Of the
-hypotheses that end at the same place only one can be right, so the set stays
-as small as the longest token.  Tokens that all hypotheses share are written
-at once.  The determinised states (sets of hypotheses) are built when they
-are first met and kept, so later pieces cost one table lookup a byte.
+So a transducer can read a piece byte by byte: a hypothesis is a node of the
+vocabulary's trie for the token being read and the token before it.  Reading a
+byte moves every hypothesis down the trie; where a token may end and fits its
+left neighbour, one more hypothesis begins there.  Of the hypotheses that end
+at the same place only one can be right, so the set stays as small as the
+longest token.  The determinised states (sets of hypotheses) and the arcs
+between them are built when they are first met; a bounded memory forgets those
+that have not been met for long.  Tokens are written when all hypotheses share
+them, a bounded number of bytes after they end.
 
 **Decoder.**  Tokens are bytes, and a character may be split between tokens.
 ``StreamDecoder`` keeps the state of a UTF-8 automaton between calls and gives
-out text as soon as it is whole.
+out characters as soon as they are whole.
 
 Defined cases: null and empty texts have no tokens; texts are read whole;
 special tokens do not exist (their strings are ordinary text); repeated rows
@@ -26,10 +27,11 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import marshal
 from array import array
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from struct import Struct
+from sys import getsizeof
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +41,15 @@ from pyspark.sql import types as T
 from . import pretoken
 from .textblock import blocks, gather_ranges
 
-MAX_STATES = 120_000
-MAX_PIECES = 200_000
+#: What a worker remembers at most, in bytes: arcs of the transducer and ids of pieces.
+ARC_BYTES = 64 << 20
+PIECE_BYTES = 32 << 20
+ENTRY = 100  # what an entry of a dict takes besides key and value, about
+WINDOW = 1024  # bytes of a piece between two looks at what is settled
+CHUNK = 1 << 16  # bytes that the decoder is fed at once
+_STATE, _PAIR = Struct("<i"), Struct("<ii")
+_BYTE = [bytes([b]) for b in range(256)]
+BAD = 8
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -59,58 +68,71 @@ def merge(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -> list[b
     return parts
 
 
+class Aged:
+    """A memory of about ``limit`` bytes that forgets by age.
+
+    It has a younger and an older half.  When the younger one is full, the
+    older one is forgotten; what is asked for again becomes young again.
+    """
+
+    def __init__(self, limit: int):
+        self.half = limit // 2
+        self.clear()
+
+    def clear(self) -> None:
+        self.young: dict = {}
+        self.old: dict = {}
+        self.size = 0
+
+    def get(self, key: object) -> object | None:
+        value = self.young.get(key)
+        if value is None and (value := self.old.pop(key, None)) is not None:
+            self.put(key, value)
+        return value
+
+    def put(self, key: object, value: object) -> None:
+        if self.size > self.half:
+            self.old, self.young, self.size = self.young, {}, 0
+        self.young[key] = value
+        self.size += getsizeof(key) + getsizeof(value) + ENTRY
+
+
 class Transducer:
-    """The lazily determinised transducer for one table of ranks."""
+    """The lazily determinised transducer for one table of ranks.
+
+    A state is the token that ends where it stands and its hypotheses: (token
+    before the one being read, node of the trie), 4 bytes a number.  That
+    names it, so that arcs, (state, byte) to state, can be forgotten one by one.
+    """
 
-    def __init__(self, ranks: dict[bytes, int], max_states: int = MAX_STATES):
-        self.ranks, self.max_states = ranks, max_states
+    def __init__(self, ranks: dict[bytes, int], limit: int = ARC_BYTES):
+        self.ranks = ranks
         self.token = [b""] * (max(ranks.values()) + 1)
-        self.step: dict[tuple[int, int], int] = {}
-        self.ends = [-1]
+        self.step: dict[int, int] = {}
+        self.ends, self.depth, self.inner = array("i", [-1]), array("H", [0]), bytearray(1)
         for t in sorted(ranks):
             self.token[ranks[t]] = t
             node = 0
             for byte in t:
-                nxt = self.step.get((node, byte))
+                nxt = self.step.get(node << 8 | byte)
                 if nxt is None:
-                    nxt = self.step[node, byte] = len(self.ends)
+                    nxt = self.step[node << 8 | byte] = len(self.ends)
                     self.ends.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.inner.append(0)
+                    self.inner[node] = 1
                 node = nxt
             self.ends[node] = ranks[t]
-        self.neighbours: dict[tuple[int, int], bool] = {}
-        self.alone: dict[int, bool] = {}
         self.made_of: dict[int, tuple[int, int] | None] = {}
-        self.clear()
-
-    def clear(self) -> None:
-        """Forget all states but the start."""
-        # A state is its hypotheses (tokens that wait to be written, the last token before the trie node, the node) and what to write
-        # if the piece ends here.  It is kept as bytes, and arcs by 256 * state + byte, as there are many.
-        self.states: dict[bytes, int] = {}
-        self.content: list[bytes] = []
-        self.flush: list[tuple[int, ...]] = []
-        self.arcs: dict[int, tuple[int, tuple[int, ...]]] = {}
-        self.start = self._state((((), -1, 0),), ())
-
-    def _state(self, hypotheses: tuple, flush: tuple[int, ...]) -> int:
-        key = marshal.dumps((hypotheses, flush), 2)
-        if (found := self.states.get(key)) is None:
-            found = self.states[key] = len(self.content)
-            self.content.append(key)
-            self.flush.append(flush)
-        return found
+        self.alone: dict[int, bool] = {}
+        self.arcs = Aged(limit)
+        self.start = _STATE.pack(-1)
 
     def fits(self, left: int, right: int) -> bool:
         """Whether ``right`` may directly follow ``left`` (-1: the start of a piece)."""
-        if left < 0:
-            if (known := self.alone.get(right)) is None:
-                known = self.alone[right] = len(merge(self.token[right], self.ranks)) == 1
-            return known
-        if (known := self.neighbours.get((left, right))) is None:
-            known = self.neighbours[left, right] = self.fits(-1, right) and self._stay_apart(left, right)
-            if len(self.neighbours) > 400_000:
-                self.neighbours.clear()
-        return known
+        if (known := self.alone.get(right)) is None:
+            known = self.alone[right] = len(merge(self.token[right], self.ranks)) == 1
+        return known and (left < 0 or self._stay_apart(left, right))
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes ``token``; None for a single byte."""
@@ -143,110 +165,144 @@ class Transducer:
             else:
                 before, on_tie, b = b, True, y[0]
 
-    def _advance(self, state: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        moved, closed = [], None
-        for pending, last, node in marshal.loads(self.content[state])[0]:
-            nxt = self.step.get((node, byte))
+    def _hypotheses(self, state: bytes) -> Iterator[tuple[int, int]]:
+        """(token before, node) of each, the one that began first first."""
+        yield from _PAIR.iter_unpack(state[4:])
+        yield _STATE.unpack_from(state)[0], 0
+
+    def _advance(self, state: bytes, byte: int) -> bytes:
+        moved, closed = [], -1
+        for last, node in self._hypotheses(state):
+            nxt = self.step.get(node << 8 | byte)
             if nxt is None:
                 continue
-            moved.append((pending, last, nxt))
             token = self.ends[nxt]
-            if closed is None and token >= 0 and self.fits(last, token):
-                closed = (*pending, token)
-        if closed is None:
+            if closed < 0 <= token and self.fits(last, token):
+                closed = token
+            if self.inner[nxt]:
+                moved.append(_PAIR.pack(last, nxt))
+        if closed < 0:
             raise ValueError(f"byte {byte} has no token")
-        moved.append((closed, closed[-1], 0))
-        shared = len(closed)
-        for pending, _, _ in moved[:-1]:
-            n = min(shared, len(pending))
-            while pending[:n] != closed[:n]:
-                n -= 1
-            shared = n
-        out = closed[:shared]
-        return self._state(tuple((p[shared:], last, node) for p, last, node in moved), closed[shared:]), out
+        return _STATE.pack(closed) + b"".join(moved)
+
+    def _settled(self, states: list[bytes]) -> int:
+        """Where the tokens end that all hypotheses of the last state share."""
+        here = len(states) - 1
+        begin = {here - self.depth[node] for _, node in self._hypotheses(states[-1])}
+        while len(begin) > 1:
+            last = max(begin)
+            begin.remove(last)
+            begin.add(last - len(self.token[_STATE.unpack_from(states[last])[0]]))
+        return begin.pop()
+
+    def _tokens(self, states: list[bytes], end: int) -> list[int]:
+        """The tokens from the first state to ``end``, read from the back."""
+        out = []
+        while end > 0:
+            token = _STATE.unpack_from(states[end])[0]
+            out.append(token)
+            end -= len(self.token[token])
+        return out[::-1]
 
     def encode(self, piece: bytes) -> list[int]:
-        state, out, arcs = self.start, [], self.arcs
+        """The ids of a piece.
+
+        After every ``WINDOW`` bytes the tokens that are settled are written
+        and their states forgotten, so a piece of any length needs little.
+        """
+        out: list[int] = []
+        state, states, young = self.start, [self.start], self.arcs.young
         for byte in piece:
-            key = state << 8 | byte
-            arc = arcs.get(key)
-            if arc is None:
-                arc = arcs[key] = self._advance(state, byte)
-            state = arc[0]
-            if arc[1]:
-                out.extend(arc[1])
-        out.extend(self.flush[state])
-        if len(self.content) > self.max_states:
-            self.clear()
+            key = state + _BYTE[byte]
+            nxt = young.get(key)
+            if nxt is None:
+                if (nxt := self.arcs.get(key)) is None:
+                    nxt = self._advance(state, byte)
+                    self.arcs.put(key, nxt)
+                young = self.arcs.young
+            state = nxt
+            states.append(state)
+            if len(states) > WINDOW:
+                settled = self._settled(states)
+                out += self._tokens(states, settled)
+                del states[:settled]
+        out += self._tokens(states, len(states) - 1)
         return out
 
 
+def _automaton() -> np.ndarray:
+    """Next state of the UTF-8 automaton by state and byte.
+
+    0: between characters; 1 to 3: so many bytes are missing; 4 to 7: after a
+    first byte that narrows the second (E0, ED, F0, F4); BAD: no way on.
+    """
+    table = np.full((8, 256), BAD, np.uint8)
+    table[0, :0x80], table[0, 0xC2:0xE0], table[0, 0xE0:0xF0], table[0, 0xF0:0xF5] = 0, 1, 2, 3
+    table[0, [0xE0, 0xED, 0xF0, 0xF4]] = 4, 5, 6, 7
+    for state, low, high, then in ((1, 0x80, 0xBF, 0), (2, 0x80, 0xBF, 1), (3, 0x80, 0xBF, 2), (4, 0xA0, 0xBF, 1), (5, 0x80, 0x9F, 1), (6, 0x90, 0xBF, 2), (7, 0x80, 0x8F, 2)):
+        table[state, low : high + 1] = then
+    return table
+
+
+_UTF8 = _automaton()
+
+
 class StreamDecoder:
-    """Turns ids into text piece by piece; ``feed`` returns all text that is whole.
+    """Takes bytes of tokens chunk by chunk; ``feed`` returns the UTF-8 bytes of all characters that are whole.
 
-    The automaton's state is the bytes still missing from the current
-    character and the range the next byte must lie in.  A byte that cannot go
-    on ends the character as U+FFFD, as Python's ``errors="replace"`` does.
+    What is held between calls are the bytes of a character that is not yet
+    whole.  The automaton runs over all characters of a chunk at once, one
+    step for each of their at most four bytes.  Bytes it cannot go on with
+    become U+FFFD as with Python's ``errors="replace"``.
     """
 
-    def __init__(self, token: list[bytes]):
-        self.token, self.missing, self.low, self.high, self.held = token, 0, 0x80, 0xBF, bytearray()
-
-    def feed(self, ids: list[int]) -> str:
-        out: list[str] = []
-        for i in ids:
-            for b in self.token[i]:
-                self._byte(b, out)
-        return "".join(out)
-
-    def _byte(self, b: int, out: list[str]) -> None:
-        if self.missing:
-            if self.low <= b <= self.high:
-                self.held.append(b)
-                self.missing, self.low, self.high = self.missing - 1, 0x80, 0xBF
-                if not self.missing:
-                    out.append(self.held.decode())
-                    self.held.clear()
-                return
-            out.append("�")
-            self.held.clear()
-            self.missing, self.low, self.high = 0, 0x80, 0xBF
-        if b < 0x80:
-            out.append(chr(b))
-        elif 0xC2 <= b <= 0xDF:
-            self.missing = 1
-        elif 0xE0 <= b <= 0xEF:
-            self.missing = 2
-            self.low, self.high = (0xA0 if b == 0xE0 else 0x80), (0x9F if b == 0xED else 0xBF)
-        elif 0xF0 <= b <= 0xF4:
-            self.missing = 3
-            self.low, self.high = (0x90 if b == 0xF0 else 0x80), (0x8F if b == 0xF4 else 0xBF)
-        else:
-            out.append("�")
-        if self.missing:
-            self.held.append(b)
-
-    def close(self) -> str:
-        held, self.missing = bool(self.held), 0
-        self.held.clear()
-        self.low, self.high = 0x80, 0xBF
-        return "�" if held else ""
+    def __init__(self) -> None:
+        self.held = np.zeros(0, np.uint8)
+
+    def feed(self, data: np.ndarray) -> bytes:
+        if not len(self.held) and (not len(data) or data.max() < 0x80):
+            return data.tobytes()
+        return self._run(np.concatenate((self.held, data)), last=False)
+
+    def close(self) -> bytes:
+        return self._run(self.held, last=True)
+
+    def _run(self, data: np.ndarray, last: bool) -> bytes:
+        n, state = len(data), _UTF8[0][data]
+        free = state == BAD  # bytes that belong to no character
+        broken = []  # first byte and length of what becomes U+FFFD
+        end, at = n, np.flatnonzero((state != 0) & ~free)
+        state = state[at]
+        for k in range(1, 4):
+            whole = at + k < n
+            if not whole.all():  # the chunk ends in its last character
+                if last:
+                    broken.append((int(at[-1]), k))
+                else:
+                    end = int(at[-1])
+                at, state = at[whole], state[whole]
+            state = _UTF8[state, data[at + k]]
+            good = state != BAD
+            broken += [(p, k) for p in at[~good].tolist()]
+            free[at[good] + k] = False
+            at, state = at[state % BAD > 0], state[state % BAD > 0]
+        self.held = data[end:].copy()
+        broken += [(p, 1) for p in np.flatnonzero(free[:end]).tolist()]
+        out, done = [], 0
+        for p, k in sorted(broken):
+            out += [data[done:p].tobytes(), b"\xef\xbf\xbd"]
+            done = p + k
+        return b"".join([*out, data[done:end].tobytes()])
 
 
 class PieceCodec:
-    """Encodes blocks of texts; remembers the ids of pieces it has met.
+    """Encodes blocks of texts; remembers the ids of pieces it has met lately.
 
-    ``encode_piece`` gives the ids of one piece.  The memory is emptied when
-    it holds ``max_pieces``, which changes speed only.
+    ``encode_piece`` gives the ids of one piece.
     """
 
-    def __init__(self, encode_piece: Callable[[str], list[int]], max_pieces: int = MAX_PIECES):
-        self.encode_piece, self.max_pieces = encode_piece, max_pieces
-        self.clear()
-
-    def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.flat, self.until = array("I"), array("q", [0])
+    def __init__(self, encode_piece: Callable[[str], list[int]], limit: int = PIECE_BYTES):
+        self.encode_piece, self.known = encode_piece, Aged(limit)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's ids begin (n + 1)."""
@@ -254,21 +310,18 @@ class PieceCodec:
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
         pieces, which = pretoken.distinct(joined, cps, starts, ends)
-        if len(self.known) > self.max_pieces:
-            self.clear()
-        known, encode, number = self.known, self.encode_piece, []
+        found, known, young = [], self.known, self.known.young
         for p in pieces:
-            k = known.get(p)
-            if k is None:
-                k = known[p] = len(known)
-                self.flat.extend(encode(p))
-                self.until.append(len(self.flat))
-            number.append(k)
-        number = np.array(number)
-        flat, until = np.array(self.flat, np.uint32), np.array(self.until, np.int64)
-        at, lengths = until[number], until[number + 1] - until[number]
-        n = lengths[which]
-        ids = flat[gather_ranges(at[which], n)]
+            ids = young.get(p)
+            if ids is None:
+                if (ids := known.get(p)) is None:
+                    ids = array("I", self.encode_piece(p)).tobytes()
+                    known.put(p, ids)
+                young = known.young
+            found.append(ids)
+        length = np.array([len(x) for x in found]) // 4
+        flat, n = np.frombuffer(b"".join(found), np.uint32), length[which]
+        ids = flat[gather_ranges((np.cumsum(length) - length)[which], n)]
         return ids, np.concatenate(([0], np.cumsum(n)))[first]
 
 
@@ -293,6 +346,21 @@ def decode_ids(ids: np.ndarray, first: np.ndarray, path: str) -> tuple[np.ndarra
     return data[gather_ranges(starts[ids], n)], np.concatenate(([0], np.cumsum(n)))[first]
 
 
+def decoded(data: np.ndarray) -> Iterator[bytes]:
+    """The bytes of a document's tokens through the automaton, chunk by chunk."""
+    decoder = StreamDecoder()
+    for at in range(0, len(data), CHUNK):
+        yield decoder.feed(data[at : at + CHUNK])
+    yield decoder.close()
+
+
+def _sha256(chunks: Iterator[bytes]) -> str:
+    digest = hashlib.sha256()
+    for chunk in chunks:
+        digest.update(chunk)
+    return digest.hexdigest()
+
+
 def _encode_partition(path: str, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, _ = codec(path)
@@ -316,12 +384,11 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
 def _decode_partition(path: str, ids_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = codec(path)[1].token
         for batch in batches:
-            texts = []
-            for ids in batch.column(ids_at).to_pylist():
-                decoder = StreamDecoder(token)
-                texts.append(decoder.feed(ids or []) + decoder.close())
+            column = batch.column(ids_at).fill_null([])
+            ids = column.flatten().to_numpy(zero_copy_only=False)
+            data, at = decode_ids(ids, np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy()))), path)
+            texts = [b"".join(decoded(data[s:e])).decode() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*(c for i, c in enumerate(batch.columns) if i != ids_at), pa.array(texts, pa.string())], [*(n for i, n in enumerate(batch.schema.names) if i != ids_at), "text"])
 
     return run
@@ -351,7 +418,7 @@ def _digest_partition(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                         rows.column(0),
                         pa.array(np.diff(first), pa.int64()),
                         pa.array([hashlib.sha256(" ".join(shown[s:e]).encode()).hexdigest() for s, e in bounds]),
-                        pa.array([hashlib.sha256(data[s:e]).hexdigest() for s, e in zip(at[:-1].tolist(), at[1:].tolist())]),
+                        pa.array([_sha256(decoded(data[s:e])) for s, e in zip(at[:-1].tolist(), at[1:].tolist())]),
                     ],
                     ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
                 )

@@ -34,7 +34,9 @@ def classes() -> np.ndarray:
     """The class of every code point, as the pattern's \\p{L}, \\p{N} and \\s see it."""
     import regex
 
-    every = "".join(chr(c) if not 0xD800 <= c < 0xE000 else "�" for c in range(sys.maxunicode + 1))
+    points = np.arange(sys.maxunicode + 1, dtype="<u4")
+    points[0xD800:0xE000] = 0xFFFD
+    every = points.tobytes().decode("utf-32-le")
     table = np.full(sys.maxunicode + 1, OTHER, np.uint8)
     for pattern, kind in ((r"\p{L}+", LETTER), (r"\p{N}+", NUMBER), (r"\s+", SPACE)):
         for m in regex.finditer(pattern, every):

@@ -69,24 +69,28 @@ def test_pieces_and_ids_equal_the_library(docs, empty):
     assert collections.Counter((r.doc_id, r.text) for r in back.collect()) == collections.Counter((d, t or "") for d, t in TEXTS)
 
 
-def test_transducer_equals_merging_by_definition():
-    fst = bpe.Transducer(bpe.read_ranks(RANKS), max_states=50)
+def test_transducer_equals_merging_by_definition(monkeypatch):
+    monkeypatch.setattr(bpe, "WINDOW", 9)
+    fst = bpe.Transducer(bpe.read_ranks(RANKS), limit=20_000)
     rng = np.random.default_rng(0)
-    for _ in range(300):
-        piece = bytes(rng.choice(list(b"aeithnrs oldc\xc3\xa9"), rng.integers(1, 14)))
+    for n in [*rng.integers(1, 14, 300), *rng.integers(30, 80, 10)]:
+        piece = bytes(rng.choice(list(b"aeithnrs oldc\xc3\xa9"), n))
+        assert [fst.token[i] for i in fst.encode(piece)] == bpe.merge(piece, fst.ranks)
+        assert fst.arcs.size <= 20_000
+    for piece in (b" " * 700, b"ab" * 300, b"=" * 333):
         assert [fst.token[i] for i in fst.encode(piece)] == bpe.merge(piece, fst.ranks)
-        fst.max_states = 50
-        if len(fst.content) > 50:
-            fst.clear()
 
 
 def test_stream_decoder_is_utf8_with_replacement():
     rng = np.random.default_rng(1)
-    token = [bytes([b]) for b in range(256)]
-    for _ in range(300):
-        data = bytes(rng.choice([0x41, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xED, 0xA0, 0xFF], rng.integers(0, 12)))
-        decoder = bpe.StreamDecoder(token)
-        assert "".join(decoder.feed([b]) for b in data) + decoder.close() == data.decode(errors="replace")
+    for _ in range(600):
+        data = rng.choice([0x41, 0xC3, 0xA9, 0xE2, 0x82, 0xAC, 0xF0, 0x9F, 0x98, 0x80, 0xED, 0xA0, 0xFF], rng.integers(0, 12)).astype(np.uint8)
+        decoder, cuts = bpe.StreamDecoder(), np.sort(rng.integers(0, len(data) + 1, 3))
+        got = b"".join([*(decoder.feed(x) for x in np.split(data, cuts)), decoder.close()])
+        assert got == data.tobytes().decode(errors="replace").encode()
+    for text in ("aé日😀" * 50, ""):
+        data, decoder = np.frombuffer(text.encode(), np.uint8), bpe.StreamDecoder()
+        assert b"".join([*(decoder.feed(data[i : i + 1]) for i in range(len(data))), decoder.close()]) == text.encode()
 
 
 def test_token_store_round_trip(spark, docs, empty):
