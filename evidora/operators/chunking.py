@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import slugify, strip
-from .statutes import chunk_one
+from .statutes import is_omitted, split_clauses, split_sections
 
 GUIDELINE_CHARS = 1500
 HEADING_CHARS = 120
@@ -99,19 +96,14 @@ def chunk_patents(records: DataFrame) -> DataFrame:
 
 
 def chunk_statutes(docs: DataFrame) -> DataFrame:
-    """Sections and clauses; one document a row, parsed without a shuffle."""
-    fields = ["doc_id", "title", "text", "section_prefix", "section_label_prefix", *CHUNK[4:]]
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for d in frame.to_dict("records"):
-                for c in chunk_one(d["doc_id"], d["title"], d["text"] or "", d["section_prefix"], d["section_label_prefix"]):
-                    rows.append({**c, **{k: d[k] for k in CHUNK[4:]}})
-            yield pd.DataFrame(rows, columns=CHUNK)
-
-    schema = ", ".join(f"{c} {'boolean' if c == 'is_fixture' else 'string'}" for c in CHUNK)
-    return docs.select(*fields).mapInPandas(run, schema)
+    """Sections and clauses of statutes, without omitted clauses; one shuffle by document."""
+    pieces = split_clauses(split_sections(docs)).where(F.col("letter").isNull() | ~is_omitted(F.col("text")))
+    fields = docs.select("doc_id", F.xxhash64("text").alias("_same"), F.col("title").alias("_title"), "section_label_prefix", *CHUNK[4:]).dropDuplicates(["doc_id", "_same"])
+    label = F.concat("number", F.when(F.col("letter").isNotNull(), F.concat(F.lit("("), "letter", F.lit(")"))).otherwise(F.lit("")))
+    shown = F.concat_ws(" ", F.when(F.col("section_label_prefix") != "", F.col("section_label_prefix")), label)
+    return pieces.join(fields, ["doc_id", "_same"]).select(
+        F.concat_ws("_", "doc_id", slugify(F.col("number")), "letter").alias("id"), F.concat("_title", F.lit(" — Section "), shown).alias("title"), "text", shown.alias("section"), *CHUNK[4:]
+    )
 
 
 def branch(source_type: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, dense, filters, fusion, lexical
+from ..operators import chunking, dense, filters, fusion, lexical, statutes
 from ..queries import query
 from ..sources.store import index_round_trip
 from .adapters import CHUNKS_SQL, QUERIES_SQL, chunks, queries, sql_list, table, tokens_sql
@@ -154,26 +154,23 @@ def chunk_statutes(spark, sf_dir):
 
 @query("normalize_statute")
 def normalize_statute(spark, sf_dir):
-    from ..operators.statutes import normalize_statute as run
+    found = statutes.normalize_statutes(_statutes(spark, sf_dir).withColumn("doc_id", F.col("id")))
+    return found.select("doc_id", F.md5("body").alias("body_md5"), F.size("notes").alias("n_notes"), F.md5(F.array_join("notes", "\n")).alias("notes_md5"))
 
-    def parse(frames):
-        for f in frames:
-            out = [run(t or "") for t in f["text"]]
-            yield f[["id"]].assign(n_lines=[len(b.split("\n")) for b, _ in out], n_notes=[len(n) for _, n in out])
 
-    return _statutes(spark, sf_dir).select("id", "text").mapInPandas(parse, "id string, n_lines long, n_notes long")
+def _sections(spark, sf_dir):
+    return statutes.split_sections(_statutes(spark, sf_dir).withColumn("doc_id", F.col("id")))
 
 
 @query("split_sections")
 def split_sections(spark, sf_dir):
-    s = chunking.chunk_statutes(_statutes(spark, sf_dir))
-    return s.groupBy(F.regexp_extract("section", r"^(\d+)", 1).alias("section")).agg(F.count("*").alias("chunks"))
+    text = F.array_join(F.transform("rows", lambda r: r["text"]), "\n")
+    return _sections(spark, sf_dir).select("doc_id", "part", "number", F.md5(text).alias("text_md5"))
 
 
 @query("split_clauses")
 def split_clauses(spark, sf_dir):
-    s = chunking.chunk_statutes(_statutes(spark, sf_dir))
-    return s.where(F.col("section").contains("(")).groupBy(F.regexp_extract("section", r"\((.)\)", 1).alias("letter")).agg(F.count("*").alias("chunks"))
+    return statutes.split_clauses(_sections(spark, sf_dir)).select("doc_id", "part", "number", "letter", F.md5("text").alias("text_md5"))
 
 
 @query("chunk_corpus")

@@ -78,12 +78,87 @@ def test_statutes(spark):
     got = {r.id: r for r in chunking.chunk_statutes(df).collect()}
     assert set(got) == {"act_3", "act_3_a", "act_3_d", "act_3_h", "act_3_i", "act_3_k", "act_3_p", "act_33_i"}
     assert "(ii) two" in got["act_3_d"].text and got["act_3_i"].section == "3(i)" and "(ii) second" in got["act_3_k"].text
-    body, notes = statutes.normalize_statute(STATUTE)
+    (_, body, notes) = statutes.normalize_statutes(df).first()
     assert notes == ["1. Ins. by Act 15 of 2005, s. 2 (w.e.f. 1-1-2005). wrapped note"] and "APPLICATIONS" not in body
     other = meta(spark.createDataFrame([("bda", "3. x\n(a) y")], "doc_id string, text string"), section_label_prefix="BDA")
     assert {r.section for r in chunking.chunk_statutes(other).collect()} == {"BDA 3", "BDA 3(a)"}
-    with pytest.raises(ValueError):
-        statutes.split_sections("no headings", None)
+    none = meta(spark.createDataFrame([("x", "no headings")], "doc_id string, text string"))
+    with pytest.raises(Exception, match="no section headings"):
+        chunking.chunk_statutes(none).collect()
+    (whole,) = chunking.chunk_statutes(none.withColumn("section_prefix", F.lit("7"))).collect()
+    assert (whole.id, whole.section, whole.text) == ("x_7", "7", "no headings")
+
+
+LAYOUT = """**3. Bold heading.—These are items of**
+
+the Act,—
+
+(a) alpha wraps to a
+
+second line;
+
+4[(b) bravo, inserted later;]
+
+6[(d) delta.
+
+_Explanation.—About delta_
+
+goes on;]
+
+1. Ins. by Act 1 of 2000, s. 2 (w.e.f. 1-1-2000).
+2. Subs. by s. 3, ibid., for "old"
+(w.e.f. 1-1-2000).
+
+12
+
+-----
+
+(e) echo;
+
+(f) foxtrot;
+
+1*     -     -     -
+(h) hotel;
+
+**4. Next heading.—Words.**
+
+2[CHAPTER IVA
+
+RULES ON [3][SUCH] ITEMS
+
+**33H. Third heading.—Words.**
+
+2[33-I. Hyphen heading.—Words.
+
+(1) a sub-section;
+"""
+
+
+def test_statute_layout(spark):
+    after_chapter = "CHAPTER II\n1. Ins. by Act 15 of 2005\n---\nplain words\nGO ON\nmore words"
+    texts = [("t", LAYOUT), ("c", after_chapter), ("p", "3. H.—head\n(d) clause d.\nExplanation.—kept.\n(e) clause e."), ("n", None), ("e", " \n\n")]
+    df = spark.createDataFrame(texts, "doc_id string, text string")
+    found = {r.doc_id: r for r in statutes.normalize_statutes(df).collect()}
+    assert (found["c"].body, found["c"].notes) == ("plain words\nGO ON\nmore words", ["1. Ins. by Act 15 of 2005"])
+    assert (found["p"].body, found["p"].notes) == (texts[2][1], [])
+    assert [(found[k].body, found[k].notes) for k in "ne"] == [("", []), ("", [])]
+    assert found["t"].notes == ["1. Ins. by Act 1 of 2000, s. 2 (w.e.f. 1-1-2000).", '2. Subs. by s. 3, ibid., for "old" (w.e.f. 1-1-2000).', "[omission marker] 1*     -     -     -"]
+    got = {r.id: r for r in chunking.chunk_statutes(meta(df.where("doc_id = 't'"))).collect()}
+    assert {r.section for r in got.values()} == {"3", "3(a)", "3(b)", "3(d)", "3(e)", "3(f)", "3(h)", "4", "33H", "33-I"}
+    assert got["t_3_b"].text == "4[(b) bravo, inserted later;]" and got["t_3_a"].text == "(a) alpha wraps to a\n\nsecond line;"
+    assert got["t_3_d"].text == "6[(d) delta.\n\nExplanation.—About delta\n\ngoes on;]"
+    assert got["t_4"].text == "4. Next heading.—Words." and got["t_33_i"].text.endswith("(1) a sub-section;")
+
+
+def test_clause_letters(spark):
+    def letters(body):
+        df = meta(spark.createDataFrame([("s", "3. h\n" + body)], "doc_id string, text string"))
+        return sorted(r.section for r in chunking.chunk_statutes(df).collect() if "(" in r.section)
+
+    assert letters("(d) x\n(i) one\n(ii) two\n(e) y") == ["3(d)", "3(e)"]
+    assert letters("(h) x\n(i) one\n(ii) two\n(i) again") == ["3(h)", "3(i)"]
+    assert letters("(i) one\n(j) two\n(i) no\n(v) no\n(k) yes") == ["3(i)", "3(j)", "3(k)"]
+    assert letters("(a)\n(b)") == ["3(a)"] and letters("(a) [Omitted]\n(c) * * *\n(d) kept") == ["3(d)"]
 
 
 def sequential_groups(text, limit):
@@ -341,7 +416,6 @@ def test_branches(spark):
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
 def test_chunk_corpus_takes_every_document_once(spark):
-    from evidora.operators.statutes import chunk_one
     from evidora.plans import adapters, retrieval
 
     sf = "/root/testdata/sf0.001"
@@ -361,8 +435,7 @@ def test_chunk_corpus_takes_every_document_once(spark):
     for d in adapters.chunks(spark, sf).collect():
         lines = d.text.split("\n")
         if d.source_type == "statute":
-            marked = [f"{i // 3 + 1}. {x}" if i % 3 == 0 else f"({'a' if i % 3 == 1 else 'd'}) {x}" for i, x in enumerate(lines)]
-            want += [(c["id"], c["section"], len(c["text"])) for c in chunk_one(d.id, d.title, "\n".join(marked), "1", None)]
+            continue
         elif d.source_type == "patent":
             stem = f"patent_us_{d.doc_id}_a1"
             want.append((f"{stem}_abstract", "abstract", len("\n".join(lines[1:]).strip())))
@@ -370,6 +443,8 @@ def test_chunk_corpus_takes_every_document_once(spark):
                 want.append((f"{stem}_claim_1", "claim 1", len(lines[1].strip())))
         else:
             want += [(f"{d.id}_p{i:03d}", h, len(t)) for i, (h, t) in enumerate(groups(d.text.replace("\n", "\n\n")))]
+    own = retrieval._statutes(spark, sf).where("source_type = 'statute'")
+    want += [tuple(r) for r in chunking.chunk_statutes(own).select("id", "section", F.length("text")).collect()]
     got = [tuple(r) for r in retrieval.chunk_corpus(spark, sf).select("id", "section", "n_chars").collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     bad = spark.createDataFrame([("poem",)], "t string")
