@@ -15,7 +15,7 @@ from .filters import SECTION3_CLAUSES
 RISK_WEIGHTS = {"3(d)": 0.35, "3(e)": 0.30, "3(p)": 0.35}
 CLEARED_NOTE = "[trigger cleared: no valid retrieved source_id for this clause — evidence gap, human review required]"
 REMOVED_NOTICE = "[Unsupported claims were removed pending human review.]"
-HUMAN_REVIEW_REASONS = ["missing_evidence", "ambiguous_botanical", "insufficient_international_evidence"]
+HUMAN_REVIEW_REASONS = ["ambiguous_botanical", "insufficient_international_evidence", "section3_evidence_gap"]
 MIN_SUPPORT = 0.6
 
 

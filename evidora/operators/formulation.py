@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import normalize
+
 # Mass units in milligrams and units that are known.
 TO_MG = {"mg": 1.0, "g": 1000.0, "kg": 1_000_000.0, "mcg": 0.001}
 UNITS = ["mg", "g", "kg", "mcg", "ml", "l", "%", "iu", "part", "tablet", "capsule"]
 HEADER = ["name", "dosage_form", "route", "intended_use", "target_market", "purpose", "entity_type"]
-PARTS = ["root", "leaf", "leaves", "bark", "fruit", "seed", "flower", "stem", "rhizome", "whole plant"]
-FORMS = ["capsule", "tablet", "syrup", "powder", "churna", "oil", "cream", "decoction"]
 RESOLVED = ["confirmed", "probable"]
+FEE_FIELDS = {"purpose": ["commercial_utilization", "research", "bio_survey", "ipr"], "entity_type": ["indian", "foreign"]}
+# The texts of claims.
+RESOURCE_CLAIM = "Plants and plant parts are biological resources under the Biological Diversity Act, 2002."
+LICENCE_CLAIM = "Manufacture of Ayurvedic drugs for sale in India requires a licence under the Drugs and Cosmetics Act, 1940."
+ACCESS_CLAIM = "Obtaining biological resources occurring in India for commercial utilization requires prior intimation or approval under the Biological Diversity Act."
+TRADITION_CLAIM = " is described in Ayurvedic pharmacopoeial or classical formulary texts."
+PRIOR_ART_CLAIM = "Patent documents disclose compositions containing "
 
 
 def characterize(formulations: DataFrame, ingredients: DataFrame) -> DataFrame:
@@ -55,57 +59,100 @@ def missing_information(formulations: DataFrame, ingredients: DataFrame) -> Data
     return out.select("formulation_id", missing.alias("missing"), question.alias("question"))
 
 
+def tool_readiness(formulations: DataFrame, ingredients: DataFrame, tool: str) -> DataFrame:
+    """(formulation_id, tool, ready, missing, question, ingredient_id, options): what stops a tool, and the first question to ask.
+
+    Tools are review, patent and nba-abs; only the last needs a purpose and an entity
+    type.  An ambiguous identity is asked for only if it has candidates.
+    ingredients: formulation_id, pos, ingredient_id, identity_status, candidates (array of names).
+    """
+    open_ = (F.col("identity_status") == "ambiguous") & (F.size(F.coalesce("candidates", F.array().cast("array<string>"))) > 0)
+    rows = ingredients.groupBy("formulation_id").agg(F.count("*").alias("n"), F.min(F.when(open_, F.struct("pos", "ingredient_id", "candidates"))).alias("_open"))
+    out = formulations.join(rows, "formulation_id", "left")
+    needed = [(F.coalesce("n", F.lit(0)) == 0, "ingredients", None)]
+    if tool == "nba-abs":
+        needed += [(F.col(c).isNull(), c, values) for c, values in FEE_FIELDS.items()]
+    missing = F.array_compact(F.array(*[F.when(flag, word) for flag, word, _ in needed]))
+    (none, *fields), asks = needed, F.col("_open").isNotNull()
+    question = F.coalesce(F.when(none[0], "ingredients"), F.when(asks, "botanical_identity"), *[F.when(flag, word) for flag, word, _ in fields])
+    options = F.coalesce(F.when(asks & ~none[0], F.col("_open.candidates")), *[F.when(question == word, F.array(*map(F.lit, values))) for _, word, values in fields])
+    return out.select("formulation_id", F.lit(tool).alias("tool"), question.isNull().alias("ready"), missing.alias("missing"), question.alias("question"), F.when(question == "botanical_identity", F.col("_open.ingredient_id")).alias("ingredient_id"), options.alias("options"))
+
+
 def formulation_claims(formulations: DataFrame, ingredients: DataFrame, hits: DataFrame) -> DataFrame:
     """(formulation_id, claim, branch, subject_ids, candidate_ids).
 
-    A licence claim always; resource and access claims with a resolved plant; one
-    traditional-knowledge and one prior-art claim for each resolved plant.
-    Equal texts are one claim with all subjects.  hits: formulation_id, branch, rank, id.
+    The licence claim always; with a resolved plant the resource claim, about each of
+    them, and the access claim; for each resolved plant one about traditional
+    knowledge and one about prior art.  Equal texts are one claim with all
+    subjects.  Candidates are the hits of the claim's branch.  hits:
+    formulation_id, branch, rank, id.
     """
-    plants = ingredients.where(F.col("identity_status").isin(RESOLVED)).select("formulation_id", "pos", "ingredient_id", "botanical_name")
-    held = plants.groupBy("formulation_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ingredient_id"))), lambda x: x["ingredient_id"]).alias("subjects"))
-    whole = formulations.select("formulation_id", F.lit("A manufacturing licence is required for this formulation.").alias("claim"), F.lit("regulation").alias("branch"), F.array(F.lit("formulation")).alias("subjects"), F.lit(0).alias("ord"))
-    some = F.array(F.struct(F.lit("The formulation uses biological resources.").alias("claim"), F.lit(1).alias("ord")), F.struct(F.lit("Access approval applies to the resources.").alias("claim"), F.lit(2).alias("ord")))
-    shared = held.select("formulation_id", F.explode(some).alias("c"), "subjects").select("formulation_id", "c.claim", F.lit("biodiversity").alias("branch"), "subjects", "c.ord")
-    each = plants.select("*", F.explode(F.array(F.struct(F.lit("traditional").alias("b"), F.lit("has documented traditional use.").alias("t")), F.struct(F.lit("patent").alias("b"), F.lit("appears in earlier patents.").alias("t")))).alias("c"))
-    each = each.select("formulation_id", F.concat("botanical_name", F.lit(" "), "c.t").alias("claim"), F.col("c.b").alias("branch"), F.array("ingredient_id").alias("subjects"), (F.col("pos") + 10).alias("ord"))
-    rows = whole.unionByName(shared).unionByName(each)
-    merged = rows.groupBy("formulation_id", "claim").agg(F.min_by("branch", "ord").alias("branch"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("ord", "subjects"))), lambda x: x["subjects"]))).alias("subject_ids"))
+    plants = ingredients.where(F.col("identity_status").isin(RESOLVED) & F.coalesce(F.col("botanical_name") != "", F.lit(False)))
+    name, shown = F.col("botanical_name"), []
+    for order, (claim, branch, subject) in enumerate(
+        [
+            (F.lit(RESOURCE_CLAIM), "abs", F.concat(F.lit("bio:"), "ingredient_id")),
+            (F.lit(ACCESS_CLAIM), "abs", F.lit("abs")),
+            (F.concat(name, F.lit(TRADITION_CLAIM)), "traditional_knowledge", F.lit("traditional_knowledge")),
+            (F.concat(F.lit(PRIOR_ART_CLAIM), name, F.lit(".")), "patent", F.lit("prior_art")),
+        ]
+    ):
+        shown.append(F.struct(claim.alias("claim"), F.lit(branch).alias("branch"), subject.cast("string").alias("subject"), F.lit(order).alias("order")))
+    each = plants.select("formulation_id", "pos", F.explode(F.array(*shown)).alias("c")).select("formulation_id", "pos", "c.*")
+    licence = formulations.select("formulation_id", F.lit(0).alias("pos"), F.lit(LICENCE_CLAIM).alias("claim"), F.lit("regulatory").alias("branch"), F.lit("regulatory").alias("subject"), F.lit(0).alias("order"))
+    rows = each.withColumn("pos", F.col("pos").cast("int")).unionByName(licence)
+    merged = rows.groupBy("formulation_id", "claim").agg(F.min_by("branch", "order").alias("branch"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("pos", "subject"))), lambda x: x["subject"])).alias("subject_ids"))
     found = hits.groupBy("formulation_id", "branch").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda x: x["id"]).alias("candidate_ids"))
     return merged.join(found, ["formulation_id", "branch"], "left").withColumn("candidate_ids", F.coalesce("candidate_ids", F.array().cast("array<string>")))
 
 
-def claim_evidence(claims: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Subject statuses (formulation_id, subject_id, status) and source statuses (formulation_id, source_id, status).
+def _claim_key(claim: Column) -> Column:
+    return F.regexp_replace(normalize(claim), r"\.+$", "")
+
+
+def claim_evidence(claims: DataFrame, verdicts: DataFrame, stripped: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Subject statuses (formulation_id, subject_id, status), source statuses (formulation_id, source_id, status) and supported_by edges (formulation_id, subject_id, source_id).
 
     claims: formulation_id, claim, subject_ids, candidate_ids; verdicts:
-    formulation_id, claim, status, evidence_source_ids.  A claim is traceable if
-    it is supported and cites a candidate of its own.
+    formulation_id, claim, status, evidence_source_ids; stripped: formulation_id,
+    claim of those taken out as unsupported.  A claim is traceable if it is
+    supported and cites a candidate of its own.  Formulations without any verdict
+    are not verified.
     """
-    from ..functions.text import normalize
-
-    rows = claims.withColumn("_c", normalize(F.col("claim"))).join(verdicts.select("formulation_id", normalize(F.col("claim")).alias("_c"), F.col("status").alias("verdict"), "evidence_source_ids"), ["formulation_id", "_c"], "left")
-    cited = F.array_intersect("candidate_ids", F.coalesce("evidence_source_ids", F.array().cast("array<string>")))
-    rows = rows.withColumn("cited", cited).withColumn("good", F.coalesce(F.col("verdict").isin("SUPPORTED", "PARTIALLY_SUPPORTED") & (F.size("cited") > 0), F.lit(False)))
-    subjects = rows.select("formulation_id", F.explode("subject_ids").alias("subject_id"), "good", "verdict").groupBy("formulation_id", "subject_id").agg(F.count("*").alias("n"), F.count_if("good").alias("good"), F.count_if(F.col("good") & (F.col("verdict") == "SUPPORTED")).alias("full"))
+    none = F.array().cast("array<string>")
+    given = verdicts.select("formulation_id", _claim_key(F.col("claim")).alias("_c"), F.col("status").alias("verdict"), "evidence_source_ids").dropDuplicates(["formulation_id", "_c"])
+    if stripped is not None:
+        given = given.join(stripped.select("formulation_id", _claim_key(F.col("claim")).alias("_c")), ["formulation_id", "_c"], "left_anti")
+    ran = verdicts.select("formulation_id").distinct().withColumn("ran", F.lit(True))
+    rows = claims.withColumn("_c", _claim_key(F.col("claim"))).join(given, ["formulation_id", "_c"], "left").join(ran, "formulation_id", "left")
+    rows = rows.withColumn("cited", F.array_intersect("candidate_ids", F.coalesce("evidence_source_ids", none)))
+    rows = rows.withColumn("good", F.coalesce(F.col("verdict").isin("SUPPORTED", "PARTIALLY_SUPPORTED") & (F.size("cited") > 0), F.lit(False)))
+    subjects = rows.select("formulation_id", F.explode("subject_ids").alias("subject_id"), "good", "verdict", "cited")
+    counted = subjects.groupBy("formulation_id", "subject_id").agg(F.count("*").alias("n"), F.count_if("good").alias("good"), F.count_if(F.col("good") & (F.col("verdict") == "SUPPORTED")).alias("full"))
     status = F.when(F.col("good") == 0, "insufficient_evidence").when(F.col("full") == F.col("n"), "confirmed").otherwise("probable")
-    sources = rows.select("formulation_id", F.explode("candidate_ids").alias("source_id"), "cited", "verdict").withColumn("uses", F.array_contains("cited", F.col("source_id")))
-    by = sources.groupBy("formulation_id", "source_id").agg(F.bool_or(F.col("uses") & (F.col("verdict") == "SUPPORTED")).alias("s"), F.bool_or(F.col("uses") & (F.col("verdict") == "PARTIALLY_SUPPORTED")).alias("p"), F.bool_or(F.col("verdict").isNotNull()).alias("v"))
+    edges = subjects.where("good").select("formulation_id", "subject_id", F.explode("cited").alias("source_id")).distinct()
+    sources = rows.select("formulation_id", F.explode("candidate_ids").alias("source_id"), F.when(F.col("good"), F.col("cited")).otherwise(none).alias("cited"), "verdict", "ran").withColumn("uses", F.array_contains("cited", F.col("source_id")))
+    by = sources.groupBy("formulation_id", "source_id").agg(F.bool_or(F.col("uses") & (F.col("verdict") == "SUPPORTED")).alias("s"), F.bool_or(F.col("uses") & (F.col("verdict") == "PARTIALLY_SUPPORTED")).alias("p"), F.bool_or("ran").alias("v"))
     state = F.when(F.col("s"), "SUPPORTED").when(F.col("p"), "PARTIALLY_SUPPORTED").when(F.col("v"), "UNSUPPORTED").otherwise("NOT_VERIFIED")
-    return subjects.select("formulation_id", "subject_id", status.alias("status")), by.select("formulation_id", "source_id", state.alias("status"))
+    return counted.select("formulation_id", "subject_id", status.alias("status")), by.select("formulation_id", "source_id", state.alias("status")), edges
 
 
 def _amount(q: Column, u: Column) -> Column:
     return F.when(q.isNull(), "no quantity").otherwise(F.trim(F.concat(F.regexp_replace(q.cast("string"), r"\.0$", ""), F.lit(" "), F.coalesce(u, F.lit("")))))
 
 
+def _identity(side: str) -> Column:
+    return F.coalesce(F.nullif(f"{side}_botanical_name", F.lit("")), F.col(f"{side}_identity_status"))
+
+
 def ingredient_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     """(keys..., kind, change) between ingredients of two versions, joined by (formulation_id, version, id).
 
     ``version`` is the newer version on both sides.
     """
     keys = ["formulation_id", "version", "id"]
-    fields = ["user_term", "quantity", "unit", "plant_part", "botanical_name"]
+    fields = ["user_term", "quantity", "unit", "plant_part", "botanical_name", "identity_status"]
     a = old.select(*keys, *[F.col(f).alias(f"a_{f}") for f in fields], F.lit(True).alias("in_a"))
     b = new.select(*keys, *[F.col(f).alias(f"b_{f}") for f in fields], F.lit(True).alias("in_b"))
     rows = a.join(b, keys, "full")
@@ -128,7 +175,7 @@ def ingredient_diff(old: DataFrame, new: DataFrame) -> DataFrame:
             F.when(differs("quantity", "unit"), F.struct(F.lit("quantity").alias("kind"), arrow(_amount(F.col("a_quantity"), F.col("a_unit")), _amount(F.col("b_quantity"), F.col("b_unit")), F.concat(term, F.lit(": "))).alias("change"))),
             F.when(differs("user_term"), F.struct(F.lit("renamed").alias("kind"), arrow(F.col("a_user_term"), term, F.lit("Renamed ")).alias("change"))),
             F.when(differs("plant_part"), F.struct(F.lit("plant_part").alias("kind"), arrow(F.col("a_plant_part"), F.col("b_plant_part"), F.concat(term, F.lit(" plant part: "))).alias("change"))),
-            F.when(differs("botanical_name"), F.struct(F.lit("identity").alias("kind"), arrow(F.col("a_botanical_name"), F.col("b_botanical_name"), F.concat(term, F.lit(" identity: "))).alias("change"))),
+            F.when(differs("botanical_name"), F.struct(F.lit("identity").alias("kind"), arrow(_identity("a"), _identity("b"), F.concat(term, F.lit(" identity: "))).alias("change"))),
         )
     )
     return rows.select(*keys, F.explode(changes).alias("c")).select(*keys, "c.kind", "c.change")
@@ -173,83 +220,3 @@ def scenario_overlay(formulations: DataFrame, ingredients: DataFrame, overlay: D
     other = ~(F.col("old_quantity").eqNullSafe(F.col("quantity")) & F.col("old_unit").eqNullSafe(F.col("unit")))
     diffs = copy.where(other).select(*keys, F.concat("user_term", F.lit(": "), _amount(F.col("old_quantity"), F.col("old_unit")), F.lit(" → "), _amount(F.col("quantity"), F.col("unit"))).alias("change"))
     return characterize(formulations, copy), diffs
-
-
-def extract_ingredients(texts: DataFrame, lexicon: list[str]) -> DataFrame:
-    """(id, pos, user_term, quantity, unit, plant_part) of texts (id, text).
-
-    Lexicon terms are matched longest first; a quantity stands up to 24
-    characters before ("500 mg of X") or after ("X (500 mg)"), a plant part up to
-    20 characters around.
-    """
-    import re
-
-    terms = sorted({t for t in lexicon if t}, key=lambda t: (-len(t), t))
-    name = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, terms)) + r")(?!\w)", re.I) if terms else None
-    unit = "|".join(sorted(map(re.escape, UNITS), key=len, reverse=True))
-    before = re.compile(rf"(\d+(?:\.\d+)?)\s*({unit})\s*(?:of\s+)?\W{{0,3}}$", re.I)
-    after = re.compile(rf"^\W{{0,4}}(\d+(?:\.\d+)?)\s*({unit})\b", re.I)
-    part = re.compile(r"\b(" + "|".join(PARTS) + r")\b", re.I)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for key, text in zip(frame["id"], frame["text"]):
-                seen = set()
-                for m in name.finditer(text or "") if name else ():
-                    term = m[0].lower()
-                    if term in seen:
-                        continue
-                    seen.add(term)
-                    amount = before.search(text[max(0, m.start() - 24) : m.start()]) or after.search(text[m.end() : m.end() + 24])
-                    near = part.search(text[max(0, m.start() - 20) : m.end() + 20])
-                    rows.append((key, len(seen), m[0], float(amount[1]) if amount else None, amount[2].lower() if amount else None, near[1].lower() if near else None))
-            yield pd.DataFrame(rows, columns=["id", "pos", "user_term", "quantity", "unit", "plant_part"])
-
-    kind = texts.schema["id"].dataType.simpleString()
-    return texts.select("id", "text").mapInPandas(run, f"id {kind}, pos int, user_term string, quantity double, unit string, plant_part string")
-
-
-def ground_extraction(items: DataFrame, texts: DataFrame) -> DataFrame:
-    """Items (id, pos, user_term, quantity, unit) checked against their text: (…, kept, dropped).
-
-    An item stays if its term, or its first five letters, is in the text and no
-    earlier item has it; a quantity that the text does not hold is nulled with its unit.
-    """
-    rows = items.join(texts.select("id", F.lower("text").alias("_t")), "id")
-    term = F.lower(F.trim("user_term"))
-    there = F.col("_t").contains(term) | ((F.length(term) >= 5) & F.col("_t").contains(F.substring(term, 1, 5)))
-    number = F.regexp_replace(F.col("quantity").cast("string"), r"\.0$", "")
-    said = F.col("quantity").isNotNull() & F.regexp_like("_t", F.concat(F.lit(r"(?<![\d.])\Q"), number, F.lit(r"\E(?![\d])")))
-    first = F.row_number().over(Window.partitionBy("id", term).orderBy("pos")) == 1
-    reason = F.when(~there, "not in text").when(~first, "duplicate").when(F.col("quantity").isNotNull() & ~said, "quantity not in text").when(F.col("unit").isNotNull() & ~F.lower("unit").isin(UNITS), "unknown unit")
-    kept = there & first
-    unit = F.when(said & F.lower("unit").isin(UNITS), F.lower("unit"))
-    return rows.select("id", "pos", "user_term", F.when(said, F.col("quantity")).alias("quantity"), unit.alias("unit"), kept.alias("kept"), reason.alias("dropped"))
-
-
-# Intents and the patterns that show them, in order.
-INTENTS = [
-    ("PATENT_SEARCH", r"(?i)\bpatent|\bprior art"),
-    ("LICENSE", r"(?i)\blicen[cs]e|\bregulat"),
-    ("ABS", r"(?i)\babs\b|\bbenefit[- ]sharing|\bbiodiversity"),
-    ("COMPARE", r"(?i)\bcompare|\bversus\b|\bvs\b"),
-    ("MARKET", r"(?i)\bmarket|\bcompetitor"),
-    ("ADD", r"(?i)\badd\b|\binclude\b"),
-    ("REMOVE", r"(?i)\bremove\b|\bdelete\b"),
-    ("UPDATE", r"(?i)\bchange\b|\bupdate\b|\bset\b"),
-    ("DOSAGE_FORM", r"(?i)\b(?:" + "|".join(FORMS) + r")s?\b"),
-    ("INTENDED_USE", r"(?i)\bused? for\b|\bindicated\b"),
-]
-COMMANDS = {"/patent": ["PATENT_SEARCH"], "/license": ["LICENSE"], "/abs": ["ABS"], "/compare": ["COMPARE"]}
-
-
-def tag_intents(text: Column) -> Column:
-    """Intents in the order of their first match; a slash command decides alone; none is GENERAL_QUESTION."""
-    hits = [F.when(F.regexp_instr(text, F.lit(p)) > 0, F.struct(F.regexp_instr(text, F.lit(p)).alias("at"), F.lit(i).alias("n"), F.lit(name).alias("intent"))) for i, (name, p) in enumerate(INTENTS)]
-    found = F.transform(F.array_sort(F.array_compact(F.array(*hits))), lambda h: h["intent"])
-    word = F.lower(F.regexp_extract(F.coalesce(text, F.lit("")), r"^\s*(/\w+)", 1))
-    out = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("GENERAL_QUESTION")))
-    for command, intents in COMMANDS.items():
-        out = F.when(word == command, F.array(*map(F.lit, intents))).otherwise(out)
-    return out

@@ -52,17 +52,21 @@ def _find(state: dict, ingredient_id: str | None) -> dict[str, Any]:
     raise Rejected("That ingredient is not in the current formulation.")
 
 
+def _same_term(x: str) -> str:
+    return " ".join(x.lower().split())
+
+
 def _add(state: dict, a: dict) -> str:
-    term = (a["user_term"] or "").strip()
-    key = " ".join(term.lower().split())
-    if any(" ".join(r["user_term"].lower().split()) == key for r in state["ingredients"]):
-        raise Rejected(f"{term} is already in the formulation.")
-    name = a.get("botanical_name")
-    if name and any(r["botanical_name"] == name for r in state["ingredients"]):
-        raise Rejected(f"{term} resolves to {name}, which is already in the formulation.")
-    row = {"id": a.get("ingredient_id") or f"ing_{a['seq']}", "user_term": term, "quantity": a.get("quantity"), "unit": a.get("unit"), "plant_part": a.get("plant_part"), "botanical_name": name}
+    row = {k: a.get(k) for k in ("user_term", "quantity", "unit", "plant_part", "botanical_name")}
+    row |= {"id": a.get("ingredient_id") or f"ing_{a['seq']}", "user_term": (row["user_term"] or "").strip()}
+    for held in state["ingredients"]:
+        if _same_term(held["user_term"]) == _same_term(row["user_term"]):
+            raise Rejected(f"{row['user_term']} is already in the formulation.")
+    names = {held["botanical_name"] for held in state["ingredients"]} - {None, ""}
+    if row["botanical_name"] in names:
+        raise Rejected(f"{row['user_term']} resolves to {row['botanical_name']}, which is already in the formulation.")
     state["ingredients"].append(row)
-    return f"Added {term} ({_quantity(row)})"
+    return f"Added {row['user_term']} ({_quantity(row)})"
 
 
 def _remove(state: dict, a: dict) -> str:
@@ -72,21 +76,21 @@ def _remove(state: dict, a: dict) -> str:
 
 
 def _update(state: dict, a: dict) -> str:
+    """Takes over what is given; an empty plant part removes it, an empty or equal name says nothing."""
     row = _find(state, a["ingredient_id"])
-    before, changed = _quantity(row), []
-    for field in ("quantity", "unit", "plant_part"):
-        if a.get(field) is not None:
-            row[field] = a[field] or None
-            changed.append(field)
-    term = (a.get("user_term") or "").strip()
-    if term and term != row["user_term"]:
-        row["user_term"] = term
-        changed.append("user_term")
-    if not changed:
+    new = {k: a[k] for k in ("quantity", "unit", "plant_part") if a.get(k) is not None}
+    if "plant_part" in new:
+        new["plant_part"] = new["plant_part"] or None
+    name = (a.get("user_term") or "").strip()
+    if name not in ("", row["user_term"]):
+        new["user_term"] = name
+    if not new:
         raise Rejected("No change requested for that ingredient.")
-    if {"quantity", "unit"} & set(changed):
-        return f"{row['user_term']}: {before} → {_quantity(row)}"
-    return f"Updated {row['user_term']} ({', '.join(changed)})"
+    old = _quantity(row)
+    row.update(new)
+    if new.keys() & {"quantity", "unit"}:
+        return f"{row['user_term']}: {old} → {_quantity(row)}"
+    return f"Updated {row['user_term']} ({', '.join(new)})"
 
 
 def _resolve(state: dict, a: dict) -> str:
@@ -163,25 +167,33 @@ def step(state: dict[str, Any], action: dict[str, Any]) -> tuple[dict[str, Any],
 
 
 def apply_all(formulation_id: int, state: dict[str, Any], actions: pd.DataFrame) -> tuple[dict[str, Any], pd.DataFrame]:
+    """The state after actions that are in order, and a row for each."""
     rows = []
-    clean = actions.astype(object).where(actions.notna(), None).sort_values("seq", kind="stable")
-    for a in clean.to_dict("records"):
+    for a in actions.astype(object).where(actions.notna(), None).to_dict("records"):
         state, status, summary = step(state, a)
         shot = json.dumps({k: state[k] for k in ("ingredients", "fields", "claims", "confirmed")}, ensure_ascii=False, sort_keys=True)
         rows.append((formulation_id, a["seq"], status, state["version"], summary, len(state["ingredients"]), shot))
     return state, pd.DataFrame(rows, columns=["formulation_id", "seq", "status", "version", "summary", "n_ingredients", "snapshot"])
 
 
+def _fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Actions sorted by formulation and seq; only the state of the current formulation is held between batches."""
+    current, state = None, new_state()
+    for frame in frames:
+        for key, actions in frame.groupby("formulation_id", sort=False):
+            if key != current:
+                current, state = key, new_state()
+            state, out = apply_all(key, state, actions)
+            yield out
+
+
 def replay_actions(actions: DataFrame) -> DataFrame:
     """One row an action: its status, the version after it and a snapshot.
 
-    A formulation's log is one group, as every action depends on the one before.
+    Every action depends on the one before, so a formulation's log is walked in
+    order, batch by batch.
     """
-
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        return apply_all(key[0], new_state(), frame)[1]
-
-    return actions.select("formulation_id", *ACTION_FIELDS).groupBy("formulation_id").applyInPandas(run, OUTPUT)
+    return actions.select("formulation_id", *ACTION_FIELDS).repartition("formulation_id").sortWithinPartitions("formulation_id", "seq").mapInPandas(_fold, OUTPUT)
 
 
 def _processor():
@@ -192,9 +204,9 @@ def _processor():
             self.state = handle.getValueState("formulation", "state string")
 
         def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timers: Any) -> Iterator[pd.DataFrame]:
-            frame = pd.concat(list(rows))
             held = json.loads(self.state.get()[0]) if self.state.exists() else new_state()
-            held, out = apply_all(key[0], held, frame)
+            frame = pd.concat(list(rows))  # one micro-batch of one formulation, whose rows come in any order
+            held, out = apply_all(key[0], held, frame.sort_values("seq", kind="stable"))
             self.state.update((json.dumps(held),))
             yield out
 
@@ -212,4 +224,6 @@ def replay_stream(actions: DataFrame) -> DataFrame:
 def versions(replayed: DataFrame) -> DataFrame:
     """(formulation_id, version, snapshot fields) of every applied action."""
     shape = "struct<ingredients:array<struct<id:string,user_term:string,quantity:double,unit:string,plant_part:string,botanical_name:string>>,fields:map<string,string>,claims:array<string>,confirmed:boolean>"
-    return replayed.where("status = 'applied'").select("formulation_id", "version", F.from_json("snapshot", shape).alias("s")).select("formulation_id", "version", "s.*")
+    read = replayed.where("status = 'applied'").select("formulation_id", "version", F.from_json("snapshot", shape).alias("s"))
+    status = F.transform("s.ingredients", lambda i: i.withField("identity_status", F.when(i["botanical_name"] != "", "confirmed").otherwise("insufficient_evidence")))
+    return read.select("formulation_id", "version", status.alias("ingredients"), "s.fields", "s.claims", "s.confirmed")

@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..operators import extraction as ex
 from ..operators import formulation as fm
 from ..operators import kg, replay
 from ..queries import query
@@ -17,6 +18,7 @@ from .adapters import sql_list, table
 
 _UNITS = ["mg", "g", "mcg", "ml"]
 _STATUS = ["confirmed", "probable", "ambiguous", "insufficient_evidence"]
+_BRANCHES = ["regulatory", "abs", "traditional_knowledge", "patent"]
 
 
 def _ingredients(spark, sf_dir):
@@ -55,19 +57,29 @@ def missing_information(spark, sf_dir):
     return fm.missing_information(_formulations(spark, sf_dir), _ingredients(spark, sf_dir)).withColumn("missing", F.array_join("missing", "|"))
 
 
+@query("tool_readiness", f"""WITH {_ING}, g AS (SELECT f, arg_min(struct_pack(i := 'i' || pos, c := 'plant ' || pos), pos) FILTER (status = 'ambiguous' AND pos % 2 = 0) AS o FROM i GROUP BY f), t AS (SELECT unnest(['patent', 'nba-abs']) AS tool),
+ r AS (SELECT o_orderkey AS k, tool, f IS NULL AS none, o, tool = 'nba-abs' AND o_custkey % 2 <> 0 AS p, tool = 'nba-abs' AND o_custkey % 3 <> 0 AS e FROM orders CROSS JOIN t LEFT JOIN g ON f = o_orderkey),
+ q AS (SELECT *, CASE WHEN none THEN 'ingredients' WHEN o IS NOT NULL THEN 'botanical_identity' WHEN p THEN 'purpose' WHEN e THEN 'entity_type' END AS question FROM r)
+ SELECT k AS formulation_id, tool, question IS NULL AS ready, array_to_string(list_filter([CASE WHEN none THEN 'ingredients' END, CASE WHEN p THEN 'purpose' END, CASE WHEN e THEN 'entity_type' END], lambda x: x IS NOT NULL), '|') AS missing, question, CASE WHEN question = 'botanical_identity' THEN o.i END AS ingredient_id, CASE question WHEN 'botanical_identity' THEN o.c || '|other' WHEN 'purpose' THEN 'commercial_utilization|research|bio_survey|ipr' WHEN 'entity_type' THEN 'indian|foreign' END AS options FROM q""")
+def tool_readiness(spark, sf_dir):
+    ing = _ingredients(spark, sf_dir).withColumn("candidates", F.when(F.col("pos") % 2 == 0, F.array(F.concat(F.lit("plant "), "pos"), F.lit("other"))))
+    tools = [fm.tool_readiness(_formulations(spark, sf_dir), ing, tool) for tool in ("patent", "nba-abs")]
+    return tools[0].unionByName(tools[1]).withColumns({"missing": F.array_join("missing", "|"), "options": F.array_join("options", "|")})
+
+
 def _claims(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
-    branch = F.element_at(F.array(*map(F.lit, ["regulation", "biodiversity", "traditional", "patent"])), (F.col("l_suppkey") % 4 + 1).cast("int"))
+    branch = F.element_at(F.array(*map(F.lit, _BRANCHES)), (F.col("l_suppkey") % 4 + 1).cast("int"))
     hits = li.select(F.col("l_orderkey").alias("formulation_id"), branch.alias("branch"), F.struct("l_linenumber", "l_suppkey", "l_partkey").alias("rank"), F.concat(F.lit("s"), "l_suppkey").alias("id"))
     return fm.formulation_claims(_formulations(spark, sf_dir), _ingredients(spark, sf_dir), hits)
 
 
 _PLANTS = "p AS (SELECT * FROM i WHERE status IN ('confirmed', 'probable'))"
-_CLAIMS = f"""{_ING}, {_PLANTS}, r AS (SELECT o_orderkey AS f, 'A manufacturing licence is required for this formulation.' AS claim, 'regulation' AS branch, 'formulation' AS s, 0 AS ord FROM orders
- UNION ALL SELECT f, unnest(['The formulation uses biological resources.', 'Access approval applies to the resources.']), 'biodiversity', 'i' || pos, pos FROM p
- UNION ALL SELECT f, plant || ' has documented traditional use.', 'traditional', 'i' || pos, pos FROM p UNION ALL SELECT f, plant || ' appears in earlier patents.', 'patent', 'i' || pos, pos FROM p),
+_CLAIMS = f"""{_ING}, {_PLANTS}, r AS (SELECT o_orderkey AS f, '{fm.LICENCE_CLAIM}' AS claim, 'regulatory' AS branch, 'regulatory' AS s, 0 AS ord FROM orders
+ UNION ALL SELECT f, '{fm.RESOURCE_CLAIM}', 'abs', 'bio:i' || pos, pos FROM p UNION ALL SELECT DISTINCT f, '{fm.ACCESS_CLAIM}', 'abs', 'abs', 0 FROM p
+ UNION ALL SELECT DISTINCT f, plant || '{fm.TRADITION_CLAIM}', 'traditional_knowledge', 'traditional_knowledge', 0 FROM p UNION ALL SELECT DISTINCT f, '{fm.PRIOR_ART_CLAIM}' || plant || '.', 'patent', 'prior_art', 0 FROM p),
  m AS (SELECT f, claim, any_value(branch) AS branch, array_to_string(list(s ORDER BY ord), '|') AS subjects FROM r GROUP BY ALL),
- h AS (SELECT l_orderkey AS f, ['regulation', 'biodiversity', 'traditional', 'patent'][l_suppkey % 4 + 1] AS branch, array_to_string(list('s' || l_suppkey ORDER BY l_linenumber, l_suppkey, l_partkey), '|') AS candidates FROM lineitem GROUP BY ALL)"""
+ h AS (SELECT l_orderkey AS f, {sql_list(_BRANCHES)}[l_suppkey % 4 + 1] AS branch, list('s' || l_suppkey ORDER BY l_linenumber, l_suppkey, l_partkey) AS c, array_to_string(c, '|') AS candidates FROM lineitem GROUP BY ALL)"""
 
 
 @query("formulation_claims", f"WITH {_CLAIMS} SELECT m.f AS formulation_id, claim, m.branch, subjects, coalesce(candidates, '') AS candidates FROM m LEFT JOIN h ON h.f = m.f AND h.branch = m.branch")
@@ -76,13 +88,22 @@ def formulation_claims(spark, sf_dir):
     return c.select("formulation_id", "claim", "branch", F.array_join("subject_ids", "|").alias("subjects"), F.array_join("candidate_ids", "|").alias("candidates"))
 
 
-@query("claim_evidence")
+_VERDICT = "(length(claim) + m.f) % 5"
+_EVIDENCE = f"""{_CLAIMS}, v AS (SELECT m.f, m.claim, string_split(m.subjects, '|') AS subjects, coalesce(c, []) AS c, CASE WHEN {_VERDICT} < 4 THEN coalesce(c, [])[1:2] ELSE [] END AS cited, CASE {_VERDICT} WHEN 0 THEN 'UNSUPPORTED' WHEN 1 THEN 'PARTIALLY_SUPPORTED' WHEN 4 THEN NULL ELSE 'SUPPORTED' END AS verdict FROM m LEFT JOIN h ON h.f = m.f AND h.branch = m.branch),
+ g AS (SELECT *, coalesce(verdict IN ('SUPPORTED', 'PARTIALLY_SUPPORTED') AND len(cited) > 0, false) AS good, bool_or(verdict IS NOT NULL) OVER (PARTITION BY f) AS ran FROM v),
+ sub AS (SELECT f, unnest(subjects) AS s, good, verdict FROM g), src AS (SELECT f, src, good AND list_contains(cited, src) AS uses, verdict, ran FROM (SELECT f, unnest(list_distinct(c)) AS src, cited, good, verdict, ran FROM g))"""
+
+
+@query("claim_evidence", f"""WITH {_EVIDENCE} SELECT f AS formulation_id, s AS subject_id, CASE WHEN count(*) FILTER (good) = 0 THEN 'insufficient_evidence' WHEN count(*) FILTER (good AND verdict = 'SUPPORTED') = count(*) THEN 'confirmed' ELSE 'probable' END AS status, 'subject' AS kind FROM sub GROUP BY ALL
+ UNION ALL SELECT f, src, CASE WHEN bool_or(uses AND verdict = 'SUPPORTED') THEN 'SUPPORTED' WHEN bool_or(uses AND verdict = 'PARTIALLY_SUPPORTED') THEN 'PARTIALLY_SUPPORTED' WHEN bool_or(ran) THEN 'UNSUPPORTED' ELSE 'NOT_VERIFIED' END, 'source' FROM src GROUP BY ALL
+ UNION ALL SELECT DISTINCT f, s, src, 'supported_by' FROM (SELECT f, s, unnest(cited) AS src FROM (SELECT f, unnest(subjects) AS s, cited FROM g WHERE good))""")
 def claim_evidence(spark, sf_dir):
+    """Statuses of subjects and sources, and the edges between them (``status`` is then the source)."""
     claims = _claims(spark, sf_dir)
-    k = F.crc32(F.concat("claim", F.col("formulation_id").cast("string"))) % 5
+    k = (F.length("claim") + F.col("formulation_id")) % 5
     verdicts = claims.where(k != 4).select("formulation_id", F.upper("claim").alias("claim"), F.when(k == 0, "UNSUPPORTED").when(k == 1, "PARTIALLY_SUPPORTED").otherwise("SUPPORTED").alias("status"), F.slice("candidate_ids", 1, 2).alias("evidence_source_ids"))
-    subjects, sources = fm.claim_evidence(claims, verdicts)
-    return subjects.withColumn("kind", F.lit("subject")).unionByName(sources.withColumnRenamed("source_id", "subject_id").withColumn("kind", F.lit("source")))
+    subjects, sources, edges = fm.claim_evidence(claims, verdicts)
+    return subjects.withColumn("kind", F.lit("subject")).union(sources.withColumn("kind", F.lit("source"))).union(edges.withColumn("kind", F.lit("supported_by")))
 
 
 @query("scenario_overlay", f"WITH {_ING}, n AS (SELECT * REPLACE (CASE WHEN pos = 1 THEN 5.0 ELSE quantity END AS quantity, CASE WHEN pos = 1 THEN 'mg' ELSE unit END AS unit) FROM i), c AS (SELECT f, count(*) AS n, count({_MG}) AS known, sum({_MG}) AS s FROM n GROUP BY f), d AS (SELECT f, count(*) AS changed FROM i WHERE pos = 1 AND (quantity IS NULL OR quantity <> 5 OR unit <> 'mg') GROUP BY f) SELECT c.f AS formulation_id, CASE WHEN known = n THEN round(s, 4) END AS total_mg, coalesce(changed, 0) AS changed FROM c LEFT JOIN d ON d.f = c.f")
@@ -128,32 +149,51 @@ def version_diff(spark, sf_dir):
 
 
 def _texts(spark, sf_dir):
-    """User turns with an ingredient phrase in front."""
-    c = table(spark, sf_dir, "conversations").where("role = 'user'")
-    k = (F.col("conv_id") * 100 + F.col("turn")).alias("id")
-    phrase = F.concat((F.col("turn") * 50 + 100).cast("string"), F.lit(" mg of Tulsi leaf, neem bark (20 g) and Tulsi again; "))
-    return c.select(k, F.concat(phrase, F.coalesce("text", F.lit(""))).alias("text"))
+    """All turns, each with a request in front."""
+    c = table(spark, sf_dir, "conversations")
+    return c.select((F.col("conv_id") * 100 + F.col("turn")).alias("id"), "turn", F.concat(F.element_at(F.array(*map(F.lit, _REQUESTS)), (F.col("turn") % len(_REQUESTS) + 1).cast("int")), F.lit("\n"), F.coalesce("text", F.lit(""))).alias("text"))
+
+
+_LEXICON = ["tulsi", "holy tulsi", "neem", "ashwagandha"]
+_REQUESTS = [
+    "please add 500 mg of Tulsi leaf and neem bark (20 g) to the capsules and check patents.",
+    "/abs what now",
+    "what if holy tulsi is 5 g instead, for better sleep?",
+    "remove x-tulsi and 30 ml syrup, 40 mg honey; is it patentable for an Indian company doing research",
+    "show the abs branch: why does it matter?",
+    "why is biodiversity relevant, what is the evidence",
+    "zzz",
+]
 
 
 @query("extract_ingredients")
 def extract_ingredients(spark, sf_dir):
-    return fm.extract_ingredients(_texts(spark, sf_dir), ["tulsi", "neem", "ashwagandha"])
+    return ex.extract_ingredients(_texts(spark, sf_dir), _LEXICON)
+
+
+@query("extract_header")
+def extract_header(spark, sf_dir):
+    return ex.extract_header(_texts(spark, sf_dir))
 
 
-@query("ground_extraction", "SELECT conv_id * 100 + turn AS id, n AS pos, CAST([turn * 50 + 100, NULL, 7][n] AS DOUBLE) AS quantity_said, n < 3 AS kept FROM conversations, (SELECT unnest([1, 2, 3]) AS n) WHERE role = 'user'")
+@query("ground_extraction", "SELECT conv_id * 100 + turn AS id, n AS pos, [CASE turn % 7 WHEN 0 THEN 500.0 END, NULL, NULL][n]::DOUBLE AS quantity, n < 3 AND turn % 7 IN (0, 2, 3) AND (n = 1 OR turn % 7 = 0) AS kept, [CASE turn % 7 WHEN 0 THEN 'leaf' END, CASE turn % 7 WHEN 0 THEN 'bark' END, NULL][n] AS plant_part FROM conversations, (SELECT unnest([1, 2, 3]) AS n)")
 def ground_extraction(spark, sf_dir):
     t = _texts(spark, sf_dir)
-    said = F.regexp_extract("text", r"^(\d+)", 1).cast("double")
-    items = t.select("id", F.explode(F.array(F.struct(F.lit(1).alias("pos"), F.lit("Tulsi").alias("user_term"), said.alias("quantity"), F.lit("mg").alias("unit")), F.struct(F.lit(2).alias("pos"), F.lit("neem").alias("user_term"), F.lit(987654321.5).alias("quantity"), F.lit("g").alias("unit")), F.struct(F.lit(3).alias("pos"), F.lit("xyzzy").alias("user_term"), F.lit(None).cast("double").alias("quantity"), F.lit("g").alias("unit")))).alias("i")).select("id", "i.*")
-    out = fm.ground_extraction(items, t)
-    return out.select("id", F.col("pos"), F.when(F.col("pos") == 3, F.lit(7.0)).otherwise(F.col("quantity")).alias("quantity_said"), "kept")
+    given = [(1, "Tulsi leaf", 500.0, "mg"), (2, "bark of neem", 987654321.5, "g"), (3, "xyzzy", None, "g")]
+    items = F.array(*[F.struct(F.lit(pos).alias("pos"), F.lit(term).alias("user_term"), F.lit(q).cast("double").alias("quantity"), F.lit(u).alias("unit"), F.lit(None).cast("string").alias("plant_part")) for pos, term, q, u in given])
+    request = t.withColumn("text", F.element_at(F.split("text", "\n"), 1))
+    return ex.ground_extraction(t.select("id", F.explode(items).alias("i")).select("id", "i.*"), request).select("id", "pos", "quantity", "kept", "plant_part")
 
 
-@query("tag_intents", "WITH t AS (SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'please add neem and check patents' WHEN 2 THEN '/abs what now' ELSE 'zzz' END AS q FROM conversations WHERE role = 'user') SELECT conv_id, turn, CASE q WHEN 'zzz' THEN 'GENERAL_QUESTION' WHEN '/abs what now' THEN 'ABS' ELSE 'ADD|PATENT_SEARCH' END AS intents FROM t")
+@query("tag_intents", f"""WITH t AS (SELECT conv_id * 100 + turn AS id, turn % {len(_REQUESTS)} AS k FROM conversations) SELECT id,
+ ['CREATE_FORMULATION|UPDATE_DOSAGE_FORM|ANALYZE_PATENT', 'CHECK_ABS', 'SCENARIO', 'REMOVE_INGREDIENT|UPDATE_DOSAGE_FORM|UPDATE_INTENDED_USE|ANALYZE_PATENT', 'CHECK_ABS', 'SHOW_DECISION_PATH|VIEW_EVIDENCE', 'GENERAL_QUESTION'][k + 1] AS intents,
+ CASE k WHEN 1 THEN 'command' ELSE 'rules' END AS decoder, CASE k WHEN 3 THEN 'research' END AS purpose, CASE k WHEN 3 THEN 'indian' END AS entity_type, CASE k WHEN 5 THEN 'abs' END AS graph_filter FROM t""")
 def tag_intents(spark, sf_dir):
-    m = F.col("turn") % 4
-    text = F.when(m == 0, "please add neem and check patents").when(m == 2, "/abs what now").otherwise("zzz")
-    return table(spark, sf_dir, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(fm.tag_intents(text), "|").alias("intents"))
+    t = _texts(spark, sf_dir).withColumn("text", F.element_at(F.split("text", "\n"), 1))
+    has = ex.extract_ingredients(t, _LEXICON).select("id").distinct().withColumn("has", F.lit(True))
+    rows = t.join(ex.extract_header(t), "id").join(has, "id", "left")
+    tags = ex.tag_intents(F.col("text"), F.col("has"), F.col("dosage_form"), F.col("intended_use"))
+    return rows.select("id", tags.alias("t")).select("id", F.array_join("t.intents", "|").alias("intents"), "t.decoder", "t.purpose", "t.entity_type", "t.graph_filter")
 
 
 @query("stream_index_upsert", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents")

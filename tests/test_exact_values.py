@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evidora.functions import text as T
-from evidora.operators import botanical, chunking, evidence, filters, formulation, fusion, kg, lexical, pages, replay, requests, statutes
+from evidora.operators import botanical, chunking, evidence, extraction, filters, formulation, fusion, kg, lexical, pages, replay, requests, statutes
 from evidora.sources import documents, store
 
 
@@ -369,10 +369,72 @@ def test_batch_and_stream_agree(spark, tmp_path):
 
 
 def test_extraction(spark):
-    texts = spark.createDataFrame([(1, "500 mg of Tulsi leaf, neem (20 g), tulsi")], "id int, text string")
-    got = [tuple(r)[2:] for r in formulation.extract_ingredients(texts, ["Tulsi", "Neem"]).orderBy("pos").collect()]
-    assert got == [("Tulsi", 500.0, "mg", "leaf"), ("neem", 20.0, "g", "leaf")]
-    assert one(spark, "/abs please", formulation.tag_intents) == ["ABS"] and one(spark, "hello", formulation.tag_intents) == ["GENERAL_QUESTION"]
+    texts = spark.createDataFrame([(1, "500 mg of Tulsi leaf, neem (20 g), resin of tulsi; x-tulsi, 300 mg shilajit and 2 g daily"), (2, "Holy Tulsi 5 mg with tulsi leaves"), (3, None)], "id int, text string")
+    got = [tuple(r)[:6] for r in extraction.extract_ingredients(texts, ["Tulsi", "Neem", "holy tulsi"]).orderBy("id", "pos").collect()]
+    assert got == [(1, 1, "Tulsi", 500.0, "mg", "leaf"), (1, 2, "tulsi", None, None, "resin"), (1, 3, "neem", 20.0, "g", "leaf"), (1, 4, "shilajit", 300.0, "mg", None), (2, 1, "Holy Tulsi", 5.0, "mg", None), (2, 2, "tulsi", None, None, "leaf")]
+    said = "A syrup named 'Calm Mix' for oral use in cough, then check; capsules for my shop"
+    assert tuple(extraction.extract_header(spark.createDataFrame([(1, said)], "id int, text string")).first()) == (1, "Calm Mix", "capsule", "oral", "oral use in cough")
+    items = [(1, 1, "Tulsi leaf", 500.0, "MG", None), (1, 2, "tulsi", None, None, None), (1, 3, "root of Neemx", 7.0, "g", None), (1, 4, "Shilajitum", 30.0, "mg", "resin"), (1, 5, "", None, None, None)]
+    df = spark.createDataFrame(items, "id int, pos int, user_term string, quantity double, unit string, plant_part string")
+    rows = [tuple(r)[2:] for r in extraction.ground_extraction(df, texts).orderBy("pos").collect()]
+    assert rows[0] == ("Tulsi", 500.0, "mg", "leaf", True, []) and rows[1][4:] == (False, [])
+    assert rows[2][0] == "Neemx" and rows[2][4:] == (False, ["ingredient:Neemx"])
+    assert rows[3] == ("Shilajitum", None, None, "resin", True, ["quantity:Shilajitum"]) and rows[4][4:] == (False, ["ingredient:"])
+    claims = spark.createDataFrame([(1, 1, "Tulsi leaf gives strength today"), (1, 2, "cures most known diseases of humans"), (1, 3, "a b")], "id int, pos int, claim string")
+    assert [r.kept for r in extraction.ground_claims(claims, texts).orderBy("pos").collect()] == [True, False, False]
+    head = spark.createDataFrame([(1, "tulsi drops", "nasal", "", "Neem Mix")], "id int, dosage_form string, route string, target_market string, name string")
+    assert tuple(extraction.ground_header(head, texts).first())[1:] == ("tulsi drops", "", "", "Neem Mix", ["route:nasal"])
+
+
+def test_intents(spark):
+    def tags(text, ingredients=False, form="", use="", continued=None):
+        return one(spark, text, lambda c: extraction.tag_intents(c, F.lit(ingredients), F.lit(form), F.lit(use), None if continued is None else F.lit(continued)))
+
+    assert tags("/ABS please").intents == ["CHECK_ABS"] and tags("/map").decoder == "command"
+    assert tags("hello").intents == ["GENERAL_QUESTION"] and tags(None).intents == ["GENERAL_QUESTION"]
+    assert tags("add tulsi", True).intents == ["CREATE_FORMULATION"] and tags("add tulsi", True, continued=True).intents == ["ADD_INGREDIENT"]
+    assert tags("set tulsi to 5", True).intents == ["UPDATE_QUANTITY"] and tags("drop tulsi", True).intents == ["REMOVE_INGREDIENT"]
+    assert tags("what if we drop tulsi and compare", True).intents == ["SCENARIO", "COMPARE_FORMULATIONS"]
+    assert tags("resolve it").intents == ["GENERAL_QUESTION"] and tags("resolve it", True).intents == ["CREATE_FORMULATION", "RESOLVE_AMBIGUITY"]
+    path = tags("Why is ABS relevant to the patent?")
+    assert path.intents == ["SHOW_DECISION_PATH", "VIEW_EVIDENCE"] and path.graph_filter == "abs"
+    view = tags("show patent-related information")
+    assert view.intents == ["SHOW_DECISION_PATH"] and view.graph_filter == "patent"
+    assert tags("check the patent sources").intents == ["ANALYZE_PATENT", "VIEW_EVIDENCE"] and tags("patent sources").intents == ["VIEW_EVIDENCE"]
+    facts = tags("commercial research by a foreign firm with wild plants")
+    assert (facts.purpose, facts.entity_type, facts.resource_source) == ("commercial_utilization", "foreign", "wild")
+
+
+def test_claims_and_evidence(spark):
+    forms = spark.createDataFrame([(1,), (2,)], "formulation_id int")
+    ing = spark.createDataFrame([(1, 1, "a", "confirmed", "Ocimum"), (1, 2, "b", "probable", "Ocimum"), (1, 3, "c", "ambiguous", None), (1, 4, "d", "confirmed", None)], "formulation_id int, pos int, ingredient_id string, identity_status string, botanical_name string")
+    hits = spark.createDataFrame([(1, "abs", 2, "s2"), (1, "abs", 1, "s1"), (1, "patent", 1, "s3")], "formulation_id int, branch string, rank int, id string")
+    claims = formulation.formulation_claims(forms, ing, hits)
+    got = {(r.formulation_id, r.claim): (r.branch, r.subject_ids, r.candidate_ids) for r in claims.collect()}
+    assert got == {
+        (1, formulation.LICENCE_CLAIM): ("regulatory", ["regulatory"], []), (2, formulation.LICENCE_CLAIM): ("regulatory", ["regulatory"], []),
+        (1, formulation.RESOURCE_CLAIM): ("abs", ["bio:a", "bio:b"], ["s1", "s2"]), (1, formulation.ACCESS_CLAIM): ("abs", ["abs"], ["s1", "s2"]),
+        (1, "Ocimum is described in Ayurvedic pharmacopoeial or classical formulary texts."): ("traditional_knowledge", ["traditional_knowledge"], []),
+        (1, "Patent documents disclose compositions containing Ocimum."): ("patent", ["prior_art"], ["s3"]),
+    }
+    said = [(1, formulation.RESOURCE_CLAIM.upper() + ".", "SUPPORTED", ["s1", "x"]), (1, formulation.ACCESS_CLAIM, "PARTIALLY_SUPPORTED", ["s1"]), (1, "Patent documents disclose compositions containing Ocimum", "SUPPORTED", ["s1"]), (1, formulation.LICENCE_CLAIM, "SUPPORTED", [])]
+    verdicts = spark.createDataFrame(said, "formulation_id int, claim string, status string, evidence_source_ids array<string>")
+    subjects, sources, edges = formulation.claim_evidence(claims, verdicts)
+    assert {(r.formulation_id, r.subject_id): r.status for r in subjects.collect()} == {
+        (1, "bio:a"): "confirmed", (1, "bio:b"): "confirmed", (1, "abs"): "probable", (1, "prior_art"): "insufficient_evidence", (1, "traditional_knowledge"): "insufficient_evidence", (1, "regulatory"): "insufficient_evidence", (2, "regulatory"): "insufficient_evidence",
+    }
+    assert {r.source_id: r.status for r in sources.collect()} == {"s1": "SUPPORTED", "s2": "UNSUPPORTED", "s3": "UNSUPPORTED"}
+    assert sorted(r.subject_id for r in edges.collect()) == ["abs", "bio:a", "bio:b"]
+    gone = spark.createDataFrame([(1, formulation.RESOURCE_CLAIM)], "formulation_id int, claim string")
+    assert {r.source_id: r.status for r in formulation.claim_evidence(claims, verdicts, gone)[1].collect()}["s1"] == "PARTIALLY_SUPPORTED"
+
+
+def test_review_reasons(spark):
+    sources = spark.createDataFrame([(i, "s") for i in range(5)], "case_id int, id string")
+    cases = spark.createDataFrame([(0, ["section3_evidence_gap"]), (1, ["missing_evidence"]), (2, ["missing_evidence"]), (3, ["web_search_failed"]), (9, [])], "case_id int, reasons array<string>").withColumn("stripped", F.array().cast("array<string>"))
+    verdicts = spark.createDataFrame([(0, 1, "a", "SUPPORTED"), (1, 1, "a", "UNSUPPORTED"), (2, 1, "a", "SUPPORTED"), (3, 1, "a", "SUPPORTED"), (9, 1, "a", "SUPPORTED")], "case_id int, pos int, claim string, status string")
+    got = {r.case_id: (r.outcome, r.reasons) for r in evidence.verify_rollup(cases, verdicts, sources, ["web_search_failed"]).collect()}
+    assert got == {0: ("HUMAN_REVIEW_REQUIRED", ["section3_evidence_gap"]), 1: ("FAIL", ["missing_evidence", "unsupported_claims"]), 2: ("PASS", ["missing_evidence"]), 3: ("HUMAN_REVIEW_REQUIRED", ["web_search_failed"]), 9: ("HUMAN_REVIEW_REQUIRED", ["missing_evidence"])}
 
 
 def test_documents(spark, tmp_path):
