@@ -5,18 +5,23 @@ that estimates similarity from two sketches.
 
 1. Documents with equal sets form a class (128-bit key of the set); all further
    work is on classes, so copies cost nothing.
-2. Classes that share a band key are candidates.  In each band group every
-   member is checked against the group's hub, the member that meets most
-   others over all its groups: a star, not all pairs.
-3. What the estimate does not rule out (``SLACK`` below the threshold, over
-   five standard errors) is checked on the full sets of shingle hashes.
-4. Band groups that still hold several components are put together to clusters.
-   A cluster is dealt into blocks, and each pair of blocks is a task that looks
-   for links between different components.  So every candidate pair is either
-   confirmed, refuted or already connected: nothing is capped.
-
-Each step is a join or an aggregation by band key or class, so hot groups are
-split by Spark (partial aggregation, skew joins).
+2. Classes that share a band key are candidates.  The hub of a key is its member
+   that meets most others over all its keys.  First every class is checked
+   against the strongest hub of its keys only, one pair for each class.
+3. Keys that then hold several components are open.  There every member is
+   checked against the key's own hub, unless they are connected.
+4. Keys that are still open are settled inside.  Their members are dealt by size
+   (sets alike by ``threshold`` have sizes within 1 / ``threshold``) into blocks,
+   and every pair of blocks of one key compares its sketches, in one small
+   task.  Only sets that the estimate does not rule out for some partner in
+   another component are then fetched and compared.
+
+So every candidate pair is confirmed, refuted or already connected, and nothing
+is capped.  What the estimate does not rule out (``SLACK`` below the threshold,
+4.4 standard errors at 0.75 and 128 registers) is checked on the full sets of
+shingle hashes.  Steps 2 and 3 take one row for each class, or class and key.
+Step 4 takes rows of 256-byte sketches that grow with the square of what is left
+in one key, over ``BLOCK_ROWS``.
 """
 
 from __future__ import annotations
@@ -31,12 +36,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components as connected
-from .shared import cut
-from .textblock import NULL_ID, binary_column, blocks, distinct_per_doc, lower_ascii, mix, ngram_hashes, packed_partition, word_hashes
+from .shared import cut, partitions
+from .textblock import NULL_ID, binary_column, blocks, distinct_per_doc, gather_ranges, lower_ascii, mix, ngram_hashes, packed_partition, word_hashes
 
 SHINGLE = 5
 SLACK = 0.17
 BLOCK_ROWS = 1024
+BLOCK_ITEMS = 1 << 20
+PAIRS = 1 << 20  # compared at once
+TASK = ["key", "at", "lo", "hi"]
 
 Sketch = Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]]
 Estimate = Callable[[np.ndarray, np.ndarray, np.ndarray, np.ndarray], np.ndarray]
@@ -126,71 +134,113 @@ def _verify_partition(threshold: float) -> Callable[[Iterator[pa.RecordBatch]],
     return run
 
 
-def _block_links(threshold: float, estimate: Estimate) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """Links across components between two blocks (or inside one) of a cluster."""
+def _whole_tasks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Sorted rows as tables of whole tasks, and where each task begins (n + 1); a table holds about ``PAIRS`` pairs or one task."""
+    rest: pa.Table | None = None
+    for batch in _and_none(batches):
+        table = rest if batch is None else pa.Table.from_batches([batch])
+        if batch is not None and rest is not None:
+            table = pa.concat_tables([rest, table])
+        if table is None or not table.num_rows:
+            continue
+        task = np.stack([table.column(c).to_numpy() for c in TASK])
+        begin = np.flatnonzero(np.append(True, (task[:, 1:] != task[:, :-1]).any(axis=0)))
+        whole = len(begin) if batch is None else len(begin) - 1
+        begin = np.append(begin, table.num_rows)
+        size = np.diff(begin)
+        until = np.cumsum(size * (size - 1) // 2)
+        at = 0
+        while at < whole:
+            done = until[at - 1] if at else 0
+            end = min(max(int(np.searchsorted(until, done + PAIRS, side="right")), at + 1), whole)
+            yield table.slice(begin[at], begin[end] - begin[at]).combine_chunks(), begin[at : end + 1] - begin[at]
+            at = end
+        rest = table.slice(begin[whole]).combine_chunks()
+
+
+def _and_none(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch | None]:
+    yield from batches
+    yield None
+
+
+def _likely(table: pa.Table, begin: np.ndarray, estimate: Estimate, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one task, in different components and of one block each, that may be alike."""
     percent = round(threshold * 100)
+    n, left, own = (table.column(c).to_numpy() for c in ("n_shingles", "left", "own"))
+    component = pd.factorize(np.array(table.column("component").to_pylist(), object))[0]
+    sketch = table.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint16).reshape(len(n), -1)
+    within = table.column("lo").to_numpy() == table.column("hi").to_numpy()
+    place = np.arange(len(n))
+    partners = np.repeat(begin[1:], np.diff(begin)) - place - 1
+    i, j = np.repeat(place, partners), gather_ranges(place + 1, partners)
+    may = (component[i] != component[j]) & (own[i] | own[j]) & (within[i] | (left[i] != left[j])) & (np.minimum(n[i], n[j]) * 100 >= percent * np.maximum(n[i], n[j]))
+    i, j = i[may], j[may]
+    keep = np.zeros(len(i), bool)
+    for at in range(0, len(i), 8192):
+        x, y = i[at : at + 8192], j[at : at + 8192]
+        some = np.flatnonzero((sketch[x] == sketch[y]).mean(axis=1) >= threshold - SLACK - 0.05)  # a cheap look first
+        x, y = x[some], y[some]
+        keep[at + some] = estimate(sketch[x], sketch[y], n[x].astype(float), n[y].astype(float)) >= threshold - SLACK
+    return i[keep], j[keep]
+
+
+def _candidates_partition(threshold: float, estimate: Estimate) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The rows that have a likely partner in their task."""
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"a": [], "b": []}, dtype=object)
-        if frame["component"].nunique() < 2:
-            return none
-        lo, hi = (frame[frame["left"]], frame[~frame["left"]]) if not frame["left"].all() else (frame, frame)
-        if not len(lo):
-            return none
-        x, y = (np.stack(f["sketch"].to_list()).astype(np.int16).view(np.uint16) for f in (lo, hi))
-        n, m = (f["n_shingles"].to_numpy(float) for f in (lo, hi))
-        code = {c: i for i, c in enumerate(frame["component"].unique())}
-        p, q = (f["component"].map(code).to_numpy() for f in (lo, hi))
-        may = (p[:, None] != q[None, :]) & (np.minimum(n[:, None], m[None, :]) * 100 >= percent * np.maximum(n[:, None], m[None, :]))
-        rows, columns = np.nonzero(may)
-        keep = np.zeros(len(rows), bool)
-        for at in range(0, len(rows), 8192):
-            i, j = rows[at : at + 8192], columns[at : at + 8192]
-            some = np.flatnonzero((x[i] == y[j]).mean(axis=1) >= threshold - SLACK - 0.05)  # a cheap look first
-            keep[at + some] = estimate(x[i[some]], y[j[some]], n[i[some]], m[j[some]]) >= threshold - SLACK
-        rows, columns = rows[keep], columns[keep]
-        if not len(rows):
-            return none
-        left, right = (f["items"].map(lambda v: np.frombuffer(v, np.uint64)).to_list() for f in (lo, hi))
-        parent = list(range(len(code)))
-
-        def find(c: int) -> int:
-            while parent[c] != c:
-                parent[c] = parent[parent[c]]
-                c = parent[c]
-            return c
-
-        out = []
-        for i in np.unique(rows):
-            mine = columns[rows == i]
-            flat = np.concatenate([right[j] for j in mine])
-            at = np.minimum(np.searchsorted(left[i], flat), len(left[i]) - 1)
-            size = np.array([len(right[j]) for j in mine])
-            both = np.add.reduceat((left[i][at] == flat).astype(np.int64), np.cumsum(size) - size)
-            for j in mine[100 * both >= percent * (len(left[i]) + size - both)]:
-                u, v = find(int(p[i])), find(int(q[j]))
-                if u != v:
-                    parent[u] = v
-                    out.append((lo["node"].iat[i], hi["node"].iat[j]))
-        return pd.DataFrame(out, columns=["a", "b"]) if out else none
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in _whole_tasks(batches):
+            yield from table.take(np.union1d(*_likely(table, begin, estimate, threshold))).combine_chunks().to_batches()
 
     return run
 
 
-def _links_between(nodes: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, estimate: Estimate) -> DataFrame:
-    """Links that join components inside clusters of (node, component, cluster).
+def _links_partition(threshold: float, estimate: Estimate) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Links between components, no more than it takes to join those that a few tasks hold."""
+    percent = round(threshold * 100)
 
-    A cluster is dealt into blocks of about ``BLOCK_ROWS`` sets, and every pair
-    of blocks is one small task: it compares sketches, then full sets, and
-    gives out no more links than it takes to join the components it holds.
-    """
-    sizes = nodes.groupBy("cluster").agg((F.floor(F.count("*") / BLOCK_ROWS) + 1).alias("blocks"))
-    dealt = nodes.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    full = dealt.join(classes.select("node", "n_shingles", "sketch"), "node").join(sets, "node")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table, begin in _whole_tasks(batches):
+            component, sets = table.column("component").to_pylist(), [np.frombuffer(v.as_buffer(), np.uint64) for v in table.column("items").combine_chunks()]
+            parent: dict[bytes, bytes] = {}
+
+            def find(c: bytes) -> bytes:
+                while (up := parent.get(c, c)) != c:
+                    parent[c] = parent.get(up, up)
+                    c = up
+                return c
+
+            out = []
+            for i, j in zip(*(x.tolist() for x in _likely(table, begin, estimate, threshold))):
+                u, v = find(component[i]), find(component[j])
+                if u != v:
+                    x, y = (sets[i], sets[j]) if len(sets[i]) <= len(sets[j]) else (sets[j], sets[i])
+                    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        parent[u] = v
+                        out.append((component[i], component[j]))
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.binary()) for k in (0, 1)], ["a", "b"])
+
+    return run
+
+
+def _links_inside(members: DataFrame, classes: DataFrame, sets: DataFrame, threshold: float, estimate: Estimate) -> DataFrame:
+    """Links (a, b) between components that meet in the keys of (key, node, component)."""
+    n = partitions(members.sparkSession)
+    # Keys with the same members need one look.
+    same = members.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    members = members.join(same.groupBy("n", "x", "y").agg(F.min("key").alias("key")), "key", "left_semi")
+    size = F.floor(F.log("n_shingles") / float(np.log(1 / threshold) + 1e-9)).alias("size")
+    known = members.join(classes.select("node", "n_shingles", "sketch"), "node").select("*", size)
+    # A set meets those of its own size class, and as a guest those of the next.
+    meet = known.withColumn("at", F.explode(F.array("size", F.col("size") + 1))).withColumn("own", F.col("at") == F.col("size"))
+    blocks = F.greatest(F.floor(F.count("*") / BLOCK_ROWS), F.floor(F.sum("n_shingles") / BLOCK_ITEMS)) + 1
+    sizes = meet.groupBy("key", "at").agg(blocks.alias("blocks"), F.min("component").alias("first"), F.max("component").alias("last"), F.bool_or("own").alias("any")).where("first != last AND any")
+    dealt = meet.join(sizes.select("key", "at", "blocks"), ["key", "at"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda t: F.struct(F.least(t, F.col("block")).alias("lo"), F.greatest(t, F.col("block")).alias("hi"))))
-    rows = full.select("cluster", "node", "component", "n_shingles", "sketch", "items", "block", pair.alias("pair"))
-    rows = rows.select("cluster", "pair.lo", "pair.hi", "node", "component", "n_shingles", "sketch", "items", (F.col("block") == F.col("pair.lo")).alias("left"))
-    return cut(rows.groupBy("cluster", "lo", "hi").applyInPandas(_block_links(threshold, estimate), "a binary, b binary"))
+    rows = dealt.withColumn("pair", pair).select("key", "at", "pair.lo", "pair.hi", "node", "component", "n_shingles", "sketch", "own", (F.col("block") == F.col("pair.lo")).alias("left"))
+    likely = cut(rows.repartition(n, *TASK).sortWithinPartitions(*TASK).mapInArrow(_candidates_partition(threshold, estimate), rows.schema))
+    full = likely.join(sets, "node").repartition(n, *TASK).sortWithinPartitions(*TASK)
+    return cut(full.mapInArrow(_links_partition(threshold, estimate), "a binary, b binary"))
 
 
 def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: float = 0.75) -> DataFrame:
@@ -213,8 +263,9 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
     members = banded.join(shared, "key").select("key", "node", "n")
     meets = members.groupBy("node").agg(F.sum("n").alias("meets"))
     members = cut(members.join(meets, "node").select("key", "node", "meets"))
-    hubs = members.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("hub")).select("key", F.col("hub.node").alias("hub"))
-    stars = members.join(hubs, "key").where("node != hub").select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
+    hubs = members.groupBy("key").agg(F.max(F.struct("meets", "node")).alias("hub"))
+    stars = cut(members.join(hubs, "key").select("key", "node", "hub"))
+    strongest = stars.groupBy("node").agg(F.max("hub").alias("hub")).select("node", F.col("hub.node").alias("hub")).where("node != hub")
 
     # The full sets of all candidates, from the text of one owner each; texts are moved once, compressed.
     wanted = members.select("node").distinct()
@@ -235,16 +286,29 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
         full = likely.join(x, "a").join(y, "b").select("a", "b", "items_a", "items_b")
         return cut(full.mapInArrow(_verify_partition(threshold), "a binary, b binary"))
 
-    links = confirm(stars)
-    labels = connected(links)
-    placed = members.join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"))
-    open_keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("first")).where("lo != hi").select("key", "first")
-    placed = cut(placed.join(open_keys, "key").select("node", "component", "first"))
-    clusters = connected(placed.select(F.col("node").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "cluster")
-    open_nodes = cut(placed.select("node", "component").distinct().join(clusters, "node"))
-    more = _links_between(open_nodes, classes, sets, threshold, estimate)
-    if more.limit(1).count():
-        labels = connected(links.union(more))
+    def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
+        """Labels once links between their components are known."""
+        over = connected(more).select(F.col("node").alias("component"), F.col("component").alias("onto"))
+        return cut(nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component")).join(over, "component", "left").select("node", F.coalesce("onto", "component").alias("component")))
+
+    def still_open(labels: DataFrame) -> DataFrame:
+        """(key, node, hub, component) of the keys that hold several components."""
+        placed = stars.join(labels, "node", "left").select("key", "node", F.col("hub.node").alias("hub"), F.coalesce("component", "node").alias("component"))
+        keys = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("key")
+        return cut(placed.join(keys, "key"))
+
+    nodes = cut(wanted)
+    ordered = (F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    first = cut(strongest.select(*ordered).distinct())
+    labels = connected(confirm(first))
+    near = still_open(labels)
+    of_hub = labels.select(F.col("node").alias("hub"), F.col("component").alias("of_hub"))
+    apart = near.where("node != hub").join(of_hub, "hub", "left").where(F.col("component") != F.coalesce("of_hub", "hub"))
+    links = confirm(apart.select(*ordered).distinct().join(first, ["a", "b"], "left_anti"))
+    of = nodes.join(labels, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    between = links.join(of.select(F.col("node").alias("a"), F.col("component").alias("p")), "a").join(of.select(F.col("node").alias("b"), F.col("component").alias("q")), "b")
+    labels = joined(labels, between.select(F.col("p").alias("a"), F.col("q").alias("b")))
+    labels = joined(labels, _links_inside(still_open(labels).select("key", "node", "component"), classes, sets, threshold, estimate))
     named = classes.join(labels, "node", "left").select("node", "owner", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("owner").alias("component_id"))
     named = named.join(smallest, "component").select("node", "component", "component_id")
