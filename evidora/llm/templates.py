@@ -1,62 +1,67 @@
 """Line dedup with a log-template tree (operator 8).
 
 A line with at least ``MIN_TOKENS`` tokens goes down a tree of fixed depth: by its
-number of tokens, then by its first ``LEADING`` tokens.  Tokens that hold a
-digit are variable fields at once; a line that has more fields than other tokens
-(a table of numbers) has no template.  At the leaf the line stands for several
-templates: itself, and (from ``WILD_TOKENS`` tokens on) itself with every
-``GAPS``-th token behind the leading ones made a variable field, once for each
-of the ``GAPS`` phases.  So lines that differ in one field, wherever it is,
-share a template, whatever order they come in.
-
-A template recurs if ``MIN_DOCS`` documents hold it that are unlike each other in
-the rest of their text; how many more hold it, copies or not, does not matter.
-Copies are one by a hash of the other lines.  Near copies are one by ``MINIMA``
-minima of hashes of the five-word shingles outside the line: two rests are alike
-if at least half of the minima agree.  Classes are taken greedily: the smallest
-sketch of a template, the smallest one unlike that, and so on.  So boilerplate
-counts, and the lines of copies and near copies do not: those are left for
-near-duplicate detection.  Templates that do not recur are looked at once more
-without the minima that come from lines of recurring ones, so boilerplate does
-not make its documents alike.  All lines of recurring templates are dropped, in
-every document.
-
-Counting is a Spark aggregation of (template, hash of the rest) pairs, which
-combines before it shuffles.  Only templates with ``MIN_DOCS`` different rests go
-on; sketches (one a document, from which the minima outside of any line are
-read) and lines meet in joins, and each further class is one aggregation more.
+number of tokens, then by its leading third.  Every node of that level has a
+wildcard child as well, for lines whose leading tokens vary; there the middle
+third or the last one decides.  Tokens that hold a digit are variable fields at
+once; a line that has more fields than other tokens (a table of numbers) has no
+template.  At the leaf a line is cut into six parts and stands for the templates
+in which any two of them are variable, as long as at least ``KEPT`` of its tokens
+stay; and for itself.  So lines that differ in one or two fields, wherever they
+are, share a template, whatever order they come in.  Fields in two of six parts
+leave at least one third whole, so what the tree sets apart shares no template:
+leaves that fewer than ``MIN_DOCS`` texts reach need not be looked into.  Lines
+that are shared as they are need no variable parts; their templates recur if
+they do, for other lines to join.
+
+A template is shared if ``MIN_DOCS`` different texts hold it, and it recurs if
+``MIN_DOCS`` of these are unlike each other in what is their own: their lines
+without shared templates.  A text has to own a sixth of its tokens to count
+(two texts that own more, and nothing in common, are no near copies at 0.75).
+Own parts are alike if at least half of ``MINIMA`` minima of hashes of their
+five-word shingles agree.  Classes are taken greedily: the smallest sketch of a
+template, the smallest one unlike that, and so on.  So boilerplate counts,
+however much of a page it is, and the lines of copies and near copies do not:
+those are left for near-duplicate detection.  All lines of recurring templates
+are dropped, in every document.
+
+Counting is a Spark aggregation of (template, hash of the text) pairs, which
+combines before it shuffles.  Sketches (one a document, with the lines that the
+minima come from) and shared lines meet in joins.
 
 Defined cases: null texts stay null and have no lines; lines with fewer tokens
 are never dropped; a text that loses all lines becomes empty; a line that
 stands several times in a text counts once for it; rows that repeat id and
-text count as copies; a document that is nothing but the line is a class; extra columns are kept by ``drop``.
+text count as copies; extra columns are kept by ``drop``, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import cut
 from .textblock import binary_column, blocks, lower_ascii, mix, ngram_hashes, prefix_hash, runs, span_hash, words
 
 MIN_TOKENS = 4
-LEADING = 2
-WILD_TOKENS = 8
-GAPS = 3
+FIELD_TOKENS = 5  # from this many on, parts of a line can be variable
+PARTS = 6
+KEPT = 0.55
 MIN_DOCS = 3
+OWN = 6  # a text counts if at least one in so many tokens is its own
+FEW = 1_000_000  # keys of 8 bytes that are broadcast at most
 _FIELD = np.uint64(0xF1E1D5)
 MINIMA = 32
 LEAST_MINIMA = 8  # with fewer to compare, two rests count as alike
-_NONE, _ALONE = 0, 1  # values of a minimum that is left out, and of a rest without words
+BEST = 3  # smallest values kept of each hash, from different lines
+_NONE = 0  # value of a minimum that is not known
 _MAX = np.uint64(0xFFFFFFFFFFFFFFFF)
-_LINE = (1 << 31) - 1
 _DIGIT = np.array([0x30 <= b <= 0x39 for b in range(256)])
 _rng = np.random.default_rng(88)
 _MULTIPLY = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -64,7 +69,7 @@ _ADD = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 
 
 def _minima(gram: np.ndarray, begin: np.ndarray, first: np.ndarray, alone: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Per document the two smallest values of each hash over different lines and the lines they come from, as bytes.
+    """Per document the ``BEST`` smallest values of each hash over different lines and the lines they come from, as bytes.
 
     Lines have grams from ``begin`` on and documents lines from ``first`` on;
     lines that are not ``alone`` repeat another one and are left out.
@@ -77,7 +82,7 @@ def _minima(gram: np.ndarray, begin: np.ndarray, first: np.ndarray, alone: np.nd
     of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(begin))))
     at = np.arange(len(begin))[:, None]
     values, holders = [], []
-    for _ in range(2):
+    for _ in range(BEST):
         best = np.minimum.reduceat(low, first, axis=0)
         holder = np.minimum.reduceat(np.where(low == best[of], at, len(begin)), first, axis=0)
         none = best == _MAX
@@ -87,8 +92,8 @@ def _minima(gram: np.ndarray, begin: np.ndarray, first: np.ndarray, alone: np.nd
     return np.hstack([np.ascontiguousarray(x).view(np.uint8) for x in (*values, *holders)])
 
 
-def line_templates(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Document, line number, number of the first equal line, template key and hash of the rest, one row a line and template; and document and minima."""
+def line_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """Document, line number, number of the first equal line, tokens and hashes of the parts of each line that can have a template; and document, tokens and minima."""
     data = lower_ascii(data)
     token, token_end, _ = words(data, offsets)
     line, _ = runs(data != 0x0A, offsets)
@@ -99,44 +104,37 @@ def line_templates(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.
     number = newlines[line] - newlines[offsets[doc]]
     has = np.flatnonzero(count > 0)
     if not len(has):
-        empty = np.zeros(0, np.int64)
-        return {"doc": empty, "line": empty, "same": empty, "key": empty, "rest": empty}, {"doc": empty, "minima": np.zeros((0, 12 * MINIMA), np.uint8)}
+        none = np.zeros(0, np.int64)
+        return {"doc": none, "line": none, "same": none, "n": none, "parts": np.zeros((0, PARTS), np.int32)}, {"doc": none, "n": none, "minima": np.zeros((0, 6 * BEST * MINIMA), np.uint8)}
     h = span_hash(prefix_hash(data), token, token_end)
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
     field = digits[token_end] > digits[token]
-    masked = np.where(field, _FIELD, h)
-    place = np.arange(len(token)) - np.repeat(line_first[:-1], count)
+    of = np.repeat(np.arange(len(line)), count)
+    place = np.arange(len(token)) - line_first[of]
     spot = mix(place.astype(np.uint64) + np.uint64(1))
-    part = mix(masked ^ spot)
     fields = np.concatenate(([0], np.cumsum(field)))
     mostly_constant = (2 * (fields[line_first[1:]] - fields[line_first[:-1]]) <= count)[has]
     begin = line_first[:-1][has]
+    # Parts are runs of tokens; a part without tokens hashes to 0.
+    parts = np.zeros(len(line) * PARTS, np.uint64)
+    slot = of * PARTS + place * PARTS // count[of]
+    new = np.flatnonzero(np.append(True, slot[1:] != slot[:-1]))
     with np.errstate(over="ignore"):
-        total = np.add.reduceat(part, begin)
-        wild = [total - np.add.reduceat(np.where((place >= LEADING) & (place % GAPS == g), part, np.uint64(0)), begin) for g in range(GAPS)]
+        parts[slot[new]] = mix(np.add.reduceat(mix(np.where(field, _FIELD, h) ^ spot), new))
         whole = mix(np.add.reduceat(mix(h ^ spot), begin) + count[has].astype(np.uint64))
-    line_doc, number = doc[has], number[has]
+    parts = (parts >> np.uint64(32)).astype(np.uint32).view(np.int32).reshape(-1, PARTS)
+    line_doc, number, count = doc[has], number[has], count[has]
     # The first equal line of each line's document.
     order = np.lexsort((whole, line_doc))
     new = np.append(True, (whole[order][1:] != whole[order][:-1]) | (line_doc[order][1:] != line_doc[order][:-1]))
     same = np.empty(len(order), np.int64)
     same[order] = order[new][np.cumsum(new) - 1]
-    alone = same == np.arange(len(same))
     docs, first = np.unique(line_doc, return_index=True)
-    with np.errstate(over="ignore"):
-        text = np.add.reduceat(np.where(alone, whole, np.uint64(0)), first)
-        rest = mix(np.repeat(text, np.diff(np.append(first, len(whole)))) - whole)
     gram, gram_first = ngram_hashes(h, line_first, 5, short=True)
-    minima = _minima(gram, gram_first[:-1][has], first, alone, number)
-    out_line, out_key = [], []
-    for kind, (value, least) in enumerate([(total, MIN_TOKENS), *((w, WILD_TOKENS) for w in wild)]):
-        ok = np.flatnonzero((count[has] >= least) & mostly_constant)
-        with np.errstate(over="ignore"):
-            out_key.append(mix(value[ok] + count[has][ok].astype(np.uint64) * np.uint64(31) + np.uint64(kind << 40)))
-        out_line.append(ok)
-    at = np.concatenate(out_line)
-    lines = {"doc": line_doc[at], "line": number[at], "same": number[same[at]], "key": np.concatenate(out_key).view(np.int64), "rest": rest[at].view(np.int64)}
-    return lines, {"doc": docs, "minima": minima}
+    minima = _minima(gram, gram_first[:-1][has], first, same == np.arange(len(same)), number)
+    ok = np.flatnonzero((count >= MIN_TOKENS) & mostly_constant)
+    lines = {"doc": line_doc[ok], "line": number[ok], "same": number[same[ok]], "n": count[ok], "parts": parts[has][ok]}
+    return lines, {"doc": docs, "n": np.add.reduceat(count, first), "minima": minima}
 
 
 def _binaries(values: np.ndarray) -> pa.Array:
@@ -144,44 +142,41 @@ def _binaries(values: np.ndarray) -> pa.Array:
     return binary_column(np.ascontiguousarray(values).ravel(), np.arange(len(values) + 1, dtype=np.int64) * values.shape[1])
 
 
-def _templates_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of lines, and one row with the minima for each document that has templates."""
-    names = ["doc_id", "tie", "place", "key", "rest", "minima"]
+def _lines_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of lines, and one row with the minima for each document that has any."""
+    names = ["doc_id", "tie", "line", "same", "n", "parts", "minima"]
     for batch in batches:
         for a, _, data, offsets in blocks(batch.column(2)):
-            t, m = line_templates(data, offsets)
-            once = ~pd.Series(t["key"].view(np.uint64) ^ mix(t["doc"].astype(np.uint64))).duplicated().to_numpy()
-            # Line, first equal line, and whether the row counts, in 31, 31 and one bits.
-            place = t["line"].astype(np.int64) | (t["same"].astype(np.int64) << 31) | (once.astype(np.int64) << 62)
-            rows = pa.array(a + t["doc"])
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), pa.array(t["key"]), pa.array(t["rest"]), pa.nulls(len(rows), pa.binary())], names)
+            t, m = line_parts(data, offsets)
+            rows, k = pa.array(a + t["doc"]), len(t["doc"])
+            parts = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * PARTS, pa.int32()), pa.array(t["parts"].ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(t[c], pa.int32()) for c in ("line", "same", "n")), parts, pa.nulls(k, pa.binary())], names)
             held = np.isin(m["doc"], t["doc"])
-            rows = pa.array(a + m["doc"][held])
-            none = pa.nulls(len(rows), pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), none, none, none, _binaries(m["minima"][held])], names)
+            rows, k = pa.array(a + m["doc"][held]), int(held.sum())
+            none = pa.nulls(k, pa.int32())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), none, none, pa.array(m["n"][held], pa.int32()), pa.nulls(k, parts.type), _binaries(m["minima"][held])], names)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), width)
 
 
-def _rests_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, same, minima, gone) to (key, sketch): the minima outside of the line ``same`` and of the lines in ``gone``."""
+def _own_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, tie, minima, shared) to (doc_id, tie, sketch): the minima outside of the lines in ``shared``."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
-        raw, k = _matrix(batch.column(2), 12 * MINIMA), 2 * MINIMA
-        values = [np.ascontiguousarray(raw[:, i * k : (i + 1) * k]).view(np.uint16) for i in (0, 1)]
-        lines = [np.ascontiguousarray(raw[:, 2 * k * i : 2 * k * (i + 1)]).view(np.int32).astype(np.int64) for i in (1, 2)]
-        gone = batch.column(3)
+        raw, k = _matrix(batch.column(2), 6 * BEST * MINIMA), 2 * MINIMA
+        values = [np.ascontiguousarray(raw[:, i * k : (i + 1) * k]).view(np.uint16) for i in range(BEST)]
+        lines = [np.ascontiguousarray(raw[:, (BEST + 2 * i) * k : (BEST + 2 * i + 2) * k]).view(np.int32).astype(np.int64) for i in range(BEST)]
+        shared = batch.column(3)
         row = np.arange(n, dtype=np.int64) << 32
-        sizes = np.array([len(x) for x in gone.fill_null([]).to_pylist()]) if gone.null_count < n else np.zeros(n, np.int64)
-        out = np.concatenate((row + batch.column(1).to_numpy(), np.repeat(row, sizes) + gone.flatten().to_numpy().astype(np.int64)))
-        best, second = ((x >= 0) & ~np.isin(row[:, None] + x, out) for x in lines)
-        sketch = np.where(best, values[0], np.where(second, values[1], _NONE)).astype(np.uint16)
-        sketch[(lines[1] < 0).all(axis=1)] = _ALONE
-        yield pa.RecordBatch.from_arrays([batch.column(0), _binaries(sketch.view(np.uint8))], ["key", "sketch"])
+        out = np.repeat(row, shared.value_lengths().to_numpy()) + shared.flatten().to_numpy().astype(np.int64)
+        sketch = np.full((n, MINIMA), _NONE, np.uint16)
+        for value, line in reversed(list(zip(values, lines))):
+            sketch = np.where((line >= 0) & ~np.isin(row[:, None] + line, out), value, sketch)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _binaries(sketch.view(np.uint8))], ["doc_id", "tie", "sketch"])
 
 
 def _unlike_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,31 +198,62 @@ def _with_classes(rests: DataFrame, least: int) -> DataFrame:
     return cut(rests.select("key").distinct())
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_tie", F.xxhash64("text"))
+def _key(kind: int, parts: list[int]) -> Column:
+    return F.xxhash64("n", F.lit(kind), *[F.get("parts", F.lit(i)) for i in parts])
+
+
+def _tree_keys() -> Column:
+    """The line itself, and its leaves in the tree."""
+    leaves = [F.struct(_key(1 + i, [2 * i, 2 * i + 1]).alias("key"), F.lit(False).alias("exact")) for i in range(PARTS // 2)]
+    itself = F.struct(_key(0, list(range(PARTS))).alias("key"), F.lit(True).alias("exact"))
+    return F.when(F.col("n") >= FIELD_TOKENS, F.array(itself, *leaves)).otherwise(F.array(itself))
+
+
+def _template_keys() -> Column:
+    """Its templates with any two parts variable, of those that keep enough tokens."""
+
+    def tokens(part: int) -> Column:
+        return F.ceil((part + 1) * F.col("n") / PARTS) - F.ceil(part * F.col("n") / PARTS)
+
+    pairs = list(combinations(range(PARTS), 2))
+    keys = [F.when(F.col("n") - tokens(i) - tokens(j) >= KEPT * F.col("n"), _key(10 + at, [k for k in range(PARTS) if k not in (i, j)])) for at, (i, j) in enumerate(pairs)]
+    return F.array_compact(F.array(*keys))
+
+
+def _held_by(keyed: DataFrame, least: int, more: DataFrame | None = None) -> DataFrame:
+    """(key) of those that ``least`` different texts hold, and of ``more``; to be broadcast if they are few."""
+    found = keyed.where("line = same").select("key", "tie").distinct().groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("key")
+    found = cut(found if more is None else found.union(more.select("key")).distinct())
+    return F.broadcast(found) if found.count() <= FEW else found
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, tie, lines): the numbers of the lines to drop of each document that has any."""
-    rows = _keyed(docs.select("doc_id", "text")).select("doc_id", "_tie", "text")
-    found = cut(rows.mapInArrow(_templates_partition, "doc_id long, tie long, place long, key long, rest long, minima binary"))
-    lines = found.where("minima IS NULL").select("doc_id", "tie", "place", "key", "rest")
-    minima = found.where("minima IS NOT NULL").select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "minima")
-    rests = lines.where(F.shiftright("place", 62) == 1).select("key", "rest").distinct()
-    several = rests.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("key")
-    same = F.shiftright("place", 31).bitwiseAND(_LINE).cast("int").alias("same")
-    lines = cut(lines.join(several, "key", "left_semi").select("doc_id", "tie", "place", "key", "rest"))
-    counted = cut(lines.where(F.shiftright("place", 62) == 1).dropDuplicates(["key", "rest"]).select("doc_id", "tie", "key", same))
-    document = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t"))
-    none = F.lit(None).cast("array<int>").alias("gone")
-    schema = "key long, sketch binary"
-    recurring = _with_classes(counted.join(minima, document).select("key", "same", "minima", none).mapInArrow(_rests_partition, schema), min_docs)
-    # Once more for the others, without the minima that lines of recurring templates gave.
-    dropped = lines.join(recurring, "key", "left_semi").groupBy(F.col("doc_id").alias("_e"), F.col("tie").alias("_u")).agg(F.collect_set(same).alias("gone"))
-    others = counted.join(recurring, "key", "left_anti").join(dropped, F.col("doc_id").eqNullSafe(F.col("_e")) & (F.col("tie") == F.col("_u")), "left")
-    more = _with_classes(others.join(minima, document).select("key", "same", "minima", "gone").mapInArrow(_rests_partition, schema), min_docs)
-    line = F.col("place").bitwiseAND(_LINE).cast("int")
-    return lines.join(cut(recurring.union(more)), "key", "left_semi").groupBy("doc_id", "tie").agg(F.collect_set(line).alias("lines"))
+    rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    found = cut(rows.mapInArrow(_lines_partition, "doc_id long, tie long, line int, same int, n int, parts array<int>, minima binary"))
+    lines = found.where("minima IS NULL").select("doc_id", "tie", "line", "same", "n", "parts")
+    line = ["doc_id", "tie", "line", "same", "n"]
+    leaves = lines.select(*line, "parts", F.explode(_tree_keys()).alias("k")).select(*line, "parts", "k.key", "k.exact")
+    leaves = cut(leaves.join(_held_by(leaves, min_docs), "key", "left_semi"))
+    exact = leaves.where("exact").select(*line, "key")
+    near = leaves.groupBy(*line).agg(F.bool_or("exact").alias("exact"), F.first("parts").alias("parts")).where("NOT exact")
+    near = near.select(*line, F.explode(_template_keys()).alias("key"))
+    # The templates of lines that are shared as they are: other lines may join them.
+    wider = leaves.where("exact").groupBy("key").agg(F.first("n").alias("n"), F.first("parts").alias("parts")).where(F.col("n") >= FIELD_TOKENS)
+    wider = cut(wider.select(F.col("key").alias("whole"), F.explode(_template_keys()).alias("key")))
+    shared = cut(exact.unionByName(near.join(_held_by(near, min_docs, wider), "key", "left_semi")))
+
+    # What each text has of its own.
+    gone = shared.select(*line).distinct().groupBy(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).agg(F.collect_set("same").alias("gone"), F.sum("n").alias("n_gone"))
+    minima = found.where("minima IS NOT NULL").select("doc_id", "tie", "n", "minima").dropDuplicates(["doc_id", "tie"])
+    own = minima.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t"))).where(OWN * (F.col("n") - F.col("n_gone")) >= F.col("n"))
+    own = own.select("doc_id", "tie", "minima", "gone").mapInArrow(_own_partition, "doc_id long, tie long, sketch binary")
+    own = own.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "sketch")
+    once = shared.where("line = same").select("doc_id", "tie", "key")
+    sketches = once.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t"))).select("key", "sketch").distinct()
+    recurring = _with_classes(sketches, min_docs)
+    recurring = recurring.union(wider.join(recurring.withColumnRenamed("key", "whole"), "whole", "left_semi").select("key"))
+    return shared.join(recurring, "key", "left_semi").groupBy("doc_id", "tie").agg(F.collect_set("line").alias("lines"))
 
 
 def without_lines(text: str | None, lines: list[int] | None) -> str | None:
@@ -237,32 +263,32 @@ def without_lines(text: str | None, lines: list[int] | None) -> str | None:
     return "\n".join(line for i, line in enumerate(text.split("\n")) if i not in gone)
 
 
-def _drop_partition(text_at: int, chars_at: int | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lines = batch.column(batch.num_columns - 1)
-            columns = list(batch.columns[:-1])
-            if lines.null_count < len(lines):
-                texts = [without_lines(t, x) for t, x in zip(columns[text_at].to_pylist(), lines.to_pylist())]
-                columns[text_at] = pa.array(texts, pa.string())
-                if chars_at is not None:
-                    columns[chars_at] = pa.array([None if t is None else len(t) for t in texts], batch.schema.field(chars_at).type)
-            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
-
-    return run
+def _drop_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, lines) to the row's columns, without those lines."""
+    for batch in batches:
+        row, lines = batch.columns
+        columns, names = row.flatten(), [f.name for f in row.type]
+        if lines.null_count < len(lines):
+            at = names.index("text")
+            texts = [without_lines(t, x) for t, x in zip(columns[at].to_pylist(), lines.to_pylist())]
+            columns[at] = pa.array(texts, pa.string())
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                columns[at] = pa.array([None if t is None else len(t) for t in texts], columns[at].type)
+        yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def _with_lines(docs: DataFrame) -> DataFrame:
-    dropped = recurring_lines(docs).select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), F.col("lines").alias("_lines"))
-    keyed = _keyed(docs)
-    return keyed.join(dropped, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")), "left").drop("_tie", "_d", "_t")
+    """(row, lines): each row as a struct, so that no name of its columns can clash."""
+    found = recurring_lines(docs)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    keyed = docs.select(row.alias("row"), F.xxhash64("text").alias("_tie"))
+    return keyed.join(found, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("_tie") == F.col("tie")), "left").select("row", "lines")
 
 
 def drop(docs: DataFrame) -> DataFrame:
     """The documents without the lines of recurring templates; ``n_chars`` follows the text."""
-    columns = docs.columns
-    chars_at = columns.index("n_chars") if "n_chars" in columns else None
-    return _with_lines(docs).select(*columns, "_lines").mapInArrow(_drop_partition(columns.index("text"), chars_at), docs.schema)
+    return _with_lines(docs).mapInArrow(_drop_partition, docs.schema)
 
 
 def _digest_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,4 +304,4 @@ def _digest_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, kept_sha256 (of the remaining lines)."""
-    return _with_lines(docs.select("doc_id", "text")).select("doc_id", "text", "_lines").mapInArrow(_digest_partition, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _with_lines(docs.select("doc_id", "text")).select("row.doc_id", "row.text", "lines").mapInArrow(_digest_partition, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

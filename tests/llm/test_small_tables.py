@@ -3,13 +3,14 @@
 import base64
 import collections
 import hashlib
+import itertools
 import re
 import zlib
 
 import numpy as np
 import pytest
 
-from evidora.llm import bpe, chat, minhash, mixing, quality, setsketch, suffix, templates, token_store, toxicity
+from evidora.llm import bpe, chat, minhash, mixing, neardup, quality, setsketch, suffix, templates, token_store, toxicity
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 RANKS, TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("byte_bpe_50k.json")
@@ -99,7 +100,7 @@ def test_token_store_round_trip(spark, docs, empty):
     from evidora.llm.shared import shared_dir
 
     library = Tokenizer.from_file(TOKENIZER)
-    library.encode_special_tokens = True
+    assert 50256 in library.encode("a <|endoftext|> b", add_special_tokens=False).ids
     path = f"{shared_dir(spark)}/store"
     token_store.write(docs, path, TOKENIZER)
     got = sorted(token_store.digests(spark, path).collect(), key=lambda r: r.start)
@@ -163,6 +164,8 @@ def test_toxicity(spark, docs, empty, labels):
     assert max(r.score for r in toxicity.predictions(docs, labels.limit(0)).collect()) < 1e-6
     kept = toxicity.reject(docs, labels)
     assert kept.columns == docs.columns
+    clash = docs.selectExpr("doc_id", "text", "text AS _text", "score", "score AS _own_score")
+    assert toxicity.reject(clash, labels).columns == clash.columns and toxicity.reject(clash, labels).count() == kept.count()
 
 
 def test_toxicity_learns_subwords():
@@ -185,6 +188,35 @@ def test_toxicity_learns_subwords():
     assert odds[0] > 0 > odds[1]
 
 
+def test_toxicity_score_by_single_grams():
+    """Every word, gram and segment on its own, in plain Python."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(12)
+    model = toxicity.Model(rng.normal(size=1 << toxicity.BITS).astype(np.float32), -0.3)
+
+    def bucket(gram):
+        h = 0
+        for k, b in enumerate(gram):
+            h ^= int(toxicity._TABLES[k][b])
+        return (h * 2654435761 & 0xFFFFFFFF) >> (32 - toxicity.BITS)
+
+    def odds(text):
+        low = bytes(b + 32 if 65 <= b <= 90 else b for b in text.encode())
+        found = re.findall(rb"(?:[0-9a-z]|[\x80-\xff])+", low)
+        scores = []
+        for w in found:
+            padded = b" " + w + b" "
+            grams = [padded[i : i + k] for k in (3, 4, 5) for i in range(len(padded) - k + 1)]
+            scores.append(sum(float(model.bucket[bucket(g)]) for g in grams) / max(len(grams), 1))
+        segments = [scores[i : i + toxicity.SEGMENT] for i in range(0, len(scores), toxicity.SEGMENT)]
+        return max([sum(x) / len(x) for x in segments], default=0.0) + model.bias
+
+    texts = ["", " \n", "a", "Hello, WORLD x", "don't stop-me now 12 émile's été", words(50, 70), "one\ttwo three four"]
+    (_, _, data, offsets) = next(toxicity.blocks(pa.array(texts)))
+    assert toxicity._odds(data, offsets, model) == pytest.approx([odds(t) for t in texts])
+
+
 def test_quality_counts(docs, empty, labels):
     def brute(t):
         w = split(t)
@@ -205,6 +237,28 @@ def test_quality_counts(docs, empty, labels):
     assert quality.keep(docs, labels).columns == docs.columns
 
 
+def test_quality_trees_one_by_one():
+    rng = np.random.default_rng(21)
+    x = rng.random((500, len(quality.FEATURES)))
+    trees = quality.train(x, (x[:, 0] + x[:, 3] > 1).astype(int))
+
+    def walk(row, node):
+        while trees.left[node] != node:
+            node = trees.left[node] if row[trees.feature[node]] <= trees.threshold[node] else trees.right[node]
+        return trees.value[node]
+
+    assert trees.odds(x[:100]) == pytest.approx([trees.bias + sum(walk(row, root) for root in trees.roots) for row in x[:100]])
+    assert ((trees.odds(x) > 0) == (x[:, 0] + x[:, 3] > 1)).mean() > 0.9
+
+
+def test_quality_keeps_rows_by_their_text(spark, labels):
+    texts = [(1, words(80, 77)), (1, "short"), (None, words(80, 78)), (None, "x"), (2, None)]
+    table = spark.createDataFrame(rows(texts), SCHEMA).withColumnRenamed("kept", "_kept").repartition(2)
+    got = quality.keep(table, labels.limit(0))
+    assert got.columns == table.columns
+    assert sorted(str(r.doc_id) + r.text for r in got.collect()) == sorted(str(d) + t for d, t in [texts[0], texts[2]])
+
+
 def test_quality_trees_fall_with_constrained_features():
     rng = np.random.default_rng(0)
     x = rng.random((2000, len(quality.FEATURES)))
@@ -278,6 +332,53 @@ def test_mixing(docs, empty):
     assert mixing.taken(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_equals_brute_force(spark):
+    texts = [(d, words(n, d)) for d, n in enumerate([900, 10, 0, 700, 5000, 130, 64, 1, 333, 2000])] + [(3, words(200, 90)), (None, words(70, 91)), (4, None)]
+    table = spark.createDataFrame(rows(texts), SCHEMA).repartition(3)
+    source = {(r.doc_id, r.text): r.source for r in table.collect()}
+    sizes = collections.defaultdict(int)
+    for d, t in texts:
+        sizes[source[d, t]] += len(split(t))
+    names = sorted((x for x in sizes if x is not None)) + [None] * (None in sizes)
+    weight = {x: (5, 2, 1)[i % 3] for i, x in enumerate(names)}
+    whole, capped = 1.5 * sum(sizes.values()), set()
+    while True:
+        rest = whole - sum(2 * sizes[x] for x in capped)
+        share = {x: rest * weight[x] / sum(weight[y] for y in names if y not in capped) for x in names if x not in capped}
+        over = {x for x, v in share.items() if v > 2 * sizes[x]}
+        if not over:
+            break
+        capped |= over
+    target = {x: share.get(x, 2.0 * sizes[x]) for x in names}
+    want = collections.Counter()
+    for sid, x in enumerate(names):
+        docs = sorted(((-1 if d is None else d), spark_hash(spark, t), len(split(t)), d) for d, t in texts if source[d, t] == x)
+        owner = [k for k, row in enumerate(docs) for _ in range(row[2])]
+        n_blocks = -(-sizes[x] // mixing.BLOCK)
+        taken = collections.Counter()
+        for slot in range(round(target[x] / sizes[x] * n_blocks) if sizes[x] else 0):
+            turn, index = divmod(slot, n_blocks)
+            (block,) = mixing.permuted(np.array([index]), n_blocks, mixing.SEED * 1_000_003 + sid * 65_537 + turn)
+            taken.update(owner[block * mixing.BLOCK : (block + 1) * mixing.BLOCK])
+        for k, (_, _, size, d) in enumerate(docs):
+            want[d, size, sizes[x], round(target[x], 6), taken[k]] += 1
+    got = collections.Counter((r.doc_id, r.size, r.source_size, round(r.target, 6), r.taken) for r in mixing.taken(table).collect())
+    assert got == want
+
+
+def spark_hash(spark, text):
+    from pyspark.sql import functions as F
+
+    return spark.range(1).select(F.xxhash64(F.lit(text).cast("string"))).first()[0]
+
+
+def test_mixing_takes_clashing_columns(docs):
+    clash = docs.selectExpr("doc_id", "text", "source", "n_chars", "doc_id AS sid", "text AS _source", "doc_id AS _tie", "doc_id AS _n", "text AS runs", "doc_id AS row")
+    got = mixing.mix(clash)
+    assert got.columns == clash.columns
+    assert sorted(str((r.doc_id, r.text, r.n_chars)) for r in got.collect()) == sorted(str((r.doc_id, r.text, r.n_chars)) for r in mixing.mix(docs).collect())
+
+
 def test_mixing_targets(spark):
     sizes = spark.createDataFrame([("b", 10), ("a", 100), (None, 1000), ("c", 0)], "source string, size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
@@ -305,6 +406,28 @@ def test_fingerprints(docs, empty):
     assert minhash.fingerprints(docs.where("doc_id = 7")).first().near_next == 1
 
 
+def test_fingerprints_equal_brute_force(spark):
+    """Signatures from sets of word tuples, one hash function and one shingle at a time."""
+    base = words(120, 40)
+    texts = [(1, base), (2, base.upper()), (3, base.replace(base.split()[7], "other", 1)), (4, "a b"), (5, ""), (6, words(33, 41)), (7, None)]
+
+    def signature(text):
+        values = [int(v) for v in minhash.shingles(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]))[0]]
+        w = split(text.lower())
+        assert len(values) == len({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} - {()})
+        return [min(((v * int(m) + int(c)) % 2**64 >> 48 for v in values), default=0xFFFF) for m, c in zip(minhash._MULTIPLY, minhash._ADD)]
+
+    def near(x, y):
+        return sum(p == q for p, q in zip(x, y)) / len(x)
+
+    got = {r.doc_id: r for r in minhash.fingerprints(spark.createDataFrame(rows(texts), SCHEMA).repartition(3)).collect()}
+    for i, (d, t) in enumerate(texts):
+        t, after = t or "", texts[(i + 1) % len(texts)][1] or ""
+        own, changed = signature(t), signature(t[: len(t) - len(t) // 4] + after[: len(t) // 4])
+        assert base64.b64decode(got[d].fingerprint) == np.array(own, "<u2").tobytes() and base64.b64decode(got[d].edited_fingerprint) == np.array(changed, "<u2").tobytes()
+        assert (got[d].near_edited, got[d].near_next) == (near(own, changed), near(own, signature(after)))
+
+
 def brute_components(texts):
     def grams(t):
         w = split("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
@@ -330,8 +453,9 @@ def brute_components(texts):
     return collections.Counter((d, len(s), d if not s else (least[find(i)] if least[find(i)] < 1 << 62 else None)) for i, (d, s) in enumerate(sets))
 
 
-@pytest.mark.parametrize("find", [setsketch.near_duplicates, minhash.near_duplicates])
-def test_near_duplicates(spark, docs, empty, find):
+@pytest.mark.parametrize(("find", "block"), [(setsketch.near_duplicates, 1024), (setsketch.near_duplicates, 4), (minhash.near_duplicates, 1024)])
+def test_near_duplicates(spark, docs, empty, find, block, monkeypatch):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", block)
     rng = np.random.default_rng(5)
     near = []
     for k in range(60):  # a hot group of near copies, not all linked with each other
@@ -391,6 +515,82 @@ def test_line_dedup(spark, docs, empty):
     assert templates.digests(empty).count() == 0
 
 
+def brute_line_dedup(texts):
+    """Numbers of the dropped lines by row, from templates as tuples and full sets of shingles."""
+    rows, held = [], collections.defaultdict(set)
+    for t in texts:
+        lines = []
+        for x in (t or "").split("\n"):
+            w = split(re.sub("[A-Z]", lambda m: m[0].lower(), x))
+            n, masked = len(w), ["#" if re.search("[0-9]", v) else v for v in w]
+            whole, wild = None, set()
+            if n >= 4 and 2 * masked.count("#") <= n:
+                whole = tuple(masked)
+                part = [i * 6 // n for i in range(n)]
+                for gone in itertools.combinations(range(6), 2):
+                    kept = tuple(v for v, p in zip(masked, part) if p not in gone)
+                    if n >= 5 and len(kept) >= 0.55 * n:
+                        wild.add((gone, n, kept))
+            lines.append((w, whole, wild))
+        rows.append(lines)
+        for _, whole, _ in lines:
+            held[whole].add(t)
+    exact = {k for k, ts in held.items() if k and len(ts) >= 3}
+    wider = collections.defaultdict(set)
+    for lines, t in zip(rows, texts):
+        for _, whole, wild in lines:
+            for k in wild:
+                wider[k].add(whole if whole in exact else None)
+                if whole not in exact:
+                    held[k].add(t)
+    shared = lambda line: ({line[1]} & exact) or {k for k in line[2] if len(held[k]) >= 3 or wider[k] - {None}}
+    owners = collections.defaultdict(list)
+    for lines, t in zip(rows, texts):
+        own, total = [x for x in lines if not shared(x)], sum(len(x[0]) for x in lines)
+        if 6 * sum(len(x[0]) for x in own) >= total:
+            grams = frozenset(tuple(w[i : i + 5]) for w, _, _ in own for i in range(max(1, len(w) - 4)) if w)
+            for k in set().union(*map(shared, lines)):
+                owners[k].append(grams)
+    recurring = set()
+    for k, sets in owners.items():
+        classes = []
+        for g in sets:
+            if not any(2 * len(g & c) >= len(g | c) for c in classes):
+                classes.append(g)
+        if len(classes) >= 3:
+            recurring.add(k)
+    recurring |= {k for k, wholes in wider.items() if wholes & recurring}
+    return [{i for i, x in enumerate(lines) if shared(x) & recurring} for lines in rows]
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = np.random.default_rng(20)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 16, 6))
+    many = lambda n: " ".join(word() for _ in range(n))
+    texts = []
+    first, second = many(11), many(10)
+    texts += [f"{first}\n{many(rng.integers(1, 6))}\n{second}" for _ in range(30)]  # more boilerplate than page
+    texts += [f"{many(30)}\nNotice {word()} was printed by the office of records today\n{many(20)}" for _ in range(12)]  # the second token varies
+    texts += [f"{many(30)}\nThe notice {word()} was printed by the {word()} office of records and sent out today" for _ in range(12)]  # two fields
+    texts += [f"{many(20)}\nprinted by {word()} office of records today\n{many(9)}" for _ in range(12)]  # seven tokens
+    texts += [f"{many(30)}\nsold at shop {k % 4} in {['york', 'bonn', 'rome', word()][k % 4]} for money" for k in range(14)]  # some values often, some once
+    texts += [f"{many(20)}\nonly two texts hold this line of words" for _ in range(2)] + [f"{many(8)}\nshort line here" for _ in range(5)]
+    base = [many(14) for _ in range(8)]
+    for k in range(12):  # near copies with one other word, and exact copies
+        x = list(base)
+        x[k % 8] = " ".join([*x[k % 8].split()[:-1], word()])
+        texts += ["\n".join(x)] * (1 + k % 3)
+    texts += [f"{many(60)}\n{base[0]}", None, "", "\n\n"]
+    df = spark.createDataFrame(rows(list(enumerate(texts))), SCHEMA).repartition(3)
+    got = {r.doc_id: r.text for r in templates.drop(df).collect()}
+    want = brute_line_dedup(texts)
+    assert got == {i: templates.without_lines(t, x) for i, (t, x) in enumerate(zip(texts, want))}
+    counts = [len(x) for x in want]
+    assert sum(counts[:30]) == 60 and all(counts[30:66]) and sum(counts[66:80]) == 14 and not any(counts[80:])
+    clash = df.selectExpr("doc_id", "text", "text AS _tie", "doc_id AS tie", "text AS lines", "doc_id AS _lines", "text AS row", "doc_id AS _d", "n_chars")
+    assert {r.doc_id: r.text for r in templates.drop(clash).collect()} == got
+
+
 def test_line_dedup_counts_documents_that_differ(spark):
     notice, first, second = words(12, 31), words(40, 32), words(40, 33)
     others = [(i, words(60, 200 + i) + "\n" + notice) for i in range(10)]
