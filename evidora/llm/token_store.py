@@ -13,20 +13,23 @@ read from any shared file system:
 * ``buckets``: ids of all buckets before each bucket.
 
 The dictionary is trained on serialised id arrays of a bounded sample
-(``SAMPLE_DOCS`` documents of at most ``SAMPLE_CHARS`` characters, in the order
-of a hash of the id); every document is compressed on its own with it.
+(the first ``SAMPLE_BYTES`` of the arrays of ``SAMPLE_DOCS`` documents, in the order
+of a hash of the id); every document is compressed on its own with it.  A sample
+that is too small or too uniform for zstandard gives an empty dictionary.
 
 Pieces of the text (see ``pretoken``) are encoded by the ``tokenizers``
 library, each distinct piece once for as long as it stays in memory; with a
-tokenizer that does not split by that pattern, whole texts are encoded.
+tokenizer that does not split by that pattern, and where a text holds one of the
+tokenizer's added tokens (which the library takes out first), whole texts are.
 
 Order is kept without a global sort: ids are cut into ranges by quantiles, a
 range is one partition, and starts are sums over whole ranges plus the running
 sum inside.
 
 Defined cases: null texts count as empty (only the end id); repeated ids are
-all kept, ordered by their token counts and bytes; null ids come first; extra
-columns are ignored; an empty table gives an empty store.
+all kept, ordered by their token counts and bytes; null ids come first, and the
+id -2**63 reads as null; extra columns are ignored; an empty table gives an empty
+store.
 """
 
 from __future__ import annotations
@@ -49,7 +52,7 @@ from .shared import partitions, range_bounds, range_bucket
 from .textblock import blocks
 
 SAMPLE_DOCS = 1000
-SAMPLE_CHARS = 20_000
+SAMPLE_BYTES = 16 << 10
 DICTIONARY_BYTES = 32 << 10
 SHARD_BYTES = 4 << 20
 LEVEL = 3
@@ -62,13 +65,15 @@ def _encoder(path: str):
     from tokenizers import Tokenizer
 
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     split = whole.pre_tokenizer
+
+    def whole_texts(texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in whole.encode_batch(texts, add_special_tokens=False)]
+
     if whole.normalizer is not None or type(split).__name__ != "ByteLevel" or split.add_prefix_space or not getattr(split, "use_regex", True):
 
         def texts_to_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-            found = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
-            return np.array([i for ids in found for i in ids], np.uint32), np.concatenate(([0], np.cumsum([len(ids) for ids in found]))).astype(np.int64)
+            return _joined(whole_texts(texts))
 
         return texts_to_ids, whole.get_vocab_size()
     # The library's model reads bytes as the characters of the public byte-level alphabet.
@@ -77,7 +82,23 @@ def _encoder(path: str):
     alphabet = {b: b for b in plain} | {b: 256 + i for i, b in enumerate(shifted)}
     tokenize = whole.model.tokenize
     pieces = PieceCodec(lambda piece: [t.id for t in tokenize(piece.encode().decode("latin-1").translate(alphabet))])
-    return pieces.encode, whole.get_vocab_size()
+    added = [str(t.content) for t in whole.get_added_tokens_decoder().values()]
+
+    def texts_to_ids(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        special = [i for i, t in enumerate(texts) if any(a in t for a in added)]
+        ids, first = pieces.encode(texts)
+        if not special:
+            return ids, first
+        found = [ids[a:b] for a, b in zip(first[:-1], first[1:])]
+        for i, own in zip(special, whole_texts([texts[i] for i in special])):
+            found[i] = own
+        return _joined(found)
+
+    return texts_to_ids, whole.get_vocab_size()
+
+
+def _joined(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.concatenate([np.zeros(0, np.uint32), *found]), np.concatenate(([0], np.cumsum([len(ids) for ids in found]))).astype(np.int64)
 
 
 def _width(path: str) -> int:
@@ -98,17 +119,16 @@ def _sample_partition(path: str, end_id: int) -> Callable[[Iterator[pa.RecordBat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, b, _, _ in blocks(batch.column(0)):
-                found = [x for _, x in _serialised([t or "" for t in batch.column(0).slice(a, b - a).to_pylist()], path, end_id)]
+                found = [x[:SAMPLE_BYTES] for _, x in _serialised([t or "" for t in batch.column(0).slice(a, b - a).to_pylist()], path, end_id)]
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary())], ["ids"])
 
     return run
 
 
 def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 0) -> bytes:
-    """The shared dictionary; empty if the sample is too small to train one."""
-    short = docs.where(F.length("text") <= SAMPLE_CHARS)
-    ids = short.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
-    sample = short.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
+    """The shared dictionary; empty if the sample is too small or too uniform to train one."""
+    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
+    sample = docs.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
     samples = [bytes(r.ids) for r in sample.mapInArrow(_sample_partition(tokenizer, end_id), "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
