@@ -2,8 +2,8 @@
 
 Statistics of whole texts are computed in Arrow tasks, a block of texts at a
 time.  The trees are fitted in NumPy on the statistics of a bounded sample of
-labelled rows (at most ``MAX_TRAIN``, in the order of a hash of the id), and
-are flattened to node arrays, so that scoring is ``depth`` gathers for all
+labelled rows (at most ``MAX_TRAIN`` ids, in the order of a hash of the id, and at
+most twice as many rows of them), and are flattened to node arrays, so that scoring is ``depth`` gathers for all
 rows and trees at once.  The odds of being kept can only fall as the shares of
 repeated lines, repeated words and symbols rise (``FALLING``): a constraint
 on every split and on the values below it.
@@ -15,11 +15,13 @@ in three-word windows that the text holds twice or more; it is never kept.
 Defined cases: null texts count as empty (no words, base rules failed);
 without labelled rows of both kinds the model keeps everything the base rules
 pass; an id labelled twice counts as good only if all labels are 1; repeated
-rows get repeated verdicts; extra columns are ignored.
+rows get repeated verdicts; ``keep`` judges every row by its own text, whatever its
+id, and keeps extra columns.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -28,7 +30,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from .shared import fresh
 from .textblock import blocks, lower_ascii, mix, ngram_hashes, prefix_hash, runs, span_hash, words
 
 MAX_TRAIN = 20_000
@@ -223,6 +227,17 @@ def _verdict_partition(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[
     return run
 
 
+def _keep_partition(shared, text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        verdict = _verdict_partition(shared)
+        for batch in batches:
+            judged = [b.column(b.num_columns - 1) for b in verdict(iter([pa.RecordBatch.from_arrays([pa.array(range(batch.num_rows), pa.int64()), batch.column(text_at)], ["doc_id", "text"])]))]
+            kept = pa.chunked_array(judged, pa.bool_()).combine_chunks()
+            yield pa.RecordBatch.from_arrays([*batch.columns, kept], [*batch.schema.names, "kept"])
+
+    return run
+
+
 def training_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Features and label of the bounded sample."""
     marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
@@ -233,9 +248,17 @@ def training_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return stats.join(F.broadcast(chosen), "doc_id").orderBy(*order, *FEATURES).limit(2 * MAX_TRAIN)
 
 
+def _train_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The trees from all rows of the (only) partition, pickled."""
+    rows = [np.stack([np.asarray(c, float) for c in batch.columns], axis=1) for batch in batches]
+    sample = np.concatenate(rows) if rows else np.zeros((0, len(FEATURES) + 1))
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(sample[:, :-1], sample[:, -1].astype(int)))], pa.binary())], ["trees"])
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Trees:
-    sample = training_statistics(docs, labels).toPandas()
-    return train(sample[FEATURES].to_numpy(float), sample["quality"].to_numpy())
+    """Train in one task on the bounded sample; the driver gets the trees alone."""
+    rows = training_statistics(docs, labels).select(*FEATURES, "quality").coalesce(1).mapInArrow(_train_partition, "trees binary").collect()
+    return pickle.loads(rows[0].trees) if rows else train(np.zeros((0, len(FEATURES))), np.zeros(0, int))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -246,6 +269,8 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    good = verdicts(docs, labels).where("kept").select("doc_id")
-    return docs.join(good.distinct(), "doc_id", "left_semi")
+    """The rows that are kept, with all their columns; every row is judged by its own text."""
+    columns, key = docs.columns, fresh("_kept", docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    schema = T.StructType([*docs.schema.fields, T.StructField(key, T.BooleanType())])
+    return docs.mapInArrow(_keep_partition(shared, columns.index("text")), schema).where(F.col(key)).select(*columns)
