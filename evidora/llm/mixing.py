@@ -6,8 +6,10 @@
 2. A source's words, documents in the order of doc_id, are packed into blocks
    of ``BLOCK`` words.  A source takes as many slots as its target needs.
 3. For every output shard, multinomial draws (seeded by source and shard
-   range) say how many of each source's slots it holds.  The draws split a
-   source's slots over shards, so they add up to its target exactly.
+   range) say how many of each source's slots it holds.  The draws are made
+   under the condition that a source's slots over all shards add up to its
+   target (a sum of free draws would miss it, and could pass the limit of
+   ``MOST`` times), so a shard holds about ``SHARD_BLOCKS`` slots, not exactly.
 4. Slot j of a source reads block P(j mod B) of its B blocks, where P is a
    pseudorandom permutation (a keyed Feistel network on the next power of
    four, walked until it lands below B) that differs for each pass over the
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, running_before
+from .shared import cut, partitions, running_before
 from .textblock import blocks, mix as scramble, words
 
 WEIGHTS = (5, 2, 1)
@@ -41,6 +43,7 @@ BLOCK = 64
 SHARD_BLOCKS = 4096
 FANOUT = 1024
 SEED = 20240607
+BATCH = 1 << 16
 
 
 def _sizes_partition(text_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -88,9 +91,19 @@ def permuted(index: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _split_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Draw how the slots of a shard range fall on up to FANOUT parts of it."""
-    names = ["sid", "n_blocks", "lo", "hi", "offset", "n"]
+def _large(rows: Iterator[list[np.ndarray]], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """Columns of few rows each, gathered to batches of about ``BATCH`` rows."""
+    held: list[list[np.ndarray]] = []
+    for columns in rows:
+        held.append(columns)
+        if sum(len(c[0]) for c in held) >= BATCH:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], names)
+            held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*held)], names)
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for batch in batches:
         for sid, n_blocks, lo, hi, offset, n in zip(*(c.to_pylist() for c in batch.columns)):
             edges = np.unique(np.linspace(lo, hi, min(FANOUT, hi - lo) + 1).astype(np.int64))
@@ -99,11 +112,15 @@ def _split_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             some = counts > 0
             at = offset + np.cumsum(counts) - counts
             k = int(some.sum())
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (np.full(k, sid), np.full(k, n_blocks), edges[:-1][some], edges[1:][some], at[some], counts[some])], names)
+            yield [np.full(k, sid), np.full(k, n_blocks), edges[:-1][some], edges[1:][some], at[some], counts[some]]
 
 
-def _slots_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The block, pass and place of every slot."""
+def _split_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Draw how the slots of a shard range fall on up to FANOUT parts of it."""
+    return _large(_split(batches), ["sid", "n_blocks", "lo", "hi", "offset", "n"])
+
+
+def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
     for batch in batches:
         for sid, n_blocks, shard, _, offset, n in zip(*(c.to_pylist() for c in batch.columns)):
             for a in range(0, n, 1 << 16):
@@ -112,7 +129,12 @@ def _slots_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 block = np.empty(len(slot), np.int64)
                 for t in np.unique(turn):
                     block[turn == t] = permuted(index[turn == t], n_blocks, SEED * 1_000_003 + sid * 65_537 + int(t))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slot), sid), pa.int64()), pa.array(block), pa.array(turn, pa.int64()), pa.array(np.full(len(slot), shard), pa.int64()), pa.array(slot, pa.int64())], ["sid", "block", "turn", "shard", "slot"])
+                yield [np.full(len(slot), sid), block, turn, np.full(len(slot), shard), slot]
+
+
+def _slots_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The block, pass and place of every slot."""
+    return _large(_slots(batches), ["sid", "block", "turn", "shard", "slot"])
 
 
 def slots(table: DataFrame) -> DataFrame:
@@ -127,7 +149,8 @@ def slots(table: DataFrame) -> DataFrame:
         reach *= FANOUT
         if reach >= shards:
             break
-    spread = parts.repartition("sid", "lo")
+    # A fixed number of partitions: by their size, these few rows would all go to one task, and each makes many slots.
+    spread = parts.repartition(partitions(table.sparkSession), "sid", "lo")
     return spread.mapInArrow(_slots_partition, "sid long, block long, turn long, shard long, slot long")
 
 
@@ -163,56 +186,53 @@ def taken(docs: DataFrame) -> DataFrame:
     return mixed.unionByName(empty).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _cut_partition(text_at: int, runs_at: int, chars_at: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The texts of runs of words; a run of all words is the whole text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b, data, offsets in blocks(batch.column(text_at)):
-                starts, ends, first = words(data, offsets)
-                rows = batch.slice(a, b - a)
-                source, texts = [], []
-                for i, spans in enumerate(rows.column(runs_at).to_pylist()):
-                    merged: list[list[int]] = []
-                    for s, e in sorted((x["from_word"], x["to_word"]) for x in spans):
-                        if merged and merged[-1][1] == s:
-                            merged[-1][1] = e
-                        else:
-                            merged.append([s, e])
-                    n = int(first[i + 1] - first[i])
-                    for s, e in merged:
-                        lo = offsets[i] if s == 0 else starts[first[i] + s]
-                        hi = offsets[i + 1] if e == n else ends[first[i] + e - 1]
-                        source.append(i)
-                        texts.append(data[lo:hi].tobytes().decode())
-                new = {text_at: pa.array(texts, pa.string())}
-                if chars_at is not None:
-                    new[chars_at] = pa.array([len(t) for t in texts], rows.schema.field(chars_at).type)
-                order = pa.array(source, pa.int64())
-                keep = [i for i in range(rows.num_columns) if i != runs_at]
-                yield pa.RecordBatch.from_arrays([new.get(i, rows.column(i).take(order) if i not in new else None) for i in keep], [rows.schema.names[i] for i in keep])
-
-    return run
+def _cut_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, runs) to the row's columns with the texts of runs of words, one row a run; a run of all words is the whole text."""
+    for batch in batches:
+        names = [f.name for f in batch.column(0).type]
+        table = pa.RecordBatch.from_arrays(batch.column(0).flatten(), names)
+        text_at = names.index("text")
+        for a, b, data, offsets in blocks(table.column(text_at)):
+            starts, ends, first = words(data, offsets)
+            source, texts = [], []
+            for i, spans in enumerate(batch.column(1).slice(a, b - a).to_pylist()):
+                merged: list[list[int]] = []
+                for s, e in sorted((x["from_word"], x["to_word"]) for x in spans):
+                    if merged and merged[-1][1] == s:
+                        merged[-1][1] = e
+                    else:
+                        merged.append([s, e])
+                n = int(first[i + 1] - first[i])
+                for s, e in merged:
+                    lo = offsets[i] if s == 0 else starts[first[i] + s]
+                    hi = offsets[i + 1] if e == n else ends[first[i] + e - 1]
+                    source.append(a + i)
+                    texts.append(data[lo:hi].tobytes().decode())
+            taken_rows = table.take(pa.array(source, pa.int64()))
+            columns = list(taken_rows.columns)
+            columns[text_at] = pa.array(texts, pa.string())
+            if "n_chars" in names:
+                at = names.index("n_chars")
+                columns[at] = pa.array([len(t) for t in texts], columns[at].type)
+            yield pa.RecordBatch.from_arrays(columns, names)
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """The mixed documents, with the columns of ``docs``.
+    """The mixed documents, with the columns of ``docs``, whatever their names.
 
     Every pass over a source gives the runs of words it takes from a document:
     the whole text, or parts of it cut at block borders, one row a run.
     ``n_chars`` follows the text.
     """
-    columns = docs.columns
-    table, rows = placed(docs, [])
+    table, rows = placed(docs.select("doc_id", "source", "text"), [])
     spans = _pieces(rows).select("sid", "block", "doc_id", "_tie", "size", "start", "from_word", "to_word")
     used = spans.join(slots(table).select("sid", "block", "turn").hint("merge"), ["sid", "block"])
-    runs = used.groupBy("sid", "start", "doc_id", "_tie", "turn").agg(F.collect_list(F.struct("from_word", "to_word")).alias("_runs"))
+    runs = used.groupBy("sid", "start", "doc_id", "_tie", "turn").agg(F.collect_list(F.struct("from_word", "to_word")).alias("runs"))
     # Equal rows have equal ids and texts: number them on both sides, so that each run meets one row.
     runs = runs.withColumn("_n", F.dense_rank().over(Window.partitionBy("doc_id", "_tie", "sid").orderBy("start")))
-    texts = docs.join(table.select("sid", F.col("source").alias("_source")), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
-    texts = texts.withColumn("_tie", F.xxhash64("text")).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "_tie", "sid").orderBy("doc_id")))
-    runs = runs.select(F.col("sid").alias("_s"), F.col("doc_id").alias("_d"), F.col("_tie").alias("_t"), F.col("_n").alias("_m"), "_runs")
-    met = texts.join(runs.hint("merge"), (F.col("sid") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")) & (F.col("_n") == F.col("_m")))
-    ready = met.select(*columns, "_runs")
-    chars_at = columns.index("n_chars") if "n_chars" in columns else None
-    return ready.mapInArrow(_cut_partition(columns.index("text"), len(columns), chars_at), docs.schema)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64("text").alias("_tie"))
+    texts = whole.join(table.select("sid", F.col("source").alias("_source")), F.col("row.source").eqNullSafe(F.col("_source")))
+    texts = texts.select("row", "sid", "_tie", F.row_number().over(Window.partitionBy("row.doc_id", "_tie", "sid").orderBy("sid")).alias("_n"))
+    runs = runs.select(F.col("sid").alias("_s"), F.col("doc_id").alias("_d"), F.col("_tie").alias("_t"), F.col("_n").alias("_m"), "runs")
+    met = texts.join(runs.hint("merge"), (F.col("sid") == F.col("_s")) & F.col("row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")) & (F.col("_n") == F.col("_m")))
+    return met.select("row", "runs").mapInArrow(_cut_partition, docs.schema)
