@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import uuid
+import re
+import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,12 +12,14 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``; it is set here only where
-    it is unset, as in local tests.
+    A cluster names it in ``spark.checkpoint.dir``.  Where it is unset, a session
+    in one process, as in tests, gets a new folder; any other one is an error.
     """
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
-        path = "/tmp/checkpoints"
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        path = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(path)
     return path
@@ -28,11 +31,12 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def write_shared(df: DataFrame, name: str) -> str:
-    """Write ``df`` as Parquet to a new place in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return path
+def fresh(name: str, taken: list[str]) -> str:
+    """``name``, with as many underscores in front as it takes to clash with no column."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
 
 
 def partitions(spark: SparkSession) -> int:
@@ -55,8 +59,14 @@ def range_bucket(key: Column, bounds: list[int]) -> Column:
     """0 for null and keys up to the first bound, ..., len(bounds) beyond the last."""
     if not bounds:
         return F.lit(0)
-    held = F.array(*[F.lit(b).cast("long") for b in bounds])
-    return F.coalesce(F.size(F.filter(held, lambda b: b < key)), F.lit(0))
+
+    def place(lo: int, hi: int) -> Column:  # a binary search, written out as nested conditions
+        if lo == hi:
+            return F.lit(lo)
+        middle = (lo + hi) // 2
+        return F.when(key > bounds[middle], place(middle + 1, hi)).otherwise(place(lo, middle))
+
+    return F.when(key.isNull(), 0).otherwise(place(0, len(bounds)))
 
 
 def running_before(df: DataFrame, value: str, key: str, out: str, group: list[str], order: str) -> DataFrame:

@@ -12,9 +12,8 @@ For scoring, softmax and embeddings collapse to one number a bucket of
 n-grams (``Model.bucket``, fixed size), so a block of texts is scored by table
 look-ups and prefix sums.
 
-Training reads a sample of at most ``MAX_TRAIN`` labelled rows of each label,
-each of at most ``MAX_TRAIN_CHARS`` characters, taken in the order of a hash of
-the id.  Scoring reads every whole text.
+Training reads the whole texts of a sample of at most ``MAX_TRAIN`` labelled ids of
+each label, taken in the order of a hash of the id.  Scoring reads every whole text.
 
 Defined cases: null and empty texts have no segment and get the score of the
 bias alone; without rows of both labels to learn from, every score is the
@@ -33,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import fresh
 from .textblock import blocks, gather_ranges, lower_ascii, prefix_hash, runs, span_hash
 
-MAX_TRAIN = 1500
-MAX_TRAIN_CHARS = 10_000
+MAX_TRAIN = 2000
 SEGMENT = 3
 BITS = 18
 PRIOR = 2.0
@@ -207,7 +206,7 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 60, rate: float = 2
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The bounded sample: (text, toxic) of labelled rows outside the held-out fifth."""
     marks = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = docs.where(F.length("text") <= MAX_TRAIN_CHARS).select("doc_id", "text")
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     # Choose ids first, so that only the sample's texts are moved.
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     ids = rows.select("doc_id").join(marks, "doc_id").distinct()
@@ -253,7 +252,7 @@ def _score_partition(shared, text_at: int) -> Callable[[Iterator[pa.RecordBatch]
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """Add ``score`` to every row; the text itself is dropped unless ``keep_text``."""
     kept = [c for c in docs.columns if c != "score" and (keep_text or c != "text")]
-    rows = docs.select(*kept, F.col("text").alias("_text"))
+    rows = docs.select(*kept, F.col("text").alias(fresh("_text", kept)))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size, 2**BITS floats
     schema = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
     return rows.mapInArrow(_score_partition(shared, len(kept)), schema)
@@ -268,5 +267,6 @@ def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def reject(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows that are not predicted toxic, with all their columns."""
     model = fit(docs, labels)
-    kept = docs.columns
-    return score(docs.withColumnRenamed("score", "_own_score") if "score" in kept else docs, model, keep_text=True).where("score < 0.5").drop("score").withColumnsRenamed({"_own_score": "score"}).select(*kept)
+    kept, own = docs.columns, fresh("_own_score", docs.columns)
+    renamed = docs.withColumnRenamed("score", own) if "score" in kept else docs
+    return score(renamed, model, keep_text=True).where("score < 0.5").drop("score").withColumnRenamed(own, "score").select(*kept)
