@@ -62,4 +62,7 @@ def tokens_of_folded(c: Column) -> Column:
 
 
 def tokenize(c: Column) -> Column:
-    return tokens_of_folded(fold(F.lower(F.coalesce(c, F.lit("")))))
+    """Tokens of a text; plain ASCII never leaves the JVM."""
+    low = F.lower(F.coalesce(c, F.lit("")))
+    other = fold(F.when(~low.rlike(r"^\p{ASCII}*$"), low))
+    return tokens_of_folded(F.coalesce(other, low))

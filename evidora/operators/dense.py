@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +14,8 @@ from ..functions.text import tokenize
 from .lexical import top_k
 
 DIM = 64
-MAX_QUERY_FLOATS = 4_000_000
+BLOCK_QUERIES = 1024
+CHUNK_VECTORS = 8192
 
 
 def hash_embed(chunks: DataFrame, text: Column, dim: int = DIM) -> DataFrame:
@@ -44,37 +46,38 @@ def _unit(m: np.ndarray) -> np.ndarray:
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query_id, rank, id, score): exact cosine top-k of (query_id, embedding) among (id, embedding).
 
-    The query block is broadcast; its size is bounded (``MAX_QUERY_FLOATS``),
-    larger query sets go through in several blocks.  Every Arrow batch gives
-    its own top k, so only k rows a query and batch are shuffled.
+    Queries are packed in Spark into blocks of ``BLOCK_QUERIES`` rows, vectors into
+    chunks of ``CHUNK_VECTORS``.  Every chunk meets every block in a task of its own
+    and gives the block's top k of the chunk, so only k rows a query and chunk are
+    shuffled and neither side passes the driver.
     """
-    asked = queries.orderBy("query_id").select("query_id", "embedding").toPandas()
-    if not len(asked):
-        return vectors.limit(0).select(F.lit(0).cast(queries.schema["query_id"].dataType).alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0.0).alias("score"))
-    width = max(map(len, asked["embedding"]))
-    step = max(1, MAX_QUERY_FLOATS // max(width, 1))
     id_type, query_type = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
 
-    def block(part: pd.DataFrame) -> DataFrame:
-        ids = part["query_id"].to_numpy()
-        matrix = _unit(np.stack([np.asarray(v, np.float64) for v in part["embedding"]]))
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                if not len(frame):
-                    continue
-                order = np.argsort(frame["id"].to_numpy(), kind="stable")
-                keys = frame["id"].to_numpy()[order]
-                cosine = np.round(matrix @ _unit(np.stack(frame["embedding"].to_numpy()).astype(np.float64)[order]).T, 12)
+    def packed(df: DataFrame, key: str, per: int, name: str) -> DataFrame:
+        n = F.greatest(F.lit(1), F.ceil(F.count("*") / per)).cast("int").alias("n")
+        dealt = df.join(F.broadcast(df.agg(n))).withColumn(name, F.pmod(F.xxhash64(key), F.col("n")))
+        return dealt.groupBy(name).agg(F.collect_list(F.struct(F.col(key).alias("key"), F.col("embedding").alias("v"))).alias(f"{name}_rows"))
+
+    chunks, blocks = packed(vectors, "id", CHUNK_VECTORS, "chunk"), packed(queries, "query_id", BLOCK_QUERIES, "block")
+    last = queries.agg((F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_QUERIES)).cast("long") - 1).alias("last"))
+    tasks = chunks.join(F.broadcast(last)).select("chunk_rows", F.explode(F.sequence(F.lit(0).cast("long"), "last")).alias("block")).join(blocks, "block").select("chunk_rows", "block_rows")
+
+    def matrix(rows: pa.ListScalar) -> tuple[pa.Array, np.ndarray]:
+        held = rows.values
+        keys, flat = held.field("key"), held.field("v").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return keys, _unit(flat.reshape(len(keys), -1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for held, asked in zip(batch.column(0), batch.column(1)):
+                (keys, wide), (ids, narrow) = matrix(held), matrix(asked)
+                order = pa.compute.sort_indices(keys).to_numpy()
+                cosine = np.round(narrow @ wide[order].T, 12)
                 best = np.argsort(-cosine, axis=1, kind="stable")[:, :k]
-                yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), "id": keys[best].ravel(), "score": np.take_along_axis(cosine, best, axis=1).ravel()})
+                asker = np.repeat(np.arange(len(ids)), best.shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(asker)), keys.take(pa.array(order[best].ravel())), pa.array(np.take_along_axis(cosine, best, axis=1).ravel())], ["query_id", "id", "score"])
 
-        return vectors.select("id", "embedding").mapInPandas(run, f"query_id {query_type}, id {id_type}, score double")
-
-    found = block(asked[:step])
-    for at in range(step, len(asked), step):
-        found = found.unionByName(block(asked[at : at + step]))
-    return top_k(found, k)
+    return top_k(tasks.mapInArrow(run, f"query_id {query_type}, id {id_type}, score double"), k)
 
 
 def dense_search_native(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:

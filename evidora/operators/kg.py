@@ -21,6 +21,10 @@ PRIORITY = ["Herb", "Formulation", "Ingredient", "Compound", "Name"]
 ORIGINS = ["curated", "corpus", "pipeline"]
 TRUSTED = ["curated", "corpus"]
 MIN_TERM = 3
+SNIPPET = 600
+NAME_CHARS = 200
+LEARNED = 0.85  # confidence of a herb that a formulary's text names
+GRAM = 3
 _WORD = r"(?U)^[\w-]"
 
 _MAP = "map<string,string>"
@@ -111,17 +115,23 @@ def _leftmost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["id", "term"]).filter(pa.array(keep, pa.bool_()))
 
 
-def entity_mentions(docs: DataFrame, aliases: DataFrame) -> DataFrame:
+def entity_mentions(docs: DataFrame, aliases: DataFrame, scope: str | None = None) -> DataFrame:
     """(id, key, n) of docs (id, text): leftmost-longest matches that do not overlap; every key of a matched alias counts.
 
+    With ``scope``, a field of ``id``, aliases have a column ``scope``: null, or the
+    only value of that field for whose texts they count.
+
     Texts and terms are cut alike, into words and single other characters, so a
     match is a run of whole tokens; one that begins or ends with another character
     than a word's has no word right before or behind it.  Runs of all lengths that terms
     have meet the terms in a join, whatever the size of the dictionary.  The
     driver gets the different lengths.
     """
-    known = aliases.where(F.length("term") >= MIN_TERM)
-    terms = known.select("term").distinct()
+    known = aliases.where(F.length("term") >= MIN_TERM).select(F.col("term").alias("_term"), "key", F.col("scope") if scope else F.lit(None).alias("scope")).distinct()
+    same = F.col("term") == F.col("_term")
+    if scope:
+        same &= F.col("scope").isNull() | (F.col("scope") == F.col(f"id.{scope}"))
+    terms = known.select(F.col("_term").alias("term")).distinct()
     lengths = sorted(r[0] for r in terms.select(F.size(_tokens(F.col("term")))).distinct().collect())
     if not lengths:
         return docs.join(aliases, F.lit(False)).select("id", "key", F.lit(0).cast("long").alias("n"))
@@ -131,7 +141,7 @@ def entity_mentions(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     at = words.select("id", "row", F.explode(near).alias("at")).select("id", "row", "at.*").where(~F.get("next", F.lit(0)).rlike(r"(?U)^\s"))
     runs = F.array(*[F.when(F.size("next") >= k, F.struct(F.lit(k).alias("len"), F.array_join(F.slice("next", 1, k), "").alias("term"), F.get("next", F.lit(k - 1)).alias("end"), F.get("next", F.lit(k)).alias("after"))) for k in lengths])
     spans = at.select("id", "row", "pos", "before", F.get("next", F.lit(0)).alias("begin"), F.explode(runs).alias("run")).where("run IS NOT NULL")
-    hits = spans.select("id", "row", "pos", "before", "begin", "run.*").join(terms, "term", "left_semi")
+    hits = spans.select("id", "row", "pos", "before", "begin", "run.*").join(known, same, "left_semi")
 
     def parted(inner: str, outer: str) -> Column:
         return F.col(outer).isNull() | F.col(inner).rlike(_WORD) | ~F.col(outer).rlike(_WORD)
@@ -140,12 +150,7 @@ def entity_mentions(docs: DataFrame, aliases: DataFrame) -> DataFrame:
     if lengths != [1]:  # single tokens cannot overlap
         schema = hits.select("id", "term").schema
         hits = hits.select("row", "pos", "len", "id", "term").repartition("row").sortWithinPartitions("row", "pos", F.desc("len")).mapInArrow(_leftmost, schema)
-    return hits.groupBy("id", "term").agg(F.count("*").alias("n")).join(known, "term").groupBy("id", "key").agg(F.sum("n").alias("n"))
-
-
-def mentions_by_words(docs: DataFrame, aliases: DataFrame) -> DataFrame:
-    """The same as ``entity_mentions``, which has one way for all dictionaries."""
-    return entity_mentions(docs, aliases)
+    return hits.groupBy("id", "term").agg(F.count("*").alias("n")).join(known, same).groupBy("id", "key").agg(F.sum("n").alias("n"))
 
 
 def doc_mentions(docs: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -171,12 +176,34 @@ def patent_mentions_topk(patents: DataFrame, aliases: DataFrame, k: int = 12) ->
     return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("key", "rank", "publication_number", "in_title")
 
 
+def patent_graph(patents: DataFrame, aliases: DataFrame, k: int = 12) -> tuple[DataFrame, DataFrame]:
+    """Patent nodes and MENTIONED_IN edges of ``patent_mentions_topk``; patents have url and jurisdiction too."""
+    top = patent_mentions_topk(patents, aliases, k)
+    held = patents.join(top.select("publication_number").distinct(), "publication_number", "left_semi")
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("publication_number"))
+    snippet = F.nullif(F.substring(F.coalesce("abstract", F.lit("")), 1, SNIPPET), F.lit(""))
+    props = {c: F.col(c) for c in ("publication_number", "url", "publication_date", "jurisdiction")} | {"snippet": snippet}
+    nodes = node_rows(held, "Patent", F.substring(F.trim(title), 1, NAME_CHARS), None, props, F.col("publication_number"))
+    return nodes, edge_rows(top, F.col("key"), node_key(F.lit("Patent"), F.col("publication_number")), "MENTIONED_IN", {"in_title": F.col("in_title")})
+
+
+def _ordered(current: DataFrame, batch: DataFrame, columns: list[str], origin: str) -> DataFrame:
+    """Both as one table with ``seq``: what is there first, then the batch in the order of its rows (or its own ``seq``)."""
+    place = F.col("seq").cast("long") if "seq" in batch.columns else F.monotonically_increasing_id()
+    new = batch.select(*columns, F.struct(F.lit(1).alias("new"), place.alias("place")).alias("seq")).withColumn("origin", F.lit(origin))
+    old = current.select(*columns, F.struct(F.lit(0).alias("new"), F.lit(0).cast("long").alias("place")).alias("seq"), "origin")
+    return old.unionByName(new)
+
+
 def merge_nodes(current: DataFrame, batch: DataFrame, origin: str) -> DataFrame:
-    """Upsert by key: aliases united in order, later props win, the best origin and the name that came with it."""
-    rows = current.withColumn("seq", F.lit(0)).unionByName(batch.select("key", "label", "name", "aliases", "props").withColumns({"origin": F.lit(origin), "seq": F.lit(1)}))
+    """Upsert by key: aliases united in order, later props win, the best origin and the first name that came with it.
+
+    A key can come several times in a batch; rows count in the batch's order.
+    """
+    rows = _ordered(current, batch, ["key", "label", "name", "aliases", "props"], origin)
     rank = F.struct(_origin_rank(F.col("origin")), F.col("seq"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seq", "aliases"))), lambda x: x["aliases"])
-    merged = rows.groupBy("key").agg(F.first("label").alias("label"), F.min_by("name", rank).alias("name"), F.array_distinct(F.flatten(ordered)).alias("aliases"), F.min_by("origin", rank).alias("origin"))
+    merged = rows.groupBy("key").agg(F.min_by("label", "seq").alias("label"), F.min_by("name", rank).alias("name"), F.array_distinct(F.flatten(ordered)).alias("aliases"), F.min_by("origin", rank).alias("origin"))
     return merged.join(_merge_props(rows, ["key"]), "key", "left").select("key", "label", "name", "aliases", F.coalesce("props", F.create_map().cast(_MAP)).alias("props"), "origin")
 
 
@@ -189,7 +216,7 @@ def _merge_props(rows: DataFrame, keys: list[str]) -> DataFrame:
 def merge_edges(current: DataFrame, batch: DataFrame, nodes: DataFrame, origin: str) -> DataFrame:
     """Upsert by (source, target, type); edges whose ends are not both nodes are dropped."""
     keys = ["source", "target", "type"]
-    rows = current.withColumn("seq", F.lit(0)).unionByName(batch.select(*keys, "props").withColumns({"origin": F.lit(origin), "seq": F.lit(1)}))
+    rows = _ordered(current, batch, [*keys, "props"], origin)
     rows = rows.where("source != target").join(nodes.select(F.col("key").alias("source")), "source", "left_semi").join(nodes.select(F.col("key").alias("target")), "target", "left_semi")
     merged = rows.groupBy(*keys).agg(F.min_by("origin", F.struct(_origin_rank(F.col("origin")), F.col("seq"))).alias("origin"))
     return merged.join(_merge_props(rows, keys), keys, "left").select(*keys, F.coalesce("props", F.create_map().cast(_MAP)).alias("props"), "origin")
@@ -209,11 +236,18 @@ def resolve(queries: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, nodes: DataFrame, limit: int = 20) -> DataFrame:
-    """(query, rank, key): names or aliases that contain the normalised query."""
-    asked = F.broadcast(queries.withColumn("term", normalize(F.col("query"))).where("term != ''"))
-    held = F.exists(F.transform(F.concat(F.array("name"), "aliases"), F.lower), lambda x: x.contains(F.col("term")))
+    """(query, rank, key): names or aliases that contain the normalised query.
+
+    What contains a query contains its first ``GRAM`` characters, so queries and names
+    meet in a join by those, and only then are compared.
+    """
+    asked = queries.withColumn("term", normalize(F.col("query"))).where("term != ''").withColumn("gram", F.substring("term", 1, GRAM))
+    known = nodes.select("key", "label", "name", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), F.lower))).alias("held")).where("held != ''")
+    starts = F.sequence(F.lit(1), F.length("held"))
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.transform(starts, lambda i: F.substring("held", i, k))))
+    held = known.withColumn("gram", F.explode(F.array_distinct(grams)))
+    hits = held.join(asked, "gram").where(F.contains("held", "term")).select("query", "key", "label", "name").distinct()
     best = Window.partitionBy("query").orderBy(*_order())
-    hits = nodes.join(asked, held)
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query", "rank", "key")
 
 
@@ -222,22 +256,27 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy("label").agg(F.count("*").alias("n")).unionByName(edges.agg(F.count("*").alias("n")).withColumn("label", F.lit("relationships")))
 
 
-def neighborhood(centers: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 1, limit: int = 150, fanout: int = 25) -> tuple[DataFrame, DataFrame]:
+def neighborhood(centers: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 1, limit: int = 150, fanout: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bounded breadth-first search from many centers (center) at once.
 
     A hop takes, for each node on the frontier, the first ``limit`` + 1
-    (later ``fanout`` + 1) neighbours by label priority, name and key; a center
-    has ``limit`` nodes at most.  Gives (center, key, hop) and (center, truncated).
+    (later ``fanout`` + 1) edges by the neighbour's label priority, name and key; a
+    center has ``limit`` nodes at most.  Gives (center, key, hop), (center, source,
+    target, type) of the edges taken whose ends are both there, and (center, truncated).
     """
-    both = edges.select(F.col("source").alias("from"), F.col("target").alias("key")).union(edges.select("target", "source")).distinct()
+    both = edges.select(F.col("source").alias("from"), F.col("target").alias("key"), "type", F.lit(True).alias("out")).union(edges.select("target", "source", "type", F.lit(False)))
     both = both.join(nodes.select("key", "label", "name"), "key")
     reached = centers.select("center", F.col("center").alias("key"), F.lit(0).alias("hop"), F.lit(0).cast("long").alias("place"))
-    frontier, truncated = reached, None
+    frontier, truncated, walked = reached, None, None
     for hop in range(1, depth + 1):
         per = (limit if hop == 1 else fanout) + 1
-        ordered = Window.partitionBy("from").orderBy(*_order())
-        nearest = both.withColumn("_n", F.row_number().over(ordered)).where(F.col("_n") <= per)
+        ordered = Window.partitionBy("from").orderBy(*_order(), "type", "out")
+        # Only the edges of the frontier are ranked.
+        ends = both.join(frontier.select(F.col("key").alias("from")).distinct(), "from", "left_semi")
+        nearest = ends.withColumn("_n", F.row_number().over(ordered)).where(F.col("_n") <= per)
         step = frontier.select("center", F.col("key").alias("from"), F.col("place").alias("from_place")).join(nearest, "from")
+        seen = step.select("center", F.when(F.col("out"), F.col("from")).otherwise(F.col("key")).alias("source"), F.when(F.col("out"), F.col("key")).otherwise(F.col("from")).alias("target"), "type")
+        walked = seen if walked is None else walked.union(seen)
         new = step.join(reached.select("center", "key"), ["center", "key"], "left_anti")
         new = new.groupBy("center", "key").agg(F.min(F.struct("from_place", "_n")).alias("first"))
         count = reached.groupBy("center").agg(F.count("*").alias("had"))
@@ -248,49 +287,69 @@ def neighborhood(centers: DataFrame, nodes: DataFrame, edges: DataFrame, depth:
         frontier = placed.where(F.col("place") < limit).select("center", "key", F.lit(hop).alias("hop"), F.col("place").cast("long").alias("place"))
         reached = reached.unionByName(frontier)
     cut_off = truncated.groupBy("center").agg(F.bool_or("truncated").alias("truncated"))
-    return reached.select("center", "key", "hop"), centers.select("center").join(cut_off, "center", "left").select("center", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+    there = reached.select("center", F.col("key").alias("end"))
+    kept = walked.distinct()
+    for side in ("source", "target"):
+        kept = kept.join(there.withColumnRenamed("end", side), ["center", side], "left_semi")
+    return reached.select("center", "key", "hop"), kept.select("center", "source", "target", "type"), centers.select("center").join(cut_off, "center", "left").select("center", F.coalesce("truncated", F.lit(False)).alias("truncated"))
+
+
+def _united(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
 
 
-def from_responses(cases: DataFrame, botanicals: DataFrame, sources: DataFrame, competitors: DataFrame) -> tuple[DataFrame, DataFrame]:
+def from_responses(cases: DataFrame, botanicals: DataFrame, sources: DataFrame, competitors: DataFrame, vocabulary: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges of finished cases.
 
     cases: case_id, product; botanicals: case_id, status, input_term, botanical_name,
-    candidates array<struct<botanical_name, confidence>>, phytochemicals;
-    sources: case_id, id, title; competitors: case_id, name.
+    synonyms, candidates array<struct<botanical_name, confidence>>, phytochemicals;
+    sources: case_id, id, title, text; competitors: case_id, name; vocabulary:
+    an alias table (term, key).  Sources are searched for the vocabulary and for the
+    plant names of their own case.
     """
     c = cases.select("case_id", node_key(F.lit("Product"), F.col("product")).alias("product_key"))
     b = botanicals.join(c, "case_id")
-    solved, other = b.where("status = 'RESOLVED'"), b.where("status != 'RESOLVED'")
+    solved, other = b.where("status = 'RESOLVED' AND botanical_name != ''"), b.where("(status != 'RESOLVED' OR coalesce(botanical_name, '') = '') AND input_term != ''")
     herb, name = node_key(F.lit("Herb"), F.col("botanical_name")), node_key(F.lit("Name"), F.col("input_term"))
     may = other.select("*", F.explode("candidates").alias("may"))
     parts = solved.select("*", F.explode("phytochemicals").alias("compound"))
     s, k = sources.join(c, "case_id"), competitors.join(c, "case_id")
     source = node_key(F.lit("Source"), F.col("id"))
+
+    own = solved.select(F.explode(F.concat(F.array("botanical_name", "input_term"), F.coalesce("synonyms", F.array().cast("array<string>")))).alias("term"), herb.alias("key"), F.col("case_id").alias("scope"))
+    own = own.unionByName(other.select(F.col("input_term").alias("term"), name.alias("key"), F.col("case_id").alias("scope"))).withColumn("term", normalize(F.col("term")))
+    if vocabulary is not None:
+        own = own.unionByName(vocabulary.select("term", "key", F.lit(None).cast(own.schema["scope"].dataType).alias("scope")))
+    texts = sources.select(F.struct("case_id", "id").alias("id"), F.concat_ws("\n", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))).alias("text"))
+    found = entity_mentions(texts, own, "case_id").select("key", F.col("id.id").alias("id"), "n")
+    # A source that several cases bring is mentioned with its largest count.
+    found = found.groupBy("key", "id").agg(F.max("n").alias("n"))
+
+    title = F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("id"))
+    snippet = F.nullif(F.substring(F.coalesce("text", F.lit("")), 1, SNIPPET), F.lit(""))
     nodes = [
         node_rows(cases, "Product", F.col("product")),
         node_rows(solved, "Herb", F.col("botanical_name"), F.array("input_term")),
-        node_rows(other, "Name", F.col("input_term")),
+        node_rows(other, "Name", F.col("input_term"), None, {"ambiguous": F.col("status") == "AMBIGUOUS"}),
         node_rows(may, "Herb", F.col("may.botanical_name"), None, {"confidence": F.col("may.confidence")}),
         node_rows(parts, "Compound", F.col("compound")),
-        node_rows(s, "Source", F.col("title"), ident=F.col("id")),
-        node_rows(k, "Product", F.col("name")),
+        node_rows(s, "Source", title, None, {"source_id": F.col("id"), "snippet": snippet}, F.col("id")),
+        node_rows(k, "Product", F.col("name"), None, {"feature": F.lit("competitor")}),
+        found.select("key").distinct().select("key", F.regexp_extract("key", "^([^:]*):", 1).alias("label"), F.regexp_extract("key", "(?s)^[^:]*:(.*)$", 1).alias("name"), F.array().cast("array<string>").alias("aliases"), F.create_map().cast(_MAP).alias("props")),
     ]
     edges = [
-        edge_rows(solved, herb, F.col("product_key"), "INGREDIENT_OF"),
+        edge_rows(solved, herb, F.col("product_key"), "INGREDIENT_OF", {"input_term": F.col("input_term")}),
         edge_rows(other, name, F.col("product_key"), "INGREDIENT_OF"),
         edge_rows(parts, herb, node_key(F.lit("Compound"), F.col("compound")), "CONTAINS"),
         edge_rows(may, name, node_key(F.lit("Herb"), F.col("may.botanical_name")), "MAY_REFER_TO", {"confidence": F.col("may.confidence")}),
         edge_rows(s, F.col("product_key"), source, "CITES"),
-        edge_rows(k, F.col("product_key"), node_key(F.lit("Product"), F.col("name")), "COMPETES_WITH"),
+        edge_rows(found, F.col("key"), source, "MENTIONED_IN", {"count": F.col("n")}),
+        edge_rows(k, node_key(F.lit("Product"), F.col("name")), F.col("product_key"), "COMPETES_WITH"),
     ]
-
-    def united(frames: list[DataFrame]) -> DataFrame:
-        out = frames[0]
-        for f in frames[1:]:
-            out = out.unionByName(f)
-        return out
-
-    return united(nodes).where("name IS NOT NULL AND name != ''"), united(edges).dropDuplicates(["source", "target", "type"])
+    return _united(nodes).where("name IS NOT NULL AND name != ''"), _united(edges).dropDuplicates(["source", "target", "type"])
 
 
 # The layout of a formulary record.
@@ -315,23 +374,28 @@ def formulary_ingredients(records: DataFrame) -> DataFrame:
     return rows.select("id", "pos", "at", F.posexplode(names_).alias("sub", "ingredient")).select("id", "pos", (F.col("at") * 1000 + F.col("sub")).alias("place"), "ingredient")
 
 
+def _formulation_keys(records: DataFrame, forms: DataFrame) -> DataFrame:
+    """(id, pos, formulation): the one known formulation of that name, or a new one."""
+    own = forms.groupBy("term").agg(F.collect_set("key").alias("keys"))
+    named = records.select("id", "pos", "name", normalize(F.col("name")).alias("term")).join(own, "term", "left")
+    return named.select("id", "pos", F.when(F.size("keys") == 1, F.element_at("keys", 1)).otherwise(node_key(F.lit("Formulation"), F.col("name"))).alias("formulation"))
+
+
 def parse_formulary(docs: DataFrame, herbs: DataFrame, forms: DataFrame) -> DataFrame:
-    """(id, pos, place, formulation, ingredient, target): what every ingredient of every record refers to.
+    """(id, pos, place, formulation, ingredient, target, new_herb): what every ingredient of every record refers to.
 
     ``herbs`` and ``forms`` are alias tables (term, key).  Order of resolution:
     another formulation; a known herb; the binomial given in the record, a
-    known herb or a new one; a binomial learned from an earlier record; else an
+    known herb or a new one (``new_herb``); a binomial learned from an earlier record; else an
     ingredient of its own.  An alias of several herbs does not choose.
     """
     records = formulary_records(docs)
     own = forms.groupBy("term").agg(F.collect_set("key").alias("form_keys"))
     known = herbs.groupBy("term").agg(F.collect_set("key").alias("herb_keys"))
-    head = records.withColumn("term", normalize(F.col("name"))).join(own, "term", "left")
-    head = head.select("id", "pos", "ingredients", F.when(F.size("form_keys") == 1, F.element_at("form_keys", 1)).otherwise(node_key(F.lit("Formulation"), F.col("name"))).alias("formulation"))
     pairs = F.arrays_zip(F.regexp_extract_all("ingredients", F.lit(BINOMIAL), 1).alias("v"), F.regexp_extract_all("ingredients", F.lit(BINOMIAL), 2).alias("b"))
     given = records.select("id", "pos", F.explode(pairs).alias("p")).select("id", "pos", normalize(F.col("p.v")).alias("term"), F.col("p.b").alias("binomial")).dropDuplicates(["id", "pos", "term"])
     used = formulary_ingredients(records).withColumn("term", normalize(F.col("ingredient")))
-    rows = used.join(head.select("id", "pos", "formulation"), ["id", "pos"]).join(own, "term", "left").join(known, "term", "left").join(given, ["id", "pos", "term"], "left")
+    rows = used.join(_formulation_keys(records, forms), ["id", "pos"]).join(own, "term", "left").join(known, "term", "left").join(given, ["id", "pos", "term"], "left")
     # A vernacular name is learned where its binomial is given and the name is not an alias yet.
     teach = rows.where("herb_keys IS NULL AND binomial IS NOT NULL").groupBy("id", "term").agg(F.min_by("binomial", "pos").alias("learned"), F.min("pos").alias("learned_at"))
     rows = rows.join(teach, ["id", "term"], "left")
@@ -340,4 +404,24 @@ def parse_formulary(docs: DataFrame, herbs: DataFrame, forms: DataFrame) -> Data
     other_form = F.col("form_keys").isNotNull() & ~F.array_contains(F.coalesce("form_keys", F.array().cast("array<string>")), F.col("formulation"))
     herb = F.coalesce("herb_keys", "binomial_keys", F.when(binomial.isNotNull(), F.array(node_key(F.lit("Herb"), binomial))))
     target = F.when(other_form, F.array_min("form_keys")).when(F.size(herb) == 1, F.element_at(herb, 1)).otherwise(node_key(F.lit("Ingredient"), F.col("ingredient")))
-    return rows.select("id", "pos", "place", "formulation", "ingredient", target.alias("target"))
+    new = F.when(~other_form & F.col("herb_keys").isNull() & F.col("binomial_keys").isNull(), binomial)
+    return rows.select("id", "pos", "place", "formulation", "ingredient", target.alias("target"), new.alias("new_herb"))
+
+
+def formulary_graph(docs: DataFrame, herbs: DataFrame, forms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of formulary texts (id, title, text): formulations, categories, ingredients and herbs that were learned."""
+    records, parsed = formulary_records(docs), parse_formulary(docs, herbs, forms)
+    keyed = records.join(docs.select("id", "title"), "id").join(_formulation_keys(records, forms), ["id", "pos"])
+    props = {"dosage_form": F.col("form"), "indications": F.col("indications"), "reference": F.col("reference"), "source_document": F.col("title")}
+    known = forms.select(F.col("key").alias("formulation"), F.lit(True).alias("known")).distinct()
+    keyed = keyed.join(known, "formulation", "left")
+    made = node_rows(keyed, "Formulation", F.col("name"), F.when(F.col("known"), F.array("name")).otherwise(F.array().cast("array<string>")), props, F.substring("formulation", len("Formulation:") + 1, 1 << 20))
+    learned, plain = parsed.where("new_herb IS NOT NULL"), parsed.where("target LIKE 'Ingredient:%'")
+    nodes = [
+        made,
+        node_rows(keyed, "Category", F.col("category")),
+        node_rows(learned, "Herb", F.col("new_herb"), F.array("ingredient"), {"confidence": F.lit(LEARNED)}),
+        node_rows(plain, "Ingredient", F.col("ingredient")),
+    ]
+    edges = edge_rows(keyed, F.col("formulation"), node_key(F.lit("Category"), F.col("category")), "IN_CATEGORY").unionByName(edge_rows(parsed, F.col("target"), F.col("formulation"), "INGREDIENT_OF"))
+    return _united(nodes), edges.dropDuplicates(["source", "target", "type"])

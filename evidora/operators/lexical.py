@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from ..sources.store import written
 
 K1, B, FLOOR = 1.5, 0.75, 0.25
 
@@ -24,10 +25,15 @@ def doc_lengths(tokenized: DataFrame) -> DataFrame:
     return tokenized.select("id", F.size("tokens").alias("dl"))
 
 
-def terms(posted: DataFrame, lengths: DataFrame) -> DataFrame:
-    """(term, df, idf): negative idf becomes a quarter of the mean idf of all terms."""
-    size = lengths.agg(F.count("*").alias("n"))
-    df = posted.groupBy("term").agg(F.count("*").alias("df"))
+def index(chunks: DataFrame, text: Column) -> DataFrame:
+    """(id, dl, tokens) as a written table: texts are read and cut once, whatever is then computed from it."""
+    return written(chunks.select("id", tokenize(text).alias("tokens")).select("id", F.size("tokens").alias("dl"), "tokens"), "bm25")
+
+
+def terms(indexed: DataFrame) -> DataFrame:
+    """(term, df, idf) of an index: negative idf becomes a quarter of the mean idf of all terms."""
+    size = indexed.agg(F.count("*").alias("n"))
+    df = indexed.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     raw = df.join(F.broadcast(size)).select("term", "df", (F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
     mean = raw.agg(F.avg("raw").alias("mean"))
     return raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, FLOOR * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
@@ -38,11 +44,15 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(tokenize(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
-def scores(posted: DataFrame, lengths: DataFrame, indexed: DataFrame, asked: DataFrame) -> DataFrame:
-    """(query_id, id, score) of every chunk with a positive score."""
-    average = lengths.agg(F.avg("dl").alias("avgdl"))
-    wanted = asked.join(indexed, "term")
-    met = posted.join(wanted, "term").join(lengths, "id").join(F.broadcast(average))
+def scores(indexed: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, id, score) of every chunk with a positive score.
+
+    Tokens meet the words that are asked for first; only those are counted.
+    """
+    average = indexed.agg(F.avg("dl").alias("avgdl"))
+    wanted = asked.join(terms(indexed), "term")
+    words = indexed.select("id", "dl", F.explode("tokens").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
+    met = words.groupBy("id", "dl", "term").agg(F.count("*").alias("tf")).join(wanted, "term").join(F.broadcast(average))
     part = F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
     return met.groupBy("query_id", "id").agg(F.sum(part).alias("score")).where("score > 0")
 
@@ -55,9 +65,7 @@ def top_k(scored: DataFrame, k: int, digits: int = 9) -> DataFrame:
 
 def bm25_search(chunks: DataFrame, text: Column, queries: DataFrame, k: int, predicate: Column | None = None) -> DataFrame:
     """Statistics come from all chunks; the predicate only chooses among the scored ones."""
-    tokenized = tokens(chunks, text)
-    posted, lengths = postings(tokenized), doc_lengths(tokenized)
-    scored = scores(posted, lengths, terms(posted, lengths), query_terms(queries))
+    scored = scores(index(chunks, text), query_terms(queries))
     if predicate is not None:
         scored = scored.join(chunks.where(predicate).select("id"), "id", "left_semi")
     return top_k(scored, k)

@@ -180,15 +180,22 @@ def collect_claims(spark, sf_dir):
 
 def _rolled(spark, sf_dir):
     claims = evidence.collect_claims(_claim(spark, sf_dir))
-    k = F.crc32(F.concat("claim", F.col("case_id").cast("string"))) % 4
+    k = (F.col("case_id") + F.substring("claim", 7, 1).cast("int")) % 4
     verdicts = claims.select("case_id", "pos", "claim", F.when(k == 0, "UNSUPPORTED").when(k == 1, "PARTIALLY_SUPPORTED").otherwise("SUPPORTED").alias("status"))
     o = table(spark, sf_dir, "orders")
     none = F.array().cast("array<string>")
-    cases = o.select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderkey") % 11 == 0, F.array(F.lit("ambiguous_botanical"))).when(F.col("o_orderkey") % 11 == 1, F.array(F.lit("web_search_failed"))).otherwise(none).alias("reasons"), none.alias("stripped"))
+    cases = o.select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderkey") % 11 == 0, F.array(F.lit("ambiguous_botanical"))).when(F.col("o_orderkey") % 11 == 1, F.array(F.lit("web_search_failed"))).when(F.col("o_orderkey") % 11 == 2, F.array(F.lit("section3_evidence_gap"))).otherwise(none).alias("reasons"), none.alias("stripped"))
     return evidence.verify_rollup(cases, verdicts, _lines(spark, sf_dir).where("l_discount > 0.01").select("case_id", "id"), ["web_search_failed"])
 
 
-@query("verify_rollup")
+_ROLLUP = f"""{_CLAIMS}, v AS (SELECT case_id, pos, claim, (case_id + claim[7]::INT) % 4 AS k FROM claims), s AS (SELECT DISTINCT case_id FROM l WHERE l_discount > 0.01), g AS (SELECT case_id, count(*) AS n, count(*) FILTER (k <> 0) AS good, array_to_string(list(claim ORDER BY pos), '|') AS every, coalesce(array_to_string(list(claim ORDER BY pos) FILTER (k = 0), '|'), '') AS bad FROM v GROUP BY 1),
+ c AS (SELECT o_orderkey AS case_id, s.case_id IS NULL AS none, coalesce(n, 0) AS n, coalesce(good, 0) AS good, coalesce(every, '') AS every, coalesce(bad, '') AS bad, CASE o_orderkey % 11 WHEN 0 THEN 'ambiguous_botanical' WHEN 1 THEN 'web_search_failed' WHEN 2 THEN 'section3_evidence_gap' ELSE '' END AS r FROM orders LEFT JOIN s ON s.case_id = o_orderkey LEFT JOIN g ON g.case_id = o_orderkey),
+ o AS (SELECT *, good / greatest(1, n) AS ratio, CASE WHEN none THEN every WHEN n = 0 THEN '' ELSE bad END AS stripped, r IN ('ambiguous_botanical', 'section3_evidence_gap') AS forced FROM c),
+ p AS (SELECT *, CASE WHEN none THEN 'HUMAN_REVIEW_REQUIRED' WHEN n = 0 THEN 'PASS' WHEN forced THEN 'HUMAN_REVIEW_REQUIRED' WHEN stripped <> '' AND ratio < {evidence.MIN_SUPPORT} THEN 'FAIL' WHEN stripped <> '' THEN 'HUMAN_REVIEW_REQUIRED' ELSE 'PASS' END AS given,
+  CASE WHEN none THEN 'missing_evidence' WHEN n = 0 OR forced THEN '' WHEN stripped <> '' AND ratio < {evidence.MIN_SUPPORT} THEN 'unsupported_claims' WHEN stripped <> '' THEN 'partial_unsupported_claims' ELSE '' END AS extra FROM o)"""
+
+
+@query("verify_rollup", f"WITH {_ROLLUP} SELECT case_id, CASE WHEN given = 'PASS' AND r = 'web_search_failed' THEN 'HUMAN_REVIEW_REQUIRED' ELSE given END AS outcome, round(ratio, 6) AS support_ratio, stripped, array_to_string(list_filter([r, extra], lambda x: x <> ''), '|') AS reasons FROM p")
 def verify_rollup(spark, sf_dir):
     return _rolled(spark, sf_dir).select("case_id", "outcome", F.round("support_ratio", 6).alias("support_ratio"), F.array_join("stripped", "|").alias("stripped"), F.array_join("reasons", "|").alias("reasons"))
 

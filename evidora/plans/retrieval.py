@@ -30,9 +30,7 @@ def _india():
 
 @query("bm25_index", f"WITH {_POSTINGS}, {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_index(spark, sf_dir):
-    tok = lexical.tokens(chunks(spark, sf_dir), F.col("text"))
-    post = lexical.postings(tok)
-    return lexical.terms(post, lexical.doc_lengths(tok)).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.terms(lexical.index(chunks(spark, sf_dir), F.col("text"))).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(

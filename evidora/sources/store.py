@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,11 +11,26 @@ from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the driver and all executors share."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    """A new path in the folder that the driver and all executors share.
+
+    A cluster names it in ``spark.checkpoint.dir``; where that is unset, a session
+    in one process, as in tests, gets a new folder, and any other one is an error.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder, for plans that read it several times."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def index_round_trip(tables: dict[str, DataFrame]) -> DataFrame:
     """Save every table, load it again and count the rows that differ (none, if the index can be rebuilt)."""
     out = None
@@ -53,10 +70,10 @@ def write_index(chunks: DataFrame, path: str, recreate: bool = False) -> str:
     return target
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
+def _versions(spark: SparkSession, path: str, prefix: str = "v") -> list[str]:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(at):
         return []
-    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith("v"))
+    return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith(prefix))

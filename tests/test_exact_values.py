@@ -283,7 +283,7 @@ def test_graph(spark):
     docs = spark.createDataFrame([(1, "Holy Basil and tulsi-like TULSI."), (2, "none")], "id int, text string")
     aliases = kg.alias_map(nodes)
     want = {(1, "Herb:ocimum sanctum", 2)}
-    assert {tuple(r) for r in kg.entity_mentions(docs, aliases).collect()} == want == {tuple(r) for r in kg.mentions_by_words(docs, aliases).collect()}
+    assert {tuple(r) for r in kg.entity_mentions(docs, aliases).collect()} == want
     text = "Mix B (churna)\n\nCategory: Powder\nMain ingredients: Tulsi (Holy basil), Guduchi, mix\nIngredients: Guduchi (Tinospora cordifolia)\nReference: r\nIndications: i\nMix C (vati)\n\nCategory: Pill\nMain ingredients: Guduchi, Salt\nIngredients: x\n"
     fdocs = spark.createDataFrame([("f", text)], "id string, text string")
     parsed = kg.parse_formulary(fdocs, kg.alias_map(nodes, ("Herb",)), kg.alias_map(nodes, ("Formulation",)))
@@ -291,6 +291,57 @@ def test_graph(spark):
     assert rows == {(0, "Tulsi"): "Herb:ocimum sanctum", (0, "Holy basil"): "Herb:ocimum sanctum", (0, "Guduchi"): "Herb:tinospora cordifolia", (0, "mix"): "Formulation:mix a", (1, "Guduchi"): "Herb:tinospora cordifolia", (1, "Salt"): "Ingredient:salt"}
 
 
+def test_graph_merge_keeps_the_order_of_a_batch(spark):
+    empty = kg.node_rows(spark.createDataFrame([], "n string"), "Herb", F.col("n")).withColumn("origin", F.lit("corpus"))
+    batch = spark.createDataFrame([("Tulsi", "1", ["a"]), ("TULSI", "2", ["b", "a"]), ("tulsi", None, ["c"])], "n string, v string, a array<string>").coalesce(1)
+    (row,) = kg.merge_nodes(empty, kg.node_rows(batch, "Herb", F.col("n"), F.col("a"), {"v": F.col("v")}), "pipeline").collect()
+    assert (row["name"], row.aliases, row.props) == ("Tulsi", ["a", "b", "c"], {"v": "2"})
+
+
+def test_graph_neighborhood_and_search(spark):
+    names = spark.createDataFrame([(c,) for c in "abcdef"], "n string")
+    nodes = kg.node_rows(names, "Herb", F.col("n"), F.array(F.concat(F.lit("Alias of "), "n")))
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("d", "e"), ("b", "a")], "s string, t string")
+    edges = kg.edge_rows(pairs, kg.node_key(F.lit("Herb"), F.col("s")), kg.node_key(F.lit("Herb"), F.col("t")), "CONTAINS")
+    reached, taken, truncated = kg.neighborhood(spark.createDataFrame([("Herb:a",)], "center string"), nodes, edges, depth=2, limit=10)
+    assert {(r.key, r.hop) for r in reached.collect()} == {("Herb:a", 0), ("Herb:b", 1), ("Herb:c", 1), ("Herb:d", 2)} and not truncated.first().truncated
+    assert {(r.source[5:], r.target[5:]) for r in taken.collect()} == {("a", "b"), ("a", "c"), ("b", "c"), ("c", "d"), ("b", "a")}
+    reached, taken, truncated = kg.neighborhood(spark.createDataFrame([("Herb:a",)], "center string"), nodes, edges, depth=1, limit=2)
+    assert {r.key for r in reached.collect()} == {"Herb:a", "Herb:b"} and truncated.first().truncated
+    asked = spark.createDataFrame([("AS OF c",), ("a",), ("zz",), (" ",)], "query string")
+    found = {(r.query, r["rank"], r.key) for r in kg.search(asked, nodes, limit=2).collect()}
+    assert found == {("AS OF c", 1, "Herb:c"), ("a", 1, "Herb:a"), ("a", 2, "Herb:b")}
+
+
+def test_graph_of_responses_patents_and_formularies(spark):
+    cases = spark.createDataFrame([(1, "Balm"), (2, "Tea")], "case_id int, product string")
+    plants = spark.createDataFrame([(1, "RESOLVED", "Tulsi", "Ocimum sanctum", ["Holy basil"], [], ["eugenol"]), (2, "AMBIGUOUS", "Brahmi", None, [], [("Bacopa monnieri", 0.5)], [])], "case_id int, status string, input_term string, botanical_name string, synonyms array<string>, candidates array<struct<botanical_name:string,confidence:double>>, phytochemicals array<string>")
+    texts = spark.createDataFrame([(1, "s1", "On holy basil", "Brahmi and tulsi and ghee"), (2, "s2", None, "Brahmi, brahmi; tulsi")], "case_id int, id string, title string, text string")
+    rivals = spark.createDataFrame([(1, "Rub")], "case_id int, name string")
+    vocabulary = spark.createDataFrame([("ghee", "Ingredient:ghee")], "term string, key string")
+    nodes, edges = kg.from_responses(cases, plants, texts, rivals, vocabulary)
+    got = {(r.source, r.target, r.type): r.props for r in edges.collect()}
+    mentions = {(s, t): p["count"] for (s, t, k), p in got.items() if k == "MENTIONED_IN"}
+    assert mentions == {("Herb:ocimum sanctum", "Source:s1"): "2", ("Ingredient:ghee", "Source:s1"): "1", ("Name:brahmi", "Source:s2"): "2"}
+    assert ("Product:rub", "Product:balm", "COMPETES_WITH") in got and got["Herb:ocimum sanctum", "Product:balm", "INGREDIENT_OF"] == {"input_term": "Tulsi"}
+    assert {r.key for r in nodes.collect()} == {"Product:balm", "Product:tea", "Product:rub", "Herb:ocimum sanctum", "Name:brahmi", "Herb:bacopa monnieri", "Compound:eugenol", "Source:s1", "Source:s2", "Ingredient:ghee"}
+    patents = spark.createDataFrame([(0, "P1", " Tulsi balm ", "x" * 700, None, "2020", None, "in"), (1, "P2", "", "a tulsi use", None, None, "u", None), (2, "P3", "none", "", None, None, None, None)], "pos int, publication_number string, title string, abstract string, first_claim string, publication_date string, url string, jurisdiction string")
+    nodes, edges = kg.patent_graph(patents, spark.createDataFrame([("tulsi", "Herb:t")], "term string, key string"))
+    assert {r.key: (r["name"], r.props.get("url"), len(r.props["snippet"])) for r in nodes.collect()} == {"Patent:p1": ("Tulsi balm", None, 600), "Patent:p2": ("P2", "u", 11)}
+    assert {(r.source, r.target, r.props["in_title"]) for r in edges.collect()} == {("Herb:t", "Patent:p1", "true"), ("Herb:t", "Patent:p2", "false")}
+    text = "Mix (churna)\n\nCategory: Powder\nMain ingredients: Tulsi, Guduchi, Salt\nIngredients: Guduchi (Tinospora cordifolia)\nReference: r\nIndications: i\nNew (vati)\n\nCategory: Pill\nMain ingredients: Guduchi, mix\nIngredients: x\n"
+    herbs, forms = (spark.createDataFrame([x], "term string, key string") for x in (("tulsi", "Herb:t"), ("mix", "Formulation:known mix")))
+    nodes, edges = kg.formulary_graph(spark.createDataFrame([("f", "Book", text)], "id string, title string, text string"), herbs, forms)
+    held = {r.key: r for r in nodes.collect()}
+    assert set(held) == {"Formulation:known mix", "Formulation:new", "Category:powder", "Category:pill", "Herb:tinospora cordifolia", "Ingredient:salt"}
+    assert held["Formulation:known mix"].aliases == ["Mix"] and held["Formulation:known mix"].props == {"dosage_form": "churna", "reference": "r", "indications": "i", "source_document": "Book"}
+    assert held["Herb:tinospora cordifolia"].aliases == ["Guduchi"] and held["Herb:tinospora cordifolia"].props == {"confidence": "0.85"}
+    assert {(r.source, r.target) for r in edges.collect()} == {
+        ("Herb:t", "Formulation:known mix"), ("Herb:tinospora cordifolia", "Formulation:known mix"), ("Ingredient:salt", "Formulation:known mix"), ("Formulation:known mix", "Category:powder"),
+        ("Herb:tinospora cordifolia", "Formulation:new"), ("Formulation:known mix", "Formulation:new"), ("Formulation:new", "Category:pill"),
+    }
+
+
 def test_mentions_equal_the_pattern_for_any_dictionary(spark):
     terms = ["holy basil", "holy", "basil leaf", "st. john's wort", "a/b, c", "(l.)", "oil of the dried leaf and root of tulsi", "tulsi", "x-ray", "ghṛta", "wort (dry)"]
     texts = [
