@@ -111,24 +111,46 @@ def segment_monographs(lines: DataFrame, max_repeats: int = 3, max_chars: int =
     return segs.select("doc_id", "page_no", "seg_no", F.posexplode(_pack_lines(F.col("ls"), max_chars)).alias("part_no", "text"))
 
 
-def restore_glyphs(words: DataFrame, table: dict[str, str], column: str = "word") -> DataFrame:
-    """Words with legacy glyphs mapped to letters; upper-case words stay so; NFC.
+# What glyphs of two legacy fonts stand for, and those that only the second one has.
+FONT_A = {
+    "¡": "ā", "¢": "ī", "£": "ū", "¤": "ṛ", "¸": "ṇ", "¶": "ṭ", "·": "ḍ", "À": "ṣ", "¿": "ś", "´": "ṅ", "Æ": "ṃ", "®": "e", "Å": "ḥ",
+    "á": "Ś", "Ë": "Ā", "Ì": "Ī", "Í": "Ū", "Î": "Ṛ", "Ù": "Ṭ", "Û": "Ṇ", "Ú": "Ḍ", "â": "Ṣ", "Ø": "Ñ", "×": "Ṅ", "ê": "Ṃ",
+}
+FONT_B = {
+    "¢": "ā", "¤": "ī", "¦": "ū", "º": "ś", "¾": "ṣ", "°": "ṭ", "¬": "ṅ", "´": "ṇ", "¼": "ṃ", "²": "ḍ", "¨": "ṛ", "®": "ñ", "ª": "ḥ",
+    "¡": "Ā", "¥": "Ū", "³": "Ṇ", "½": "Ṣ", "¯": "Ṭ", "§": "Ṛ",
+}
+ONLY_B = "[¾¬¼²¨º¦¥³½¯§ª\u0100-\u024f\u1e00-\u1eff]"
 
-    Works on the distinct words and joins them back, as words repeat heavily.
-    """
-    mapping = str.maketrans(table)
 
-    @F.pandas_udf(StringType())
-    def fix(values: pd.Series) -> pd.Series:
-        def one(w: str) -> str:
-            out = unicodedata.normalize("NFC", w.translate(mapping))
-            plain = [c for c in w if c.isascii() and c.isalpha()]
-            return out.upper() if len(plain) > 1 and all(c.isupper() for c in plain) else out
+@F.pandas_udf(StringType())
+def _composed(values: pd.Series) -> pd.Series:
+    return values.map(lambda w: None if w is None else unicodedata.normalize("NFC", w))
+
 
-        return values.map(one)
+def restore_glyphs(words: DataFrame, fonts: str = "A", column: str = "word") -> DataFrame:
+    """Adds ``restored``: words with legacy glyphs as the letters they stand for, in NFC; upper-case words stay so.
 
-    known = words.select(column).where(F.col(column).isNotNull()).distinct().withColumn("restored", fix(column))
-    return words.join(known, column, "left")
+    The second font counts (if ``fonts`` has a B) for words with a glyph that it alone
+    has, or a letter that is right already.  Micro, degree and plus-minus signs are
+    letters only next to letters.  Works on the distinct words and joins them back.
+    """
+    known = words.select(column).where(F.col(column).isNotNull()).distinct()
+    w = F.col(column)
+
+    def mapped(table: dict[str, str], signs: dict[str, str]) -> Column:
+        out = w
+        for pattern, letter in signs.items():
+            out = F.regexp_replace(out, pattern, letter)
+        return F.translate(out, "".join(table), "".join(table.values()))
+
+    micro = {r"(?<=\p{L})µ": "ñ"}
+    first = mapped(FONT_A, {**micro, r"(?<=\p{L})°": "o"})
+    second = mapped({**FONT_A, **FONT_B}, {**micro, r"±(?=\p{L})": "Ḍ"})
+    out = F.when(w.rlike(ONLY_B), second).otherwise(first) if "B" in fonts else first
+    out = F.when(w.rlike("[A-Z][^a-z]*[A-Z]") & ~w.rlike("[a-z]"), F.upper(out)).otherwise(out)
+    out = F.coalesce(_composed(F.when(out.rlike(r"[^\x00-\x7f]"), out)), out)
+    return words.join(known.withColumn("restored", out), column, "left")
 
 
 # Marks of verse in legacy fonts.

@@ -54,12 +54,18 @@ def segment_monographs(spark, sf_dir):
     return pg.segment_monographs(rows).select("doc_id", "page_no", "seg_no", "part_no", F.md5("text").alias("text_md5"))
 
 
-@query("restore_glyphs", "SELECT doc_id, count(*) AS words, md5(string_agg(replace(replace(w, 'ä', 'ā'), 'ü', 'ū'), ' ' ORDER BY i)) AS words_md5 FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[a-zäöüß]+')) AS w, unnest(range(len(regexp_extract_all(text, '[a-zäöüß]+')))) AS i FROM documents WHERE lang = 'de') GROUP BY doc_id")
+_A = "'" + "".join(pg.FONT_A) + "', '" + "".join(pg.FONT_A.values()) + "'"
+
+
+@query("restore_glyphs", rf"""WITH w AS (SELECT doc_id, unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(translate(text, 'aiu', '¡¢£'), '[^\x00-\x20]+') AS x FROM documents)),
+ r AS (SELECT doc_id, i, w, translate(regexp_replace(regexp_replace(w, '(\p{{L}})µ', '\1ñ', 'g'), '(\p{{L}})°', '\1o', 'g'), {_A}) AS r FROM w)
+ SELECT doc_id, count(*) AS words, md5(string_agg(nfc_normalize(CASE WHEN regexp_matches(w, '[A-Z][^a-z]*[A-Z]') AND NOT regexp_matches(w, '[a-z]') THEN upper(r) ELSE r END), ' ' ORDER BY i)) AS words_md5 FROM r GROUP BY doc_id""")
 def restore_glyphs(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").where("lang = 'de'").select("doc_id", F.posexplode(F.regexp_extract_all("text", F.lit("[a-zäöüß]+"), 0)).alias("i", "word"))
-    out = pg.restore_glyphs(words, {"ä": "ā", "ü": "ū"})
+    """All words of all documents, with three vowels set as glyphs of the first font."""
+    legacy = F.translate("text", "aiu", "¡¢£")
+    words = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.regexp_extract_all(legacy, F.lit(r"[^\x00-\x20]+"), 0)).alias("i", "word"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "restored"))), lambda x: x["restored"]), " ")
-    return out.groupBy("doc_id").agg(F.count("*").alias("words"), F.md5(joined).alias("words_md5"))
+    return pg.restore_glyphs(words).groupBy("doc_id").agg(F.count("*").alias("words"), F.md5(joined).alias("words_md5"))
 
 
 @query("drop_undecodable_lines")

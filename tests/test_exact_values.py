@@ -260,6 +260,17 @@ def test_reflow_equals_a_sequential_mirror(spark):
     assert got == {d: reflow_mirror([x or "x" for x in ls]) for d, ls in docs.items()}
 
 
+def test_glyphs(spark):
+    def restored(fonts, pairs):
+        df = spark.createDataFrame([(w,) for w in pairs], "word string")
+        assert {r.word: r.restored for r in pages.restore_glyphs(df, fonts).collect()} == pairs
+
+    first = {"A¿vagandh¡": "Aśvagandhā", "P¤¿nipar¸¢": "Pṛśniparṇī", "Gu·£c¢": "Guḍūcī", "AáVAGANDHË": "AŚVAGANDHĀ", "CÍRÛA": "CŪRṆA", "UraÅkÀata": "Uraḥkṣata", "Paµcasak¡ra": "Pañcasakāra", "á°dhana": "Śodhana", "µg/ml": "µg/ml", "40°-60°": "40°-60°", "plain": "plain"}
+    restored("A", first)
+    second = {"(Bhai¾ajyaratn¢val¤,": "(Bhaiṣajyaratnāvalī,", "Rasatara¬gi´ī": "Rasataraṅgiṇī", "ABHAY¡RI½¯A": "ABHAYĀRIṢṬA", "sa¼hitā": "saṃhitā", "±amarū": "Ḍamarū", "7.0±0.2": "7.0±0.2", "Gu·£c¢": "Guḍūcī"}
+    restored("AB", second)
+
+
 def test_long_paragraphs(spark):
     text = " ".join(f"Sentence number {i} is here." for i in range(120))
     parts = one(spark, text, pages.pack_sentences)
