@@ -62,15 +62,15 @@ def write_index(chunks: DataFrame, path: str, recreate: bool = False) -> str:
     spark = chunks.sparkSession
     if not chunks.limit(1).count():
         raise ValueError("no chunks to write")
-    versions = _versions(spark, path)
-    current = None if recreate or not versions else spark.read.parquet(f"{path}/{versions[-1]}")
-    target = f"{path}/v{len(versions) + 1:06d}"
+    held = versions(spark, path)
+    current = None if recreate or not held else spark.read.parquet(f"{path}/{held[-1]}")
+    target = f"{path}/v{len(held) + 1:06d}"
     merged = upsert(current, chunks)
     merged.repartition("legal_scope", "source_type", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("legal_scope", "source_type").parquet(target)
     return target
 
 
-def _versions(spark: SparkSession, path: str, prefix: str = "v") -> list[str]:
+def versions(spark: SparkSession, path: str, prefix: str = "v") -> list[str]:
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import kg
 from ..operators.replay import replay_stream
-from ..sources.store import upsert
+from ..sources.store import upsert, versions
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -31,15 +31,15 @@ def upsert_job(stream: DataFrame, first: DataFrame | None, merge: Callable[[Data
     def path(batch_id: int) -> str:
         return f"{base}/b{batch_id:09d}"
 
-    last = [-1]
-
     def run(batch: DataFrame, batch_id: int) -> None:
         current = first if batch_id == 0 else spark.read.parquet(path(batch_id - 1))
         merge(current, batch).write.mode("overwrite").parquet(path(batch_id))
-        last[0] = batch_id
 
     stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    return path(last[0])
+    held = versions(spark, base, "b")
+    if not held and first is not None:  # nothing has come yet
+        first.write.mode("overwrite").parquet(path(0))
+    return f"{base}/{held[-1]}" if held else path(0)
 
 
 def index_upsert(current: DataFrame | None, batch: DataFrame) -> DataFrame:
