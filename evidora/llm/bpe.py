@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import pretoken
+from .shared import map_arrow
 from .textblock import blocks, gather_ranges
 
 #: What a worker remembers at most, in bytes: arcs of the transducer and ids of pieces.
@@ -51,6 +52,8 @@ _STATE, _PAIR = Struct("<i"), Struct("<ii")
 _BYTE = [bytes([b]) for b in range(256)]
 BAD = 8
 
+Partition = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
 
 def read_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
@@ -331,6 +334,19 @@ def codec(path: str) -> tuple[PieceCodec, Transducer]:
     return PieceCodec(lambda piece: fst.encode(piece.encode("utf-8", "surrogatepass"))), fst
 
 
+def _forgetting(run: Partition) -> Partition:
+    """``run``, after which a worker keeps nothing: what it would keep costs other stages more than half a second a task."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            codec.cache_clear()
+            token_bytes.cache_clear()
+
+    return task
+
+
 @lru_cache(maxsize=2)
 def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bytes of all tokens one after the other, their starts and lengths."""
@@ -379,7 +395,7 @@ def encode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     kept = [c for c in docs.columns if c not in (text, "ids")]
     docs = docs.select(*kept, text)
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return docs.mapInArrow(_encode_partition(path, len(kept)), schema)
+    return docs.transform(map_arrow, _forgetting(_encode_partition(path, len(kept))), schema)
 
 
 def _decode_partition(path: str, ids_at: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -399,7 +415,7 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     kept = [c for c in encoded.columns if c not in (ids, "text")]
     encoded = encoded.select(*kept, ids)
     schema = T.StructType([encoded.schema[c] for c in kept] + [T.StructField("text", T.StringType())])
-    return encoded.mapInArrow(_decode_partition(path, len(kept)), schema)
+    return encoded.transform(map_arrow, _forgetting(_decode_partition(path, len(kept))), schema)
 
 
 def _digest_partition(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -431,4 +447,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     Encoding and decoding happen in one pass, so ids never leave the task.
     """
-    return docs.select("doc_id", "text").mapInArrow(_digest_partition(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").transform(map_arrow, _forgetting(_digest_partition(path)), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

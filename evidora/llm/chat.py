@@ -32,7 +32,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import partitions
+from .shared import map_arrow, partitions
 from .textblock import binary_column, gather_ranges, text_arrays
 
 START, END = "<|im_start|>", "<|im_end|>"
@@ -126,7 +126,7 @@ def format_conversations(turns: DataFrame) -> DataFrame:
     """
     rows = turns.select("conv_id", "role", "text", "turn")
     rows = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(_format_partition, PARTS)
+    return rows.select("conv_id", "role", "text").transform(map_arrow, _format_partition, PARTS)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
@@ -169,7 +169,7 @@ def _read_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def read_back(parts: DataFrame) -> DataFrame:
     """Digests of what formatted conversations hold, from the strings and loss spans alone."""
-    return parts.mapInArrow(_read_partition, DIGESTS)
+    return parts.transform(map_arrow, _read_partition, DIGESTS)
 
 
 def with_probe(turns: DataFrame) -> DataFrame:

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .ordered import in_order_with_next
+from .shared import map_arrow
 from .textblock import BLOCK_BYTES, distinct_per_doc, lower_ascii, mix, ngram_hashes, text_arrays, word_hashes
 
 PERMS = 128
@@ -129,7 +130,7 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Per document: its fingerprint, that of its edited text, and how near they and the next document's are."""
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return in_order_with_next(docs.select("doc_id", "text")).select("doc_id", "text", "_next_range").mapInArrow(_walk, schema)
+    return in_order_with_next(docs.select("doc_id", "text")).select("doc_id", "text", "_next_range").transform(map_arrow, _walk, schema)
 
 
 def band_keys(signature: np.ndarray, rows: int) -> np.ndarray:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut, partitions, running_before
+from .shared import cut, map_arrow, partitions, running_before
 from .textblock import blocks, mix as scramble, words
 
 WEIGHTS = (5, 2, 1)
@@ -145,20 +145,20 @@ def slots(table: DataFrame) -> DataFrame:
     parts = plan.select(F.col("sid").cast("long").alias("sid"), "n_blocks", F.lit(0).cast("long").alias("lo"), F.lit(shards).cast("long").alias("hi"), F.lit(0).cast("long").alias("offset"), "n")
     reach = 1
     while True:
-        parts = parts.mapInArrow(_split_partition, "sid long, n_blocks long, lo long, hi long, offset long, n long")
+        parts = parts.transform(map_arrow, _split_partition, "sid long, n_blocks long, lo long, hi long, offset long, n long")
         reach *= FANOUT
         if reach >= shards:
             break
     # A fixed number of partitions: by their size, these few rows would all go to one task, and each makes many slots.
     spread = parts.repartition(partitions(table.sparkSession), "sid", "lo")
-    return spread.mapInArrow(_slots_partition, "sid long, block long, turn long, shard long, slot long")
+    return spread.transform(map_arrow, _slots_partition, "sid long, block long, turn long, shard long, slot long")
 
 
 def placed(docs: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
     """Targets, and every document row with its size and its place in its source's words."""
     rows = docs.select("doc_id", "source", *columns, F.xxhash64("text").alias("_tie"), "text")
     schema = rows.drop("text").withColumn("size", F.lit(0).cast("long")).schema
-    sized = cut(rows.mapInArrow(_sizes_partition(len(rows.columns) - 1), schema))
+    sized = cut(rows.transform(map_arrow, _sizes_partition(len(rows.columns) - 1), schema))
     table = targets(sized.select("source", "size"))
     table = cut(table)
     named = sized.join(table.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).drop("_source")
@@ -235,4 +235,4 @@ def mix(docs: DataFrame) -> DataFrame:
     texts = texts.select("row", "sid", "_tie", F.row_number().over(Window.partitionBy("row.doc_id", "_tie", "sid").orderBy("sid")).alias("_n"))
     runs = runs.select(F.col("sid").alias("_s"), F.col("doc_id").alias("_d"), F.col("_tie").alias("_t"), F.col("_n").alias("_m"), "runs")
     met = texts.join(runs.hint("merge"), (F.col("sid") == F.col("_s")) & F.col("row.doc_id").eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")) & (F.col("_n") == F.col("_m")))
-    return met.select("row", "runs").mapInArrow(_cut_partition, docs.schema)
+    return met.select("row", "runs").transform(map_arrow, _cut_partition, docs.schema)

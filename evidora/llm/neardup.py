@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components as connected
-from .shared import cut, partitions
+from .shared import cut, map_arrow, partitions
 from .textblock import NULL_ID, binary_column, blocks, distinct_per_doc, gather_ranges, lower_ascii, mix, ngram_hashes, packed_partition, word_hashes
 
 SHINGLE = 5
@@ -238,9 +238,9 @@ def _links_inside(members: DataFrame, classes: DataFrame, sets: DataFrame, thres
     dealt = meet.join(sizes.select("key", "at", "blocks"), ["key", "at"]).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
     pair = F.explode(F.transform(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda t: F.struct(F.least(t, F.col("block")).alias("lo"), F.greatest(t, F.col("block")).alias("hi"))))
     rows = dealt.withColumn("pair", pair).select("key", "at", "pair.lo", "pair.hi", "node", "component", "n_shingles", "sketch", "own", (F.col("block") == F.col("pair.lo")).alias("left"))
-    likely = cut(rows.repartition(n, *TASK).sortWithinPartitions(*TASK).mapInArrow(_candidates_partition(threshold, estimate), rows.schema))
+    likely = cut(rows.repartition(n, *TASK).sortWithinPartitions(*TASK).transform(map_arrow, _candidates_partition(threshold, estimate), rows.schema))
     full = likely.join(sets, "node").repartition(n, *TASK).sortWithinPartitions(*TASK)
-    return cut(full.mapInArrow(_links_partition(threshold, estimate), "a binary, b binary"))
+    return cut(full.transform(map_arrow, _links_partition(threshold, estimate), "a binary, b binary"))
 
 
 def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: float = 0.75) -> DataFrame:
@@ -250,7 +250,7 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
     """
     rows = docs.select("doc_id", "text")
     schema = "doc_id long, tie long, n_shingles long, node binary, sketch array<short>, bands array<long>"
-    table = cut(rows.withColumn("tie", F.xxhash64("text")).mapInArrow(_sketch_partition(sketch), schema))
+    table = cut(rows.withColumn("tie", F.xxhash64("text")).transform(map_arrow, _sketch_partition(sketch), schema))
     owners = table.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
     classes = cut(
         table.where("n_shingles > 0")
@@ -270,8 +270,8 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
     # The full sets of all candidates, from the text of one owner each; texts are moved once, compressed.
     wanted = members.select("node").distinct()
     owners = classes.join(wanted, "node", "left_semi").select(F.coalesce("owner", F.lit(NULL_ID)).alias("doc")).distinct()
-    texts = rows.mapInArrow(packed_partition, "doc long, packed binary").join(owners, "doc", "left_semi").select("packed")
-    sets = texts.mapInArrow(_sets_partition, "node binary, items binary")
+    texts = rows.transform(map_arrow, packed_partition, "doc long, packed binary").join(owners, "doc", "left_semi").select("packed")
+    sets = texts.transform(map_arrow, _sets_partition, "node binary, items binary")
     sets = cut(sets.join(wanted, "node", "left_semi").dropDuplicates(["node"]))
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -280,11 +280,11 @@ def components(docs: DataFrame, sketch: Sketch, estimate: Estimate, threshold: f
         left = known.select(F.col("node").alias("a"), F.col("sketch").alias("sketch_a"), F.col("n_shingles").alias("n_a"))
         right = known.select(F.col("node").alias("b"), F.col("sketch").alias("sketch_b"), F.col("n_shingles").alias("n_b"))
         likely = pairs.join(left, "a").join(right, "b").select("a", "b", "sketch_a", "n_a", "sketch_b", "n_b")
-        likely = likely.mapInArrow(_estimate_partition(estimate, threshold - SLACK), "a binary, b binary")
+        likely = likely.transform(map_arrow, _estimate_partition(estimate, threshold - SLACK), "a binary, b binary")
         x = sets.select(F.col("node").alias("a"), F.col("items").alias("items_a"))
         y = sets.select(F.col("node").alias("b"), F.col("items").alias("items_b"))
         full = likely.join(x, "a").join(y, "b").select("a", "b", "items_a", "items_b")
-        return cut(full.mapInArrow(_verify_partition(threshold), "a binary, b binary"))
+        return cut(full.transform(map_arrow, _verify_partition(threshold), "a binary, b binary"))
 
     def joined(labels: DataFrame, more: DataFrame) -> DataFrame:
         """Labels once links between their components are known."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh
+from .shared import fresh, map_arrow
 from .textblock import blocks, lower_ascii, mix, ngram_hashes, prefix_hash, runs, span_hash, words
 
 MAX_TRAIN = 20_000
@@ -244,7 +244,7 @@ def training_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = docs.select("doc_id").join(marks, "doc_id").distinct().orderBy(*order).limit(MAX_TRAIN)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    stats = rows.select("doc_id", "text").mapInArrow(_features_partition, ", ".join(["doc_id long", *(f"{f} double" for f in FEATURES)]))
+    stats = rows.select("doc_id", "text").transform(map_arrow, _features_partition, ", ".join(["doc_id long", *(f"{f} double" for f in FEATURES)]))
     return stats.join(F.broadcast(chosen), "doc_id").orderBy(*order, *FEATURES).limit(2 * MAX_TRAIN)
 
 
@@ -257,7 +257,7 @@ def _train_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def fit(docs: DataFrame, labels: DataFrame) -> Trees:
     """Train in one task on the bounded sample; the driver gets the trees alone."""
-    rows = training_statistics(docs, labels).select(*FEATURES, "quality").coalesce(1).mapInArrow(_train_partition, "trees binary").collect()
+    rows = training_statistics(docs, labels).select(*FEATURES, "quality").coalesce(1).transform(map_arrow, _train_partition, "trees binary").collect()
     return pickle.loads(rows[0].trees) if rows else train(np.zeros((0, len(FEATURES))), np.zeros(0, int))
 
 
@@ -265,7 +265,7 @@ def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, the base counts, base_failed, score (odds of good as a share), kept."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # a few thousand nodes
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "base_failed boolean", "score double", "kept boolean"])
-    return docs.select("doc_id", "text").mapInArrow(_verdict_partition(shared), schema)
+    return docs.select("doc_id", "text").transform(map_arrow, _verdict_partition(shared), schema)
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -273,4 +273,4 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     columns, key = docs.columns, fresh("_kept", docs.columns)
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     schema = T.StructType([*docs.schema.fields, T.StructField(key, T.BooleanType())])
-    return docs.mapInArrow(_keep_partition(shared, columns.index("text")), schema).where(F.col(key)).select(*columns)
+    return docs.transform(map_arrow, _keep_partition(shared, columns.index("text")), schema).where(F.col(key)).select(*columns)

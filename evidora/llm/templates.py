@@ -46,7 +46,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, map_arrow
 from .textblock import binary_column, blocks, lower_ascii, mix, ngram_hashes, prefix_hash, runs, span_hash, words
 
 MIN_TOKENS = 4
@@ -194,7 +194,7 @@ def _with_classes(rests: DataFrame, least: int) -> DataFrame:
     for _ in range(least - 1):
         # Cut, so that the join deals out both sides and can split a hot key.
         taken = cut(rests.groupBy("key").agg(F.min("sketch").alias("other")))
-        rests = cut(rests.join(taken, "key").select("key", "sketch", "other").mapInArrow(_unlike_partition, "key long, sketch binary"))
+        rests = cut(rests.join(taken, "key").select("key", "sketch", "other").transform(map_arrow, _unlike_partition, "key long, sketch binary"))
     return cut(rests.select("key").distinct())
 
 
@@ -230,7 +230,7 @@ def _held_by(keyed: DataFrame, least: int, more: DataFrame | None = None) -> Dat
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, tie, lines): the numbers of the lines to drop of each document that has any."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    found = cut(rows.mapInArrow(_lines_partition, "doc_id long, tie long, line int, same int, n int, parts array<int>, minima binary"))
+    found = cut(rows.transform(map_arrow, _lines_partition, "doc_id long, tie long, line int, same int, n int, parts array<int>, minima binary"))
     lines = found.where("minima IS NULL").select("doc_id", "tie", "line", "same", "n", "parts")
     line = ["doc_id", "tie", "line", "same", "n"]
     leaves = lines.select(*line, "parts", F.explode(_tree_keys()).alias("k")).select(*line, "parts", "k.key", "k.exact")
@@ -247,7 +247,7 @@ def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     gone = shared.select(*line).distinct().groupBy(F.col("doc_id").alias("_d"), F.col("tie").alias("_t")).agg(F.collect_set("same").alias("gone"), F.sum("n").alias("n_gone"))
     minima = found.where("minima IS NOT NULL").select("doc_id", "tie", "n", "minima").dropDuplicates(["doc_id", "tie"])
     own = minima.join(gone, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t"))).where(OWN * (F.col("n") - F.col("n_gone")) >= F.col("n"))
-    own = own.select("doc_id", "tie", "minima", "gone").mapInArrow(_own_partition, "doc_id long, tie long, sketch binary")
+    own = own.select("doc_id", "tie", "minima", "gone").transform(map_arrow, _own_partition, "doc_id long, tie long, sketch binary")
     own = own.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"), "sketch")
     once = shared.where("line = same").select("doc_id", "tie", "key")
     sketches = once.join(own, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("tie") == F.col("_t"))).select("key", "sketch").distinct()
@@ -288,7 +288,7 @@ def _with_lines(docs: DataFrame) -> DataFrame:
 
 def drop(docs: DataFrame) -> DataFrame:
     """The documents without the lines of recurring templates; ``n_chars`` follows the text."""
-    return _with_lines(docs).mapInArrow(_drop_partition, docs.schema)
+    return _with_lines(docs).transform(map_arrow, _drop_partition, docs.schema)
 
 
 def _digest_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,4 +304,4 @@ def _digest_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBa
 
 def digests(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, n_lines, n_dropped, kept_sha256 (of the remaining lines)."""
-    return _with_lines(docs.select("doc_id", "text")).select("row.doc_id", "row.text", "lines").mapInArrow(_digest_partition, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")
+    return _with_lines(docs.select("doc_id", "text")).select("row.doc_id", "row.text", "lines").transform(map_arrow, _digest_partition, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

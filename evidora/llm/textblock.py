@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
 
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 NULL_ID = -(1 << 63)  # stands for a null id where a column has to be without nulls
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1

@@ -48,7 +48,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import PieceCodec
-from .shared import partitions, range_bounds, range_bucket
+from .shared import map_arrow, partitions, range_bounds, range_bucket
 from .textblock import blocks
 
 SAMPLE_DOCS = 1000
@@ -94,6 +94,7 @@ def _encoder(path: str):
             found[i] = own
         return _joined(found)
 
+    texts_to_ids.forget = pieces.known.clear
     return texts_to_ids, whole.get_vocab_size()
 
 
@@ -129,7 +130,7 @@ def train_dictionary(docs: DataFrame, tokenizer: str, end_id: int = 0) -> bytes:
     """The shared dictionary; empty if the sample is too small or too uniform to train one."""
     ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_DOCS).distinct()
     sample = docs.join(F.broadcast(ids), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).select("text")
-    samples = [bytes(r.ids) for r in sample.mapInArrow(_sample_partition(tokenizer, end_id), "ids binary").collect()]
+    samples = [bytes(r.ids) for r in sample.transform(map_arrow, _sample_partition(tokenizer, end_id), "ids binary").collect()]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -156,6 +157,7 @@ def _frames_partition(tokenizer: str, end_id: int, dictionary: bytes) -> Callabl
                     counts.append(n)
                     frames.append(press.compress(ids))
                 yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(counts, pa.int64()), pa.array(frames, pa.binary())], ["bucket", "doc_id", "n_tokens", "frame"])
+        getattr(_encoder(tokenizer)[0], "forget", lambda: None)()
 
     return run
 
@@ -228,10 +230,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, end_id: int = 0) -> None:
     spark.createDataFrame([(held, hashlib.sha256(dictionary).hexdigest(), width, end_id)], "dictionary binary, sha256 string, width int, end_id long").coalesce(1).write.parquet(f"{path}/dictionary")
     bounds = range_bounds(docs, "doc_id", partitions(spark))
     dealt = docs.select(range_bucket(F.col("doc_id"), bounds).alias("bucket"), "doc_id", "text")
-    frames = dealt.mapInArrow(_frames_partition(tokenizer, end_id, dictionary), "bucket int, doc_id long, n_tokens long, frame binary")
+    frames = dealt.transform(map_arrow, _frames_partition(tokenizer, end_id, dictionary), "bucket int, doc_id long, n_tokens long, frame binary")
     ordered = frames.repartitionById(len(bounds) + 1, "bucket").sortWithinPartitions("bucket", "doc_id", "n_tokens", "frame")
     schema = "bucket int, shard long, first_id long, last_id long, n_docs long, offset long, n_tokens long, data binary"
-    ordered.mapInArrow(_shards_partition(hashlib.sha256(dictionary).digest(), width), schema).write.parquet(f"{path}/shards")
+    ordered.transform(map_arrow, _shards_partition(hashlib.sha256(dictionary).digest(), width), schema).write.parquet(f"{path}/shards")
     totals = spark.read.parquet(f"{path}/shards").groupBy("bucket").agg(F.sum("n_tokens").alias("n_tokens"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # one row a range
     totals.select("bucket", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).alias("base")).write.parquet(f"{path}/buckets")
@@ -272,13 +274,13 @@ def _opened(spark: SparkSession, path: str) -> DataFrame:
 def digests(spark: SparkSession, path: str) -> DataFrame:
     """Per document of a store: doc_id, start, n_tokens, ids_crc32, read from its shards."""
     rows = _opened(spark, path).select((F.col("base") + F.col("offset")).alias("start"), "data")
-    return rows.mapInArrow(_read_partition(_dictionary(spark, path), None, False), "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.transform(map_arrow, _read_partition(_dictionary(spark, path), None, False), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """All documents of a store: doc_id, start, ids."""
     rows = _opened(spark, path).select((F.col("base") + F.col("offset")).alias("start"), "data")
-    return rows.mapInArrow(_read_partition(_dictionary(spark, path), None, True), "doc_id long, start long, ids array<int>")
+    return rows.transform(map_arrow, _read_partition(_dictionary(spark, path), None, True), "doc_id long, start long, ids array<int>")
 
 
 def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
@@ -287,4 +289,4 @@ def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
     for i in doc_ids:
         may |= (F.col("first_id") <= i) & (F.col("last_id") >= i)
     rows = _opened(spark, path).where(may).select((F.col("base") + F.col("offset")).alias("start"), "data")
-    return rows.mapInArrow(_read_partition(_dictionary(spark, path), tuple(doc_ids), True), "doc_id long, start long, ids array<int>")
+    return rows.transform(map_arrow, _read_partition(_dictionary(spark, path), tuple(doc_ids), True), "doc_id long, start long, ids array<int>")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh
+from .shared import fresh, map_arrow
 from .textblock import blocks, gather_ranges, lower_ascii, prefix_hash, runs, span_hash
 
 MAX_TRAIN = 2000
@@ -231,7 +231,7 @@ def _train_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Train in one task on the bounded sample; the driver gets the model alone."""
-    rows = training_rows(docs, labels).coalesce(1).mapInArrow(_train_partition, "bucket binary, bias double").collect()
+    rows = training_rows(docs, labels).coalesce(1).transform(map_arrow, _train_partition, "bucket binary, bias double").collect()
     if not rows:
         return train([], np.zeros(0))
     return Model(np.frombuffer(rows[0].bucket, np.float32), rows[0].bias)
@@ -255,7 +255,7 @@ def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     rows = docs.select(*kept, F.col("text").alias(fresh("_text", kept)))
     shared = docs.sparkSession.sparkContext.broadcast(model)  # fixed size, 2**BITS floats
     schema = docs.select(*kept).withColumn("score", F.lit(0.0)).schema
-    return rows.mapInArrow(_score_partition(shared, len(kept)), schema)
+    return rows.transform(map_arrow, _score_partition(shared, len(kept)), schema)
 
 
 def predictions(docs: DataFrame, labels: DataFrame) -> DataFrame:
