@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut, partitions
+from .shared import cut, map_arrow, partitions
 from .textblock import NULL_ID, blocks, gather_ranges, mix, packed_partition, prefix_hash, span_hash
 
 LENGTH = 100
@@ -143,7 +143,8 @@ def _spans_partition(n_buckets: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
             return
         table = _sorted(np.concatenate(found))
         first, again = _firsts(table), _repeated(table)
-        for b, part in _by_bucket(table[again], table["seed"][again], n_buckets):
+        # What is settled only passes through the next step: it is dealt by document, as a minimizer can be very frequent.
+        for b, part in _by_bucket(table[again], table["doc"][again].view(np.uint64), n_buckets):
             yield _ranges_batch(part, b)
         keep = table[first]
         keep = keep[np.lexsort((keep["start"], keep["doc"]))]
@@ -404,16 +405,16 @@ def repeated_ranges(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """(doc, start, count): ``count`` windows from ``start`` on begin repeated strings; null ids are the smallest long."""
     n = partitions(docs.sparkSession)
     rows = docs.select("doc_id", "text")
-    found = rows.mapInArrow(_spans_partition(n), "bucket int, spans binary, doc long, start int, count int")
-    settled = cut(found.repartitionById(n, "bucket").mapInArrow(_settle_partition(hot), _SETTLED))
+    found = rows.transform(map_arrow, _spans_partition(n), "bucket int, spans binary, doc long, start int, count int")
+    settled = cut(found.repartitionById(n, "bucket").transform(map_arrow, _settle_partition(hot), _SETTLED))
     ranges = settled.where("seed IS NULL").select("doc", "start", "count")
-    packed = rows.mapInArrow(packed_partition, "doc long, packed binary")
+    packed = rows.transform(map_arrow, packed_partition, "doc long, packed binary")
 
     def fetched(is_hot: bool, schema: str) -> DataFrame:
         wanted = settled.where(f"seed IS NOT NULL AND hot = {is_hot}").groupBy("doc").agg(F.collect_list(F.struct("start", "count", "seed")).alias("wanted"))
-        return packed.join(wanted, "doc").select("doc", "packed", "wanted").mapInArrow(_fetch_partition(n, is_hot), schema)
+        return packed.join(wanted, "doc").select("doc", "packed", "wanted").transform(map_arrow, _fetch_partition(n, is_hot), schema)
 
-    others = fetched(False, "bucket int, spans binary, bytes binary").repartitionById(n, "bucket").mapInArrow(_sort_partition, "doc long, start int, count int")
+    others = fetched(False, "bucket int, spans binary, bytes binary").repartitionById(n, "bucket").transform(map_arrow, _sort_partition, "doc long, start int, count int")
     ranges = ranges.unionByName(others)
     if settled.where("hot").limit(1).count():
         windows = fetched(True, "one long, two long, doc long, start int")
@@ -448,7 +449,7 @@ def _removed_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordB
 
 def digests(docs: DataFrame, hot: int = HOT) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
-    packed = docs.select("doc_id", "text").mapInArrow(packed_partition, "doc long, packed binary")
+    packed = docs.select("doc_id", "text").transform(map_arrow, packed_partition, "doc long, packed binary")
     ranges = repeated_ranges(docs, hot).groupBy("doc").agg(F.collect_list(F.struct("start", "count")).alias("ranges"))
     met = packed.join(ranges, "doc", "left").select("doc", "packed", "ranges")
-    return met.mapInArrow(_removed_partition, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return met.transform(map_arrow, _removed_partition, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
