@@ -186,8 +186,8 @@ def ground_extraction(spark, sf_dir):
 
 
 @query("tag_intents", f"""WITH t AS (SELECT conv_id * 100 + turn AS id, turn % {len(_REQUESTS)} AS k FROM conversations) SELECT id,
- ['CREATE_FORMULATION|UPDATE_DOSAGE_FORM|ANALYZE_PATENT', 'CHECK_ABS', 'SCENARIO', 'REMOVE_INGREDIENT|UPDATE_DOSAGE_FORM|UPDATE_INTENDED_USE|ANALYZE_PATENT', 'CHECK_ABS', 'SHOW_DECISION_PATH|VIEW_EVIDENCE', 'GENERAL_QUESTION'][k + 1] AS intents,
- CASE k WHEN 1 THEN 'command' ELSE 'rules' END AS decoder, CASE k WHEN 3 THEN 'research' END AS purpose, CASE k WHEN 3 THEN 'indian' END AS entity_type, CASE k WHEN 5 THEN 'abs' END AS graph_filter FROM t""")
+ ['CREATE_FORMULATION|UPDATE_DOSAGE_FORM|ANALYZE_PATENT', 'CHECK_ABS', 'SCENARIO', 'REMOVE_INGREDIENT|UPDATE_DOSAGE_FORM|UPDATE_INTENDED_USE|ANALYZE_PATENT', 'SHOW_DECISION_PATH|VIEW_EVIDENCE', 'VIEW_EVIDENCE', 'GENERAL_QUESTION'][k + 1] AS intents,
+ CASE k WHEN 1 THEN 'command' ELSE 'rules' END AS decoder, CASE k WHEN 3 THEN 'research' END AS purpose, CASE k WHEN 3 THEN 'indian' END AS entity_type, CASE k WHEN 4 THEN 'abs' END AS graph_filter FROM t""")
 def tag_intents(spark, sf_dir):
     t = _texts(spark, sf_dir).withColumn("text", F.element_at(F.split("text", "\n"), 1))
     has = ex.extract_ingredients(t, _LEXICON).select("id").distinct().withColumn("has", F.lit(True))
