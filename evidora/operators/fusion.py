@@ -23,15 +23,15 @@ def rrf_fuse(rankings: DataFrame, k: int = RRF_K) -> DataFrame:
     return fused.select("query_id", F.row_number().over(order).alias("rank"), "id", "score")
 
 
-def hybrid_retrieve(chunks: DataFrame, text: Column, vectors: DataFrame, queries: DataFrame, predicate: Column, candidates: int = CANDIDATES, top_k: int = TOP_K) -> DataFrame:
+def hybrid_retrieve(chunks: DataFrame, text: Column, vectors: DataFrame, queries: DataFrame, predicate: Column, candidates: int = CANDIDATES, top_k: int = TOP_K, indexed: lexical.Index | None = None) -> DataFrame:
     """(query_id, rank, id, score) from both rankings under one filter; blank queries and top_k <= 0 find nothing.
 
-    ``queries``: query_id, query, embedding.
+    ``queries``: query_id, query, embedding; ``indexed``: the written index of all chunks.
     """
     asked = queries.where((F.trim("query") != "") & F.lit(top_k > 0))
     allowed = chunks.where(predicate).select("id")
     near = dense.dense_search(vectors.join(allowed, "id", "left_semi"), asked, candidates)
-    worded = lexical.bm25_search(chunks, text, asked, candidates, predicate)
+    worded = lexical.bm25_search(chunks, text, asked, candidates, predicate, indexed)
     both = near.select("query_id", F.lit("dense").alias("list_id"), F.col("rank").alias("pos"), "id").unionByName(worded.select("query_id", F.lit("bm25").alias("list_id"), F.col("rank").alias("pos"), "id"))
     return rrf_fuse(both).where(F.col("rank") <= top_k)
 

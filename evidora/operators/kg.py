@@ -6,13 +6,12 @@ edges: source, target, type, props map<string,string>, origin
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
+from ..sources.store import written, written_in_buckets
+from . import automaton
 
 # The graph's vocabulary.
 LABELS = ["Herb", "Formulation", "Ingredient", "Compound", "Name", "Category", "Document", "Patent", "Product", "Source"]
@@ -25,7 +24,6 @@ SNIPPET = 600
 NAME_CHARS = 200
 LEARNED = 0.85  # confidence of a herb that a formulary's text names
 GRAM = 3
-_WORD = r"(?U)^[\w-]"
 
 _MAP = "map<string,string>"
 
@@ -98,58 +96,23 @@ def alias_map(nodes: DataFrame, labels: tuple[str, ...] = ("Herb", "Formulation"
     return names(nodes, list(labels)).select(normalize(F.col("term")).alias("term"), "key").distinct()
 
 
-def _tokens(text: Column) -> Column:
-    return F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w-]+|[^\w-]"), 0)
-
-
-def _leftmost(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row, pos, len, id, term) in order of row, pos and falling len: those that do not begin inside one kept before."""
-    last, until = None, 0
-    for batch in batches:
-        keep = []
-        for row, pos, size in zip(*(batch.column(i).to_pylist() for i in range(3))):
-            free = row != last or pos >= until
-            if free:
-                last, until = row, pos + size
-            keep.append(free)
-        yield batch.select(["id", "term"]).filter(pa.array(keep, pa.bool_()))
-
-
 def entity_mentions(docs: DataFrame, aliases: DataFrame, scope: str | None = None) -> DataFrame:
     """(id, key, n) of docs (id, text): leftmost-longest matches that do not overlap; every key of a matched alias counts.
 
     With ``scope``, a field of ``id``, aliases have a column ``scope``: null, or the
     only value of that field for whose texts they count.
 
-    Texts and terms are cut alike, into words and single other characters, so a
-    match is a run of whole tokens; one that begins or ends with another character
-    than a word's has no word right before or behind it.  Runs of all lengths that terms
-    have meet the terms in a join, whatever the size of the dictionary.  The
-    driver gets the different lengths.
+    Terms are compiled to token automata (see ``automaton``), whatever their number
+    and length; a match is a run of whole tokens, and one that begins or ends with
+    another character than a word's has no word right before or behind it.
     """
     known = aliases.where(F.length("term") >= MIN_TERM).select(F.col("term").alias("_term"), "key", F.col("scope") if scope else F.lit(None).alias("scope")).distinct()
     same = F.col("term") == F.col("_term")
     if scope:
         same &= F.col("scope").isNull() | (F.col("scope") == F.col(f"id.{scope}"))
-    terms = known.select(F.col("_term").alias("term")).distinct()
-    lengths = sorted(r[0] for r in terms.select(F.size(_tokens(F.col("term")))).distinct().collect())
-    if not lengths:
-        return docs.join(aliases, F.lit(False)).select("id", "key", F.lit(0).cast("long").alias("n"))
-    words = docs.select("id", F.monotonically_increasing_id().alias("row"), _tokens(F.col("text")).alias("w"))
-    # Each position with the token before it and as many from it on as the longest term has, and one.
-    near = F.transform("w", lambda x, i: F.struct(i.alias("pos"), F.get("w", i - 1).alias("before"), F.slice("w", i + 1, lengths[-1] + 1).alias("next")))
-    at = words.select("id", "row", F.explode(near).alias("at")).select("id", "row", "at.*").where(~F.get("next", F.lit(0)).rlike(r"(?U)^\s"))
-    runs = F.array(*[F.when(F.size("next") >= k, F.struct(F.lit(k).alias("len"), F.array_join(F.slice("next", 1, k), "").alias("term"), F.get("next", F.lit(k - 1)).alias("end"), F.get("next", F.lit(k)).alias("after"))) for k in lengths])
-    spans = at.select("id", "row", "pos", "before", F.get("next", F.lit(0)).alias("begin"), F.explode(runs).alias("run")).where("run IS NOT NULL")
-    hits = spans.select("id", "row", "pos", "before", "begin", "run.*").join(known, same, "left_semi")
-
-    def parted(inner: str, outer: str) -> Column:
-        return F.col(outer).isNull() | F.col(inner).rlike(_WORD) | ~F.col(outer).rlike(_WORD)
-
-    hits = hits.where(parted("begin", "before") & parted("end", "after"))
-    if lengths != [1]:  # single tokens cannot overlap
-        schema = hits.select("id", "term").schema
-        hits = hits.select("row", "pos", "len", "id", "term").repartition("row").sortWithinPartitions("row", "pos", F.desc("len")).mapInArrow(_leftmost, schema)
+        hits = automaton.matches(docs, known, F.col("text"), F.col("_term"), known, same)
+    else:
+        hits = automaton.matches(docs, known, F.col("text"), F.col("_term"))
     return hits.groupBy("id", "term").agg(F.count("*").alias("n")).join(known, same).groupBy("id", "key").agg(F.sum("n").alias("n"))
 
 
@@ -235,18 +198,38 @@ def resolve(queries: DataFrame, nodes: DataFrame) -> DataFrame:
     return exact.unionByName(named).withColumn("_n", F.row_number().over(best)).where("_n = 1").select("query", "key")
 
 
-def search(queries: DataFrame, nodes: DataFrame, limit: int = 20) -> DataFrame:
+def name_index(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Names (number, key, label, name, held) and postings (gram, number) of all names and aliases, as written tables.
+
+    A gram begins at every character; names are filled up behind their end, so the last
+    grams hold what a name ends with.
+    """
+    held = nodes.select("key", "label", "name", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), F.lower))).alias("held")).where("held != ''")
+    held = written(held.select(F.monotonically_increasing_id().alias("number"), "key", "label", "name", "held"), "names")
+    grams = F.transform(F.sequence(F.lit(1), F.length("held")), lambda i: F.substr(F.concat("held", F.lit("\0" * (GRAM - 1))), i, F.lit(GRAM)))
+    return held, written(held.select(F.explode(F.array_distinct(grams)).alias("gram"), "number").repartition("gram").sortWithinPartitions("gram"), "grams")
+
+
+def search(queries: DataFrame, nodes: DataFrame, limit: int = 20, index: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """(query, rank, key): names or aliases that contain the normalised query.
 
-    What contains a query contains its first ``GRAM`` characters, so queries and names
-    meet in a join by those, and only then are compared.
+    A query is looked up by the rarest of its grams, and by all grams that begin with
+    it if it is shorter than one; what is found is then compared with the query itself.
+    A query with a gram that no name has finds nothing without a look at any name.
     """
-    asked = queries.withColumn("term", normalize(F.col("query"))).where("term != ''").withColumn("gram", F.substring("term", 1, GRAM))
-    known = nodes.select("key", "label", "name", F.explode(F.array_distinct(F.transform(F.concat(F.array("name"), "aliases"), F.lower))).alias("held")).where("held != ''")
-    starts = F.sequence(F.lit(1), F.length("held"))
-    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(GRAM)), lambda k: F.transform(starts, lambda i: F.substring("held", i, k))))
-    held = known.withColumn("gram", F.explode(F.array_distinct(grams)))
-    hits = held.join(asked, "gram").where(F.contains("held", "term")).select("query", "key", "label", "name").distinct()
+    held, postings = index or name_index(nodes)
+    asked = queries.withColumn("term", normalize(F.col("query"))).where("term != ''")
+    counts = postings.groupBy("gram").agg(F.count("*").alias("n"))
+    places = F.sequence(F.lit(1), F.length("term") - (GRAM - 1))
+    own = asked.where(F.length("term") >= GRAM).select("query", "term", F.explode(F.array_distinct(F.transform(places, lambda i: F.substr("term", i, F.lit(GRAM))))).alias("gram"))
+    rarest = own.join(counts, "gram", "left").groupBy("query", "term").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best"))
+    looked = rarest.where("best.n > 0").select("query", "term", "best.gram")
+    short = asked.where(F.length("term") < GRAM)
+    for size in range(1, GRAM):
+        begin = counts.select("gram", F.substring("gram", 1, size).alias("term"))
+        looked = looked.unionByName(short.where(F.length("term") == size).join(begin, "term").select("query", "term", "gram"))
+    met = looked.join(postings, "gram").select("query", "term", "number").distinct()
+    hits = met.join(held, "number").where(F.contains("held", "term")).select("query", "key", "label", "name").distinct()
     best = Window.partitionBy("query").orderBy(*_order())
     return hits.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= limit).select("query", "rank", "key")
 
@@ -256,6 +239,19 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.groupBy("label").agg(F.count("*").alias("n")).unionByName(edges.agg(F.count("*").alias("n")).withColumn("label", F.lit("relationships")))
 
 
+def adjacency(nodes: DataFrame, edges: DataFrame, per: int) -> DataFrame:
+    """(from, key, type, out, n): the first ``per`` edges of each node, both ways, by the neighbour's label priority, name and key.
+
+    Ranked once and written in buckets of ``from``, sorted there, so that a hop joins
+    it without another shuffle or sort of the edges.  Tasks cut to ``per`` edges a
+    node before the shuffle, so a node with a third of all edges is no hot group.
+    """
+    both = edges.select(F.col("source").alias("from"), F.col("target").alias("key"), "type", F.lit(True).alias("out")).union(edges.select("target", "source", "type", F.lit(False)))
+    both = both.join(nodes.select("key", "label", "name"), "key")
+    ranked = both.withColumn("n", F.row_number().over(Window.partitionBy("from").orderBy(*_order(), "type", "out"))).where(F.col("n") <= per)
+    return written_in_buckets(ranked.select("from", "key", "type", "out", "n"), "adjacency", "from")
+
+
 def neighborhood(centers: DataFrame, nodes: DataFrame, edges: DataFrame, depth: int = 1, limit: int = 150, fanout: int = 25) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Bounded breadth-first search from many centers (center) at once.
 
@@ -264,27 +260,24 @@ def neighborhood(centers: DataFrame, nodes: DataFrame, edges: DataFrame, depth:
     center has ``limit`` nodes at most.  Gives (center, key, hop), (center, source,
     target, type) of the edges taken whose ends are both there, and (center, truncated).
     """
-    both = edges.select(F.col("source").alias("from"), F.col("target").alias("key"), "type", F.lit(True).alias("out")).union(edges.select("target", "source", "type", F.lit(False)))
-    both = both.join(nodes.select("key", "label", "name"), "key")
+    near = adjacency(nodes, edges, max(limit, fanout) + 1)
     reached = centers.select("center", F.col("center").alias("key"), F.lit(0).alias("hop"), F.lit(0).cast("long").alias("place"))
     frontier, truncated, walked = reached, None, None
     for hop in range(1, depth + 1):
         per = (limit if hop == 1 else fanout) + 1
-        ordered = Window.partitionBy("from").orderBy(*_order(), "type", "out")
-        # Only the edges of the frontier are ranked.
-        ends = both.join(frontier.select(F.col("key").alias("from")).distinct(), "from", "left_semi")
-        nearest = ends.withColumn("_n", F.row_number().over(ordered)).where(F.col("_n") <= per)
-        step = frontier.select("center", F.col("key").alias("from"), F.col("place").alias("from_place")).join(nearest, "from")
+        ahead = frontier.select("center", F.col("key").alias("from"), F.col("place").alias("from_place"))
+        # At most ``limit`` nodes a center and ``per`` edges a node; written, as three plans read it.
+        step = written(near.where(F.col("n") <= per).join(ahead, "from"), "hop")
         seen = step.select("center", F.when(F.col("out"), F.col("from")).otherwise(F.col("key")).alias("source"), F.when(F.col("out"), F.col("key")).otherwise(F.col("from")).alias("target"), "type")
         walked = seen if walked is None else walked.union(seen)
         new = step.join(reached.select("center", "key"), ["center", "key"], "left_anti")
-        new = new.groupBy("center", "key").agg(F.min(F.struct("from_place", "_n")).alias("first"))
+        new = new.groupBy("center", "key").agg(F.min(F.struct("from_place", "n")).alias("first"))
         count = reached.groupBy("center").agg(F.count("*").alias("had"))
         place = Window.partitionBy("center").orderBy("first")
-        placed = new.join(count, "center").withColumn("place", F.row_number().over(place) + F.col("had") - 1)
+        placed = written(new.join(count, "center").withColumn("place", F.row_number().over(place).cast("long") + F.col("had") - 1).select("center", "key", "place"), "hop")
         over = placed.groupBy("center").agg(F.bool_or(F.col("place") >= limit).alias("truncated"))
         truncated = over if truncated is None else truncated.unionByName(over)
-        frontier = placed.where(F.col("place") < limit).select("center", "key", F.lit(hop).alias("hop"), F.col("place").cast("long").alias("place"))
+        frontier = placed.where(F.col("place") < limit).select("center", "key", F.lit(hop).alias("hop"), "place")
         reached = reached.unionByName(frontier)
     cut_off = truncated.groupBy("center").agg(F.bool_or("truncated").alias("truncated"))
     there = reached.select("center", F.col("key").alias("end"))

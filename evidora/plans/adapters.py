@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import STOPWORDS
+from ..operators import lexical
 from ..operators.filters import SECTION3_CLAUSES
 
 SOURCE_TYPES = ["statute", "guideline", "patent", "comparative_ip", "regulation", "case_law", "prior_art"]
@@ -52,12 +53,21 @@ def tokens_sql(text: str) -> str:
 
 
 def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each benchmark item's first eight words as a query."""
-    words = F.slice(F.split(F.col("text"), " "), 1, 8)
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("query"))
+    """Each benchmark item's whole text as a query."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-QUERIES_SQL = "(SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:8], ' ') AS query FROM benchmark)"
+QUERIES_SQL = "(SELECT item_id AS query_id, text AS query FROM benchmark)"
+
+_INDEXES: dict[tuple[str, str], lexical.Index] = {}
+
+
+def indexed_chunks(spark: SparkSession, sf_dir: str) -> lexical.Index:
+    """The BM25 index of all chunks: written once for each application and folder of tables, then read."""
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _INDEXES:
+        _INDEXES[key] = lexical.index(chunks(spark, sf_dir), F.col("text"))
+    return _INDEXES[key]
 
 
 def cases(spark: SparkSession, sf_dir: str) -> DataFrame:

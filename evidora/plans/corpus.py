@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import pages as pg
 from ..queries import query
 from ..sources import documents as src
-from ..sources.store import scratch, write_index
-from .adapters import chunks, table
+from ..sources.store import read_parts, scratch, write_index
+from .adapters import chunks, sql_list, table
 
 
 def _lines(spark, sf_dir):
@@ -107,6 +107,40 @@ def html_to_text(spark, sf_dir):
     return out.select("page_id", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
+_KINDS = ["txt", "md", "html", "HTM", "json", "jsonl", "pdf", "csv", "txt"]
+_SPACE = r"[\s\x{0B}\x{1C}-\x{1F}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_CLEAN = r"regexp_replace(regexp_replace(array_to_string(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(regexp_replace(x, '[ \t\x{00A0}]+', ' ', 'g'), '^\s+|\s+$', '', 'g')), chr(10)), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query(
+    "load_documents",
+    f"""WITH k AS (SELECT doc_id, coalesce(text, '') AS text, {sql_list(_KINDS)}[doc_id % 9 + 1] AS kind FROM documents WHERE doc_id % 9 < 7),
+ t AS (SELECT doc_id, kind, CASE WHEN kind IN ('html', 'HTM') THEN trim(regexp_replace(text, '{_SPACE}', ' ', 'g')) WHEN kind IN ('json', 'jsonl') THEN text ELSE {_CLEAN} END AS text FROM k)
+ SELECT 'd' || doc_id || '.' || kind AS name, CASE WHEN doc_id % 10 = 3 THEN 'no sidecar' WHEN kind = 'pdf' THEN 'pdf' WHEN text = '' AND kind NOT LIKE 'json%' THEN 'no text' END AS reason, CASE WHEN doc_id % 10 <> 3 AND kind <> 'pdf' AND (text <> '' OR kind LIKE 'json%') THEN md5(text) END AS text_md5 FROM t""",
+)
+def load_documents(spark, sf_dir):
+    """Every document as a file of one of all kinds, in folders, nine of ten with a sidecar; what is loaded and what is skipped."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.element_at(F.array(*map(F.lit, _KINDS)), (F.col("doc_id") % 9 + 1).cast("int")).alias("kind"))
+    record = F.struct(F.concat(F.lit("N"), "doc_id").alias("publication_number"), F.lit("t").alias("title"), F.col("text").alias("abstract"))
+    page = F.concat(F.lit("<html><nav><p>menu</p></nav><body><p>"), F.replace(F.replace(F.replace("text", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;")), F.lit("</p><script>x</script></body></html>"))
+    content = F.when(F.col("kind").isin("html", "HTM"), page).when(F.col("kind") == "json", F.to_json(F.array(record))).when(F.col("kind") == "jsonl", F.to_json(record)).otherwise(F.col("text"))
+    folder, stem = F.concat((F.col("doc_id") % 5).cast("string"), F.lit("/deep/")), F.concat(F.when(F.col("doc_id") % 9 == 8, ".d").otherwise("d"), "doc_id")
+    meta = F.to_json(F.struct(F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.lit("T").alias("title"), F.when(F.col("kind").startswith("json"), "patent").otherwise("statute").alias("source_type"), F.lit("India").alias("jurisdiction"), F.lit("domestic").alias("legal_scope")))
+    files = d.select(F.concat(folder, stem, F.lit("."), "kind").alias("path"), content.alias("content"))
+    files = files.unionByName(d.where("doc_id % 10 != 3").select(F.concat(folder, stem, F.lit(".meta.json")).alias("path"), meta.alias("content")))
+    at = scratch(spark, "documents")
+    src.write_documents(files, at)
+    loaded, skipped = src.load_documents(spark, at)
+    name = F.regexp_extract("path", r"([^/]+)$", 1).alias("name")
+    records = F.col("suffix").isin("json", "jsonl")
+    texts = loaded.where(~records).select(name, F.col("text"))
+    abstracts = src.read_patent_records(loaded.where(records).select("source_type", "suffix", "text"))
+    number = F.substring("publication_number", 2, 30).cast("long")
+    texts = texts.unionByName(abstracts.select(F.concat(F.lit("d"), number, F.when(number % 9 == 4, ".json").otherwise(".jsonl")).alias("name"), F.col("abstract").alias("text")))
+    null = F.lit(None).cast("string")
+    return texts.select("name", null.alias("reason"), F.md5("text").alias("text_md5")).unionByName(skipped.select(name, "reason", null.alias("text_md5")))
+
+
 def _meta(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select(F.concat(F.when(F.col("doc_id") % 4 == 0, "Doc-").otherwise("doc_"), "doc_id").alias("doc_id"), F.when(F.col("doc_id") % 6 == 0, "x").otherwise("BDA").alias("section_label_prefix"), F.when(F.col("doc_id") % 5 != 0, F.upper("lang")).otherwise(" ").alias("jurisdiction"), F.when(F.col("doc_id") % 7 == 0, "blog").otherwise("statute").alias("source_type"), F.lit("domestic").alias("legal_scope"))
@@ -189,5 +223,5 @@ def write_index_query(spark, sf_dir):
     base = scratch(spark, "chunks")
     c = chunks(spark, sf_dir).select("id", F.lit("first").alias("state"), "source_type", F.coalesce("legal_scope", F.lit("domestic")).alias("legal_scope"), F.lit(1).cast("long").alias("seq"), "doc_id")
     write_index(c.drop("doc_id"), base)
-    last = write_index(c.where("doc_id % 4 = 0").drop("doc_id").withColumns({"state": F.lit("changed"), "seq": F.lit(2).cast("long")}), base)
-    return spark.read.parquet(last).select("id", "state")
+    write_index(c.where("doc_id % 4 = 0").drop("doc_id").withColumns({"state": F.lit("changed"), "seq": F.lit(2).cast("long")}), base)
+    return read_parts(spark, base).select("id", "state")

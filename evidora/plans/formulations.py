@@ -12,7 +12,7 @@ from ..operators import extraction as ex
 from ..operators import formulation as fm
 from ..operators import kg, replay
 from ..queries import query
-from ..sources.store import scratch
+from ..sources.store import read_parts, scratch
 from ..streaming import jobs
 from .adapters import sql_list, table
 
@@ -204,7 +204,7 @@ def stream_index_upsert(spark, sf_dir):
     d.where("doc_id % 3 = 0").select(F.col("doc_id").cast("string").alias("id"), F.lit("new").alias("state"), F.col("doc_id").alias("seq")).write.parquet(f"{base}/in")
     stream = spark.readStream.schema("id string, state string, seq long").option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
     out = jobs.upsert_job(stream, old, jobs.index_upsert, f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(out).select(F.col("id").cast("long").alias("doc_id"), "state")
+    return read_parts(spark, out).select(F.col("id").cast("long").alias("doc_id"), "state")
 
 
 @query("stream_kg_upsert", "SELECT 'Herb:' || lower(p_name || ' ' || p_partkey) AS key, p_name || ' ' || p_partkey AS name, CASE WHEN p_partkey % 2 = 0 THEN p_brand || '|seen' ELSE p_brand END AS aliases, 'curated' AS origin FROM part UNION ALL SELECT 'Product:' || lower(s_name), s_name, '', 'pipeline' FROM supplier")
@@ -216,5 +216,5 @@ def stream_kg_upsert(spark, sf_dir):
     base = scratch(spark, "kg")
     batch.write.parquet(f"{base}/in")
     stream = spark.readStream.schema(batch.schema).option("maxFilesPerTrigger", 2).parquet(f"{base}/in")
-    out = jobs.upsert_job(stream, old, jobs.kg_node_upsert, f"{base}/out", f"{base}/checkpoint")
-    return spark.read.parquet(out).select("key", "name", F.array_join("aliases", "|").alias("aliases"), "origin")
+    out = jobs.upsert_job(stream, old, jobs.kg_node_upsert, f"{base}/out", f"{base}/checkpoint", "key")
+    return read_parts(spark, out).select("key", "name", F.array_join("aliases", "|").alias("aliases"), "origin")

@@ -8,7 +8,7 @@ from ..functions import text as T
 from ..operators import chunking, dense, filters, fusion, lexical, statutes
 from ..queries import query
 from ..sources.store import index_round_trip
-from .adapters import CHUNKS_SQL, QUERIES_SQL, chunks, queries, sql_list, table, tokens_sql
+from .adapters import CHUNKS_SQL, QUERIES_SQL, chunks, indexed_chunks, queries, sql_list, table, tokens_sql
 
 
 @query("tokenize", f"SELECT doc_id, len(t) AS n_tokens, md5(array_to_string(t, ' ')) AS tokens_md5 FROM (SELECT doc_id, {tokens_sql('text')} AS t FROM documents)")
@@ -30,7 +30,7 @@ def _india():
 
 @query("bm25_index", f"WITH {_POSTINGS}, {_TERMS} SELECT term, df, round(idf, 6) AS idf FROM terms")
 def bm25_index(spark, sf_dir):
-    return lexical.terms(lexical.index(chunks(spark, sf_dir), F.col("text"))).select("term", "df", F.round("idf", 6).alias("idf"))
+    return lexical.terms(indexed_chunks(spark, sf_dir)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(
@@ -38,7 +38,7 @@ def bm25_index(spark, sf_dir):
     f"WITH {_POSTINGS}, {_TERMS}, {_ASKED}, {_SCORED}, hits AS (SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, id) AS rank FROM scored JOIN {CHUNKS_SQL} USING (id) WHERE {_INDIA}) SELECT query_id, rank, id, round(score, 6) AS score FROM hits WHERE rank <= 30",
 )
 def bm25_search(spark, sf_dir):
-    found = lexical.bm25_search(chunks(spark, sf_dir), F.col("text"), queries(spark, sf_dir), 30, _india())
+    found = lexical.bm25_search(chunks(spark, sf_dir), F.col("text"), queries(spark, sf_dir), 30, _india(), indexed_chunks(spark, sf_dir))
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", F.round("score", 6).alias("score"))
 
 
@@ -117,7 +117,7 @@ def _patents(spark, sf_dir):
     return d.select(
         F.concat(F.lit("US-"), "doc_id", F.lit("/A1")).alias("publication_number"),
         F.element_at(lines, 1).alias("title"),
-        F.array_join(F.slice(lines, 2, 100000), "\n").alias("abstract"),
+        F.array_join(F.slice(lines, F.lit(2), F.size(lines)), "\n").alias("abstract"),
         F.when(F.col("doc_id") % 3 == 0, F.get(lines, F.lit(1))).otherwise(F.lit("  ")).alias("first_claim"),
         F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("https://example.org/"), "doc_id")).alias("url"),
         F.lit(None).cast("string").alias("publication_date"),
@@ -225,7 +225,7 @@ _HYBRID = f"WITH {_POSTINGS}, {_TERMS}, {_ASKED}, {_SCORED}, {_BUCKETS}, {_DENSE
 def _hybrid(spark, sf_dir, top_k=8):
     c, q = chunks(spark, sf_dir), queries(spark, sf_dir)
     qv = dense.hash_embed(q.withColumnRenamed("query_id", "id"), F.col("query")).withColumnRenamed("id", "query_id")
-    return fusion.hybrid_retrieve(c, F.col("text"), dense.hash_embed(c, F.col("text")), q.join(qv, "query_id"), _india(), top_k=top_k)
+    return fusion.hybrid_retrieve(c, F.col("text"), dense.hash_embed(c, F.col("text")), q.join(qv, "query_id"), _india(), top_k=top_k, indexed=indexed_chunks(spark, sf_dir))
 
 
 @query("hybrid_retrieve", _HYBRID + "SELECT query_id, rank, id, round(score, 9) AS score FROM h WHERE rank <= 8")

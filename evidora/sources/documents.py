@@ -6,10 +6,11 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import norm_title, strip
+from ..functions.text import clean_lines, norm_title, strip
 
 SUFFIXES = ["txt", "md", "html", "htm", "pdf", "json", "jsonl"]
 SOURCE_TYPES = ["statute", "guideline", "patent", "comparative_ip", "regulation", "case_law", "prior_art"]
@@ -17,18 +18,59 @@ META = "doc_id string, title string, source_type string, source_url string, effe
 PATENT = "publication_number string, title string, abstract string, first_claim string, url string, publication_date string, jurisdiction string"
 
 
+def write_documents(files: DataFrame, folder: str) -> int:
+    """Write rows (path, content) as files below ``folder``, each in the task that has it; the number of files.
+
+    ``folder`` is one that all executors share.  A repeated task writes the same
+    files again; the contents of repeated paths must be equal.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, base = pyarrow.fs.FileSystem.from_uri(folder)
+        made = set()
+        for batch in batches:
+            for path, content in zip(batch["path"], batch["content"]):
+                at = f"{base}/{path}"
+                parent = at.rpartition("/")[0]
+                if parent not in made:
+                    fs.create_dir(parent, recursive=True)
+                    made.add(parent)
+                with fs.open_output_stream(at) as out:
+                    out.write(content)
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    return files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def load_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    """Documents (meta columns, path, suffix, text) with a sidecar, and the skipped paths.
+    """Documents (meta columns, path, suffix, text) with a sidecar, and what is skipped (path, reason).
 
-    A file needs ``<stem>.meta.json`` beside it; dot-files and empty texts are skipped.
+    All folders below ``folder`` are searched.  A file needs ``<stem>.meta.json`` beside
+    it; names that begin with a dot or underscore and other suffixes are no documents.
+    HTML becomes text, lines are cleaned, bytes that are no UTF-8 become U+FFFD.  JSON
+    keeps its text for ``read_patent_records`` and is an error for other source types.
+    Texts without anything in them, and PDF (not decoded here), are skipped.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
     name = F.regexp_extract("path", r"([^/]+)$", 1)
-    files = files.withColumns({"dir": F.regexp_replace("path", r"[^/]+$", ""), "name": name}).where(~F.col("name").startswith("."))
-    meta = files.where(F.col("name").endswith(".meta.json")).select("dir", F.regexp_extract("name", r"^(.*)\.meta\.json$", 1).alias("stem"), F.from_json(F.col("content").cast("string"), META).alias("meta"))
-    docs = files.where(~F.col("name").endswith(".meta.json")).withColumns({"stem": F.regexp_extract("name", r"^(.*)\.[^.]+$", 1), "suffix": F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))}).where(F.col("suffix").isin(SUFFIXES))
-    met = docs.join(meta, ["dir", "stem"]).select("meta.*", "path", "suffix", F.col("content").cast("string").alias("text")).where(strip(F.col("text")) != "")
-    return met, docs.join(meta, ["dir", "stem"], "left_anti").select("path")
+    files = files.withColumns({"dir": F.regexp_replace("path", r"[^/]+$", ""), "name": name}).where(~F.col("name").rlike("^[._]"))
+    sidecar = F.col("name").endswith(".meta.json")
+    meta = files.where(sidecar).select("dir", F.regexp_extract("name", r"^(.*)\.meta\.json$", 1).alias("stem"), F.from_json(F.col("content").cast("string"), META).alias("meta"))
+    found = files.where(~sidecar).withColumns({"stem": F.regexp_extract("name", r"^(.*)\.[^.]+$", 1), "suffix": F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))}).where(F.col("suffix").isin(SUFFIXES))
+    met = found.join(meta, ["dir", "stem"], "left")
+    raw = F.make_valid_utf8(F.col("content").cast("string"))
+    records = F.col("suffix").isin("json", "jsonl")
+    wrong = records & ~F.coalesce(F.col("meta.source_type") == "patent", F.lit(False))
+    raw = F.when(wrong, F.raise_error(F.concat("name", F.lit(": record files need source_type patent"))).cast("string")).otherwise(raw)
+    whole = met.where("meta IS NOT NULL AND suffix != 'pdf'").select("meta.*", "path", "suffix", raw.alias("raw"))
+    pages = whole.where("suffix IN ('html', 'htm')")
+    paged = html_to_text(pages, "raw").withColumn("text", clean_lines(F.col("text")))
+    plain = whole.where("suffix NOT IN ('html', 'htm')").withColumn("text", F.when(records, F.col("raw")).otherwise(clean_lines(F.col("raw")))).drop("raw")
+    texts = plain.unionByName(paged)
+    full = strip(F.col("text")) != ""
+    reason = F.when(F.col("meta").isNull(), "no sidecar").when(F.col("suffix") == "pdf", "pdf")
+    skipped = met.select("path", reason.alias("reason")).where("reason IS NOT NULL").unionByName(texts.where(~full).select("path", F.lit("no text").alias("reason")))
+    return texts.where(full), skipped
 
 
 def metadata_reasons(known_types: list[str] = SOURCE_TYPES) -> Column:

@@ -1,14 +1,17 @@
-"""Versioned Parquet tables: write, reload, upsert."""
+"""Parquet tables: write, reload, upsert by parts."""
 
 from __future__ import annotations
 
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+PARTS = 64
+
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that the driver and all executors share.
@@ -31,6 +34,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def written_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
+    """``df`` as a table in the shared folder, in sorted buckets of ``key``: joins by it neither shuffle nor sort it again."""
+    spark = df.sparkSession
+    path = scratch(spark, name)
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    called = path.rpartition("/")[2].replace("-", "_")
+    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(called)
+    return spark.table(called)
+
+
 def index_round_trip(tables: dict[str, DataFrame]) -> DataFrame:
     """Save every table, load it again and count the rows that differ (none, if the index can be rebuilt)."""
     out = None
@@ -54,26 +67,81 @@ def upsert(current: DataFrame | None, changes: DataFrame, key: str = "id") -> Da
     return both.withColumn("_n", F.row_number().over(latest)).where("_n = 1").drop("_n", "_new", "seq")
 
 
-def write_index(chunks: DataFrame, path: str, recreate: bool = False) -> str:
-    """Upsert chunks (with ``seq``) into a new version of the table below ``path``; an empty set is an error.
+def _fs(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, at = _fs(spark, path)
+    return fs.exists(at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, at = _fs(spark, path)
+    fs.delete(at, True)
+
 
-    Partitioned by the indexed filter fields.  Returns the version's path.
+def _part_column(spark: SparkSession, path: str) -> str | None:
+    """The partition column of a table in parts; its name says how many there are."""
+    fs, at = _fs(spark, path)
+    if not fs.exists(at):
+        return None
+    found = (re.match(r"(part_of_\d+)=", s.getPath().getName()) for s in fs.listStatus(at))
+    return next((m[1] for m in found if m), None)
+
+
+def read_parts(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of a table in parts."""
+    column = _part_column(spark, path)
+    return spark.read.parquet(path).drop(column) if column else spark.read.parquet(path)
+
+
+def upsert_parts(changes: DataFrame, path: str, merge: Callable[[DataFrame | None, DataFrame], DataFrame], key: str = "id", batch: str | None = None, parts: int = PARTS, order: list[str] | None = None) -> None:
+    """Merge changes into a table that is cut into parts by a hash of its key; parts without changes are not read or written.
+
+    ``merge(current, changes)`` gets the rows of the touched parts (None if there is no
+    table) and all changes.  Merged parts are staged beside the table first and then
+    replace those of the table, so ``batch``, a name of the changes, can be given again
+    after a job was lost anywhere: what was staged whole is only moved again.  The
+    driver gets the numbers of the touched parts.
+    """
+    spark = changes.sparkSession
+    held = _part_column(spark, path)
+    column = held or f"part_of_{parts}"
+    parts = int(column.rpartition("_")[2])
+    own = F.pmod(F.xxhash64(key), F.lit(parts)).cast("int")
+    stage = f"{path}-staged"
+    staged = f"{stage}/{batch or uuid.uuid4().hex}"
+    if not exists(spark, f"{staged}/_SUCCESS"):
+        touched = [r[0] for r in changes.select(own.alias("p")).distinct().collect()]
+        current = spark.read.parquet(path).where(F.col(column).isin(touched)).drop(column) if held else None
+        merged = merge(current, changes).withColumn(column, own)
+        merged.repartition(column).sortWithinPartitions(column, *(order or [key])).write.partitionBy(column).mode("overwrite").parquet(staged)
+    if _part_column(spark, staged):
+        spark.read.parquet(staged).repartition(column).sortWithinPartitions(column, *(order or [key])).write.partitionBy(column).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+    for older in versions(spark, stage, ""):
+        if f"{stage}/{older}" != staged or batch is None:
+            delete(spark, f"{stage}/{older}")
+
+
+def write_index(chunks: DataFrame, path: str, recreate: bool = False, batch: str | None = None) -> str:
+    """Upsert chunks (with ``seq``) into the table at ``path``; an empty set is an error.
+
+    Only the parts that changes reach are written again; inside, rows are sorted by
+    the filter fields, for row groups to be skipped.  Returns ``path``.
     """
     spark = chunks.sparkSession
     if not chunks.limit(1).count():
         raise ValueError("no chunks to write")
-    held = versions(spark, path)
-    current = None if recreate or not held else spark.read.parquet(f"{path}/{held[-1]}")
-    target = f"{path}/v{len(held) + 1:06d}"
-    merged = upsert(current, chunks)
-    merged.repartition("legal_scope", "source_type", F.pmod(F.xxhash64("id"), F.lit(8))).write.partitionBy("legal_scope", "source_type").parquet(target)
-    return target
+    if recreate and exists(spark, path):
+        delete(spark, path)
+    upsert_parts(chunks, path, upsert, batch=batch, order=["legal_scope", "source_type", "id"])
+    return path
 
 
 def versions(spark: SparkSession, path: str, prefix: str = "v") -> list[str]:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    fs = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs, at = _fs(spark, path)
     if not fs.exists(at):
         return []
     return sorted(s.getPath().getName() for s in fs.listStatus(at) if s.getPath().getName().startswith(prefix))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import kg
 from ..operators.replay import replay_stream
-from ..sources.store import upsert, versions
+from ..sources.store import exists, upsert, upsert_parts
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -20,26 +20,21 @@ def replay_job(spark: SparkSession, actions: DataFrame, sink: str, checkpoint: s
     out.outputMode("append").trigger(availableNow=True).start().awaitTermination()
 
 
-def upsert_job(stream: DataFrame, first: DataFrame | None, merge: Callable[[DataFrame | None, DataFrame], DataFrame], base: str, checkpoint: str) -> str:
-    """Merge every micro-batch into the newest version of a table; returns the last version's path.
+def upsert_job(stream: DataFrame, first: DataFrame | None, merge: Callable[[DataFrame | None, DataFrame], DataFrame], base: str, checkpoint: str, key: str = "id") -> str:
+    """Merge every micro-batch into the parts of a table that it reaches; returns the table's path.
 
-    A version's name is its batch id, so a batch that runs again after a lost
-    driver writes the same version over.
+    A batch is staged under its id before it replaces anything, so one that
+    runs again after a lost driver gives the same table.
     """
-    spark = stream.sparkSession
-
-    def path(batch_id: int) -> str:
-        return f"{base}/b{batch_id:09d}"
+    spark, path = stream.sparkSession, f"{base}/table"
+    if first is not None and not exists(spark, f"{path}/_SUCCESS"):
+        upsert_parts(first, path, lambda _, rows: rows, key, "first")
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        current = first if batch_id == 0 else spark.read.parquet(path(batch_id - 1))
-        merge(current, batch).write.mode("overwrite").parquet(path(batch_id))
+        upsert_parts(batch, path, merge, key, f"b{batch_id:09d}")
 
     stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
-    held = versions(spark, base, "b")
-    if not held and first is not None:  # nothing has come yet
-        first.write.mode("overwrite").parquet(path(0))
-    return f"{base}/{held[-1]}" if held else path(0)
+    return path
 
 
 def index_upsert(current: DataFrame | None, batch: DataFrame) -> DataFrame:

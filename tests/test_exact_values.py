@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import shutil
 import uuid
 
 import pytest
@@ -504,12 +505,28 @@ def test_documents(spark, tmp_path):
     (tmp_path / "sub/a.txt").write_text("hello")
     (tmp_path / "sub/a.meta.json").write_text('{"doc_id": "a", "title": "A", "source_type": "statute", "jurisdiction": "India", "legal_scope": "domestic"}')
     (tmp_path / "b.md").write_text("no sidecar")
+    (tmp_path / "sub/d.pdf").write_bytes(b"%PDF")
+    (tmp_path / "sub/d.meta.json").write_text('{"doc_id": "d"}')
+    (tmp_path / "sub/E.HTM").write_text("<p>x <nav>no</nav></p>y<p>z\u00a0 w</p>")
+    (tmp_path / "sub/E.meta.json").write_text('{"doc_id": "e"}')
+    (tmp_path / "sub/f.txt").write_bytes(b" bad \xff byte\t\tend \r\n\n\n\nx")
+    (tmp_path / "sub/f.meta.json").write_text('{"doc_id": "f"}')
+    (tmp_path / ".h.txt").write_text("hidden")
+    (tmp_path / "odd.csv").write_text("other")
     (tmp_path / "sub/c.html").write_text(" ")
     (tmp_path / "sub/c.meta.json").write_text('{"doc_id": "c"}')
     docs, skipped = documents.load_documents(spark, str(tmp_path))
-    assert [(r.doc_id, r.text, r.suffix) for r in docs.collect()] == [("a", "hello", "txt")]
-    assert [r.path.rsplit("/", 1)[1] for r in skipped.collect()] == ["b.md"]
-    good, bad = documents.validate_metadata(docs.select("doc_id", "section_label_prefix", "jurisdiction", "source_type", "legal_scope"))
+    assert sorted((r.doc_id, r.text, r.suffix) for r in docs.collect()) == [("a", "hello", "txt"), ("e", "x\n\nz w", "htm"), ("f", "bad \ufffd byte end\n\nx", "txt")]
+    assert sorted((r.path.rsplit("/", 1)[1], r.reason) for r in skipped.collect()) == [("b.md", "no sidecar"), ("c.html", "no text"), ("d.pdf", "pdf")]
+    (tmp_path / "wrong").mkdir()
+    (tmp_path / "wrong/r.json").write_text("[]")
+    (tmp_path / "wrong/r.meta.json").write_text('{"doc_id": "r", "source_type": "statute"}')
+    with pytest.raises(Exception, match="record files need source_type patent"):
+        documents.load_documents(spark, str(tmp_path / "wrong"))[0].collect()
+    at = str(tmp_path / "made")
+    assert documents.write_documents(spark.createDataFrame([("x/a.txt", "one"), ("x/a.meta.json", "{}")], "path string, content string"), f"file://{at}") == 2
+    assert [r.text for r in documents.load_documents(spark, at)[0].collect()] == ["one"]
+    good, bad = documents.validate_metadata(docs.where("doc_id = 'a'").select("doc_id", "section_label_prefix", "jurisdiction", "source_type", "legal_scope"))
     assert good.first().jurisdiction == "india" and bad.count() == 0
     assert documents.html_text("<html><script>x</script><h1>Title</h1><nav><p>no</p></nav><p>One <b>two</b></p><li>three</li></html>") == "Title\n\nOne two\n\nthree"
     assert documents.html_text("just text") == "just text"
@@ -518,12 +535,31 @@ def test_documents(spark, tmp_path):
 
 
 def test_write_index(spark, tmp_path):
-    rows = spark.createDataFrame([("a", "old", "domestic", "statute", 1), ("b", "old", "domestic", "patent", 1)], "id string, text string, legal_scope string, source_type string, seq long")
-    store.write_index(rows, str(tmp_path))
-    last = store.write_index(rows.where("id = 'a'").withColumn("text", F.lit("new")), str(tmp_path))
-    assert {(r.id, r.text) for r in spark.read.parquet(last).collect()} == {("a", "new"), ("b", "old")}
+    at, schema = str(tmp_path / "index"), "id string, text string, legal_scope string, source_type string, seq long"
+    rows = spark.createDataFrame([(f"a{i}", "old", "domestic", "statute", 1) for i in range(300)], schema)
+    store.write_index(rows, at)
+    files = lambda: {p.relative_to(at) for p in (tmp_path / "index").rglob("*.parquet")}
+    before = files()
+    changes = spark.createDataFrame([("a7", "new", "international", "patent", 5), ("a7", "older", "domestic", "patent", 4), ("b", "more", "domestic", "patent", 5)], schema)
+    assert store.write_index(changes, at, batch="one") == at
+    want = {f"a{i}": "old" for i in range(300)} | {"a7": "new", "b": "more"}
+    held = lambda: sorted((r.id, r.text) for r in store.read_parts(spark, at).collect())
+    assert held() == sorted(want.items())
+    # Only the parts of the two ids have other files.
+    parts = {r.p for r in changes.selectExpr(f"pmod(xxhash64(id), {store.PARTS}) AS p").collect()}
+    assert {p.parts[0] for p in before ^ files()} == {f"part_of_{store.PARTS}={p}" for p in parts}
+    # The same batch again, and after a loss of a part that was about to be replaced.
+    store.write_index(changes, at, batch="one")
+    assert held() == sorted(want.items())
+    shutil.rmtree(tmp_path / "index" / f"part_of_{store.PARTS}={sorted(parts)[0]}")
+    store.write_index(changes, at, batch="one")
+    assert held() == sorted(want.items())
+    store.write_index(changes.where("id = 'b'"), at, batch="two")
+    assert held() == sorted(want.items())
+    store.write_index(changes.where("id = 'b'"), at, recreate=True)
+    assert held() == [("b", "more")]
     with pytest.raises(ValueError):
-        store.write_index(rows.limit(0), str(tmp_path))
+        store.write_index(rows.limit(0), at)
 
 
 def test_domains(spark):
