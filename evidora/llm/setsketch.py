@@ -20,7 +20,8 @@ bands is 5e-6, and less above it.
 Defined cases: null, empty and word-less texts have the empty set (registers
 0, no links); fewer than five words give one shingle; repeated rows share a
 component; the smallest doc_id of a component is kept, and a null one only if
-the component has no other.
+the component has no other.  Other columns are not looked at, whatever their names;
+``keep_one`` carries them along.
 """
 
 from __future__ import annotations
@@ -115,10 +116,11 @@ def keep_one(docs: DataFrame, threshold: float = 0.75) -> DataFrame:
     in one component, the one with the smallest hash is kept.  Texts without words
     are components of their own; rows that repeat id and text are kept once.
     """
-    kept = _verdicts(docs, threshold).where("kept")
+    kept = _verdicts(docs.select("doc_id", "text"), threshold).where("kept")
     held = kept.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("tie", "doc_id")).alias("row")).select("row.doc_id", "row.tie")
     kept = held.union(kept.where("component IS NULL").select("doc_id", "tie").distinct())
-    kept = kept.select(F.col("doc_id").alias("_d"), F.col("tie").alias("_t"))
     # The verdict is by row: an id can come with several texts, and null ids never meet in a plain join.
-    keyed = docs.withColumn("_tie", F.xxhash64("text"))
-    return keyed.join(kept, keyed["doc_id"].eqNullSafe(F.col("_d")) & (F.col("_tie") == F.col("_t")), "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])  # so that no name of its columns can clash
+    keyed = docs.select(row.alias("row")).select("row", F.col("row.doc_id").alias("own_id"), F.col("row.text").alias("own_text"), F.xxhash64("row.text").alias("own_tie"))
+    kept = keyed.join(kept, F.col("own_id").eqNullSafe(F.col("doc_id")) & (F.col("own_tie") == F.col("tie")), "left_semi")
+    return kept.dropDuplicates(["own_id", "own_text"]).select("row.*")
