@@ -58,6 +58,7 @@ OWN = 6  # a text counts if at least one in so many tokens is its own
 FEW = 1_000_000  # keys of 8 bytes that are broadcast at most
 _FIELD = np.uint64(0xF1E1D5)
 MINIMA = 32
+PIECE = 1 << 18  # bytes of a text that are looked at at once
 LEAST_MINIMA = 8  # with fewer to compare, two rests count as alike
 BEST = 3  # smallest values kept of each hash, from different lines
 _NONE = 0  # value of a minimum that is not known
@@ -68,8 +69,8 @@ _MULTIPLY = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64) * np.uint64(2) +
 _ADD = _rng.integers(0, 1 << 63, MINIMA, dtype=np.uint64)
 
 
-def _minima(gram: np.ndarray, begin: np.ndarray, first: np.ndarray, alone: np.ndarray, number: np.ndarray) -> np.ndarray:
-    """Per document the ``BEST`` smallest values of each hash over different lines and the lines they come from, as bytes.
+def _minima(gram: np.ndarray, begin: np.ndarray, first: np.ndarray, alone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Per document the ``BEST`` smallest values of each hash over different lines, and the lines they come from (BEST x n x MINIMA).
 
     Lines have grams from ``begin`` on and documents lines from ``first`` on;
     lines that are not ``alone`` repeat another one and are left out.
@@ -85,15 +86,67 @@ def _minima(gram: np.ndarray, begin: np.ndarray, first: np.ndarray, alone: np.nd
     for _ in range(BEST):
         best = np.minimum.reduceat(low, first, axis=0)
         holder = np.minimum.reduceat(np.where(low == best[of], at, len(begin)), first, axis=0)
-        none = best == _MAX
-        values.append(np.where(none, _NONE, np.maximum(mix(best) >> np.uint64(48), np.uint64(2))).astype(np.uint16))
-        holders.append(np.where(none, -1, number[holder]).astype(np.int32))
+        values.append(best)
+        holders.append(holder)
         low[holder, np.arange(MINIMA)] = _MAX
-    return np.hstack([np.ascontiguousarray(x).view(np.uint8) for x in (*values, *holders)])
+    return np.stack(values), np.stack(holders)
+
+
+def _packed(values: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Values, cut to 16 bits, and numbers of lines (BEST x n x MINIMA each) as one row of bytes a document."""
+    none = values == _MAX
+    short = np.where(none, _NONE, np.maximum(mix(values) >> np.uint64(48), np.uint64(2))).astype(np.uint16)
+    lines = np.where(none, -1, numbers).astype(np.int32)
+    return np.hstack([np.ascontiguousarray(x).view(np.uint8) for x in (*short, *lines)])
 
 
 def line_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
-    """Document, line number, number of the first equal line, tokens and hashes of the parts of each line that can have a template; and document, tokens and minima."""
+    """Document, line number, number of the first equal line, tokens and hashes of the parts of each line that can have a template; and document, tokens and minima.
+
+    A text of over ``PIECE`` bytes is taken in pieces of whole lines, so memory does
+    not grow with it but for some 50 bytes a line.
+    """
+    if len(offsets) > 2 or len(data) <= PIECE:
+        found = _piece_parts(data, offsets)
+        return found["lines"], {"doc": found["docs"], "n": found["n"], "minima": _packed(found["values"], found["numbers"])}
+    ends = np.flatnonzero(data == 0x0A) + 1
+    pieces, start, passed = [], 0, 0
+    while start < len(data):
+        at = np.searchsorted(ends, start + PIECE, side="right") - 1
+        end = int(ends[at]) if at >= 0 and ends[at] > start else int(ends[at + 1]) if at + 1 < len(ends) else len(data)
+        piece = _piece_parts(data[start:end], np.array([0, end - start]))
+        for key in ("line", "same"):
+            piece["lines"][key] = piece["lines"][key] + passed
+        piece["numbers"] = piece["numbers"] + passed
+        piece["number"] = piece["number"] + passed
+        pieces.append(piece)
+        passed += int(np.searchsorted(ends, end, side="right") - np.searchsorted(ends, start, side="right"))
+        start = end
+    return _joined(pieces)
+
+
+def _joined(pieces: list[dict]) -> tuple[dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """The parts of one text, whose pieces know only their own repeats."""
+    number, whole = (np.concatenate([p[k] for p in pieces]) for k in ("number", "whole"))
+    order = np.lexsort((number, whole))
+    new = np.append(True, whole[order][1:] != whole[order][:-1])[: len(order)]
+    first = np.empty(len(order), np.int64)
+    first[order] = number[order][new][np.cumsum(new) - 1] if len(order) else 0
+    lines = {k: np.concatenate([p["lines"][k] for p in pieces]) for k in pieces[0]["lines"]}
+    lines["same"] = first[np.searchsorted(number, lines["line"])]
+    held = [p for p in pieces if len(p["docs"])]
+    if not held:
+        return lines, {"doc": np.zeros(0, np.int64), "n": np.zeros(0, np.int64), "minima": np.zeros((0, 6 * BEST * MINIMA), np.uint8)}
+    values, numbers = (np.concatenate([p[k][:, 0] for p in held]) for k in ("values", "numbers"))  # candidates x MINIMA
+    repeats = (values != _MAX) & (first[np.minimum(np.searchsorted(number, numbers), len(number) - 1)] != numbers)
+    values = np.where(repeats, _MAX, values)
+    order = np.argsort(values, axis=0, kind="stable")[:BEST]
+    values, numbers = (np.take_along_axis(x, order, axis=0)[:, None] for x in (values, numbers))
+    return lines, {"doc": np.zeros(1, np.int64), "n": np.array([sum(int(p["n"].sum()) for p in held)]), "minima": _packed(values, numbers)}
+
+
+def _piece_parts(data: np.ndarray, offsets: np.ndarray) -> dict:
+    """What ``line_parts`` gives, before packing; and the number and hash of every line with tokens."""
     data = lower_ascii(data)
     token, token_end, _ = words(data, offsets)
     line, _ = runs(data != 0x0A, offsets)
@@ -105,7 +158,9 @@ def line_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndar
     has = np.flatnonzero(count > 0)
     if not len(has):
         none = np.zeros(0, np.int64)
-        return {"doc": none, "line": none, "same": none, "n": none, "parts": np.zeros((0, PARTS), np.int32)}, {"doc": none, "n": none, "minima": np.zeros((0, 6 * BEST * MINIMA), np.uint8)}
+        lines = {"doc": none, "line": none, "same": none, "n": none, "parts": np.zeros((0, PARTS), np.int32)}
+        empty = np.zeros((BEST, 0, MINIMA), np.uint64)
+        return {"lines": lines, "docs": none, "n": none, "values": empty, "numbers": empty.astype(np.int64), "number": none, "whole": none.astype(np.uint64)}
     h = span_hash(prefix_hash(data), token, token_end)
     digits = np.concatenate(([0], np.cumsum(_DIGIT[data])))
     field = digits[token_end] > digits[token]
@@ -131,10 +186,10 @@ def line_parts(data: np.ndarray, offsets: np.ndarray) -> tuple[dict[str, np.ndar
     same[order] = order[new][np.cumsum(new) - 1]
     docs, first = np.unique(line_doc, return_index=True)
     gram, gram_first = ngram_hashes(h, line_first, 5, short=True)
-    minima = _minima(gram, gram_first[:-1][has], first, same == np.arange(len(same)), number)
+    values, holders = _minima(gram, gram_first[:-1][has], first, same == np.arange(len(same)))
     ok = np.flatnonzero((count >= MIN_TOKENS) & mostly_constant)
     lines = {"doc": line_doc[ok], "line": number[ok], "same": number[same[ok]], "n": count[ok], "parts": parts[has][ok]}
-    return lines, {"doc": docs, "n": np.add.reduceat(count, first), "minima": minima}
+    return {"lines": lines, "docs": docs, "n": np.add.reduceat(count, first), "values": values, "numbers": number[holders], "number": number, "whole": whole}
 
 
 def _binaries(values: np.ndarray) -> pa.Array:

@@ -9,6 +9,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from evidora.llm import bpe, chat, minhash, mixing, neardup, quality, setsketch, suffix, templates, token_store, toxicity
 
@@ -591,6 +592,38 @@ def test_line_dedup_equals_brute_force(spark):
     assert {r.doc_id: r.text for r in templates.drop(clash).collect()} == got
 
 
+def test_line_dedup_takes_long_texts_in_pieces(monkeypatch):
+    rng = np.random.default_rng(3)
+    lines = [" ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(0, 9))) for _ in range(400)] + [words(900, 4)]
+    for text in ("\n".join(lines[i] for i in rng.integers(0, len(lines), 3000)), "\n\n", words(3000, 1), "a b c d e f\n" * 500, "x y z w v\n" + words(2000, 8) + "\nx y z w v"):
+        data = np.frombuffer(text.encode(), np.uint8)
+        offsets = np.array([0, len(data)])
+        monkeypatch.setattr(templates, "PIECE", 1 << 30)
+        whole = templates.line_parts(data, offsets)
+        for piece in (1, 300, 5000):
+            monkeypatch.setattr(templates, "PIECE", piece)
+            for x, y in zip(whole, templates.line_parts(data, offsets)):
+                assert x.keys() == y.keys() and all((x[k] == y[k]).all() and x[k].shape == y[k].shape for k in x)
+
+
+@pytest.mark.parametrize("stage", ["toxicity", "line_dedup", "near_dedup", "mixing", "bpe"])
+def test_stages_with_clashing_columns(spark, docs, tmp_path, stage):
+    """Whatever the other columns are called, a stage does the same and carries them along."""
+    import corpus_pipeline
+
+    at = str(tmp_path / "sf")
+    spark.createDataFrame([(d, 1, d % 4 == 0 and 1 or 0) for d in range(16)], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    odd = {"_tie": "text", "tie": "lang", "_d": "text", "_t": "lang", "row": "text", "doc": "lang", "OWN_ID": "lang", "own_text": "text", "node": "lang", "component": "lang", "lines": "text", "score": "lang", "label": "lang", "_bucket": "lang", "size": "lang", "block": "text", "N": "lang", "key": "text"}
+    run = dict(corpus_pipeline.STAGES)[stage]
+    want, got = run(spark, plain, at), run(spark, plain.withColumns({k: F.col(v) for k, v in odd.items()}), at)
+    order = lambda rows: sorted(rows, key=repr)
+    assert order(map(tuple, got.select(want.columns).collect())) == order(map(tuple, want.collect()))
+    if stage in ("toxicity", "line_dedup", "near_dedup"):
+        assert got.columns == [*plain.columns, *odd]
+        assert all(r["tie"] == r["lang"] and r["OWN_ID"] == r["lang"] for r in got.collect())
+
+
 def test_line_dedup_counts_documents_that_differ(spark):
     notice, first, second = words(12, 31), words(40, 32), words(40, 33)
     others = [(i, words(60, 200 + i) + "\n" + notice) for i in range(10)]
