@@ -49,13 +49,15 @@ from pyspark.sql import functions as F
 from .components import components as connected
 from .neardup import TASK, _whole_tasks
 from .shared import cut, map_arrow, partitions
-from .textblock import mix
+from .textblock import gather_ranges, mix
 from .vectors import binary_rows, from_binary_rows, matrix
 
 MISS = 1e-3
 SIGMAS = 4.5
 BLOCK_ROWS = 1024
 ROWS = 4096  # turned at once
+SMALL = 64  # members of a task that is compared pair by pair
+PAIRS = 1 << 15  # compared at once in full
 
 
 @lru_cache(maxsize=256)
@@ -99,22 +101,42 @@ def encode(u: np.ndarray) -> np.ndarray:
     return np.concatenate(parts, axis=1)
 
 
-def upper_bounds(codes: np.ndarray, width: int, threshold: float) -> np.ndarray:
-    """The largest cosine that the codes of each two rows leave to a pair at or over the threshold."""
-    per = (width + 7) // 8
-    back, g, f = [], [], []
-    for number in (0, 1):
-        part = codes[:, number * (per + 4) : (number + 1) * (per + 4)]
-        f.append(np.ascontiguousarray(part[:, per:]).view(np.float32).ravel().astype(np.float64))
-        signs = np.unpackbits(part[:, :per], axis=1, count=width).astype(np.float32) * 2 - 1
-        back.append(signs @ (rotation(width, number).T / math.sqrt(width)).astype(np.float32))
-        g.append(np.sqrt(np.maximum(1 - f[-1] ** 2, 0)) / f[-1])
-    across = max(1 - threshold * threshold, 0)
-    x, y = g[0][:, None], g[1][None, :]
-    most = math.sqrt(across) * (x + y) + x * y
-    error = np.minimum(most, SIGMAS * np.sqrt((across * (x * x + y * y) + x * x * y * y) / max(width - 1, 1)))
-    bound = (back[0] @ back[1].T) / (f[0][:, None] * f[1][None, :]) + error + 1e-4
-    return np.minimum(bound, bound.T)
+class Codes:
+    """Rows of codes of one width, for bounds on the cosines of their pairs."""
+
+    def __init__(self, codes: np.ndarray, width: int, threshold: float):
+        per = (width + 7) // 8
+        self.width, self.across = width, max(1 - threshold * threshold, 0)
+        self.back, self.f, self.g = [], [], []
+        for number in (0, 1):
+            part = codes[:, number * (per + 4) : (number + 1) * (per + 4)]
+            f = np.ascontiguousarray(part[:, per:]).view(np.float32).ravel().astype(np.float64)
+            signs = np.unpackbits(part[:, :per], axis=1, count=width).astype(np.float32) * 2 - 1
+            self.back.append(signs @ (rotation(width, number).T / math.sqrt(width)).astype(np.float32))
+            self.f.append(f)
+            self.g.append(np.sqrt(np.maximum(1 - f * f, 0)) / f)
+
+    def _bound(self, product: np.ndarray, x: tuple, y: tuple) -> np.ndarray:
+        (f, g), (h, k) = x, y
+        most = math.sqrt(self.across) * (g + k) + g * k
+        error = np.minimum(most, SIGMAS * np.sqrt((self.across * (g * g + k * k) + g * g * k * k) / max(self.width - 1, 1)))
+        return product / (f * h) + error + 1e-4
+
+    def pairs(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """The largest cosine that both estimates of each pair (i, j) leave to a pair at or over the threshold."""
+        out = np.empty(len(i))
+        for a in range(0, len(i), 1 << 15):
+            x, y = i[a : a + (1 << 15)], j[a : a + (1 << 15)]
+            ways = [np.einsum("ij,ij->i", self.back[0][p], self.back[1][q]) for p, q in ((x, y), (y, x))]
+            bounds = [self._bound(w, (self.f[0][p], self.g[0][p]), (self.f[1][q], self.g[1][q])) for w, (p, q) in zip(ways, ((x, y), (y, x)))]
+            out[a : a + (1 << 15)] = np.minimum(*bounds)
+        return out
+
+    def all_pairs(self, rows: slice) -> np.ndarray:
+        """The same for every two of some rows, as a matrix."""
+        (f, h), (g, k) = [x[rows] for x in self.f], [x[rows] for x in self.g]
+        bound = self._bound(self.back[0][rows] @ self.back[1][rows].T, (f[:, None], g[:, None]), (h[None, :], k[None, :]))
+        return np.minimum(bound, bound.T)
 
 
 def _sketches(k: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -142,17 +164,37 @@ def _sketches(k: int, tables: int) -> Callable[[Iterator[pa.RecordBatch]], Itera
     return run
 
 
-def _likely(table: pa.Table, begin: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of rows of each task whose bounds reach the threshold: of one block in a task of one, else of two."""
+def _likely(table: pa.Table, begin: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of one task whose bounds reach the threshold: of one block in a task of one, else of two.
+
+    Small tasks are taken together, pair by pair; large ones as products of matrices.
+    """
     left, within = table.column("left").to_numpy(), table.column("lo").to_numpy() == table.column("hi").to_numpy()
     width, code = table.column("width").to_numpy(), table.column("code").combine_chunks()
-    for a, b in zip(begin[:-1], begin[1:]):
-        if b - a < 2:
-            continue
-        may = upper_bounds(from_binary_rows(code.slice(a, b - a), np.uint8), int(width[a]), threshold) >= threshold
-        may &= np.arange(b - a)[:, None] < np.arange(b - a) if within[a] else left[a:b, None] & ~left[None, a:b]
-        i, j = np.nonzero(may)
-        yield a + i, a + j
+    size = np.diff(begin)
+    first, task_width = begin[:-1], width[begin[:-1]]
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for w in np.unique(task_width):
+        tasks = np.flatnonzero((task_width == w) & (size > 1))
+        rows = gather_ranges(first[tasks], size[tasks])
+        codes = Codes(from_binary_rows(code.take(pa.array(rows)), np.uint8), int(w), threshold) if len(rows) else None
+        start = np.cumsum(size[tasks]) - size[tasks]
+        small = size[tasks] <= SMALL
+        of, n = np.repeat(start[small], size[tasks][small]), np.repeat(size[tasks][small], size[tasks][small])
+        place = gather_ranges(start[small], size[tasks][small])
+        partners = of + n - place - 1
+        i, j = np.repeat(place, partners), gather_ranges(place + 1, partners)
+        may = within[rows[i]] | (left[rows[i]] != left[rows[j]])
+        i, j = i[may], j[may]
+        may = codes.pairs(i, j) >= threshold if len(i) else np.zeros(0, bool)
+        found.append((rows[i[may]], rows[j[may]]))
+        for a, n in zip(start[~small].tolist(), size[tasks][~small].tolist()):
+            part = rows[a : a + n]
+            may = codes.all_pairs(slice(a, a + n)) >= threshold
+            may &= np.arange(n)[:, None] < np.arange(n) if within[part[0]] else left[part, None] & ~left[None, part]
+            i, j = np.nonzero(may)
+            found.append((part[i], part[j]))
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _needed(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -160,10 +202,7 @@ def _needed(threshold: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, begin in _whole_tasks(batches):
-            some = [np.zeros(0, np.int64)]
-            for pair in _likely(table, begin, threshold):
-                some.extend(pair)
-            yield from table.take(np.unique(np.concatenate(some))).combine_chunks().to_batches()
+            yield from table.take(np.union1d(*_likely(table, begin, threshold))).combine_chunks().to_batches()
 
     return run
 
@@ -184,29 +223,26 @@ def _links(threshold: float, k: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
                     c = up
                 return c
 
-            for i, j in _likely(table, begin, threshold):
-                if not len(i):
-                    continue
-                lo = min(i.min(), j.min())
-                some = slice(lo, max(i.max(), j.max()) + 1)
-                u = units(matrix(vectors[some])[0])
-                m = from_binary_rows(marks[some], np.uint16)
-                m = m.reshape(len(m), -1, k)[:, : at[lo]]
-                for start in range(0, len(i), 1 << 16):
-                    x, y = i[start : start + (1 << 16)], j[start : start + (1 << 16)]
-                    linked = np.einsum("ij,ij->i", u[x - lo], u[y - lo]) >= threshold
-                    x, y = x[linked], y[linked]
-                    first = np.ones(len(x), bool)  # no table before this one has the pair
-                    for t in range(m.shape[1]):
-                        first &= (m[x - lo, t] != m[y - lo, t]).any(axis=1)
-                    x, y = x[first], y[first]
-                    np.add.at(counts, x, copies[y])
-                    np.add.at(counts, y, copies[x])
-                    for p, q in zip(x.tolist(), y.tolist()):
-                        r, s = find(nodes[p]), find(nodes[q])
-                        if r != s:
-                            parent[r] = s
-                            joins.append((nodes[p], nodes[q]))
+            i, j = _likely(table, begin, threshold)
+            for start in range(0, len(i), PAIRS):
+                x, y = i[start : start + PAIRS], j[start : start + PAIRS]
+                rows = np.union1d(x, y)
+                u, m = units(matrix(vectors.take(pa.array(rows)))[0]), from_binary_rows(marks.take(pa.array(rows)), np.uint16)
+                m = m.reshape(len(rows), -1, k)
+                p, q = np.searchsorted(rows, x), np.searchsorted(rows, y)
+                linked = np.einsum("ij,ij->i", u[p], u[q]) >= threshold
+                x, y, p, q = x[linked], y[linked], p[linked], q[linked]
+                first = np.ones(len(x), bool)  # no table before this one has the pair
+                for t in range(int(at[x].max(initial=0))):
+                    first &= (t >= at[x]) | (m[p, t] != m[q, t]).any(axis=1)
+                x, y = x[first], y[first]
+                np.add.at(counts, x, copies[y])
+                np.add.at(counts, y, copies[x])
+                for v, w in zip(x.tolist(), y.tolist()):
+                    r, s = find(nodes[v]), find(nodes[w])
+                    if r != s:
+                        parent[r] = s
+                        joins.append((nodes[v], nodes[w]))
             linked = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays(
                 [

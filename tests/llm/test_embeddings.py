@@ -111,9 +111,10 @@ def brute_links(rows, threshold=0.9):
     return sorted(((d, n[i], smallest.get(find(i)), d == smallest.get(find(i))) for i, (d, _, _) in enumerate(rows)), key=key)
 
 
-@pytest.mark.parametrize("block", [1024, 8])
-def test_embedding_near_duplicates_equal_brute_force(spark, monkeypatch, block):
+@pytest.mark.parametrize("block, small", [(1024, 64), (8, 64), (8, 4)])
+def test_embedding_near_duplicates_equal_brute_force(spark, monkeypatch, block, small):
     monkeypatch.setattr(binary_codes, "BLOCK_ROWS", block)
+    monkeypatch.setattr(binary_codes, "SMALL", small)
     rng = np.random.default_rng(5)
     rows = rows_with_everything(3, 24)
     for group in range(6):
@@ -142,8 +143,10 @@ def test_codes_estimate_without_bias_and_bounds_hold(width):
     missed, off = 0, []
     for lo in range(0, len(x), 500):
         u = np.vstack((x[lo : lo + 500], y[lo : lo + 500]))
-        bound = binary_codes.upper_bounds(binary_codes.encode(u), width, 0.9)
+        codes = binary_codes.Codes(binary_codes.encode(u), width, 0.9)
+        bound = codes.all_pairs(slice(0, 1000))
         pair = bound[np.arange(500), np.arange(500) + 500]
+        assert np.allclose(codes.pairs(np.arange(500), np.arange(500) + 500), pair, atol=1e-5)
         missed += int((pair < 0.9).sum())
         strangers = bound[:500, 500:][~np.eye(500, dtype=bool)]
         off.append((strangers < 0.9).mean())
