@@ -44,11 +44,6 @@ def clean_lines(c: Column) -> Column:
     return strip(F.regexp_replace(F.array_join(lines, "\n"), "\n{3,}", "\n\n"))
 
 
-def token_runs(c: Column) -> Column:
-    """Lower-cased text as words (with inner hyphens) and single other characters; joined they are the text."""
-    return F.regexp_extract_all(F.lower(c), F.lit(r"(?U)[\w-]+|[^\w-]"), 0)
-
-
 @F.pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
     """Accented letters to their base letters (NFKD without combining marks)."""

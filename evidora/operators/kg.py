@@ -113,7 +113,7 @@ def entity_mentions(docs: DataFrame, aliases: DataFrame, scope: str | None = Non
         hits = automaton.matches(docs, known, F.col("text"), F.col("_term"), known, same)
     else:
         hits = automaton.matches(docs, known, F.col("text"), F.col("_term"))
-    return hits.groupBy("id", "term").agg(F.count("*").alias("n")).join(known, same).groupBy("id", "key").agg(F.sum("n").alias("n"))
+    return hits.select("id", "term").join(known, same).groupBy("id", "key").agg(F.count("*").alias("n"))
 
 
 def doc_mentions(docs: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -136,7 +136,8 @@ def index(chunks: DataFrame, text: Column, path: str | None = None) -> Index:
     spark = chunks.sparkSession
     path = path or scratch(spark, "bm25")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cut = tokens(chunks, text).repartitionByRange(n, "id").sortWithinPartitions("id")
+    # Ordered before they are cut: finding the ranges reads ids only.
+    cut = tokens(chunks.select("id", text.alias("text")).repartitionByRange(n, "id").sortWithinPartitions("id"), F.col("text"))
     cut.select(F.monotonically_increasing_id().alias("number"), "id", F.size("tokens").alias("dl"), "tokens").write.parquet(f"{path}/chunks")
     built = Index(spark, path)
     held = spark.read.parquet(f"{path}/chunks")

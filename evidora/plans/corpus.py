@@ -34,7 +34,19 @@ def strip_page_furniture(spark, sf_dir):
     return pg.strip_page_furniture(_lines(spark, sf_dir)).select("doc_id", "page_no", F.col("line_no").cast("long").alias("line_no"), F.md5("line").alias("line_md5"))
 
 
-@query("reflow_prose")
+_TERMINAL = r"(?:[.:?!;]|\.[\"”’])$"
+_START = r"^(?:\d{1,2}(?:\.\d{1,2})*\.?\s|\(?[a-z]\)\s|\(?[ivxl]{1,5}\)\s|[●•▪◦–-]\s|Section\s+\d|Explanation\b|Illustration\b|Example\b)"
+
+
+@query(
+    "reflow_prose",
+    rf"""WITH {_LINES}, med AS (SELECT doc_id, median(length(line)) AS m FROM kept GROUP BY 1),
+ o AS (SELECT k.doc_id, line, m, row_number() OVER w AS i, lag(line) OVER w AS prev FROM kept AS k JOIN med ON med.doc_id = k.doc_id WINDOW w AS (PARTITION BY k.doc_id ORDER BY page_no, line_no)),
+ b AS (SELECT *, prev IS NULL OR regexp_matches(line, '{_START}') OR (regexp_matches(prev, '{_TERMINAL}') AND length(prev) < 0.85 * m) AS base, NOT regexp_matches(line, '{_TERMINAL}') AND length(line) < 0.6 * m AS headish FROM o),
+ f AS (SELECT *, base OR coalesce(max(CASE WHEN base THEN i END) OVER p, 0) > coalesce(max(CASE WHEN NOT headish THEN i END) OVER p, 0) AS first FROM b WINDOW p AS (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ g AS (SELECT *, CAST(sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS para_no FROM f)
+ SELECT doc_id, para_no, md5(string_agg(line, ' ' ORDER BY i)) AS text_md5 FROM g GROUP BY doc_id, para_no""",
+)
 def reflow_prose(spark, sf_dir):
     return pg.reflow_prose(pg.strip_page_furniture(_lines(spark, sf_dir))).select("doc_id", "para_no", F.md5("text").alias("text_md5"))
 
@@ -43,15 +55,35 @@ def _paragraphs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("para_no"), F.regexp_replace("text", r"\s+", " ").alias("text"))
 
 
-@query("split_long_paragraphs")
+_SENTENCES = r"""regexp_replace({}, '([.;?!”"])\s+(["“(A-Z0-9])', '\1' || chr(1) || '\2', 'g')"""
+
+
+@query(
+    "split_long_paragraphs",
+    rf"""WITH p AS (SELECT doc_id, regexp_replace(text, '[\s\x0B]+', ' ', 'g') AS t FROM documents),
+ s AS (SELECT doc_id, t, string_split({_SENTENCES.format(_SENTENCES.format("t"))}, chr(1)) AS l FROM p),
+ k AS (SELECT doc_id, CASE WHEN length(t) <= 1500 THEN [t] ELSE string_split(list_reduce(l, lambda a, x: CASE WHEN length(string_split(a, chr(2))[-1]) + length(x) + 1 > 1500 THEN a || chr(2) || x ELSE a || ' ' || x END), chr(2)) END AS parts FROM s)
+ SELECT doc_id, part_no, length(part) AS n_chars, md5(part) AS text_md5 FROM (SELECT doc_id, unnest(range(len(parts))) AS part_no, unnest(parts) AS part FROM k)""",
+)
 def split_long_paragraphs(spark, sf_dir):
-    return pg.split_long_paragraphs(_paragraphs(spark, sf_dir)).select("doc_id", "part_no", F.length("text").alias("n_chars"), F.md5("text").alias("text_md5"))
+    return pg.split_long_paragraphs(_paragraphs(spark, sf_dir)).select("doc_id", F.col("part_no").cast("long").alias("part_no"), F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
 
 
-@query("segment_monographs")
+@query(
+    "segment_monographs",
+    rf"""WITH {_LINES}, u AS (SELECT doc_id, page_no, line_no, CASE WHEN line_no = 2 THEN upper(replace(line[1:40], 'ß', 'SS')) ELSE line END AS line FROM lines),
+ c AS (SELECT *, regexp_replace(regexp_replace(line, '^[\d\s:.]+', ''), '^\s+|\s+$', '', 'g') AS c FROM u),
+ t AS (SELECT *, CASE WHEN length(regexp_replace(c, '\P{{L}}', '', 'g')) >= 4 AND length(c) <= 70 AND regexp_matches(c, '^\p{{L}}') AND NOT regexp_matches(c, '[.,;]$') AND length(regexp_replace(c, '\P{{Lu}}', '', 'g')) >= 0.85 * length(regexp_replace(c, '\P{{L}}', '', 'g')) THEN c END AS title FROM c),
+ i AS (SELECT *, title IS NOT NULL AND count(title) OVER (PARTITION BY doc_id, title) <= 3 AS is_title FROM t),
+ g AS (SELECT *, is_title OR coalesce(lag(is_title) OVER w, true) AS first FROM i WINDOW w AS (PARTITION BY doc_id, page_no ORDER BY line_no)),
+ n AS (SELECT *, CAST(sum(CASE WHEN first THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id, page_no ORDER BY line_no) AS BIGINT) AS seg_no FROM g),
+ l AS (SELECT doc_id, page_no, seg_no, list(CASE WHEN is_title THEN title ELSE line END ORDER BY line_no) AS l FROM n GROUP BY ALL),
+ b AS (SELECT doc_id, page_no, seg_no, string_split(list_reduce(l, lambda a, x: CASE WHEN length(string_split(a, chr(2))[-1]) + 1 + length(x) > 1200 THEN a || chr(2) || x ELSE a || chr(10) || x END), chr(2)) AS parts FROM l)
+ SELECT doc_id, page_no, seg_no, part_no, md5(part) AS text_md5 FROM (SELECT doc_id, page_no, seg_no, unnest(range(len(parts))) AS part_no, unnest(parts) AS part FROM b)""",
+)
 def segment_monographs(spark, sf_dir):
     rows = _lines(spark, sf_dir).withColumn("line", F.when(F.col("line_no") == 2, F.upper(F.substring("line", 1, 40))).otherwise(F.col("line")))
-    return pg.segment_monographs(rows).select("doc_id", "page_no", "seg_no", "part_no", F.md5("text").alias("text_md5"))
+    return pg.segment_monographs(rows).select("doc_id", "page_no", F.col("seg_no").cast("long").alias("seg_no"), F.col("part_no").cast("long").alias("part_no"), F.md5("text").alias("text_md5"))
 
 
 _A = "'" + "".join(pg.FONT_A) + "', '" + "".join(pg.FONT_A.values()) + "'"
@@ -59,7 +91,7 @@ _A = "'" + "".join(pg.FONT_A) + "', '" + "".join(pg.FONT_A.values()) + "'"
 
 @query("restore_glyphs", rf"""WITH w AS (SELECT doc_id, unnest(x) AS w, unnest(range(len(x))) AS i FROM (SELECT doc_id, regexp_extract_all(translate(text, 'aiu', '¡¢£'), '[^\x00-\x20]+') AS x FROM documents)),
  r AS (SELECT doc_id, i, w, translate(regexp_replace(regexp_replace(w, '(\p{{L}})µ', '\1ñ', 'g'), '(\p{{L}})°', '\1o', 'g'), {_A}) AS r FROM w)
- SELECT doc_id, count(*) AS words, md5(string_agg(nfc_normalize(CASE WHEN regexp_matches(w, '[A-Z][^a-z]*[A-Z]') AND NOT regexp_matches(w, '[a-z]') THEN upper(r) ELSE r END), ' ' ORDER BY i)) AS words_md5 FROM r GROUP BY doc_id""")
+ SELECT doc_id, count(*) AS words, md5(string_agg(nfc_normalize(CASE WHEN regexp_matches(w, '[A-Z][^a-z]*[A-Z]') AND NOT regexp_matches(w, '[a-z]') THEN upper(replace(r, 'ß', 'SS')) ELSE r END), ' ' ORDER BY i)) AS words_md5 FROM r GROUP BY doc_id""")
 def restore_glyphs(spark, sf_dir):
     """All words of all documents, with three vowels set as glyphs of the first font."""
     legacy = F.translate("text", "aiu", "¡¢£")
@@ -68,7 +100,18 @@ def restore_glyphs(spark, sf_dir):
     return pg.restore_glyphs(words).groupBy("doc_id").agg(F.count("*").alias("words"), F.md5(joined).alias("words_md5"))
 
 
-@query("drop_undecodable_lines")
+_VERSE = [r"""[;''"~`\]}{/\\=Ò]\w""", r"""\w[;"`~\]]""", r"\w~$", r"\.k", r"[a-z][A-Z][a-z]"]
+_MARKS = " + ".join(f"CAST(regexp_matches(t, '{p}') AS INTEGER)" for p in _VERSE)
+
+
+@query(
+    "drop_undecodable_lines",
+    rf"""WITH {_LINES}, c AS (SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(line, '¼[^½\s]{{2,30}}½|¼[^½\s][^½]*?[;"''`~\]/][^½]*?½', ' ', 'g'), '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') AS s FROM lines),
+ m AS (SELECT doc_id, s, list_transform(regexp_split_to_array(s, '\s+'), lambda t: CASE WHEN regexp_matches(t, '(?i)^\(?[\d.,]*[µμ]?[a-z]{{1,3}}/[a-z]{{1,3}}\)?[,.;:)]*$') THEN 0 ELSE {_MARKS} END) AS n FROM c WHERE s <> ''),
+ h AS (SELECT *, len(list_filter(n, lambda x: x > 0)) AS hits FROM m)
+ SELECT doc_id, count(*) FILTER (regexp_matches(s, '[ÉÊ]') OR regexp_matches(s, 'AA\s*\d+\s*AA?\*?\s*$') OR (hits > 0 AND regexp_matches(s, '\sAA?\*?\s*$'))
+   OR (len(n) = 1 AND length(s) >= 8 AND n[1] >= 2 AND regexp_matches(s, '[`~]|\w"\w|\.k|[a-z][A-Z][a-z]')) OR (len(n) > 1 AND hits / len(n) >= 0.4)) AS dropped FROM h GROUP BY doc_id""",
+)
 def drop_undecodable_lines(spark, sf_dir):
     return pg.drop_undecodable_lines(_lines(spark, sf_dir))[1]
 

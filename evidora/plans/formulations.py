@@ -126,6 +126,7 @@ def _actions(spark, sf_dir):
         F.col("user_id").alias("formulation_id"), "seq", F.when(F.col("event_id") % 17 == 0, F.lit(1)).cast("int").alias("base_version"), F.coalesce(F.get(F.array(*map(F.lit, kinds)), (F.col("event_id") % 10).cast("int")), F.lit("UNKNOWN")).alias("type"),
         ing.alias("ingredient_id"), F.concat(F.lit("term "), ing).alias("user_term"), F.round("value", 2).alias("quantity"), F.lit("mg").alias("unit"), null.alias("plant_part"),
         F.when(k < 6, F.concat(F.lit("plant "), (F.col("event_id") % 7).cast("string"))).alias("botanical_name"), F.when(k % 2 == 0, "purpose").otherwise("name").alias("field"), F.when(k % 3 == 0, "research").otherwise(F.col("event_type")).alias("value"), F.array("event_type").alias("claims"),
+        F.array(F.concat(F.lit("Syn "), (F.col("event_id") % 3).cast("string"))).alias("synonyms"), F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.struct(F.concat(F.lit("plant "), i.cast("string")).alias("botanical_name"), F.array(F.concat(F.lit("other "), i.cast("string"))).alias("synonyms"))).alias("candidates"),
     )
 
 

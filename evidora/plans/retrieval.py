@@ -145,37 +145,90 @@ def _statutes(spark, sf_dir):
     return c.withColumns({"text": F.array_join(marked, "\n"), "section_prefix": F.lit("1"), "section_label_prefix": F.lit(None).cast("string")})
 
 
-@query("chunk_statutes")
+_FOOTNOTE = (
+    r"^\s*\d+\.\s+(?:(?:Ins|Subs|Rep|Omitted|Omit|Added|Renumbered|Inserted|Substituted)\b|(?:The|Certain) words\b|The proviso\b|The Explanation\b|Sub-sections?\b|Sub-clauses?\b|Clauses?\b"
+    r"|Chapter\b|For (?:section|sub-section|clause|the)\b|Came into force\b|See\b|Vide\b|\d{1,2}(?:st|nd|rd|th)\s+\w+,?\s+\d{4}|.*\bw\.e\.f\.)"
+)
+_STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
+#: Rows (id, pos, text, role) of the statutes' lines, and what is made of them: sections, clauses and chunks.
+_STATUTE = rf"""src AS (SELECT id, list_transform(string_split(text, chr(10)), lambda x, i: CASE (i - 1) % 3 WHEN 0 THEN CAST((i - 1) // 3 + 1 AS VARCHAR) || '. ' WHEN 1 THEN '(a) ' ELSE '(d) ' END || x) AS given FROM {CHUNKS_SQL}),
+ cut AS (SELECT id, regexp_split_to_array(array_to_string(given, chr(10)), '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]') AS l FROM src),
+ raw AS (SELECT id, unnest(range(len(l))) AS pos, unnest(l) AS raw FROM cut),
+ bare AS (SELECT *, replace(regexp_replace(raw, '^\s*#{{1,6}}\s+', ''), '**', '') AS b FROM raw),
+ line AS (SELECT id, pos, raw, regexp_replace(regexp_replace(b, '(^|[^\pL\pN\pM_])_([^\s_])', '\1\2', 'g'), '([^\s_])_([^\pL\pN\pM_]|$)', '\1\2', 'g') AS line FROM bare),
+ kinds AS (SELECT *, {_STRIP.format("line")} AS words, CASE WHEN regexp_matches(line, '^\s*(?:\d{{1,4}}\s+)?-{{3,}}\s*$') OR regexp_matches(raw, '^\s*_{{3,}}\s*$') THEN 'end'
+   WHEN regexp_matches(line, '{_FOOTNOTE}') AND NOT regexp_matches(raw, '^\s*\*\*') THEN 'note'
+   WHEN regexp_matches(raw, '^\s*(?:\*\*|(?:\d+\[)?\((?:[a-z]{{1,4}}|\d{{1,3}}[A-Z]?)\)\s|(?:\d+\[)?\d{{1,3}}(?:-?[A-Z]{{1,3}})?\.\s|(?:\d+\[)?CHAPTER\b)') THEN 'start' END AS kind FROM line),
+ noted AS (SELECT *, coalesce(last_value(kind IGNORE NULLS) OVER w = 'note', false) AS noting FROM kinds WINDOW w AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ first AS (SELECT *, CASE WHEN kind = 'end' THEN NULL WHEN kind = 'note' THEN 'note' WHEN noting AND kind IS NULL THEN CASE WHEN words <> '' AND NOT regexp_matches(line, '^\s*\d{{1,4}}\s*$') THEN 'more' END
+   WHEN regexp_matches(line, '^\s*\d*\*[\s\-.*]*$') THEN 'omission' WHEN regexp_matches(line, '^\s*(?:\d+\[)?CHAPTER\s+[IVXLC]+[A-Z]?\]?\s*$') THEN 'chapter' WHEN words = '' THEN 'blank' ELSE 'text' END AS r FROM noted),
+ titled AS (SELECT *, coalesce(last_value(CASE WHEN r IN ('chapter', 'text') THEN r END IGNORE NULLS) OVER w = 'chapter', false) AND (r = 'blank' OR (r = 'text' AND regexp_matches(regexp_replace(words, '[^A-Za-z]', '', 'g'), '^[A-Z]+$'))) AS title FROM first WINDOW w AS (PARTITION BY id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+ role AS (SELECT id, pos, CASE WHEN r = 'omission' THEN '[omission marker] ' || words WHEN r IN ('note', 'more') THEN words ELSE regexp_replace(line, '\s+$', '') END AS text,
+   CASE WHEN r IN ('text', 'blank') AND NOT title THEN 'body' WHEN r = 'omission' THEN 'note' WHEN r IN ('note', 'more') THEN r END AS role FROM titled),
+ mine AS (SELECT * FROM role WHERE role IS NOT NULL),
+ body AS (SELECT id, pos, text, max(CASE WHEN text <> '' THEN pos END) OVER (PARTITION BY id) AS last FROM mine WHERE role = 'body'),
+ heads AS (SELECT *, nullif(regexp_extract(CASE WHEN pos = last THEN text ELSE text || chr(10) END, '^\s*(?:\d+\[)?(\d{{1,3}}(?:-?[A-Z]{{1,3}})?)\.\s', 1), '') AS number FROM body),
+ parts AS (SELECT *, count(number) OVER (PARTITION BY id ORDER BY pos) AS part, count(number) OVER (PARTITION BY id) AS parts FROM heads),
+ rows AS (SELECT id, part, pos, text, CASE WHEN parts > 0 THEN number ELSE '1' END AS number FROM parts WHERE part > 0 OR parts = 0),
+ sections AS (SELECT id, part, arg_min(number, pos) AS number, string_agg(text, chr(10) ORDER BY pos) AS text FROM (SELECT *, coalesce(number, '') AS filled FROM rows) GROUP BY id, part)"""
+_CLAUSES = r""",
+ live AS (SELECT r.id, r.part, r.text, row_number() OVER w AS place, count(*) OVER (PARTITION BY r.id, r.part) AS n FROM (SELECT *, max(CASE WHEN text <> '' THEN pos END) OVER (PARTITION BY id, part) AS last FROM rows) AS r WHERE pos <= last WINDOW w AS (PARTITION BY r.id, r.part ORDER BY pos)),
+ marks AS (SELECT *, lead(letter) OVER (PARTITION BY id, part ORDER BY place) AS following FROM (SELECT id, part, place, regexp_extract(CASE WHEN place < n THEN text || chr(10) ELSE text END, '^\s*(?:\d+\[)?\(([a-z]{1,4})\)\s', 1) AS letter FROM live) WHERE letter <> ''),
+ chosen AS (SELECT id, part, list_reduce(list_prepend('', list(place || ':' || letter || ':' || CASE WHEN letter IN ('i', 'v', 'x') THEN CASE WHEN coalesce(following IN ('ii', 'iii', 'iv', 'vi', 'vii', 'viii', 'ix', 'xi'), false) THEN 'never' ELSE 'next' END ELSE 'any' END ORDER BY place)),
+   lambda a, m: CASE WHEN string_split(m, ':')[2] > right(a, 1) AND (string_split(m, ':')[3] = 'any' OR (string_split(m, ':')[3] = 'next' AND (a = '' OR ascii(string_split(m, ':')[2]) = ascii(right(a, 1)) + 1))) THEN a || ',' || string_split(m, ':')[1] || ':' || string_split(m, ':')[2] ELSE a END) AS taken FROM marks WHERE length(letter) = 1 GROUP BY id, part),
+ cuts AS (SELECT DISTINCT id, part, 0 AS i, 1 AS place, CAST(NULL AS VARCHAR) AS letter FROM live UNION ALL SELECT id, part, i, CAST(string_split(c, ':')[1] AS BIGINT), string_split(c, ':')[2] FROM (SELECT id, part, unnest(range(1, len(string_split(taken, ',')))) AS i, unnest(string_split(taken, ',')[2:]) AS c FROM chosen WHERE taken <> '')),
+ spans AS (SELECT *, lead(place) OVER (PARTITION BY id, part ORDER BY i) AS until FROM cuts),
+ clauses AS (SELECT s.id, s.part, letter, regexp_replace(coalesce(string_agg(text, chr(10) ORDER BY live.place), ''), '^\s+|\s+$', '', 'g') AS text FROM spans AS s LEFT JOIN live ON live.id = s.id AND live.part = s.part AND live.place >= s.place AND live.place < coalesce(s.until, live.n + 1) GROUP BY s.id, s.part, s.i, letter),
+ pieces AS (SELECT c.id, c.part, number, letter, c.text FROM clauses AS c JOIN sections AS s ON s.id = c.id AND s.part = c.part WHERE letter IS NOT NULL OR c.text <> ''),
+ statute_chunks AS (SELECT id || '_' || regexp_replace(regexp_replace(lower(number), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') || CASE WHEN letter IS NULL THEN '' ELSE '_' || letter END AS id, number || CASE WHEN letter IS NULL THEN '' ELSE '(' || letter || ')' END AS section, text, id AS doc FROM pieces
+   WHERE letter IS NULL OR NOT regexp_matches(regexp_replace(regexp_replace(text, '^\s*(?:\d+\[)?\(([a-z])\)\s', ''), '\d+|[\[\]().;,:\-—\s]', '', 'g'), '(?i)^(?:omitted|\**$)'))"""
+
+
+@query("chunk_statutes", f"WITH {_STATUTE}{_CLAUSES} SELECT id, section, md5(text) AS text_md5 FROM statute_chunks")
 def chunk_statutes(spark, sf_dir):
     return chunking.chunk_statutes(_statutes(spark, sf_dir)).select("id", "section", F.md5("text").alias("text_md5"))
 
 
-@query("normalize_statute")
+@query(
+    "normalize_statute",
+    f"""WITH {_STATUTE}, numbered AS (SELECT *, sum(CASE WHEN role = 'note' THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY pos) AS note FROM mine), notes AS (SELECT id, note, string_agg(text, ' ' ORDER BY pos) AS text FROM numbered WHERE role <> 'body' GROUP BY id, note),
+ all_notes AS (SELECT id, count(*) AS n, string_agg(text, chr(10) ORDER BY note) AS text FROM notes GROUP BY id), bodies AS (SELECT id, {_STRIP.format("string_agg(text, chr(10) ORDER BY pos)")} AS text FROM mine WHERE role = 'body' GROUP BY id)
+ SELECT src.id AS doc_id, md5(coalesce(b.text, '')) AS body_md5, coalesce(n.n, 0) AS n_notes, md5(coalesce(n.text, '')) AS notes_md5 FROM src LEFT JOIN bodies AS b ON b.id = src.id LEFT JOIN all_notes AS n ON n.id = src.id""",
+)
 def normalize_statute(spark, sf_dir):
     found = statutes.normalize_statutes(_statutes(spark, sf_dir).withColumn("doc_id", F.col("id")))
-    return found.select("doc_id", F.md5("body").alias("body_md5"), F.size("notes").alias("n_notes"), F.md5(F.array_join("notes", "\n")).alias("notes_md5"))
+    return found.select("doc_id", F.md5("body").alias("body_md5"), F.size("notes").cast("long").alias("n_notes"), F.md5(F.array_join("notes", "\n")).alias("notes_md5"))
 
 
 def _sections(spark, sf_dir):
     return statutes.split_sections(_statutes(spark, sf_dir).withColumn("doc_id", F.col("id")))
 
 
-@query("split_sections")
+@query("split_sections", f"WITH {_STATUTE} SELECT id AS doc_id, part, number, md5(text) AS text_md5 FROM sections")
 def split_sections(spark, sf_dir):
     text = F.array_join(F.transform("rows", lambda r: r["text"]), "\n")
     return _sections(spark, sf_dir).select("doc_id", "part", "number", F.md5(text).alias("text_md5"))
 
 
-@query("split_clauses")
+@query("split_clauses", f"WITH {_STATUTE}{_CLAUSES} SELECT id AS doc_id, part, number, letter, md5(text) AS text_md5 FROM pieces")
 def split_clauses(spark, sf_dir):
     return statutes.split_clauses(_sections(spark, sf_dir)).select("doc_id", "part", "number", "letter", F.md5("text").alias("text_md5"))
 
 
-@query("chunk_corpus")
+_PATENT_TEXTS = _PATENT_SQL[_PATENT_SQL.index("WITH ") + 5 : _PATENT_SQL.rindex(" SELECT id, md5(title)")]
+
+
+@query(
+    "chunk_corpus",
+    _GROUPS.rstrip() + f""", {_STATUTE}{_CLAUSES}, {_PATENT_TEXTS}, kinds_of AS (SELECT id, doc_id, source_type FROM {CHUNKS_SQL})
+ SELECT c.id, section, length(text) AS n_chars FROM statute_chunks AS c JOIN kinds_of AS k ON k.id = c.doc WHERE source_type = 'statute'
+ UNION ALL SELECT g.id || '_p' || CASE WHEN g < 1000 THEN lpad(CAST(g AS VARCHAR), 3, '0') ELSE CAST(g AS VARCHAR) END, section, length(g.text) FROM g JOIN kinds_of AS k ON k.id = g.id WHERE source_type NOT IN ('statute', 'patent')
+ UNION ALL SELECT p.id, section, length({_STRIP.format("text")}) FROM p JOIN kinds_of AS k ON k.doc_id = p.doc_id WHERE source_type = 'patent'""",
+)
 def chunk_corpus(spark, sf_dir):
     makers = {"statute": _statutes, "guideline": _guidelines, "patent": _patents}
     parts = [make(spark, sf_dir).where(chunking.branch(F.col("source_type")) == kind) for kind, make in makers.items()]
-    return chunking.chunk_corpus(*parts).select("id", "section", F.length("text").alias("n_chars"))
+    return chunking.chunk_corpus(*parts).select("id", "section", F.length("text").cast("long").alias("n_chars"))
 
 
 @query("chunk_keys", rf"""WITH k AS (SELECT id, title || chr(10) || CASE WHEN section IS NULL THEN '' ELSE 'Section ' || section || chr(10) END || text AS index_text, sha1('\x6b\xa7\xb8\x11\x9d\xad\x11\xd1\x80\xb4\x00\xc0\x4f\xd4\x30\xc8'::BLOB || encode('chunk:' || id)) AS h FROM {CHUNKS_SQL})

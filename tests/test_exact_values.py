@@ -399,36 +399,80 @@ def test_rollup(spark, statuses, reasons, outcome):
     assert evidence.verify_rollup(cases, v, src.limit(0)).first().outcome == "HUMAN_REVIEW_REQUIRED"
 
 
+REPLAY = "formulation_id long, seq long, base_version int, type string, ingredient_id string, user_term string, quantity double, unit string, plant_part string, botanical_name string, field string, value string, claims array<string>, synonyms array<string>, candidates array<struct<botanical_name:string,synonyms:array<string>>>"
+REPLAY_FIELDS = [f.split()[0] for f in REPLAY.split(", ")][1:]
+
+
+def actions_of(spark, log, key=1):
+    return spark.createDataFrame([(key, *[({"seq": i} | a).get(f) for f in REPLAY_FIELDS]) for i, a in enumerate(log, 1)], REPLAY)
+
+
 def test_replay_and_diff(spark):
-    base = {k: None for k in replay.ACTION_FIELDS}
     log = [
         {"type": "CONFIRM_FORMULATION"}, {"type": "ADD_INGREDIENT", "user_term": "Tulsi", "ingredient_id": "t", "quantity": 5.0, "unit": "mg", "botanical_name": "Ocimum"}, {"type": "ADD_INGREDIENT", "user_term": " tulsi "},
         {"type": "ADD_INGREDIENT", "user_term": "Basil", "botanical_name": "Ocimum"}, {"type": "UPDATE_INGREDIENT", "ingredient_id": "t"}, {"type": "UPDATE_INGREDIENT", "ingredient_id": "t", "quantity": 7.5}, {"type": "UPDATE_FIELD", "field": "purpose", "value": "nonsense"},
         {"type": "UPDATE_FIELD", "field": "purpose", "value": "IPR", "base_version": 3}, {"type": "UPDATE_FIELD", "field": "name", "value": "x", "base_version": 1}, {"type": "CONFIRM_FORMULATION"}, {"type": "REMOVE_INGREDIENT", "ingredient_id": "t"},
     ]
-    state, got = replay.new_state(), []
-    for i, a in enumerate(log):
-        state, status, summary = replay.step(state, base | {"seq": i} | a)
-        got.append(status)
-    assert got == ["rejected", "applied", "rejected", "rejected", "rejected", "applied", "rejected", "applied", "conflict", "applied", "applied"]
-    schema = "formulation_id long, seq long, base_version int, type string, ingredient_id string, user_term string, quantity double, unit string, plant_part string, botanical_name string, field string, value string, claims array<string>"
-    df = spark.createDataFrame([(1, *[(base | {"seq": i} | a)[f] for f in replay.ACTION_FIELDS]) for i, a in enumerate(log)], schema)
-    out = replay.replay_actions(df)
-    assert [r.status for r in out.orderBy("seq").collect()] == got
+    out = replay.replay_actions(actions_of(spark, log))
+    got = [(r.status, r.summary) for r in out.orderBy("seq").collect()]
+    assert [s for s, _ in got] == ["rejected", "applied", "rejected", "rejected", "rejected", "applied", "rejected", "applied", "conflict", "applied", "applied"]
+    assert got[6][1] == "Invalid purpose: 'nonsense'. Allowed: commercial_utilization, research, bio_survey, ipr." and got[8][1] == "Based on version 1, current is 4."
     changes = [r.change for r in formulation.version_diff(replay.versions(out)).orderBy("version", "kind").collect()]
     assert changes == ["Tulsi: 5 mg → 7.5 mg", "purpose: — → ipr", "Formulation confirmed", "Removed Tulsi"]
 
 
-def test_batch_and_stream_agree(spark, tmp_path):
+def test_replay_looks_at_all_names(spark):
+    """Terms are compared with ids, terms, identities and synonyms as they are; identities are chosen among candidates."""
+    two = [("Tinospora cordifolia", ["guduchi"]), ("Tinospora sinensis", [])]
+    log = [
+        ({"type": "ADD_INGREDIENT", "user_term": "Giloy", "ingredient_id": "g", "candidates": two}, "applied", "Added Giloy (no quantity)"),
+        ({"type": "ADD_INGREDIENT", "user_term": "tinospora cordifolia"}, "applied", "Added tinospora cordifolia (no quantity)"),  # not resolved yet
+        ({"type": "REMOVE_INGREDIENT", "ingredient_id": "ing_2"}, "applied", "Removed tinospora cordifolia"),
+        ({"type": "RESOLVE_ENTITY", "ingredient_id": "g", "botanical_name": "Ocimum"}, "rejected", "'Ocimum' is not one of the candidates for 'Giloy'."),
+        ({"type": "RESOLVE_ENTITY", "ingredient_id": "g"}, "rejected", "'' is not one of the candidates for 'Giloy'."),
+        ({"type": "RESOLVE_ENTITY", "ingredient_id": "g", "botanical_name": " tinospora CORDIFOLIA"}, "applied", "Resolved Giloy as Tinospora cordifolia"),
+        ({"type": "ADD_INGREDIENT", "user_term": "tinospora cordifolia"}, "rejected", "tinospora cordifolia is already in the formulation."),
+        ({"type": "ADD_INGREDIENT", "user_term": "Guduchi "}, "rejected", "Guduchi is already in the formulation."),
+        ({"type": "ADD_INGREDIENT", "user_term": "G"}, "rejected", "G is already in the formulation."),
+        ({"type": "ADD_INGREDIENT", "user_term": "tinospora  cordifolia"}, "applied", "Added tinospora  cordifolia (no quantity)"),  # inner white space counts
+        ({"type": "ADD_INGREDIENT", "user_term": "Amrita", "botanical_name": "Tinospora cordifolia"}, "rejected", "Amrita resolves to Tinospora cordifolia, which is already in the formulation."),
+        ({"type": "UPDATE_INGREDIENT", "ingredient_id": "g", "quantity": 2.0, "unit": "g", "user_term": "Neem", "botanical_name": "Azadirachta"}, "applied", "Neem: no quantity → 2 g"),
+        ({"type": "ADD_INGREDIENT", "user_term": "azadirachta"}, "rejected", "azadirachta is already in the formulation."),
+        ({"type": "ADD_INGREDIENT", "user_term": "giloy"}, "applied", "Added giloy (no quantity)"),
+        ({"type": "UPDATE_CLAIMS", "claims": [" a ", "", "b"]}, "applied", "Claims updated (2)"),
+        ({"type": "UPDATE_FIELD", "field": "jurisdiction", "value": " "}, "applied", "Jurisdiction: india → india"),
+        ({"type": None}, "rejected", "Unsupported action None."),
+    ]
+    got = replay.replay_actions(actions_of(spark, [a for a, _, _ in log])).orderBy("seq").collect()
+    assert [(r.status, r.summary) for r in got] == [x[1:] for x in log]
+
+
+@pytest.mark.parametrize("buffer", [10_000, 3])
+def test_batch_and_stream_agree(spark, tmp_path, monkeypatch, buffer):
+    """Over a log that comes in four micro-batches, in any order."""
     from evidora.plans.formulations import _actions
     from evidora.streaming import jobs
 
-    events = spark.range(60).selectExpr("id AS event_id", "id % 4 AS user_id", "timestamp_seconds(id) AS ts", "'e' AS event_type", "id * 1.5D AS value")
+    monkeypatch.setattr(replay, "BUFFER", buffer)
+    events = spark.range(90).selectExpr("id AS event_id", "CASE WHEN id % 3 = 0 THEN 0 ELSE id % 4 END AS user_id", "timestamp_seconds(id) AS ts", "'e' AS event_type", "id * 1.5D AS value")
     events.write.parquet(str(tmp_path / "events.parquet"))
-    actions = _actions(spark, str(tmp_path))
-    actions.write.parquet(str(tmp_path / "in"))
-    jobs.replay_job(spark, spark.readStream.schema(actions.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
-    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, replay.replay_actions(actions).collect()))
+    actions = _actions(spark, str(tmp_path)).cache()
+    for part in (2, 0, 3, 1):
+        actions.where(f"(seq * 7 + formulation_id) % 4 = {part}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(actions.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    jobs.replay_job(spark, stream, str(tmp_path / "out"), str(tmp_path / "cp"))
+    batch = replay.replay_actions(actions).collect()
+    assert sorted(map(str, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(str, batch))
+    assert {r.status for r in batch} == {"applied", "rejected", "conflict"}
+
+
+def test_written_numbers(spark):
+    said = "ashwagandha 10000000 mg, tulsi 0.0001 mg, neem 0.5 g, amla 1e-05 g, haldi 1e+07 mg, ginger 1234567.5 mg, clove 7.0 g, mint 12 g"
+    texts = spark.createDataFrame([(1, said)], "id int, text string")
+    values = [("ashwagandha", 1e7, True), ("tulsi", 1e-4, True), ("neem", 0.5, True), ("amla", 1e-5, True), ("haldi", 1e7, True), ("ginger", 1234567.5, True), ("clove", 7.0, True), ("mint", 2.0, False), ("said", 0.05, False)]
+    df = spark.createDataFrame([(1, i, t, q, "mg", None) for i, (t, q, _) in enumerate(values)], "id int, pos int, user_term string, quantity double, unit string, plant_part string")
+    got = {r.user_term: r.quantity for r in extraction.ground_extraction(df, texts).collect()}
+    assert {t: got[t] == q for t, q, _ in values if t != "said"} == {t: ok for t, _, ok in values if t != "said"}
 
 
 def test_extraction(spark):
