@@ -74,6 +74,10 @@ class Ivf:
         """(cell, n, ids, steps, codes)"""
         return self.spark.read.parquet(f"{self.path}/lists")
 
+    def size(self) -> int:
+        """The number of cells."""
+        return self.spark.read.parquet(f"{self.path}/means").count()
+
     def means(self) -> np.ndarray:
         rows = self.spark.read.parquet(f"{self.path}/means").orderBy("cell").collect()
         return np.array([r["mean"] for r in rows])
