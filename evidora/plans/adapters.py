@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import STOPWORDS
 from ..operators import lexical
 from ..operators.filters import SECTION3_CLAUSES
+from ..sources.store import exists
 
 SOURCE_TYPES = ["statute", "guideline", "patent", "comparative_ip", "regulation", "case_law", "prior_art"]
 LABELS = ["3", *SECTION3_CLAUSES, "BDA 3(a)", "4", "3(g)"]
@@ -65,7 +66,7 @@ _INDEXES: dict[tuple[str, str], lexical.Index] = {}
 def indexed_chunks(spark: SparkSession, sf_dir: str) -> lexical.Index:
     """The BM25 index of all chunks: written once for each application and folder of tables, then read."""
     key = spark.sparkContext.applicationId, sf_dir
-    if key not in _INDEXES:
+    if key not in _INDEXES or not exists(spark, _INDEXES[key].path):
         _INDEXES[key] = lexical.index(chunks(spark, sf_dir), F.col("text"))
     return _INDEXES[key]
 

@@ -177,20 +177,57 @@ def extract_header(spark, sf_dir):
     return ex.extract_header(_texts(spark, sf_dir))
 
 
-@query("ground_extraction", "SELECT conv_id * 100 + turn AS id, n AS pos, [CASE turn % 7 WHEN 0 THEN 500.0 END, NULL, NULL][n]::DOUBLE AS quantity, n < 3 AND turn % 7 IN (0, 2, 3) AND (n = 1 OR turn % 7 = 0) AS kept, [CASE turn % 7 WHEN 0 THEN 'leaf' END, CASE turn % 7 WHEN 0 THEN 'bark' END, NULL][n] AS plant_part FROM conversations, (SELECT unnest([1, 2, 3]) AS n)")
+_TEXTS_SQL = f"(SELECT conv_id * 100 + turn AS id, {sql_list(_REQUESTS)}[turn % {len(_REQUESTS)} + 1] || chr(10) || coalesce(text, '') AS text FROM conversations)"
+
+
+@query(
+    "ground_extraction",
+    rf"""WITH t AS (SELECT id, lower(text) AS t FROM {_TEXTS_SQL}), g AS (SELECT unnest([1, 2, 3]) AS pos)
+ SELECT id, pos, CASE pos WHEN 1 THEN CASE WHEN regexp_matches(t, '(^|[^\d.])500($|\D)') THEN 500.0 END WHEN 2 THEN CASE WHEN regexp_matches(t, '(^|[^\d.])(987654321\.5|9\.87654e\+08)($|\D)') THEN 987654321.5 END END::DOUBLE AS quantity,
+  contains(t, ['tulsi', 'neem', 'xyzzy'][pos]) AS kept, CASE pos WHEN 1 THEN CASE WHEN contains(t, 'leaf') THEN 'leaf' END WHEN 2 THEN CASE WHEN contains(t, 'bark') THEN 'bark' END END AS plant_part FROM t, g""",
+)
 def ground_extraction(spark, sf_dir):
     t = _texts(spark, sf_dir)
     given = [(1, "Tulsi leaf", 500.0, "mg"), (2, "bark of neem", 987654321.5, "g"), (3, "xyzzy", None, "g")]
     items = F.array(*[F.struct(F.lit(pos).alias("pos"), F.lit(term).alias("user_term"), F.lit(q).cast("double").alias("quantity"), F.lit(u).alias("unit"), F.lit(None).cast("string").alias("plant_part")) for pos, term, q, u in given])
-    request = t.withColumn("text", F.element_at(F.split("text", "\n"), 1))
-    return ex.ground_extraction(t.select("id", F.explode(items).alias("i")).select("id", "i.*"), request).select("id", "pos", "quantity", "kept", "plant_part")
+    return ex.ground_extraction(t.select("id", F.explode(items).alias("i")).select("id", "i.*"), t.select("id", "text")).select("id", "pos", "quantity", "kept", "plant_part")
+
+
+def _holds(pattern: str) -> str:
+    return f"regexp_matches(t, '(?i){pattern}')"
+
+
+def _place(pattern: str) -> str:
+    """Where the first match of a pattern begins, or null."""
+    return f"CASE WHEN {_holds(pattern)} THEN length(regexp_split_to_array(t, '(?i){pattern}')[1]) + 1 END"
 
 
-@query("tag_intents", f"""WITH t AS (SELECT conv_id * 100 + turn AS id, turn % {len(_REQUESTS)} AS k FROM conversations) SELECT id,
- ['CREATE_FORMULATION|UPDATE_DOSAGE_FORM|ANALYZE_PATENT', 'CHECK_ABS', 'SCENARIO', 'REMOVE_INGREDIENT|UPDATE_DOSAGE_FORM|UPDATE_INTENDED_USE|ANALYZE_PATENT', 'SHOW_DECISION_PATH|VIEW_EVIDENCE', 'VIEW_EVIDENCE', 'GENERAL_QUESTION'][k + 1] AS intents,
- CASE k WHEN 1 THEN 'command' ELSE 'rules' END AS decoder, CASE k WHEN 3 THEN 'research' END AS purpose, CASE k WHEN 3 THEN 'indian' END AS entity_type, CASE k WHEN 4 THEN 'abs' END AS graph_filter FROM t""")
+_ANY_FORM = r"\b(?:" + "|".join(ex.DOSAGE_FORMS) + r")\b"
+_WORDS = sql_list([*ex.NO_INGREDIENT, *ex.DOSAGE_FORMS])
+_PASSIVE = f"({_holds(ex.INTENTS['SHOW_DECISION_PATH'])} OR {_holds(ex.GRAPH_VIEW)} OR ({_holds(ex.INTENTS['VIEW_EVIDENCE'])} AND NOT {_holds(ex.ACTION)}))"
+_SEEN = ", ".join(f"CASE WHEN {_place(p)} IS NOT NULL{' AND named' if k == 'RESOLVE_AMBIGUITY' else ''} THEN lpad(CAST({_place(p)} AS VARCHAR), 9, '0') || lpad('{i}', 2, '0') || '{k}' END" for i, (k, p) in enumerate(ex.INTENTS.items()) if k != "SCENARIO")
+_COMMAND = "CASE lower(regexp_extract(t, '^(\\S+)', 1)) " + " ".join(f"WHEN '{c}' THEN '{i}'" for c, i in ex.COMMANDS.items()) + " END"
+
+
+def _first_sql(patterns: dict[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {_holds(p)} THEN '{v}'" for v, p in patterns.items()) + " END"
+
+
+@query(
+    "tag_intents",
+    rf"""WITH t AS (SELECT id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM {_TEXTS_SQL}),
+ u AS (SELECT id, t, regexp_replace(regexp_extract(regexp_replace(t, '(?i)\bfor(\s+the\s+(?:patent|abs|review)\b)', 'f0r\1', 'g'), '(?i)\bfor\s+([^\n]{{2,120}})', 1), '(?is)\s*(?:[.?!;]|,?\s+(?:then|and then|and check|check|can i|could you|please|also)\b).*$', '') AS use,
+   regexp_matches(t, '(?i)(^|[^\pL\pN\pM_-])({"|".join(_LEXICON)})($|[^\pL\pN\pM_-])') OR len(list_filter(regexp_extract_all(t, '(?i){ex.QUANTIFIED}', 3), lambda w: NOT list_contains({_WORDS}, lower(w)))) > 0 AS named FROM t),
+ h AS (SELECT *, {_holds(_ANY_FORM)} AS form, trim(use, ' ,') <> '' AND NOT regexp_matches(trim(use, ' ,'), '{ex.NO_USE}') AS used, {_holds(ex.REMOVE)} AS remove, NOT {_holds(ex.REMOVE)} AND {_holds(ex.UPDATE)} AND NOT {_holds(ex.ADD)} AS only_update, {_COMMAND} AS command FROM u),
+ f AS (SELECT *, CASE WHEN {_holds(ex.INTENTS["SCENARIO"])} THEN ['SCENARIO'] ELSE list_filter([CASE WHEN named AND NOT remove AND NOT only_update THEN 'CREATE_FORMULATION' END, CASE WHEN remove THEN 'REMOVE_INGREDIENT' END, CASE WHEN named AND only_update THEN 'UPDATE_QUANTITY' END, CASE WHEN form THEN 'UPDATE_DOSAGE_FORM' END, CASE WHEN used THEN 'UPDATE_INTENDED_USE' END], lambda x: x IS NOT NULL) END
+   || list_transform(list_sort(list_filter([{_SEEN}], lambda x: x IS NOT NULL)), lambda x: x[12:]) || CASE WHEN {_holds(ex.GRAPH_VIEW)} THEN ['SHOW_DECISION_PATH'] ELSE [] END AS every FROM h),
+ e AS (SELECT *, list_filter(every, lambda x, i: list_position(every, x) = i AND NOT ({_PASSIVE} AND list_contains({sql_list(ex.TOOLS)}, x))) AS kept FROM f)
+ SELECT id, CASE WHEN command IS NOT NULL THEN command WHEN len(kept) > 0 THEN array_to_string(kept, '|') ELSE 'GENERAL_QUESTION' END AS intents, CASE WHEN command IS NOT NULL THEN 'command' ELSE 'rules' END AS decoder,
+  CASE WHEN command IS NULL THEN {_first_sql(ex.PURPOSES)} END AS purpose, CASE WHEN command IS NULL THEN {_first_sql(ex.ENTITIES)} END AS entity_type,
+  CASE WHEN command IS NULL AND ({_holds(ex.INTENTS["SHOW_DECISION_PATH"])} OR {_holds(ex.GRAPH_VIEW)}) THEN coalesce(nullif(lower(regexp_extract(t, '(?i){ex.GRAPH_VIEW}', 1)), ''), CASE WHEN {_holds(r"\babs\b|\bbiodiversity\b")} THEN 'abs' WHEN {_holds("patent")} THEN 'patent' END) END AS graph_filter FROM e""",
+)
 def tag_intents(spark, sf_dir):
-    t = _texts(spark, sf_dir).withColumn("text", F.element_at(F.split("text", "\n"), 1))
+    t = _texts(spark, sf_dir)
     has = ex.extract_ingredients(t, _LEXICON).select("id").distinct().withColumn("has", F.lit(True))
     rows = t.join(ex.extract_header(t), "id").join(has, "id", "left")
     tags = ex.tag_intents(F.col("text"), F.col("has"), F.col("dosage_form"), F.col("intended_use"))

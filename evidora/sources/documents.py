@@ -205,7 +205,7 @@ def excerpt_by_anchor(docs: DataFrame, specs: DataFrame) -> DataFrame:
     Anchors are patterns; ``after`` and ``end`` may be null.  A missing anchor is an error.
     """
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    rows = lines.join(F.broadcast(specs), "doc_id")
+    rows = lines.join(specs, "doc_id")
     key = ["doc_id", "spec_id"]
     hit = lambda c: F.regexp_like("line", F.col(c))
     a = rows.groupBy(*key).agg(F.min(F.when(F.col("after").isNull(), F.lit(0)).when(hit("after"), F.col("pos"))).alias("p_after"))
@@ -259,6 +259,6 @@ def first_row_per_title(rows: DataFrame, targets: DataFrame) -> tuple[DataFrame,
     rows: file, row, title, ...; targets: title, target.
     """
     wanted = targets.select(norm_title(F.col("title")).alias("_t"), "target")
-    met = rows.withColumn("_t", norm_title(F.col("title"))).join(F.broadcast(wanted), "_t")
+    met = rows.withColumn("_t", norm_title(F.col("title"))).join(wanted, "_t")
     first = met.withColumn("_n", F.row_number().over(Window.partitionBy("_t").orderBy("file", "row"))).where("_n = 1").drop("_n", "_t")
     return first, wanted.join(met.select("_t"), "_t", "left_anti").select("target")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PARTS = 64
+_MADE: list[str] = []  # paths in the shared folder, and tables over them
+_TABLES: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -24,7 +26,24 @@ def scratch(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    return f"{base}/{name}-{uuid.uuid4().hex}"
+    path = f"{base}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete what this process wrote to the shared folder (indexes, staged tables); the number of paths.
+
+    To be called when no DataFrame that reads them is needed any more; bucketed tables are dropped as well.
+    """
+    for name in _TABLES:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+    n = len(_MADE)
+    for path in _MADE:
+        delete(spark, path)
+    _MADE.clear()
+    _TABLES.clear()
+    return n
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -41,6 +60,7 @@ def written_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     called = path.rpartition("/")[2].replace("-", "_")
     df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(called)
+    _TABLES.append(called)
     return spark.table(called)
 
 

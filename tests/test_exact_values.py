@@ -479,6 +479,20 @@ def test_extraction(spark):
     texts = spark.createDataFrame([(1, "500 mg of Tulsi leaf, neem (20 g), resin of tulsi; x-tulsi, 300 mg shilajit and 2 g daily"), (2, "Holy Tulsi 5 mg with tulsi leaves"), (3, None)], "id int, text string")
     got = [tuple(r)[:6] for r in extraction.extract_ingredients(texts, ["Tulsi", "Neem", "holy tulsi"]).orderBy("id", "pos").collect()]
     assert got == [(1, 1, "Tulsi", 500.0, "mg", "leaf"), (1, 2, "tulsi", None, None, "resin"), (1, 3, "neem", 20.0, "g", "leaf"), (1, 4, "shilajit", 300.0, "mg", None), (2, 1, "Holy Tulsi", 5.0, "mg", None), (2, 2, "tulsi", None, None, "leaf")]
+    rng = random.Random(5)
+    bits = ["tulsi", "Holy Tulsi", "neem", "tulsi-neem", "5 mg of", "20g", "300 mg shilajit", "2 ml amla", "leaf", "root of", ",", "(", ")", "é", "\n", "7 mg daily"]
+    many = [(i, " ".join(rng.choice(bits) for _ in range(rng.randint(0, 25)))) for i in range(200)]
+    rows = extraction.extract_ingredients(spark.createDataFrame(many, "id int, text string"), ["tulsi", "neem", "holy tulsi"]).collect()
+    for i, text in many:
+        alone = re.findall(r"(?<![\w-])(?:holy tulsi|tulsi|neem)(?![\w-])", text, re.I)
+        own = sorted((r for r in rows if r.id == i), key=lambda r: r.pos)
+        named = [r.user_term for r in own if r.user_term.lower() in ("tulsi", "neem", "holy tulsi")]
+        assert sorted(named) == sorted(alone) and [r.pos for r in own] == list(range(1, len(own) + 1))
+        counted = [r for r in own if r.user_term not in named]
+        assert all(re.fullmatch(r"\d+ ?(mg|ml|g)\s+(of\s+)?" + r.user_term, r.source_text) and r.quantity and r.unit for r in counted)
+        assert len([r for r in counted if r.user_term in ("shilajit", "amla")]) == text.count("shilajit") + text.count("amla")
+        firsts = [text.lower().find(r.user_term.lower()) for r in own]
+        assert firsts == sorted(firsts)
     said = "A syrup named 'Calm Mix' for oral use in cough, then check; capsules for my shop"
     assert tuple(extraction.extract_header(spark.createDataFrame([(1, said)], "id int, text string")).first()) == (1, "Calm Mix", "capsule", "oral", "oral use in cough")
     items = [(1, 1, "Tulsi leaf", 500.0, "MG", None), (1, 2, "tulsi", None, None, None), (1, 3, "root of Neemx", 7.0, "g", None), (1, 4, "Shilajitum", 30.0, "mg", "resin"), (1, 5, "", None, None, None)]
@@ -606,6 +620,14 @@ def test_write_index(spark, tmp_path):
         store.write_index(rows.limit(0), at)
 
 
+def test_clear_deletes_what_was_written(spark):
+    df = spark.range(5)
+    assert store.written(df, "x").count() == 5 and store.written_in_buckets(df, "y", "id").count() == 5
+    made = list(store._MADE)
+    assert len(made) >= 2 and all(store.exists(spark, p) for p in made)
+    assert store.clear(spark) == len(made) and not any(store.exists(spark, p) for p in made) and store.clear(spark) == 0
+
+
 def test_domains(spark):
     hits = spark.createDataFrame([("https://www.WHO.int/x",), ("http://who.int",), ("https://nowho.int",), (None,)], "url string")
     allowed = spark.createDataFrame([("who.int",)], "domain string")
