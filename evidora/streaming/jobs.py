@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators import kg
 from ..operators.replay import replay_stream
@@ -46,3 +47,13 @@ def kg_node_upsert(current: DataFrame | None, batch: DataFrame) -> DataFrame:
     """Nodes of finished responses; their origin never replaces a better one."""
     empty = batch.limit(0).select("key", "label", "name", "aliases", "props", "origin") if current is None else current
     return kg.merge_nodes(empty, batch, "pipeline")
+
+
+def kg_edge_upsert(nodes: DataFrame) -> Callable[[DataFrame | None, DataFrame], DataFrame]:
+    """A merge of edges of finished responses, to be kept in parts by ``source``; edges whose ends are not both among ``nodes`` are dropped."""
+
+    def merge(current: DataFrame | None, batch: DataFrame) -> DataFrame:
+        empty = batch.limit(0).select("source", "target", "type", "props").withColumn("origin", F.lit("pipeline"))
+        return kg.merge_edges(empty if current is None else current, batch, nodes, "pipeline")
+
+    return merge
