@@ -9,6 +9,13 @@ last return the columns of ``documents``:
 4. mixing: sources reach their target weights; each pass over a source gives
    one row for each run of words that it takes from a document;
 5. byte-level BPE: one row for each of those with its token count and digests.
+
+Defined cases, in every stage: null and empty texts stay and have neither words nor
+lines (near-dedup keeps one row of each id and text; mixing takes no words from them and gives
+no row); null ids stay, and are kept before no other id of their component; null
+sources are a source, the last one.  Columns beside those of ``documents`` go along, whatever
+their names, up to mixing.  Long texts are read in blocks.  Empty tables give empty
+tables.  Without labels of both kinds nothing is rejected.
 """
 
 from __future__ import annotations

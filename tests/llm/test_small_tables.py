@@ -651,3 +651,58 @@ def test_pipeline(spark, docs, tmp_path):
     assert [k for k, _ in corpus_pipeline.STAGES] == ["toxicity", "line_dedup", "near_dedup", "mixing", "bpe"]
     out = corpus_pipeline.run(spark, at)
     assert {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"} <= set(out.columns) and out.count() > 0
+
+
+def test_pipeline_stages_equal_brute_force(spark, tmp_path):
+    """Every stage on what its predecessor wrote, against brute force; and run() gives what the stages give."""
+    import corpus_pipeline
+    import tiktoken
+
+    rng = np.random.default_rng(12)
+    notice, clean = words(11, 700), [words(60 + i % 20, 800 + i) for i in range(120)]
+    texts = [(i, t + (f"\n{notice}" if i % 3 == 0 else "")) for i, t in enumerate(clean)]
+    toxic = [(200 + i, words(50, 950 + i) + " grobnax vilethrup zornaq " + words(10, 990 + i)) for i in range(60)]
+    near = []
+    for k in range(12):
+        w = BASE.split()
+        for at in rng.integers(0, 300, 4):
+            w[at] = f"n{k}x{at}"
+        near.append((300 + k, " ".join(w)))
+    every = texts + toxic + near + [(400, ""), (401, None), (402, "one two"), (403, "one two"), (None, words(40, 33))]
+    at = str(tmp_path / "sf")
+    spark.createDataFrame([(d, t, "en", f"s{(d or 0) % 4}", None if t is None else len(t)) for d, t in every], "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{at}/documents.parquet")
+    spark.createDataFrame([(d, 1, int(200 <= d < 300)) for d, _ in texts[:90] + toxic[:45]], "doc_id long, quality int, toxic int").write.parquet(f"{at}/labels.parquet")
+    docs, held = spark.read.parquet(f"{at}/documents.parquet"), [every]
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, at).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+        held.append([(r.doc_id, r.text) for r in docs.collect()] if name != "bpe" else docs.collect())
+    _, calm, lined, single, mixed, coded = held
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] is None, r[1] or "")
+
+    assert sorted(calm, key=key) == sorted((r for r in every if not (r[0] and 200 <= r[0] < 300)), key=key)
+    drops = brute_line_dedup([t for _, t in calm])
+    assert sorted(lined, key=key) == sorted(((d, templates.without_lines(t, x)) for (d, t), x in zip(calm, drops)), key=key)
+    assert sum(map(len, drops)) == 40
+    firsts = {d for (d, _, c), n in brute_components(lined).items() if d == c}
+    assert sorted(single, key=key) == sorted((r for r in lined if r[0] in firsts), key=key)
+    assert {d for d, _ in single if d and 300 <= d < 400} == {300} and 402 in firsts and 403 not in firsts and None in firsts
+
+    source, whole = lambda d: f"s{(d or 0) % 4}", {d: split(t) for d, t in single}
+    size, taken = collections.Counter(), collections.Counter()
+    for d, w in whole.items():
+        size[source(d)] += len(w)
+    for d, t in mixed:
+        taken[source(d)] += len(split(t))
+        assert " ".join(split(t)) in " ".join(whole[d])
+    targets = {r.source: r.target for r in mixing.targets(spark.createDataFrame(list(size.items()), "source string, size long")).collect()}
+    assert all(abs(taken[s] - targets[s]) <= 2 * mixing.BLOCK for s in size)
+
+    ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in open(RANKS, "rb"))}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    want = collections.Counter()
+    for d, t in mixed:
+        ids = encoding.encode_ordinary(t)
+        want[d, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += 1
+    assert collections.Counter((r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in coded) == want
+    assert collections.Counter(map(tuple, corpus_pipeline.run(spark, at).select(coded[0].__fields__).collect())) == collections.Counter(map(tuple, coded))
