@@ -15,7 +15,7 @@ lines (near-dedup keeps one row of each id and text; mixing takes no words from
 no row); null ids stay, and are kept before no other id of their component; null
 sources are a source, the last one.  Columns beside those of ``documents`` go along, whatever
 their names, up to mixing.  Long texts are read in blocks.  Empty tables give empty
-tables.  Without labels of both kinds nothing is rejected.
+tables.  Without labels of both kinds every row has the same score, the share of label 1.
 """
 
 from __future__ import annotations

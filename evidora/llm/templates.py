@@ -1,18 +1,19 @@
 """Line dedup with a log-template tree (operator 8).
 
 A line with at least ``MIN_TOKENS`` tokens goes down a tree of fixed depth: by its
-number of tokens, then by its leading third.  Every node of that level has a
-wildcard child as well, for lines whose leading tokens vary; there the middle
-third or the last one decides.  Tokens that hold a digit are variable fields at
-once; a line that has more fields than other tokens (a table of numbers) has no
-template.  At the leaf a line is cut into six parts and stands for the templates
-in which any two of them are variable, as long as at least ``KEPT`` of its tokens
-stay; and for itself.  So lines that differ in one or two fields, wherever they
-are, share a template, whatever order they come in.  Fields in two of six parts
-leave at least one third whole, so what the tree sets apart shares no template:
-leaves that fewer than ``MIN_DOCS`` texts reach need not be looked into.  Lines
-that are shared as they are need no variable parts; their templates recur if
-they do, for other lines to join.
+number of tokens, then by what it begins with, or, under a wildcard for lines
+whose leading tokens vary, by what stands further on.  Tokens that hold a digit are
+variable fields at once; a line that has more fields than other tokens (a table of
+numbers) has no template.  A line is cut into six parts; at the leaf it stands for
+itself and, from ``FIELD_TOKENS`` tokens on, for the templates in which any two of
+its parts are variable, or any three from ``WIDE_TOKENS`` tokens on, as long as at
+least two fifths of its tokens and three of them stay.  So lines that differ in up to two fields (three
+in long lines), wherever they are, share a template, whatever order they come in.
+Of three variable parts one half of the line has at most one, so two whole parts of a
+half lead to the leaf; what shares none of these six pairs shares no template, and
+leaves that fewer than ``MIN_DOCS`` texts reach need not be looked into.  Lines that are
+shared as they are need no variable parts; their templates recur if they do, for other
+lines to join.
 
 A template is shared if ``MIN_DOCS`` different texts hold it, and it recurs if
 ``MIN_DOCS`` of these are unlike each other in what is their own: their lines
@@ -49,10 +50,11 @@ from pyspark.sql import functions as F
 from .shared import cut, map_arrow
 from .textblock import binary_column, blocks, lower_ascii, mix, ngram_hashes, prefix_hash, runs, span_hash, words
 
-MIN_TOKENS = 4
-FIELD_TOKENS = 5  # from this many on, parts of a line can be variable
+MIN_TOKENS = 3
+FIELD_TOKENS = 4  # from this many on, parts of a line can be variable
+WIDE_TOKENS = 9  # from this many on, three of them
+KEPT_TOKENS = 3  # constants of a template, and at least two fifths of its tokens
 PARTS = 6
-KEPT = 0.55
 MIN_DOCS = 3
 OWN = 6  # a text counts if at least one in so many tokens is its own
 FEW = 1_000_000  # keys of 8 bytes that are broadcast at most
@@ -257,21 +259,27 @@ def _key(kind: int, parts: list[int]) -> Column:
     return F.xxhash64("n", F.lit(kind), *[F.get("parts", F.lit(i)) for i in parts])
 
 
+def _tokens(part: int) -> Column:
+    return F.ceil((part + 1) * F.col("n") / PARTS) - F.ceil(part * F.col("n") / PARTS)
+
+
 def _tree_keys() -> Column:
-    """The line itself, and its leaves in the tree."""
-    leaves = [F.struct(_key(1 + i, [2 * i, 2 * i + 1]).alias("key"), F.lit(False).alias("exact")) for i in range(PARTS // 2)]
+    """The line itself, and its leaves in the tree: every two parts of one half that have tokens."""
+    pairs = [p for p in combinations(range(PARTS), 2) if p[0] // 3 == p[1] // 3]
+    leaves = [F.when((_tokens(i) > 0) & (_tokens(j) > 0), F.struct(_key(1 + at, [i, j]).alias("key"), F.lit(False).alias("exact"))) for at, (i, j) in enumerate(pairs)]
     itself = F.struct(_key(0, list(range(PARTS))).alias("key"), F.lit(True).alias("exact"))
-    return F.when(F.col("n") >= FIELD_TOKENS, F.array(itself, *leaves)).otherwise(F.array(itself))
+    return F.when(F.col("n") >= FIELD_TOKENS, F.array_compact(F.array(itself, *leaves))).otherwise(F.array(itself))
 
 
 def _template_keys() -> Column:
-    """Its templates with any two parts variable, of those that keep enough tokens."""
-
-    def tokens(part: int) -> Column:
-        return F.ceil((part + 1) * F.col("n") / PARTS) - F.ceil(part * F.col("n") / PARTS)
-
-    pairs = list(combinations(range(PARTS), 2))
-    keys = [F.when(F.col("n") - tokens(i) - tokens(j) >= KEPT * F.col("n"), _key(10 + at, [k for k in range(PARTS) if k not in (i, j)])) for at, (i, j) in enumerate(pairs)]
+    """Its templates with any two parts variable, or any three of a long line, of those that keep enough tokens."""
+    keys = []
+    for at, gone in enumerate([*combinations(range(PARTS), 2), *combinations(range(PARTS), 3)]):
+        kept = F.col("n") - sum(_tokens(i) for i in gone)
+        fits = (kept >= KEPT_TOKENS) & (5 * kept >= 2 * F.col("n"))
+        if len(gone) == 3:
+            fits &= F.col("n") >= WIDE_TOKENS
+        keys.append(F.when(fits, _key(10 + at, [k for k in range(PARTS) if k not in gone])))
     return F.array_compact(F.array(*keys))
 
 

@@ -525,12 +525,12 @@ def brute_line_dedup(texts):
             w = split(re.sub("[A-Z]", lambda m: m[0].lower(), x))
             n, masked = len(w), ["#" if re.search("[0-9]", v) else v for v in w]
             whole, wild = None, set()
-            if n >= 4 and 2 * masked.count("#") <= n:
+            if n >= 3 and 2 * masked.count("#") <= n:
                 whole = tuple(masked)
                 part = [i * 6 // n for i in range(n)]
-                for gone in itertools.combinations(range(6), 2):
+                for gone in [*itertools.combinations(range(6), 2), *(itertools.combinations(range(6), 3) if n >= 9 else [])]:
                     kept = tuple(v for v, p in zip(masked, part) if p not in gone)
-                    if n >= 5 and len(kept) >= 0.55 * n:
+                    if n >= 4 and len(kept) >= max(3, 0.4 * n):
                         wild.add((gone, n, kept))
             lines.append((w, whole, wild))
         rows.append(lines)
@@ -575,7 +575,7 @@ def test_line_dedup_equals_brute_force(spark):
     texts += [f"{many(30)}\nThe notice {word()} was printed by the {word()} office of records and sent out today" for _ in range(12)]  # two fields
     texts += [f"{many(20)}\nprinted by {word()} office of records today\n{many(9)}" for _ in range(12)]  # seven tokens
     texts += [f"{many(30)}\nsold at shop {k % 4} in {['york', 'bonn', 'rome', word()][k % 4]} for money" for k in range(14)]  # some values often, some once
-    texts += [f"{many(20)}\nonly two texts hold this line of words" for _ in range(2)] + [f"{many(8)}\nshort line here" for _ in range(5)]
+    texts += [f"{many(20)}\nonly two texts hold this line of words" for _ in range(2)] + [f"{many(8)}\ntoo short" for _ in range(5)]
     base = [many(14) for _ in range(8)]
     for k in range(12):  # near copies with one other word, and exact copies
         x = list(base)
@@ -592,6 +592,23 @@ def test_line_dedup_equals_brute_force(spark):
     assert {r.doc_id: r.text for r in templates.drop(clash).collect()} == got
 
 
+@pytest.mark.parametrize(("tokens", "fields"), [(3, 0), (4, 1), (6, 1), (8, 1), (8, 2), (12, 2), (12, 3), (20, 3), (30, 3)])
+def test_line_dedup_finds_planted_templates(spark, tokens, fields):
+    """Of ten templates in six documents each, with fields at random places; lines around them stay."""
+    rng = np.random.default_rng(tokens * 10 + fields)
+    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 20, 7))
+    many = lambda n: " ".join(word() for _ in range(n))
+    texts = []
+    for _ in range(10):
+        base, places = many(tokens).split(), rng.choice(tokens, fields, replace=False)
+        for _ in range(6):
+            line = [word() if i in places else w for i, w in enumerate(base)]
+            texts.append(f"{many(40)}\n{' '.join(line)}\n{many(35)}")
+    got = {r.doc_id: r.text for r in templates.drop(spark.createDataFrame(rows(list(enumerate(texts))), SCHEMA).repartition(3)).collect()}
+    assert all(t.split("\n")[0] in got[d] and t.split("\n")[2] in got[d] for d, t in enumerate(texts))
+    assert sum(got[d] == "\n".join(t.split("\n")[::2]) for d, t in enumerate(texts)) >= 0.9 * len(texts)
+
+
 def test_line_dedup_takes_long_texts_in_pieces(monkeypatch):
     rng = np.random.default_rng(3)
     lines = [" ".join(f"w{x}" for x in rng.integers(0, 60, rng.integers(0, 9))) for _ in range(400)] + [words(900, 4)]
