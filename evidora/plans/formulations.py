@@ -172,11 +172,6 @@ def extract_ingredients(spark, sf_dir):
     return ex.extract_ingredients(_texts(spark, sf_dir), _LEXICON)
 
 
-@query("extract_header")
-def extract_header(spark, sf_dir):
-    return ex.extract_header(_texts(spark, sf_dir))
-
-
 _TEXTS_SQL = f"(SELECT conv_id * 100 + turn AS id, {sql_list(_REQUESTS)}[turn % {len(_REQUESTS)} + 1] || chr(10) || coalesce(text, '') AS text FROM conversations)"
 
 
@@ -213,6 +208,19 @@ def _first_sql(patterns: dict[str, str]) -> str:
     return "CASE " + " ".join(f"WHEN {_holds(p)} THEN '{v}'" for v, p in patterns.items()) + " END"
 
 
+_USE = r"regexp_replace(regexp_extract(regexp_replace({}, '(?i)\bfor(\s+the\s+(?:patent|abs|review)\b)', 'f0r\1', 'g'), '(?i)\bfor\s+([^\n]{{2,120}})', 1), '(?is)\s*(?:[.?!;]|,?\s+(?:then|and then|and check|check|can i|could you|please|also)\b).*$', '')"
+_WORD_OF = lambda words: "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i)\\b{w}\\b') THEN '{v}'" for w, v in words.items()) + " ELSE '' END"
+
+
+@query(
+    "extract_header",
+    rf"""WITH h AS (SELECT id, text, trim({_USE.format("text")}, ' ,') AS use FROM {_TEXTS_SQL})
+ SELECT id, regexp_replace(regexp_extract(text, '{ex.NAME[4:].replace("'", "''")}', 1), '^\s+|\s+$', '', 'g') AS name, {_WORD_OF(ex.DOSAGE_FORMS)} AS dosage_form, {_WORD_OF({r: r for r in ex.ROUTES})} AS route, CASE WHEN regexp_matches(use, '{ex.NO_USE}') THEN '' ELSE use END AS intended_use FROM h""",
+)
+def extract_header(spark, sf_dir):
+    return ex.extract_header(_texts(spark, sf_dir))
+
+
 @query(
     "tag_intents",
     rf"""WITH t AS (SELECT id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM {_TEXTS_SQL}),
