@@ -43,8 +43,8 @@ from .shared import map_arrow
 from .textblock import blocks, gather_ranges
 
 #: What a worker remembers at most, in bytes: arcs of the transducer and ids of pieces.
-ARC_BYTES = 64 << 20
-PIECE_BYTES = 32 << 20
+ARC_BYTES = 128 << 20
+PIECE_BYTES = 96 << 20
 ENTRY = 100  # what an entry of a dict takes besides key and value, about
 WINDOW = 1024  # bytes of a piece between two looks at what is settled
 CHUNK = 1 << 16  # bytes that the decoder is fed at once
