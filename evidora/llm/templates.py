@@ -194,6 +194,27 @@ def _piece_parts(data: np.ndarray, offsets: np.ndarray) -> dict:
     return {"lines": lines, "docs": docs, "n": np.add.reduceat(count, first), "values": values, "numbers": number[holders], "number": number, "whole": whole}
 
 
+def _tree_keys(n: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of each line, and where each line's keys begin (n + 1): the line itself, and its leaves in the tree.
+
+    Leaves are every two parts of one half that have tokens.
+    """
+    part, count = parts.view(np.uint32).astype(np.uint64), n.astype(np.int64)[:, None]
+    border = -(-np.arange(PARTS + 1) * count // PARTS)
+    some = np.diff(border, axis=1) > 0
+
+    def key(kind: int, held: list[int]) -> np.ndarray:
+        h = mix(n.astype(np.uint64) << np.uint64(8) | np.uint64(kind))
+        for i in held:
+            h = mix(h ^ part[:, i])
+        return h
+
+    pairs = [p for p in combinations(range(PARTS), 2) if p[0] // 3 == p[1] // 3]
+    keys = np.stack([key(0, list(range(PARTS))), *(key(1 + at, list(p)) for at, p in enumerate(pairs))], axis=1)
+    has = np.stack([np.ones(len(n), bool), *(some[:, i] & some[:, j] & (n >= FIELD_TOKENS) for i, j in pairs)], axis=1)
+    return keys[has].view(np.int64), np.concatenate(([0], np.cumsum(has.sum(axis=1))))
+
+
 def _binaries(values: np.ndarray) -> pa.Array:
     """One binary value for each row of bytes."""
     return binary_column(np.ascontiguousarray(values).ravel(), np.arange(len(values) + 1, dtype=np.int64) * values.shape[1])
@@ -201,17 +222,19 @@ def _binaries(values: np.ndarray) -> pa.Array:
 
 def _lines_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of lines, and one row with the minima for each document that has any."""
-    names = ["doc_id", "tie", "line", "same", "n", "parts", "minima"]
+    names = ["doc_id", "tie", "line", "same", "n", "parts", "keys", "minima"]
     for batch in batches:
         for a, _, data, offsets in blocks(batch.column(2)):
             t, m = line_parts(data, offsets)
             rows, k = pa.array(a + t["doc"]), len(t["doc"])
             parts = pa.ListArray.from_arrays(pa.array(np.arange(k + 1) * PARTS, pa.int32()), pa.array(t["parts"].ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(t[c], pa.int32()) for c in ("line", "same", "n")), parts, pa.nulls(k, pa.binary())], names)
+            keys, key_first = _tree_keys(t["n"], t["parts"])
+            keys = pa.ListArray.from_arrays(pa.array(key_first, pa.int32()), pa.array(keys))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), *(pa.array(t[c], pa.int32()) for c in ("line", "same", "n")), parts, keys, pa.nulls(k, pa.binary())], names)
             held = np.isin(m["doc"], t["doc"])
             rows, k = pa.array(a + m["doc"][held]), int(held.sum())
             none = pa.nulls(k, pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), none, none, pa.array(m["n"][held], pa.int32()), pa.nulls(k, parts.type), _binaries(m["minima"][held])], names)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(1).take(rows), none, none, pa.array(m["n"][held], pa.int32()), pa.nulls(k, parts.type), pa.nulls(k, keys.type), _binaries(m["minima"][held])], names)
 
 
 def _matrix(column: pa.Array, width: int) -> np.ndarray:
@@ -263,14 +286,6 @@ def _tokens(part: int) -> Column:
     return F.ceil((part + 1) * F.col("n") / PARTS) - F.ceil(part * F.col("n") / PARTS)
 
 
-def _tree_keys() -> Column:
-    """The line itself, and its leaves in the tree: every two parts of one half that have tokens."""
-    pairs = [p for p in combinations(range(PARTS), 2) if p[0] // 3 == p[1] // 3]
-    leaves = [F.when((_tokens(i) > 0) & (_tokens(j) > 0), F.struct(_key(1 + at, [i, j]).alias("key"), F.lit(False).alias("exact"))) for at, (i, j) in enumerate(pairs)]
-    itself = F.struct(_key(0, list(range(PARTS))).alias("key"), F.lit(True).alias("exact"))
-    return F.when(F.col("n") >= FIELD_TOKENS, F.array_compact(F.array(itself, *leaves))).otherwise(F.array(itself))
-
-
 def _template_keys() -> Column:
     """Its templates with any two parts variable, or any three of a long line, of those that keep enough tokens."""
     keys = []
@@ -293,10 +308,10 @@ def _held_by(keyed: DataFrame, least: int, more: DataFrame | None = None) -> Dat
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """(doc_id, tie, lines): the numbers of the lines to drop of each document that has any."""
     rows = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
-    found = cut(rows.transform(map_arrow, _lines_partition, "doc_id long, tie long, line int, same int, n int, parts array<int>, minima binary"))
-    lines = found.where("minima IS NULL").select("doc_id", "tie", "line", "same", "n", "parts")
+    found = cut(rows.transform(map_arrow, _lines_partition, "doc_id long, tie long, line int, same int, n int, parts array<int>, keys array<long>, minima binary"))
+    lines = found.where("minima IS NULL")
     line = ["doc_id", "tie", "line", "same", "n"]
-    leaves = lines.select(*line, "parts", F.explode(_tree_keys()).alias("k")).select(*line, "parts", "k.key", "k.exact")
+    leaves = lines.select(*line, "parts", F.posexplode("keys").alias("at", "key")).select(*line, "parts", "key", (F.col("at") == 0).alias("exact"))
     leaves = cut(leaves.join(_held_by(leaves, min_docs), "key", "left_semi"))
     exact = leaves.where("exact").select(*line, "key")
     near = leaves.groupBy(*line).agg(F.bool_or("exact").alias("exact"), F.first("parts").alias("parts")).where("NOT exact")
