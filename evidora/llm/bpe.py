@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from . import pretoken
+from .piece_memory import PieceMemory
 from .shared import map_arrow
 from .textblock import blocks, gather_ranges
 
@@ -305,27 +306,28 @@ class PieceCodec:
     """
 
     def __init__(self, encode_piece: Callable[[str], list[int]], limit: int = PIECE_BYTES):
-        self.encode_piece, self.known = encode_piece, Aged(limit)
+        self.encode_piece, self.known = encode_piece, PieceMemory(limit)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and where each text's ids begin (n + 1)."""
         joined, cps, starts, ends, first = pretoken.split(texts)
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(len(texts) + 1, np.int64)
-        pieces, which = pretoken.distinct(joined, cps, starts, ends)
-        found, known, young = [], self.known, self.known.young
-        for p in pieces:
-            ids = young.get(p)
-            if ids is None:
-                if (ids := known.get(p)) is None:
-                    ids = array("I", self.encode_piece(p)).tobytes()
-                    known.put(p, ids)
-                young = known.young
-            found.append(ids)
-        length = np.array([len(x) for x in found]) // 4
-        flat, n = np.frombuffer(b"".join(found), np.uint32), length[which]
-        ids = flat[gather_ranges((np.cumsum(length) - length)[which], n)]
-        return ids, np.concatenate(([0], np.cumsum(n)))[first]
+        hashes, at, which = pretoken.distinct(cps, starts, ends)
+        begin, end = starts[at], ends[at]
+        entry = self.known.find(hashes, cps, begin, end)
+        new = np.flatnonzero(entry < 0)
+        if len(new):
+            begin, end = begin[new], end[new]
+            ids, n_ids = array("I"), []
+            for s, e in zip(begin.tolist(), end.tolist()):
+                own = self.encode_piece(joined[s:e])
+                ids.extend(own)
+                n_ids.append(len(own))
+            entry[new] = self.known.young.add(hashes[new], cps[gather_ranges(begin, end - begin)], end - begin, np.array(ids, np.uint32), np.array(n_ids))
+        table, entry = self.known.young, entry[which]
+        n = table.id_at[entry + 1] - table.id_at[entry]
+        return table.ids[gather_ranges(table.id_at[entry], n)], np.concatenate(([0], np.cumsum(n)))[first]
 
 
 @lru_cache(maxsize=2)

@@ -90,9 +90,9 @@ def split(texts: list[str]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray, np
     return joined, cps, starts, ends, first
 
 
-def distinct(joined: str, cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[list[str], np.ndarray]:
-    """The distinct pieces, and for every piece its index among them."""
+def distinct(cps: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash and first place of each distinct piece, and for every piece its index among them."""
     which, found = pd.factorize(span_hash(prefix_hash(cps), starts, ends))
     at = np.empty(len(found), np.int64)
     at[which[::-1]] = np.arange(len(which) - 1, -1, -1)
-    return [joined[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist())], which
+    return found, at, which
