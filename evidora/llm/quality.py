@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import fresh, map_arrow
+from .shared import cut, fresh, map_arrow, small_batches
 from .textblock import blocks, lower_ascii, mix, ngram_hashes, prefix_hash, runs, span_hash, words
 
 MAX_TRAIN = 20_000
@@ -208,7 +208,7 @@ def _features_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     for batch in batches:
         for a, b, data, offsets in blocks(batch.column(1)):
             s = statistics(data, offsets)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(s[f]) for f in FEATURES)], ["doc_id", *FEATURES])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), *(pa.array(s[f]) for f in FEATURES), batch.column(2).slice(a, b - a)], ["doc_id", *FEATURES, "quality"])
 
 
 def _verdict_partition(shared) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -239,13 +239,19 @@ def _keep_partition(shared, text_at: int) -> Callable[[Iterator[pa.RecordBatch]]
 
 
 def training_statistics(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Features and label of the bounded sample."""
-    marks = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
+    """Features and label of the bounded sample.
+
+    Ids and labels meet in one aggregation, without joins and sorts, each of which takes
+    pages of tens of MB in every task; the label goes through the task with its text.
+    """
+    marks = labels.where(F.col("quality").isin(0, 1)).select("doc_id", F.col("quality").cast("int").alias("quality"))
+    met = docs.select("doc_id", F.lit(None).cast("int").alias("quality"), F.lit(True).alias("here")).unionByName(marks.withColumn("here", F.lit(False)))
+    ids = met.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("here").alias("here"))
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    chosen = docs.select("doc_id").join(marks, "doc_id").distinct().orderBy(*order).limit(MAX_TRAIN)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    stats = rows.select("doc_id", "text").transform(map_arrow, _features_partition, ", ".join(["doc_id long", *(f"{f} double" for f in FEATURES)]))
-    return stats.join(F.broadcast(chosen), "doc_id").orderBy(*order, *FEATURES).limit(2 * MAX_TRAIN)
+    chosen = ids.where(F.col("here") & F.col("quality").isNotNull()).orderBy(*order).limit(MAX_TRAIN).select("doc_id", "quality")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
+    stats = rows.transform(map_arrow, _features_partition, ", ".join(["doc_id long", *(f"{f} double" for f in FEATURES), "quality int"]))
+    return stats.orderBy(*order, *FEATURES).limit(2 * MAX_TRAIN)
 
 
 def _train_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -257,15 +263,22 @@ def _train_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def fit(docs: DataFrame, labels: DataFrame) -> Trees:
     """Train in one task on the bounded sample; the driver gets the trees alone."""
-    rows = training_statistics(docs, labels).select(*FEATURES, "quality").coalesce(1).transform(map_arrow, _train_partition, "trees binary").collect()
+    with small_batches(docs.sparkSession):
+        rows = training_statistics(docs, labels).select(*FEATURES, "quality").coalesce(1).transform(map_arrow, _train_partition, "trees binary").collect()
     return pickle.loads(rows[0].trees) if rows else train(np.zeros((0, len(FEATURES))), np.zeros(0, int))
 
 
 def verdicts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Per document: doc_id, the base counts, base_failed, score (odds of good as a share), kept."""
+    """Per document: doc_id, the base counts, base_failed, score (odds of good as a share), kept.
+
+    The rows, short as they are, are gathered into partitions of the session's advisory size and cut:
+    so the texts go to the tasks in small batches, whatever reads the rows, and few files are
+    written; without Hadoop's native library each one costs the executor a child process.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))  # a few thousand nodes
     schema = ", ".join(["doc_id long", *(f"{c} long" for c in COUNTS), "base_failed boolean", "score double", "kept boolean"])
-    return docs.select("doc_id", "text").transform(map_arrow, _verdict_partition(shared), schema)
+    with small_batches(docs.sparkSession):
+        return cut(docs.select("doc_id", "text").transform(map_arrow, _verdict_partition(shared), schema).hint("rebalance", "doc_id"))
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:

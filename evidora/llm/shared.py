@@ -7,6 +7,7 @@ import gc
 import re
 import tempfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 #: Spark's setting by which the shuffle files of a query go when it ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: Spark's setting for the rows of an Arrow batch, and what ``small_batches`` makes of it.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_ROWS = 500
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors share.
@@ -47,6 +52,21 @@ def cut(df: DataFrame) -> DataFrame:
         spark.conf.set(CLEANUP, before)
 
 
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Actions inside send at most ``BATCH_ROWS`` rows at once to Arrow tasks.
+
+    A batch of whole texts stands several times in an executor's memory, and Spark's 10,000 rows are
+    all rows of many a partition.  For actions only: a plan that runs later takes the setting of then.
+    """
+    before = spark.conf.get(BATCH)
+    spark.conf.set(BATCH, str(min(int(before), BATCH_ROWS) if int(before) > 0 else BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH, before)
+
+
 def release_memory() -> None:
     """Give freed memory back to the system; Python workers live on between tasks and stages."""
     gc.collect()

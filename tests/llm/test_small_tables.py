@@ -252,6 +252,39 @@ def test_quality_trees_one_by_one():
     assert ((trees.odds(x) > 0) == (x[:, 0] + x[:, 3] > 1)).mean() > 0.9
 
 
+def test_quality_sample_meets_its_labels_in_one_aggregation(spark, docs, labels):
+    more = labels.select("doc_id", "quality").union(spark.createDataFrame([(1, 0), (1, 1), (2, 0), (4, 7), (6, None)], "doc_id long, quality int"))
+    got = quality.training_statistics(docs, more)
+    label = {d: min(q for i, q in [(x, x % 2) for x in range(20)] + [(1, 0)] if i == d) for d, _ in TEXTS if d is not None}
+    assert collections.Counter((r.doc_id, r.quality) for r in got.collect()) == collections.Counter((d, label[d]) for d, _ in TEXTS if d is not None)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Aggregate") == 1
+
+
+def test_quality_verdicts_of_many_partitions_make_few_files(docs, labels, tmp_path):
+    quality.verdicts(docs.repartition(40), labels.limit(0)).write.parquet(f"{tmp_path}/verdicts")
+    assert len(list((tmp_path / "verdicts").glob("part-*"))) == 1
+
+
+def test_quality_sends_texts_in_small_batches(spark, labels, monkeypatch):
+    import pyarrow as pa
+
+    def sizes(shared):
+        def run(batches):
+            for batch in batches:
+                n = batch.num_rows
+                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([n] * n, pa.int64()) for _ in quality.COUNTS), pa.array([False] * n), pa.array([0.5] * n), pa.array([True] * n)], ["doc_id", *quality.COUNTS, "base_failed", "score", "kept"])
+
+        return run
+
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    monkeypatch.setattr(quality, "_verdict_partition", sizes)
+    table = spark.range(3000, numPartitions=1).selectExpr("id as doc_id", "'a b c' as text")
+    got = quality.verdicts(table, labels.limit(0)).collect()
+    assert len({r.doc_id for r in got}) == len(got) == 3000 and max(r.n_words for r in got) <= 500
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before
+
+
 def test_quality_keeps_rows_by_their_text(spark, labels):
     texts = [(1, words(80, 77)), (1, "short"), (None, words(80, 78)), (None, "x"), (2, None)]
     table = spark.createDataFrame(rows(texts), SCHEMA).withColumnRenamed("kept", "_kept").repartition(2)
