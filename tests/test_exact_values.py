@@ -676,3 +676,30 @@ def test_chunk_corpus_takes_every_document_once(spark):
     bad = spark.createDataFrame([("poem",)], "t string")
     with pytest.raises(Exception, match="unsupported source_type poem"):
         bad.select(chunking.branch(F.col("t"))).collect()
+
+
+def _record(name, main, given="x"):
+    return f"{name} (churna)\n\nCategory: Powder\nMain ingredients: {main}\nIngredients: {given}\nReference: r\nIndications: i\n"
+
+
+def test_formulary_learns_names_and_binomials_in_order(spark):
+    text = _record("One", "Guduchi") + _record("Two", "Guduchi, Salt", "Guduchi (Tinospora cordifolia)") + _record("Three", "guduchi, Tinospora cordifolia") + _record("Four", "Neem", "Neem (Melia azedarach), Neem (Azadirachta indica)")
+    herbs, forms = (spark.createDataFrame([x], "term string, key string") for x in (("tulsi", "Herb:t"), ("two", "Formulation:two")))
+    docs = spark.createDataFrame([("f", "Book", text), ("g", "Book", _record("Five", "Guduchi, two"))], "id string, title string, text string")
+    rows = {(r.id, r.pos, r.ingredient): (r.target, r.new_herb) for r in kg.parse_formulary(docs, herbs, forms).collect()}
+    assert rows == {
+        ("f", 0, "Guduchi"): ("Ingredient:guduchi", None), ("f", 1, "Guduchi"): ("Herb:tinospora cordifolia", "Tinospora cordifolia"), ("f", 1, "Salt"): ("Ingredient:salt", None),
+        ("f", 2, "guduchi"): ("Herb:tinospora cordifolia", None), ("f", 2, "Tinospora cordifolia"): ("Herb:tinospora cordifolia", None),
+        ("f", 3, "Neem"): ("Herb:azadirachta indica", "Azadirachta indica"), ("g", 0, "Guduchi"): ("Ingredient:guduchi", None), ("g", 0, "two"): ("Formulation:two", None),
+    }
+    nodes, edges = kg.formulary_graph(docs, herbs, forms)
+    assert edges.count() == edges.select("source", "target", "type").distinct().count() == 12
+    assert {r.key for r in nodes.where("label = 'Herb'").collect()} == {"Herb:tinospora cordifolia", "Herb:azadirachta indica"}
+
+
+def test_formulary_names_leave_a_text_once(spark):
+    import pyarrow as pa
+
+    text = "".join(_record(f"Mix {i}", "Tulsi, Salt", "Tulsi (Ocimum sanctum)") for i in range(500))
+    (batch,) = kg._formulary_terms(iter([pa.RecordBatch.from_pydict({"id": ["f"], "text": [text]})]))
+    assert batch.num_rows == 503 and {"tulsi", "salt", "ocimum sanctum"} <= set(batch.column(1).to_pylist())
