@@ -703,3 +703,13 @@ def test_formulary_names_leave_a_text_once(spark):
     text = "".join(_record(f"Mix {i}", "Tulsi, Salt", "Tulsi (Ocimum sanctum)") for i in range(500))
     (batch,) = kg._formulary_terms(iter([pa.RecordBatch.from_pydict({"id": ["f"], "text": [text]})]))
     assert batch.num_rows == 503 and {"tulsi", "salt", "ocimum sanctum"} <= set(batch.column(1).to_pylist())
+
+
+def test_scoped_mentions_join_by_equal_columns(spark):
+    docs = spark.range(400).select(F.struct(F.col("id").alias("case_id"), F.lit("s").alias("id")).alias("id"), F.lit("ghee and tulsi").alias("text"))
+    own = spark.range(400).where("id % 2 = 0").select(F.lit("tulsi").alias("term"), F.lit("Herb:t").alias("key"), F.col("id").alias("scope"))
+    found = kg.entity_mentions(docs, own.union(spark.createDataFrame([("ghee", "Ingredient:ghee", None)], "term string, key string, scope long")), "case_id")
+    joins = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x]
+    assert joins and not any(" OR " in x for x in joins)
+    rows = {(r.id.case_id, r.key): r.n for r in found.collect()}
+    assert rows == {(i, "Ingredient:ghee"): 1 for i in range(400)} | {(i, "Herb:t"): 1 for i in range(0, 400, 2)}
