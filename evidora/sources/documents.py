@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import batched
 
 import pandas as pd
 import pyarrow.fs
@@ -11,10 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_lines, norm_title, strip
+from .store import written
 
 SUFFIXES = ["txt", "md", "html", "htm", "pdf", "json", "jsonl"]
 SOURCE_TYPES = ["statute", "guideline", "patent", "comparative_ip", "regulation", "case_law", "prior_art"]
 META = "doc_id string, title string, source_type string, source_url string, effective_date string, jurisdiction string, legal_scope string, section_prefix string, section_label_prefix string, is_fixture boolean"
+LISTED = 10_000  # names of a batch
+READ_BYTES, TASK_BYTES = 1 << 23, 1 << 25
 PATENT = "publication_number string, title string, abstract string, first_claim string, url string, publication_date string, jurisdiction string"
 
 
@@ -42,6 +46,62 @@ def write_documents(files: DataFrame, folder: str) -> int:
     return files.select("path", F.col("content").cast("binary").alias("content")).mapInPandas(run, "n long").agg(F.sum("n")).first()[0] or 0
 
 
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or name.startswith("_") and "=" not in name
+
+
+def _listed(spark: SparkSession, folder: str) -> DataFrame:
+    """(dir, name, size) of all files below ``folder``: its folders are listed in tasks, a level at a time, and the driver holds none of it."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path in batch["path"]:
+                for some in batched(fs.get_file_info(pyarrow.fs.FileSelector(path)), LISTED):
+                    is_dir = [f.type == pyarrow.fs.FileType.Directory for f in some]
+                    yield pd.DataFrame({"dir": [f"{path}/"] * len(some), "name": [f.base_name for f in some], "size": [f.size or 0 for f in some], "is_dir": [d and not _hidden(f.base_name) for d, f in zip(is_dir, some)], "is_file": [not d for d in is_dir]})
+
+    files, level = None, spark.createDataFrame([(pyarrow.fs.FileSystem.from_uri(folder)[1].rstrip("/"),)], "path string")
+    while level.limit(1).count():
+        n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        found = written(level.repartition(n).mapInPandas(run, "dir string, name string, size long, is_dir boolean, is_file boolean"), "listing")
+        own, level = found.where("is_file").select("dir", "name", "size"), found.where("is_dir").select(F.concat("dir", "name").alias("path"))
+        files = own if files is None else files.unionByName(own)
+    return files
+
+
+def _contents(files: DataFrame, folder: str, schema: str) -> DataFrame:
+    """``files`` (dir, name, beside, ...) with ``content`` and ``sidecar``, the bytes of a file and of the file ``beside`` it (or null), read in tasks."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
+
+        def read(path: str) -> bytes:
+            with fs.open_input_stream(path, compression=None) as f:
+                return f.read()
+
+        for batch in batches:
+            for _, some in batch.groupby(batch["size"].cumsum() // READ_BYTES, sort=False):
+                content = [read(d + n) for d, n in zip(some["dir"], some["name"])]
+                beside = [read(d + n) if n else None for d, n in zip(some["dir"], some["beside"])]
+                yield some.assign(content=content, sidecar=beside)
+
+    return files.mapInPandas(run, schema)
+
+
+def _paired(spark: SparkSession, folder: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """(dir, name, stem, suffix, beside, size) of documents, ``beside`` their sidecar's name or null, and what adds ``content`` and ``sidecar``."""
+    files = _listed(spark, folder).where(~F.col("name").rlike("^[._]"))
+    sidecar = F.col("name").endswith(".meta.json")
+    beside = files.where(sidecar).select("dir", F.regexp_extract("name", r"^(.*)\.meta\.json$", 1).alias("stem"), F.col("name").alias("beside"))
+    found = files.where(~sidecar).withColumns({"stem": F.regexp_extract("name", r"^(.*)\.[^.]+$", 1), "suffix": F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))}).where(F.col("suffix").isin(SUFFIXES))
+    met = written(found.join(beside, ["dir", "stem"], "left").select("dir", "name", "suffix", "beside", "size"), "documents")
+    total = met.agg(F.sum("size")).first()[0] or 0
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // TASK_BYTES))
+    schema = "dir string, name string, suffix string, beside string, size long, content binary, sidecar binary"
+    return met, lambda some: _contents(some.repartition(tasks), folder, schema)
+
+
 def load_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     """Documents (meta columns, path, suffix, text) with a sidecar, and what is skipped (path, reason).
 
@@ -51,25 +111,27 @@ def load_documents(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFra
     keeps its text for ``read_patent_records`` and is an error for other source types.
     Texts without anything in them, and PDF (not decoded here), are skipped.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
-    name = F.regexp_extract("path", r"([^/]+)$", 1)
-    files = files.withColumns({"dir": F.regexp_replace("path", r"[^/]+$", ""), "name": name}).where(~F.col("name").rlike("^[._]"))
-    sidecar = F.col("name").endswith(".meta.json")
-    meta = files.where(sidecar).select("dir", F.regexp_extract("name", r"^(.*)\.meta\.json$", 1).alias("stem"), F.from_json(F.col("content").cast("string"), META).alias("meta"))
-    found = files.where(~sidecar).withColumns({"stem": F.regexp_extract("name", r"^(.*)\.[^.]+$", 1), "suffix": F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1))}).where(F.col("suffix").isin(SUFFIXES))
-    met = found.join(meta, ["dir", "stem"], "left")
+    met, with_bytes = _paired(spark, folder)
+    base = pyarrow.fs.FileSystem.from_uri(folder)[1].rstrip("/")
+    head = folder.rstrip("/").removesuffix(base)
+    path = F.concat(F.lit("file:" if head in ("", "file://") else head), "dir", "name").alias("path")
     raw = F.make_valid_utf8(F.col("content").cast("string"))
     records = F.col("suffix").isin("json", "jsonl")
     wrong = records & ~F.coalesce(F.col("meta.source_type") == "patent", F.lit(False))
     raw = F.when(wrong, F.raise_error(F.concat("name", F.lit(": record files need source_type patent"))).cast("string")).otherwise(raw)
-    whole = met.where("meta IS NOT NULL AND suffix != 'pdf'").select("meta.*", "path", "suffix", raw.alias("raw"))
-    pages = whole.where("suffix IN ('html', 'htm')")
+    meta = F.from_json(F.col("sidecar").cast("string"), META).alias("meta")
+
+    def whole(which: str) -> DataFrame:
+        some = with_bytes(met.where(f"beside IS NOT NULL AND suffix != 'pdf' AND suffix {which} ('html', 'htm')"))
+        return some.select("name", "suffix", "content", path, meta).select("meta.*", "path", "suffix", raw.alias("raw"))
+
+    pages = whole("IN")
     paged = html_to_text(pages, "raw").withColumn("text", clean_lines(F.col("text")))
-    plain = whole.where("suffix NOT IN ('html', 'htm')").withColumn("text", F.when(records, F.col("raw")).otherwise(clean_lines(F.col("raw")))).drop("raw")
+    plain = whole("NOT IN").withColumn("text", F.when(records, F.col("raw")).otherwise(clean_lines(F.col("raw")))).drop("raw")
     texts = plain.unionByName(paged)
     full = strip(F.col("text")) != ""
-    reason = F.when(F.col("meta").isNull(), "no sidecar").when(F.col("suffix") == "pdf", "pdf")
-    skipped = met.select("path", reason.alias("reason")).where("reason IS NOT NULL").unionByName(texts.where(~full).select("path", F.lit("no text").alias("reason")))
+    reason = F.when(F.col("beside").isNull(), "no sidecar").when(F.col("suffix") == "pdf", "pdf")
+    skipped = met.select(path, reason.alias("reason")).where("reason IS NOT NULL").unionByName(texts.where(~full).select("path", F.lit("no text").alias("reason")))
     return texts.where(full), skipped
 
 

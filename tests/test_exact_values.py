@@ -741,3 +741,16 @@ def test_export_of_empty_texts(spark, tmp_path):
 
 def test_fulltext_of_empty_texts(spark, tmp_path):
     _same_as_sql(spark, tmp_path, "patents_from_fulltext", {"documents": _odd_texts(spark)})
+
+
+def test_documents_are_listed_in_tasks(spark, tmp_path):
+    for path in ("a.txt", "deep/b.md", "deep/er/c.txt", "deep/er/.hidden.txt", ".git/d.txt", "_tmp/e.txt", "k=1/f.txt", "deep/note.doc"):
+        at = tmp_path / path
+        at.parent.mkdir(parents=True, exist_ok=True)
+        at.write_text(f"{at.name}\n")
+        at.with_name(at.stem + ".meta.json").write_text('{"doc_id": "x", "source_type": "statute"}')
+    (tmp_path / "deep/g.txt").write_text("alone")
+    loaded, skipped = documents.load_documents(spark, f"file://{tmp_path}")
+    assert "binaryfile" not in loaded._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert {(r.path, r.text) for r in loaded.collect()} == {(f"file:{tmp_path}/{p}", p.rpartition("/")[2]) for p in ("a.txt", "deep/b.md", "deep/er/c.txt", "k=1/f.txt")}
+    assert [tuple(r) for r in skipped.collect()] == [(f"file:{tmp_path}/deep/g.txt", "no sidecar")]
