@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize
+from ..sources.store import written_in_buckets
 
 # Mass units in milligrams and units that are known.
 TO_MG = {"mg": 1.0, "g": 1000.0, "kg": 1_000_000.0, "mcg": 0.001}
@@ -128,6 +129,8 @@ def claim_evidence(claims: DataFrame, verdicts: DataFrame, stripped: DataFrame |
     rows = claims.withColumn("_c", _claim_key(F.col("claim"))).join(given, ["formulation_id", "_c"], "left").join(ran, "formulation_id", "left")
     rows = rows.withColumn("cited", F.array_intersect("candidate_ids", F.coalesce("evidence_source_ids", none)))
     rows = rows.withColumn("good", F.coalesce(F.col("verdict").isin("SUPPORTED", "PARTIALLY_SUPPORTED") & (F.size("cited") > 0), F.lit(False)))
+    # Written once, by formulation: what follows groups within one and shuffles nothing.
+    rows = written_in_buckets(rows.select("formulation_id", "subject_ids", "candidate_ids", "verdict", "ran", "cited", "good"), "claims", "formulation_id")
     subjects = rows.select("formulation_id", F.explode("subject_ids").alias("subject_id"), "good", "verdict", "cited")
     counted = subjects.groupBy("formulation_id", "subject_id").agg(F.count("*").alias("n"), F.count_if("good").alias("good"), F.count_if(F.col("good") & (F.col("verdict") == "SUPPORTED")).alias("full"))
     status = F.when(F.col("good") == 0, "insufficient_evidence").when(F.col("full") == F.col("n"), "confirmed").otherwise("probable")

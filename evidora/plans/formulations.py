@@ -12,7 +12,7 @@ from ..operators import extraction as ex
 from ..operators import formulation as fm
 from ..operators import kg, replay
 from ..queries import query
-from ..sources.store import read_parts, scratch
+from ..sources.store import read_parts, scratch, written
 from ..streaming import jobs
 from .adapters import sql_list, table
 
@@ -99,7 +99,7 @@ _EVIDENCE = f"""{_CLAIMS}, v AS (SELECT m.f, m.claim, string_split(m.subjects, '
  UNION ALL SELECT DISTINCT f, s, src, 'supported_by' FROM (SELECT f, s, unnest(cited) AS src FROM (SELECT f, unnest(subjects) AS s, cited FROM g WHERE good))""")
 def claim_evidence(spark, sf_dir):
     """Statuses of subjects and sources, and the edges between them (``status`` is then the source)."""
-    claims = _claims(spark, sf_dir)
+    claims = written(_claims(spark, sf_dir), "claims")  # verdicts are made of them
     k = (F.length("claim") + F.col("formulation_id")) % 5
     verdicts = claims.where(k != 4).select("formulation_id", F.upper("claim").alias("claim"), F.when(k == 0, "UNSUPPORTED").when(k == 1, "PARTIALLY_SUPPORTED").otherwise("SUPPORTED").alias("status"), F.slice("candidate_ids", 1, 2).alias("evidence_source_ids"))
     subjects, sources, edges = fm.claim_evidence(claims, verdicts)

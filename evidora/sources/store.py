@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PARTS = 64
+#: Spark's setting by which the shuffle files of a query go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _MADE: list[str] = []  # paths in the shared folder, and tables over them
 _TABLES: list[str] = []
 
@@ -46,10 +49,22 @@ def clear(spark: SparkSession) -> int:
     return n
 
 
+@contextmanager
+def shuffles_go(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what runs inside go when it ends, not when the driver's garbage is collected."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table in the shared folder, for plans that read it several times."""
     path = scratch(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_go(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 
@@ -59,7 +74,8 @@ def written_in_buckets(df: DataFrame, name: str, key: str) -> DataFrame:
     path = scratch(spark, name)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     called = path.rpartition("/")[2].replace("-", "_")
-    df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(called)
+    with shuffles_go(spark):
+        df.repartition(n, key).write.bucketBy(n, key).sortBy(key).option("path", path).saveAsTable(called)
     _TABLES.append(called)
     return spark.table(called)
 

@@ -754,3 +754,23 @@ def test_documents_are_listed_in_tasks(spark, tmp_path):
     assert "binaryfile" not in loaded._jdf.queryExecution().optimizedPlan().toString().lower()
     assert {(r.path, r.text) for r in loaded.collect()} == {(f"file:{tmp_path}/{p}", p.rpartition("/")[2]) for p in ("a.txt", "deep/b.md", "deep/er/c.txt", "k=1/f.txt")}
     assert [tuple(r) for r in skipped.collect()] == [(f"file:{tmp_path}/deep/g.txt", "no sidecar")]
+
+
+def test_evidence_of_claims_is_dealt_once(spark):
+    from evidora.operators import formulation
+
+    claims = spark.createDataFrame([(1, "A.", ["x", "y"], ["s", "t"]), (1, "b", ["x"], [])], "formulation_id int, claim string, subject_ids array<string>, candidate_ids array<string>")
+    verdicts = spark.createDataFrame([(1, "a", "SUPPORTED", ["t"])], "formulation_id int, claim string, status string, evidence_source_ids array<string>")
+    found = formulation.claim_evidence(claims, verdicts)
+    assert [{tuple(r) for r in f.collect()} for f in found] == [{(1, "x", "probable"), (1, "y", "confirmed")}, {(1, "s", "UNSUPPORTED"), (1, "t", "SUPPORTED")}, {(1, "x", "t"), (1, "y", "t")}]
+    assert not any("Exchange" in f._jdf.queryExecution().sparkPlan().toString() or "Exchange" in f._jdf.queryExecution().executedPlan().toString() for f in found)
+
+
+def test_automata_stay_out_of_the_driver(spark, monkeypatch):
+    from evidora.operators import automaton
+
+    monkeypatch.setattr(automaton, "SHARD_TOKENS", 40)
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda _: pytest.fail("an automaton goes through the driver"))
+    docs = spark.range(60).select("id", F.concat(F.lit("red leaf "), "id", F.lit(" of red leaf")).alias("text"))
+    terms = spark.range(60).select(F.explode(F.array(F.concat(F.lit("leaf "), "id"), F.lit("red leaf"), F.concat(F.lit("red leaf "), "id"))).alias("term")).distinct().withColumn("key", F.concat(F.lit("K:"), "term"))
+    assert {(r.id, r.key): r.n for r in kg.entity_mentions(docs, terms).collect()} == {(i, f"K:red leaf {i}"): 1 for i in range(60)} | {(i, "K:red leaf"): 1 for i in range(60)}
