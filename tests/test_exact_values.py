@@ -774,3 +774,25 @@ def test_automata_stay_out_of_the_driver(spark, monkeypatch):
     docs = spark.range(60).select("id", F.concat(F.lit("red leaf "), "id", F.lit(" of red leaf")).alias("text"))
     terms = spark.range(60).select(F.explode(F.array(F.concat(F.lit("leaf "), "id"), F.lit("red leaf"), F.concat(F.lit("red leaf "), "id"))).alias("term")).distinct().withColumn("key", F.concat(F.lit("K:"), "term"))
     assert {(r.id, r.key): r.n for r in kg.entity_mentions(docs, terms).collect()} == {(i, f"K:red leaf {i}"): 1 for i in range(60)} | {(i, "K:red leaf"): 1 for i in range(60)}
+
+
+def test_round_trip_reads_a_table_once_more(spark, monkeypatch):
+    from evidora.sources import store
+
+    rows = spark.createDataFrame([(1, "a"), (1, "a"), (2, None)], "id int, term string")
+    found = store.index_round_trip({"t": rows})
+    assert [tuple(r) for r in found.collect()] == [("t", 3, 0)]
+    assert "Except" not in found._jdf.queryExecution().logical().toString()
+    other = spark.createDataFrame([(1, "a"), (3, "c")], "id int, term string")
+    monkeypatch.setattr(store, "written", lambda df, name: other)
+    assert [tuple(r) for r in store.index_round_trip({"t": rows}).collect()] == [("t", 2, 3)]
+
+
+def test_merged_edges_look_their_ends_up_once(spark):
+    nodes = spark.createDataFrame([("a",), ("b",)], "key string")
+    kind = "source string, target string, type string, props map<string,string>"
+    old = spark.createDataFrame([("a", "b", "CITES", {"x": "1", "y": "2"}), ("b", "a", "CITES", {})], kind).withColumn("origin", F.lit("curated"))
+    batch = spark.createDataFrame([("a", "b", "CITES", {"x": "3", "y": None, "origin": "z"}), ("a", "b", "CITES", {"x": "4"}), ("a", "a", "CITES", {}), ("a", "c", "CITES", {}), ("b", "a", "CONTAINS", None)], kind).coalesce(1)
+    merged = kg.merge_edges(old, batch, nodes, "pipeline")
+    assert {(r.source, r.target, r.type): (r.props, r.origin) for r in merged.collect()} == {("a", "b", "CITES"): ({"x": "4", "y": "2"}, "curated"), ("b", "a", "CITES"): ({}, "curated"), ("b", "a", "CONTAINS"): ({}, "pipeline")}
+    assert merged._jdf.queryExecution().optimizedPlan().toString().count("Join") == 4  # two ends, of old and new edges
