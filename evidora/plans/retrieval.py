@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import chunking, dense, filters, fusion, ivf, lexical, statutes
 from ..queries import query
-from ..sources.store import index_round_trip
+from ..sources.store import index_round_trip, written
 from .adapters import CHUNKS_SQL, QUERIES_SQL, chunks, indexed_chunks, queries, sql_list, table, tokens_sql
 
 
@@ -44,7 +44,7 @@ def bm25_search(spark, sf_dir):
 
 @query("bm25_rebuild", f"WITH {_POSTINGS} SELECT 'postings' AS part, count(*) AS n, CAST(0 AS BIGINT) AS differing FROM post UNION ALL SELECT 'lengths', count(*), 0 FROM dl")
 def bm25_rebuild(spark, sf_dir):
-    tok = lexical.tokens(chunks(spark, sf_dir), F.col("text"))
+    tok = written(lexical.tokens(chunks(spark, sf_dir), F.col("text")), "tokens")  # texts are cut once
     return index_round_trip({"postings": lexical.postings(tok), "lengths": lexical.doc_lengths(tok)})
 
 
